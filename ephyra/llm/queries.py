@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import byte_bpe, packing, simhash
+from . import byte_bpe, embedding_dedup, html_text, packing, quality_rules, simhash
 from .common import table
 from .sharding import histogram_shards
 
@@ -17,7 +17,10 @@ def op10_sharding(spark, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op3_simhash": simhash.op3_simhash,
+        "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
         "op5_packing": packing.op5_packing,
+        "op7_html_text": html_text.op7_html_text,
+        "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
         "op10_sharding": op10_sharding,
     }
