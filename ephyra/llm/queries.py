@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import byte_bpe, embedding_dedup, html_text, packing, quality_rules, simhash
+from . import byte_bpe, embedding_dedup, html_text, language_id, packing, quality_rules, simhash, toxicity
 from .common import table
 from .sharding import histogram_shards
 
@@ -16,9 +16,11 @@ def op10_sharding(spark, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_language_id": language_id.op2_language_id,
         "op3_simhash": simhash.op3_simhash,
         "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
         "op5_packing": packing.op5_packing,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_html_text": html_text.op7_html_text,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
