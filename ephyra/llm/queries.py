@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import byte_bpe, embedding_dedup, html_text, language_id, packing, quality_rules, simhash, toxicity
+from . import byte_bpe, embedding_dedup, html_text, language_id, packing, quality_classifier, quality_rules, simhash, toxicity
 from .common import table
 from .sharding import histogram_shards
 
@@ -14,8 +14,16 @@ def op10_sharding(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def pipeline(spark, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
+        "op1_quality_classifier": quality_classifier.op1_quality_classifier,
         "op2_language_id": language_id.op2_language_id,
         "op3_simhash": simhash.op3_simhash,
         "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
