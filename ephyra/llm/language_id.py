@@ -10,21 +10,27 @@ from .common import field, materialize, table, with_arrow
 from .crf import CRF, Tagger, batches, words_of
 
 #: The model is fitted on so many training documents of each language at most (the first by a hash of doc_id), so many words
-#: of each, and so many languages (the most frequent).
-FIT_DOCS, FIT_WORDS, FIT_LANGS = 250, 240, 64
+#: of each, so many languages (the most frequent), and so many characters of a text.
+FIT_DOCS, FIT_WORDS, FIT_LANGS, FIT_CHARS = 250, 240, 64, 20_000
 
 
 def sample(docs: DataFrame, label: str, per_label: int, labels: int) -> list:
     """[(label, text)] of training rows: per_label rows of each of the most frequent labels, by the order of a hash. A hash
     bound from the label's count comes first, so that no label's rows meet in one task."""
-    h = F.xxhash64("doc_id", F.lit(11)).bitwiseAND(F.lit((1 << 62) - 1))
-    rows = docs.where(F.col("text").isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("y"), "text", h.alias("h"))
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(labels).collect()}
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.col(label).alias("y"), "text")
+    few = chosen(rows, per_label, labels).withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "text"))).where(F.col("r") <= per_label)
+    return sorted((r["y"], r["text"]) for r in few.select("y", F.substring("text", 1, FIT_CHARS).alias("text")).collect())
+
+
+def chosen(rows: DataFrame, per_label: int, labels: int) -> DataFrame:
+    """About 3 * per_label rows of each of the most frequent labels `y`: those whose hash `h` of doc_id is least."""
+    top = (1 << 62) - 1
+    rows = rows.where("y is not null").withColumn("h", F.xxhash64("doc_id", F.lit(11)).bitwiseAND(F.lit(top)))
+    counts = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(labels).collect()
     keep = F.lit(False)
-    for y, n in counts.items():
-        keep = keep | ((F.col("y") == F.lit(y)) & (F.col("h") <= F.lit(int(min(1.0, (3 * per_label + 50) / n) * ((1 << 62) - 1)))))
-    few = rows.where(keep).withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "text"))).where(F.col("r") <= per_label)
-    return sorted((r["y"], r["text"]) for r in few.select("y", F.substring("text", 1, 20_000).alias("text")).collect())
+    for r in counts:
+        keep = keep | ((F.col("y") == F.lit(r["y"])) & (F.col("h") <= F.lit(int(min(1.0, (3 * per_label + 50) / r["n"]) * top))))
+    return rows.where(keep)
 
 
 class LanguageModel:
@@ -43,8 +49,7 @@ class LanguageModel:
         rng = np.random.default_rng(seed)
         runs = []
         for y, text in rows:
-            w = words_of(text)
-            w = w[: FIT_WORDS]
+            w = words_of(text)[:FIT_WORDS]
             i = 0
             while i < len(w):
                 n = int(rng.integers(8, 60))

@@ -9,9 +9,9 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import field, table, with_arrow
+from .common import field, join_checked, materialize, table, with_arrow
 from .crf import CRF, Tagger, batches, words_of
-from .language_id import held_out, sample
+from .language_id import chosen, held_out, sample
 
 #: The model is fitted on so many labelled documents of each label at most, so many words of each.
 FIT_DOCS, FIT_WORDS = 1500, 3000
@@ -140,9 +140,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50)
     return w
 
 
-def fit(labelled: DataFrame, per_label: int = FIT_DOCS) -> ToxicModel:
-    """A model from labelled rows (doc_id, text, toxic 0/1), fitted on the driver on a bounded sample of them."""
-    return ToxicModel.fit(sample(labelled, "toxic", per_label, 2))
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS) -> ToxicModel:
+    """A model from documents (doc_id, text) and labels (doc_id, toxic 0/1), fitted on the driver on a bounded sample. The
+    sample's ids come from the labels, so that only their texts move; about 3 * per_label for each label are broadcast."""
+    ids = materialize(chosen(labels.select("doc_id", F.col("toxic").alias("y")).where("y in (0, 1)").distinct(), per_label, 2).select("doc_id", F.col("y").alias("toxic")))
+    return ToxicModel.fit(sample(materialize(join_checked(docs.select("doc_id", "text"), ids, "doc_id", "inner")), "toxic", per_label, 2))
 
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
@@ -158,6 +160,5 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    train = docs.select("doc_id", "text").where(~held_out(3, 1)).join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id")
-    model = fit(train)
+    model = fit(docs, labels.where(~held_out(3, 1)))
     return score(docs.select("doc_id", "text", held_out(3, 1).alias("held_out")), model).select("doc_id", "held_out", "score", "predicted", "spans")

@@ -114,11 +114,12 @@ def test_toxicity_finds_inflected_forms_and_edge_rows(spark):
     g = np.random.default_rng(3)
     word = lambda: "".join(g.choice(list("bcdfghklmn")) + g.choice(list("aeiou")) for _ in range(3))
     train = [(i, " ".join([word() for _ in range(15)] + ["snarkl" + word()] + [word() for _ in range(5)]), 1) for i in range(80)] + [(1000 + i, " ".join(word() for _ in range(20)), 0) for i in range(200)]
-    model = toxicity.fit(spark.createDataFrame(train, "doc_id long, text string, toxic int"))
+    train = spark.createDataFrame(train, "doc_id long, text string, toxic int")
+    model = toxicity.fit(train.drop("toxic"), train.drop("text"))
     test = spark.createDataFrame([(1, "a snarklzuzu here", 5), (2, "bacodu mekife", 5), (3, None, 5), (4, "", 5), (4, "", 5), (None, "SNARKLbaba " * 4000, 5)], "doc_id long, text string, predicted int")
     got = {r["doc_id"]: r for r in toxicity.score(test, model).collect()}
     assert got[1]["predicted"] == 1 and got[1]["spans"] == [2, 12] and got[None]["predicted"] == 1
     assert got[2]["predicted"] == got[3]["predicted"] == got[4]["predicted"] == 0 and 0 <= got[3]["score"] <= 1
     assert toxicity.score(test.limit(0), model).count() == 0
-    none = toxicity.fit(spark.createDataFrame([], "doc_id long, text string, toxic int"))
+    none = toxicity.fit(train.limit(0).drop("toxic"), train.limit(0).drop("text"))
     assert toxicity.score(test, none).where("score = 0").count() == 6
