@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
+from array import array
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,29 +14,34 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import field, materialize, table, without
 
-#: Different pre-tokens whose ids a worker remembers before it starts anew.
-MEMO = 200_000
+#: Different pre-tokens whose ids a worker remembers; beyond that it keeps the first ones, which are the common ones.
+MEMO, COMMON = 400_000, 100_000
 #: Outside these characters a text goes through the tokenizer whole.
 PLAIN = re.compile(r"[^\x00-\u024f\u2000-\u206f]")
 
 
+@lru_cache(maxsize=2)
 def encoder(path: str, end_id: int = 0):
     """A function from texts to one array of ids each, closed by end_id: ids as tokenizers gives them, without special
-    tokens added. Its pre-tokenizer never joins two matches of the split pattern, so each match has ids of its own and
-    equal matches share them; texts beyond plain characters or with a special token's string are encoded whole."""
+    tokens added. A worker makes it once. The tokenizer's byte-level pre-tokenizer takes each match of the split pattern
+    by itself, so equal matches have equal ids: the tokenizer's own model merges each new match once. Texts beyond plain
+    characters or with a special token's string, and tokenizers of any other kind, are encoded whole."""
     import public_tokenizers
     import regex
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, models, pre_tokenizers
 
     tok = Tokenizer.from_file(path)
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
-    split = regex.compile(public_tokenizers.PATTERN).findall
-    wide = np.dtype("<u2") if max(tok.get_vocab_size(), end_id + 1) <= 1 << 16 else np.dtype("<u4")
-    end = wide.type(end_id).tobytes()
+    split, model = regex.compile(public_tokenizers.PATTERN).findall, tok.model
+    kind, wide = ("H", "<u2") if max(tok.get_vocab_size(), end_id + 1) <= 1 << 16 else ("I", "<u4")
+    end = np.dtype(wide).type(end_id).tobytes()
+    plain = isinstance(tok.pre_tokenizer, pre_tokenizers.ByteLevel) and not tok.pre_tokenizer.add_prefix_space and tok.normalizer is None and isinstance(model, models.BPE)
+    shown = str.maketrans({chr(b): _shown(b) for b in range(256)})
 
     class Memo(dict):
         def __missing__(self, piece):
-            ids = self[piece] = np.array(tok.encode(piece, add_special_tokens=False).ids, wide).tobytes()
+            ids = array(kind, [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(shown))]).tobytes()
+            self[piece] = ids
             return ids
 
     memo = Memo()
@@ -42,14 +49,22 @@ def encoder(path: str, end_id: int = 0):
     def encode(texts):
         for text in texts:
             text = text or ""
-            if PLAIN.search(text) or any(s in text for s in special):
-                yield np.array(tok.encode(text, add_special_tokens=False).ids, wide).tobytes() + end
+            if not plain or PLAIN.search(text) or any(s in text for s in special):
+                yield array(kind, tok.encode(text, add_special_tokens=False).ids).tobytes() + end
             else:
+                yield b"".join(map(memo.__getitem__, split(text))) + end
                 if len(memo) > MEMO:
+                    common = dict(islice(memo.items(), COMMON))
                     memo.clear()
-                yield b"".join(map(memo.__getitem__, split(text))) + end
+                    memo.update(common)
+
+    return encode, np.dtype(wide)
+
 
-    return encode, wide
+def _shown(byte: int) -> str:
+    """The character that stands for a byte in byte-level vocabularies: itself if it prints, else one from 256 on."""
+    prints = lambda b: 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
+    return chr(byte) if prints(byte) else chr(256 + sum(not prints(b) for b in range(byte)))
 
 
 def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, with_ids: bool = True) -> DataFrame:
