@@ -1,4 +1,6 @@
 """All queries by name, and the SQL of those that SQL can express."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import ORACLES, QUERIES
+from . import kernels  # noqa: F401  (registers its queries)
+
+__all__ = ["ORACLES", "QUERIES"]
