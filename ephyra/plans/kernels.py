@@ -1 +1,109 @@
 """Queries of the numeric and image kernels; SQL can't express these, tests hold them against their definitions."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.columns import rounded
+from ..functions.special import first_component, normal_pvalue, t_pvalue
+from ..operators import baseline, frames, response, segment, signals
+from .queries import _deltas, _traces, query, table
+
+
+@query()
+def t_pvalue_bh(spark, d):
+    """p values of the t statistics, and which pass the step-up at 5 %."""
+    t = response.t_statistics(_deltas(spark, d), ["user_id", "event_type"]).withColumn("p", t_pvalue("t", "n"))
+    return response.bh_reject(t, "p").select("user_id", "event_type", rounded("p", 8).alias("p"), "rejected")
+
+
+@query()
+def normal_tails(spark, d):
+    z = response.scaled(table(spark, d, "events"), ["user_id"], "value")
+    return z.select("event_id", rounded(normal_pvalue("z"), 8).alias("p"))
+
+
+@query()
+def deglobal_pc1(spark, d):
+    """Residuals of rois less their first common component over trials; a group's matrix is rois x frames of one label."""
+    wide = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["embedding"].to_numpy()).astype(float)
+        x = x - x.mean(axis=1, keepdims=True)
+        v = first_component(x)
+        left = x - np.outer(x @ v, v)
+        return pd.DataFrame({"vec_id": pdf["vec_id"], "label": key[0], "clean": [np.round(r, 6).tolist() for r in left]})
+
+    return wide.groupBy("label").applyInPandas(run, "vec_id long, label int, clean array<double>")
+
+
+def _samples(spark, d):
+    """Events laid on a clock of one sample each, as one channel for each user."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, d, "events").select("user_id", (F.row_number().over(w) - 1).cast("long").alias("sample"), "value")
+
+
+@query()
+def bandpass(spark, d):
+    return signals.filtered(_samples(spark, d), ["user_id"], "sample", "value", 200.0).withColumn("value", rounded("value"))
+
+
+@query()
+def inhalation_onsets(spark, d):
+    return signals.inhalations(_samples(spark, d), ["user_id"], "sample", "value", 20.0 * 12)
+
+
+@query()
+def band_power_quality(spark, d):
+    return signals.quality_report(signals.quality(_samples(spark, d), ["user_id"], "sample", "value", 50.0), ["user_id"]).withColumn("percent", rounded("percent"))
+
+
+@query()
+def fit_baseline(spark, d):
+    m = _traces(spark, d).groupBy("label", "frame").agg(F.avg("v").alias("v"))
+    return baseline.fit_baseline(m, ["label"], "frame", "v", 8.0).select("label", "ok", *[rounded(c).alias(c) for c in ("tau_fast", "tau_slow", "c", "r2")])
+
+
+@query()
+def detrend_two_exponentials(spark, d):
+    return baseline.detrend_exponential(_traces(spark, d), ["vec_id"], "frame", "v", 6.0, 40.0, (F.col("frame") < 20) | (F.col("frame") >= 40)).select("vec_id", "frame", rounded("v").alias("v"))
+
+
+@query()
+def fit_shape(spark, d):
+    t = _traces(spark, d)
+    s = baseline.fit_shape(t.withColumn("v", F.col("v") + 10), ["vec_id"], "frame", "v", (F.col("frame") < 20) | (F.col("frame") >= 40), 64)
+    return s.select("frame", rounded("shape").alias("shape"))
+
+
+def _images(spark, d):
+    li = table(spark, d, "lineitem")
+    return li.groupBy(F.col("l_returnflag").alias("odor"), (F.col("l_partkey") % 48).cast("int").alias("y"), (F.col("l_suppkey") * 7 % 48).cast("int").alias("x")).agg(F.sum("l_quantity").alias("v"))
+
+
+@query()
+def segment_images(spark, d):
+    return segment.per_image(_images(spark, d), ["odor"], lambda im: segment.segment_image(np.nan_to_num(im), segment.SegmentParams(85.0, min_diameter_px=1.5, max_diameter_px=12, peak_distance_px=2)))
+
+
+@query()
+def ridge_processes(spark, d):
+    return segment.per_image(_images(spark, d), ["odor"], lambda im: segment.processes(np.nan_to_num(im), np.zeros(im.shape, int)))
+
+
+@query()
+def pupil_frames(spark, d):
+    """Embeddings as 8 x 8 grey frames, blown up to 40 x 40."""
+
+    def run(batches):
+        for pdf in batches:
+            px = [np.kron(np.clip(np.asarray(e, float).reshape(8, 8) * 60 + 128, 0, 255), np.ones((5, 5))).astype(np.uint8).tobytes() for e in pdf["embedding"]]
+            yield pd.DataFrame({"label": pdf["label"], "index": pdf["vec_id"], "height": 40, "width": 40, "pixels": px})
+
+    f = table(spark, d, "embeddings").select("vec_id", "label", "embedding").mapInPandas(run, "label int, index long, height int, width int, pixels binary")
+    m = frames.classify(frames.pupils(f, ["label"], frames.PupilConfig(trials=40)), ["label"], "index")
+    return m.select("label", "index", rounded("diameter", 3).alias("diameter"), "blink", "clipped")
