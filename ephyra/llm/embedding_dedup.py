@@ -166,3 +166,12 @@ def _blocks(part: pa.Table, threshold: float, wide: str):
 
 def op4_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: Every pair by brute force; components by the least id that spreads.
+ORACLE_SQL = """
+with recursive v as (select row_number() over () as k, vec_id, embedding::double[] as e, embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 as ok from embeddings),
+ p as (select a.k as a, b.k as b from v a join v b on a.k <> b.k and a.ok and b.ok and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95),
+ r(n, m) as (select k, vec_id from v union select p.a, r.m from r join p on p.b = r.n), c as (select n, min(m) as m from r group by n)
+select v.vec_id, (select count(*) from p where p.a = v.k) as n_links, c.m as component_id, v.vec_id = c.m as kept from v join c on c.n = v.k
+"""

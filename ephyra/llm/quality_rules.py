@@ -142,3 +142,33 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     narrow = with_stats(docs).drop("text")
     return verdicts(materialize(narrow)).select("doc_id", *BASE[:5], "base_failed", "kept", *RATES, *[f"max_{m}" for m in RATES])
+
+
+ORACLE_SQL = r"""
+with d as (select doc_id, lang, source, coalesce(text, '') as text, row_number() over () as k from documents),
+t as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from d),
+b as (select k, doc_id, lang, source, w, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
+g as (select k, i, list_slice(w, i, i + 7) as gram from (select k, w, unnest(range(1, len(w) - 6)) as i from b where len(w) >= 8)),
+r as (select k, i from (select k, i, count(*) over (partition by k, gram) as c from g) where c > 1),
+h as (select k, count(distinct i + o) as n_repeat_words from r, range(8) q(o) group by k),
+s as (select k, count(*) as n_stutter from (select k, unnest(range(1, len(w))) as i, w from b where len(w) > 1) where w[i] = w[i + 1] group by k),
+m as (select b.k, doc_id, lang, source, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(lines) as n_lines, coalesce(n_stutter, 0) as n_stutter
+  from b left join h using (k) left join s using (k)),
+f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, coalesce(n_symbols * 1000 // nullif(word_chars, 0), 0) as symbol_rate, coalesce(n_stutter * 1000 // nullif(n_words, 0), 0) as stutter_rate,
+  coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0) as dup_line_rate from m),
+u as (unpivot (select lang, source, cast(symbol_rate as bigint) as symbol_rate, cast(stutter_rate as bigint) as stutter_rate, cast(dup_line_rate as bigint) as dup_line_rate from f where not base_failed) on symbol_rate, stutter_rate, dup_line_rate into name metric value v),
+z as (select lang, source, metric, (v >> greatest(0, length(bin(v)) - 6)) << greatest(0, length(bin(v)) - 6) as v from u),
+l as (select 0 as level, lang, source, metric, v, count(*) as n from z group by all union all select 1, lang, null, metric, v, count(*) from z group by lang, metric, v union all select 2, null, null, metric, v, count(*) from z group by metric, v),
+c as (select *, sum(n) over (partition by level, lang, source, metric order by v) as cum, sum(n) over (partition by level, lang, source, metric) as total from l),
+q as (select level, lang, source, metric, max(total) as total, min(v) filter (where cum >= ceil(total * 0.25)) as q1, min(v) filter (where cum >= ceil(total * 0.75)) as q3 from c group by all),
+x as (select *, q3 + greatest(case metric when 'symbol_rate' then 60 when 'stutter_rate' then 150 else 600 end, 4 * (q3 - q1)) as most from q),
+o as (select a.lang, a.source, a.metric, case when a.total >= 50 then a.most when y.total >= 50 then y.most else e.most end as most from x a
+  left join x y on y.level = 1 and y.lang is not distinct from a.lang and y.metric = a.metric left join x e on e.level = 2 and e.metric = a.metric where a.level = 0),
+p as (pivot o on metric in ('symbol_rate', 'stutter_rate', 'dup_line_rate') using first(most) group by lang, source)
+select f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed,
+ not f.base_failed and not (coalesce(f.symbol_rate > p.symbol_rate, false) or coalesce(f.stutter_rate > p.stutter_rate, false) or coalesce(f.dup_line_rate > p.dup_line_rate, false)) as kept,
+ cast(f.symbol_rate as bigint) as symbol_rate, cast(f.stutter_rate as bigint) as stutter_rate, cast(f.dup_line_rate as bigint) as dup_line_rate,
+ cast(p.symbol_rate as bigint) as max_symbol_rate, cast(p.stutter_rate as bigint) as max_stutter_rate, cast(p.dup_line_rate as bigint) as max_dup_line_rate
+from f left join p on p.lang is not distinct from f.lang and p.source is not distinct from f.source
+"""

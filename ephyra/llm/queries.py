@@ -37,4 +37,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_embedding_dedup": embedding_dedup.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
