@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -28,15 +29,58 @@ def pairwise_gaps(mask: DataFrame, most: int) -> DataFrame:
     return m.withColumnRenamed("label", "a").join(other, ["cy", "cx"]).where((F.col("a") < F.col("b")) & (d2 <= most * most)).groupBy("a", "b").agg(F.sqrt(F.min(d2)).alias("gap"))
 
 
+#: Values of two blocks of traces that a task holds at most, and rois of a block.
+BLOCK_VALUES, BLOCK_ROIS = 8_000_000, 512
+
+
 def lagged_correlations(traces: DataFrame, pairs: DataFrame | None = None, max_lag: int = 0) -> DataFrame:
-    """(a, b, corr): the largest correlation of two rois' traces (roi, trial, frame, v) over lags within trials. pairs (a, b): only
-    these, else all that share a frame."""
-    a = traces.select(F.col("roi").alias("a"), "trial", "frame", F.col("v").alias("va"))
-    lags = F.explode(F.array(*[F.lit(i) for i in range(-max_lag, max_lag + 1)]))
-    b = traces.withColumn("lag", lags).select(F.col("roi").alias("b"), "trial", (F.col("frame") + F.col("lag")).alias("frame"), "lag", F.col("v").alias("vb"))
-    both = a.join(pairs, "a").join(b, ["b", "trial", "frame"]) if pairs is not None else a.join(b, ["trial", "frame"]).where("a < b")
-    per = both.groupBy("a", "b", "lag").agg(F.corr("va", "vb").alias("c"))
-    return per.groupBy("a", "b").agg(F.max(F.when(~F.isnan("c"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c"))))).alias("corr"))
+    """(a, b, corr), a < b: the largest correlation of two rois' traces (roi, trial, frame, v) over lags within trials, NULL if flat.
+
+    pairs (a, b): only these, by joins. Else all pairs that share a frame, as a matrix: rois are cut in blocks, each pair of blocks
+    is one task of a few matrix products, so that frames are copied once for each block and never once for each pair."""
+    if pairs is not None:
+        a = traces.select(F.col("roi").alias("a"), "trial", "frame", F.col("v").alias("va"))
+        lags = F.explode(F.array(*[F.lit(i) for i in range(-max_lag, max_lag + 1)]))
+        b = traces.withColumn("lag", lags).select(F.col("roi").alias("b"), "trial", (F.col("frame") + F.col("lag")).alias("frame"), "lag", F.col("v").alias("vb"))
+        per = a.join(pairs, "a").join(b, ["b", "trial", "frame"]).groupBy("a", "b", "lag").agg(F.corr("va", "vb").alias("c"))
+        return per.groupBy("a", "b").agg(F.max(F.when(~F.isnan("c"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c"))))).alias("corr"))
+    t = saved(traces.select(F.col("roi").cast("long"), F.col("trial").cast("long"), F.col("frame").cast("long"), F.col("v").cast("double")).where("v is not null"))
+    rois, times = t.select("roi").distinct().count(), t.select("trial", "frame").distinct().count()
+    blocks = max(1, -(-rois // max(16, min(BLOCK_ROIS, BLOCK_VALUES // max(1, 2 * times)))))
+    own = F.pmod(F.xxhash64("roi"), F.lit(blocks)).cast("int")
+    cut = t.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    got = cut.groupBy("lo", "hi").applyInPandas(lambda key, pdf: _block_correlations(key, pdf, max_lag), "a long, b long, corr double")
+    return got
+
+
+def _block_correlations(key, pdf: pd.DataFrame, max_lag: int) -> pd.DataFrame:
+    roi, r = np.unique(pdf["roi"].to_numpy(), return_inverse=True)
+    trial, tr = np.unique(pdf["trial"].to_numpy(), return_inverse=True)
+    frame = pdf["frame"].to_numpy()
+    low, width = frame.min(), int(frame.max() - frame.min()) + 1 + 2 * max_lag
+    x = np.full((len(roi), len(trial), width), np.nan)
+    x[r, tr, frame - low + max_lag] = pdf["v"].to_numpy()
+    there = ~np.isnan(x)
+    x = np.where(there, x - np.nanmean(np.where(there, x, np.nan), axis=(1, 2), keepdims=True), 0.0)
+    lo = np.zeros(len(roi), bool)
+    lo[r[(pdf["own"] == key[0]).to_numpy()]] = True
+    hi = ~lo if key[0] != key[1] else lo
+    flat = lambda v, k: np.roll(v, k, axis=2).reshape(len(v), -1)  # noqa: E731  margins keep a lag inside its trial
+    a, ma = flat(x[lo], 0), flat(there[lo], 0).astype(float)
+    best, met = np.full((lo.sum(), hi.sum()), -np.inf), np.zeros((lo.sum(), hi.sum()), bool)
+    for lag in range(-max_lag, max_lag + 1):
+        b, mb = flat(x[hi], lag), flat(there[hi], lag).astype(float)
+        n, sa, sb, ab = ma @ mb.T, a @ mb.T, ma @ b.T, a @ b.T
+        aa, bb = (a * a) @ mb.T, ma @ (b * b).T
+        va, vb = n * aa - sa * sa, n * bb - sb * sb
+        ok = (va > 1e-9 * n * aa) & (vb > 1e-9 * n * bb) & (n > 1)
+        c = np.clip((n * ab - sa * sb) / np.sqrt(np.where(ok, va * vb, 1)), -1, 1)
+        best = np.where(ok, np.maximum(best, c), best)
+        met |= n > 0
+    ra, rb = np.broadcast_arrays(roi[lo][:, None], roi[hi][None])
+    keep = met & ((ra < rb) if key[0] == key[1] else True)
+    c = best[keep]
+    return pd.DataFrame({"a": np.minimum(ra, rb)[keep], "b": np.maximum(ra, rb)[keep], "corr": np.where(np.isfinite(c), c, np.nan)}).astype({"corr": object}).where(lambda d: d.notna(), None)
 
 
 def array_correlations(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
