@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.window import Window
 
-from .common import field, materialize, table, with_arrow
+from .common import field, table, with_arrow
 from .crf import CRF, Tagger, batches, words_of
 
 #: The model is fitted on so many training documents of each language at most (the first by a hash of doc_id), so many words
@@ -15,21 +16,26 @@ FIT_DOCS, FIT_WORDS, FIT_LANGS, FIT_CHARS = 250, 240, 64, 20_000
 
 
 def sample(docs: DataFrame, label: str, per_label: int, labels: int) -> list:
-    """[(label, text)] of training rows: per_label rows of each of the most frequent labels, by the order of a hash. A hash
-    bound from the label's count comes first, so that no label's rows meet in one task."""
+    """[(label, text)] of training rows: per_label rows of each of the most frequent labels, by the order of a hash."""
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.col(label).alias("y"), "text")
-    few = chosen(rows, per_label, labels).withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "text"))).where(F.col("r") <= per_label)
-    return sorted((r["y"], r["text"]) for r in few.select("y", F.substring("text", 1, FIT_CHARS).alias("text")).collect())
+    got = chosen(rows, per_label, labels).select("y", "h", F.substring("text", 1, FIT_CHARS).alias("text")).collect()
+    out, seen = [], Counter()
+    for y, h, text in sorted(tuple(r) for r in got):
+        seen[y] += 1
+        if seen[y] <= per_label:
+            out.append((y, text))
+    return sorted(out)
 
 
 def chosen(rows: DataFrame, per_label: int, labels: int) -> DataFrame:
-    """About 3 * per_label rows of each of the most frequent labels `y`: those whose hash `h` of doc_id is least."""
+    """Rows of each of the most frequent labels `y` whose hash `h` of doc_id is least: per_label and some more, by a bound on the
+    hash that follows from the label's count. No label's rows are ordered or gathered for it."""
     top = (1 << 62) - 1
     rows = rows.where("y is not null").withColumn("h", F.xxhash64("doc_id", F.lit(11)).bitwiseAND(F.lit(top)))
     counts = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(labels).collect()
     keep = F.lit(False)
     for r in counts:
-        keep = keep | ((F.col("y") == F.lit(r["y"])) & (F.col("h") <= F.lit(int(min(1.0, (3 * per_label + 50) / r["n"]) * top))))
+        keep = keep | ((F.col("y") == F.lit(r["y"])) & (F.col("h") <= F.lit(int(min(1.0, (per_label + 4 * per_label**0.5 + 20) / r["n"]) * top))))
     return rows.where(keep)
 
 

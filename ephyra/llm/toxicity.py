@@ -142,8 +142,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50)
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS) -> ToxicModel:
     """A model from documents (doc_id, text) and labels (doc_id, toxic 0/1), fitted on the driver on a bounded sample. The
-    sample's ids come from the labels, so that only their texts move; about 3 * per_label for each label are broadcast."""
-    ids = materialize(chosen(labels.select("doc_id", F.col("toxic").alias("y")).where("y in (0, 1)").distinct(), per_label, 2).select("doc_id", F.col("y").alias("toxic")))
+    sample's ids come from the labels, so that only their texts move; about 2 * per_label for each label are broadcast."""
+    ids = materialize(chosen(labels.select("doc_id", F.col("toxic").alias("y")).where("y in (0, 1)").distinct(), 2 * per_label, 2).select("doc_id", F.col("y").alias("toxic")))
     return ToxicModel.fit(sample(materialize(join_checked(docs.select("doc_id", "text"), ids, "doc_id", "inner")), "toxic", per_label, 2))
 
 
