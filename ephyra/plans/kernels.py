@@ -107,3 +107,124 @@ def pupil_frames(spark, d):
     f = table(spark, d, "embeddings").select("vec_id", "label", "embedding").mapInPandas(run, "label int, index long, height int, width int, pixels binary")
     m = frames.classify(frames.pupils(f, ["label"], frames.PupilConfig(trials=40)), ["label"], "index")
     return m.select("label", "index", rounded("diameter", 3).alias("diameter"), "blink", "clipped")
+
+
+# -- workflows
+
+
+ROIS = 50
+
+
+def _session(spark, d):
+    """Embeddings as traces: 50 rois, trials of 64 frames, labels as odors, the odor from frame 32 to 48."""
+    t = table(spark, d, "embeddings").select((F.col("vec_id") % ROIS).alias("roi"), F.floor(F.col("vec_id") / ROIS).alias("trial"), (F.floor(F.col("vec_id") / ROIS) % 5).cast("int").alias("odor"), F.posexplode("embedding").alias("frame", "v"))
+    return t.withColumns({"v": F.col("v").cast("double"), "on": F.lit(32), "off": F.lit(48), "state": F.when(F.col("trial") % 2 == 0, "pre").otherwise("post")})
+
+
+CALLS = """with f as (select vec_id % 50 as roi, vec_id // 50 as trial, (vec_id // 50) % 5 as odor, i - 1 as frame, embedding[i]::double as v from embeddings, range(1, 65) r(i)),
+ w as (select roi, odor, trial, avg(v) filter (where frame >= 32 and frame < 44) as r, avg(v) filter (where frame >= 20 and frame < 32) as p2, avg(v) filter (where frame >= 8 and frame < 20) as p1 from f group by all),
+ m as (select roi, median(p2 - p1) as c from w group by roi), s as (select w.roi, m.c, median(abs(p2 - p1 - m.c)) * 1.4826 as s from w join m on w.roi = m.roi group by all),
+ z as (select w.roi, cast(odor as int) as odor, trial, (r - p2 - c) / nullif(s, 0) as z, (p2 - p1 - c) / nullif(s, 0) as control from w join s on w.roi = s.roi)"""
+
+
+@query(CALLS + " select roi, odor, trial, round(z, 6) as z, round(control, 6) as control from z")
+def trial_calls(spark, d):
+    from . import reports
+
+    return reports.trial_calls(_session(spark, d), 12).select("roi", "odor", "trial", rounded("z").alias("z"), rounded("control").alias("control"))
+
+
+@query(CALLS + """ select trial, odor, count(z) as n, count(*) filter (where z >= 2) as n_excited, count(*) filter (where z <= -2) as n_suppressed, round(avg(case when control >= 2 then 1.0 when control is not null then 0 end), 6) as chance_excited,
+ round(avg(case when control <= -2 then 1.0 when control is not null then 0 end), 6) as chance_suppressed from z group by all""")
+def trial_counts(spark, d):
+    from . import reports
+
+    return reports.trial_counts(reports.trial_calls(_session(spark, d), 12)).withColumns({c: rounded(c) for c in ("chance_excited", "chance_suppressed")})
+
+
+@query()
+def responders(spark, d):
+    from . import reports
+
+    return reports.responders(_session(spark, d), min_trials=2).select("block", "roi", "odor", "n", rounded("t").alias("t"), rounded("p", 8).alias("p"), "rejected", "sign")
+
+
+@query()
+def qc_report(spark, d):
+    from . import reports
+
+    r = reports.qc_report(_session(spark, d), 12)
+    return r.select(*[rounded(c, 4).alias(c) if t == "double" else F.col(c) for c, t in r.dtypes])
+
+
+@query("""with f as (select vec_id % 50 as roi, (vec_id // 50) % 5 as odor, vec_id // 50 as trial, i - 1 as frame, embedding[i]::double as v from embeddings, range(1, 65) r(i)), t as (select roi, odor, trial, avg(v) filter (where frame >= 32 and frame < 48) - avg(v) filter (where frame < 32) as d from f group by all)
+ select roi, """ + ", ".join(f'round(avg(d) filter (where odor = {i}), 6) as "{i}"' for i in range(5)) + " from t group by roi")
+def by_odor(spark, d):
+    from . import reports
+
+    x = response.trial_deltas(_session(spark, d), ["roi", "odor", "trial"], "frame", "v", "on", "off")
+    return reports.by_odor(x, "delta", list(range(5))).select("roi", *[rounded(F.col(f"`{i}`")).alias(str(i)) for i in range(5)])
+
+
+MOVIE = """with m as (select l_suppkey % 7 as trial, cast(l_orderkey % 40 as int) as t, cast(l_partkey % 9 as int) as y, cast(l_suppkey % 8 as int) as x, avg(l_quantity) as v from lineitem group by all), tr as (select range as trial, cast(case when range = 3 then 38 else 20 end as int) as "on", range % 2 as odor from range(7)),
+ c as (select m.*, tr."on", odor from m join tr using (trial) where tr."on" <= 30 and t >= tr."on" - 10 and t < tr."on" + 10),
+ s as (select *, avg(case when t < "on" then v end) over w as a, stddev_samp(case when t < "on" then v end) over w as b from c window w as (partition by trial, y, x)),
+ z as (select odor, t - "on" + 10 as t, y, x, case when b is null or b <= 1e-6 then 0 else (v - a) / b end as z from s)"""
+
+
+def _movies(spark, d):
+    from . import reports
+
+    li = table(spark, d, "lineitem")
+    f = li.groupBy((F.col("l_suppkey") % 7).alias("trial"), (F.col("l_orderkey") % 40).cast("int").alias("t"), (F.col("l_partkey") % 9).cast("int").alias("y"), (F.col("l_suppkey") % 8).cast("int").alias("x")).agg(F.avg("l_quantity").alias("v"))
+    trials = spark.range(7).select(F.col("id").alias("trial"), F.when(F.col("id") == 3, 38).otherwise(20).alias("on"), (F.col("id") % 2).alias("odor"))
+    return f, trials, reports.group_z_movies(f, trials, 10, 20, ["odor"])
+
+
+@query(MOVIE + " select odor, t, y, x, round(avg(z), 6) as z, count(z) as n from z group by all")
+def group_zscore_movies(spark, d):
+    return _movies(spark, d)[2][0].select("odor", "t", "y", "x", rounded("z").alias("z"), "n")
+
+
+@query()
+def group_correlation_maps(spark, d):
+    from . import reports
+
+    return reports.correlation_maps(_movies(spark, d)[2][0], ["odor"]).withColumn("corr", rounded("corr", 4))
+
+
+@query()
+def session_images(spark, d):
+    from . import reports
+
+    f, trials, _ = _movies(spark, d)
+    s = reports.summary_session(f, trials.withColumn("off", F.col("on") + 10))
+    return s.select("y", "x", *[rounded(c, 4).alias(c) for c in ("mean", "max", "corr", "activity")])
+
+
+@query()
+def reference_images(spark, d):
+    from . import reports
+
+    r = reports.reference_images(_movies(spark, d)[0], 24)
+    return r.select("trial", "y", "x", rounded("structure", 4).alias("structure"), rounded("corr", 4).alias("corr"))
+
+
+@query("""with i as (select cast(l_partkey % 30 as int) as y, cast(l_suppkey % 9 as int) as x, avg(l_quantity) as v from lineitem group by all), q as (select quantile_cont(v, 0.01) as lo, quantile_cont(v, 0.995) as hi from i),
+ g as (select y, x, 255 * greatest(0, least(1, coalesce((v - lo) / nullif(hi - lo, 0), 0))) as g, y // 6 * 4 + x // 3 + 1 as label from i, q)
+ select y, x, cast(round_even(0.5 * g + 0.5 * case (label - 1) % 3 when 0 then 255 else 0 end, 0) as int) as r, cast(round_even(0.5 * g + 0.5 * case (label - 1) % 3 when 1 then 255 else 0 end, 0) as int) as g, cast(round_even(0.5 * g + 0.5 * case (label - 1) % 3 when 2 then 255 else 0 end, 0) as int) as b from g""")
+def mask_overlay(spark, d):
+    from . import reports
+
+    im = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 30).cast("int").alias("y"), (F.col("l_suppkey") % 9).cast("int").alias("x")).agg(F.avg("l_quantity").alias("v"))
+    mask = im.select("y", "x", (F.floor(F.col("y") / 6) * 4 + F.floor(F.col("x") / 3) + 1).alias("label"))
+    return reports.overlay(im, mask, [(255, 0, 0), (0, 255, 0), (0, 0, 255)])
+
+
+@query("""select c_custkey as roi, case when c_custkey % 11 = 0 then 999 when c_custkey % 13 = 0 then -1 when c_custkey % 3 = 0 then c_nationkey else -1 end as "group" from customer""")
+def roi_groups(spark, d):
+    from . import reports
+
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("roi"), F.col("c_nationkey").alias("group"))
+    manual = c.where("roi % 11 = 0 or roi % 13 = 0").select("roi", F.when(F.col("roi") % 11 == 0, 999).alias("group"))
+    return reports.roi_groups(c.select("roi"), c.where("roi % 3 = 0"), manual)
