@@ -139,3 +139,14 @@ def rolling_median(series: DataFrame, key: list[str], order: list[str], value: s
     n = F.size("_l")
     mid = (F.get("_l", F.floor((n - 1) / 2).cast("int")) + F.get("_l", F.floor(n / 2).cast("int"))) / 2
     return s.withColumn(name, F.when(n > 0, mid)).drop("_l")
+
+
+def header(samples: DataFrame, key: list[str], at: str, rate_hz: float) -> DataFrame:
+    """(key, n_samples, duration_s) of channels kept as (key, at, value)."""
+    return samples.groupBy(*key).agg((F.max(at) + 1).alias("n_samples")).withColumn("duration_s", F.col("n_samples") / rate_hz)
+
+
+def channel(samples: DataFrame, name: str, column: int | None = None) -> DataFrame:
+    """One channel's samples, or one column of a channel of arrays."""
+    s = samples.where(F.col("channel") == name)
+    return s if column is None else s.withColumn("value", F.get("value", column))

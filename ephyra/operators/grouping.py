@@ -171,3 +171,28 @@ def assigned(groups: DataFrame, edits: DataFrame) -> DataFrame:
 
 def next_group(groups: DataFrame) -> DataFrame:
     return groups.agg((F.coalesce(F.max("group"), F.lit(0)) + 1).alias("next"))
+
+
+def roi_at(masks: DataFrame, points: DataFrame) -> DataFrame:
+    """points (y, x) with the roi there (kind, label), a soma before a process."""
+    m = masks.where("label > 0").groupBy("y", "x").agg(F.min_by(F.struct("kind", "label"), F.when(F.col("kind") == "soma", 0).otherwise(1)).alias("_r"))
+    return points.join(m, ["y", "x"], "left").select("y", "x", "_r.kind", "_r.label")
+
+
+def live_edits(edits: DataFrame) -> DataFrame:
+    """An edit log (edit_id, action, target, ...) less what later rows with action 'delete' undo."""
+    return edits.where("action <> 'delete'").join(edits.where("action = 'delete'").select(F.col("target").alias("edit_id")), "edit_id", "left_anti")
+
+
+def curated(mask: DataFrame, edits: DataFrame) -> DataFrame:
+    """A mask without the rois that live edits drop, numbered anew from 1."""
+    gone = live_edits(edits).where("action = 'drop'").select(F.col("target").cast("int").alias("label"))
+    left = mask.where("label > 0").join(gone, "label", "left_anti")
+    numbers = left.select("label").distinct().withColumn("_new", F.row_number().over(Window.orderBy("label")))
+    return left.join(numbers, "label").select("y", "x", F.col("_new").alias("label"))
+
+
+def mask_summary(mask: DataFrame, height: int, width: int) -> DataFrame:
+    """(n_rois, median_diameter, coverage) of a mask."""
+    areas = mask.where("label > 0").groupBy("label").agg(F.count(F.lit(1)).alias("a"))
+    return areas.agg(F.count(F.lit(1)).alias("n_rois"), F.median(2 * F.sqrt(F.col("a") / F.pi())).alias("median_diameter"), (100 * F.sum("a") / (height * width)).alias("coverage"))

@@ -179,3 +179,73 @@ class Extraction:
 
     def add(self, traces: DataFrame) -> None:
         traces.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trial_id").parquet(self.path)
+
+
+# -- bundles, rounds on disk, tuning
+
+
+def write_bundle(path: str, kind: str, tables: dict[str, DataFrame], version: int = 2, **config) -> None:
+    """Tables below a path with a kind and a version that readers insist on, and their configuration."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    rows = [("file_type", kind), ("schema_version", str(version)), ("tables", ",".join(sorted(tables))), *[(f"config.{k}", repr(v)) for k, v in sorted(config.items())]]
+    spark.createDataFrame(rows, "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/bundle")
+
+
+def read_bundle(spark: SparkSession, path: str, kind: str) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    meta = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/bundle").collect()}
+    if meta.get("file_type") != kind:
+        raise ValueError(f"{path} is {meta.get('file_type')!r}, not {kind!r}")
+    return {n: spark.read.parquet(f"{path}/{n}") for n in meta["tables"].split(",")}, meta
+
+
+def replayed(stored: DataFrame, replay: DataFrame) -> DataFrame:
+    """The stored mask, if replaying its edits gives it; else an error."""
+    if not stored.exceptAll(replay).isEmpty() or not replay.exceptAll(stored).isEmpty():
+        raise ValueError("the stored mask isn't what its edits give")
+    return stored
+
+
+def listed(spark: SparkSession, folder: str) -> list[tuple[str, float]]:
+    """(path, time of change in seconds) of what a folder holds, by name; nothing if it isn't there. Any store that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    return sorted((str(s.getPath()), s.getModificationTime() / 1000) for s in fs.listStatus(p))
+
+
+def find_rounds(spark: SparkSession, folder: str, stage: str = "stage1") -> list[str]:
+    """Complete rounds of a stage (those with meta and a mask), by name; mask bundles aren't rounds."""
+    out = []
+    for path, _ in listed(spark, folder):
+        inside = {p.rpartition("/")[2] for p, _ in listed(spark, path)}
+        if f"_{stage}_" in path and "_masks_" not in path and {"meta", "masks"} <= inside:
+            out.append(path)
+    return out
+
+
+def latest_mask(spark: SparkSession, folder: str) -> DataFrame:
+    """The mask of the round or bundle that changed last."""
+    found = [(m, p) for p, m in listed(spark, folder) if any(x.endswith("/masks") for x, _ in listed(spark, p))]
+    if not found:
+        raise ValueError(f"no masks in {folder}")
+    return spark.read.parquet(max(found)[1] + "/masks")
+
+
+def tuning(spark: SparkSession, path: str) -> dict:
+    """Settings of a JSON file, its region as four whole numbers."""
+    got = spark.read.option("multiLine", True).json(path).first().asDict(recursive=True)
+    if got.get("roi") is not None:
+        if len(got["roi"]) != 4:
+            raise ValueError("a region has four numbers")
+        got["roi"] = tuple(int(x) for x in got["roi"])
+    return got
+
+
+def signed(signature: str, stored: str | None) -> None:
+    """An error if a checkpoint was made of other inputs."""
+    if stored is not None and stored != signature:
+        raise ValueError("the checkpoint belongs to other inputs")

@@ -221,3 +221,12 @@ def test_gaps_and_array_correlations(spark):
     wave = [(k, 0, i, math.sin(i + k)) for k in (0, 1) for i in range(40)]
     t = spark.createDataFrame(wave, "roi long, trial int, frame int, v double")
     assert grouping.lagged_correlations(t).first()["corr"] < 0.99 and grouping.lagged_correlations(t, max_lag=1).first()["corr"] > 0.999
+
+
+def test_drawn_process_on_a_flat_ridge():
+    got = segment.draw_process(np.full((31, 31), 0.5), [(15, 10), (15, 20)], np.ones((31, 31), bool))
+    assert got.sum() == 11 and got[15, 10:21].all()
+    auto = np.zeros((31, 31), np.int32)
+    auto[3, 3:9] = 1
+    both = segment.replay_drawings(np.full((31, 31), 0.5), auto, lines=[[(15, 10), (15, 20)]])
+    assert both.max() == 2 and segment.replay_drawings(np.full((31, 31), 0.5), auto, deleted=[1]).max() == 0

@@ -153,3 +153,37 @@ def test_streams(spark, tmp_path, sf):
     us = live.select("user_id", columns.micros("ts").alias("us"))
     batch = clock.debounced(e.select("user_id", columns.micros("ts").alias("us")).distinct(), ["user_id"], "us", 7_200_000_000)
     assert sorted(map(tuple, run(events.debounced(us, "user_id", "us", 7_200_000_000), "deb").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_bundles_rounds_and_tuning(spark, tmp_path):
+    m = spark.createDataFrame([(0, 0, 1), (0, 1, 2)], "y int, x int, label int")
+    store.write_bundle(str(tmp_path / "b_masks_1"), "masks", {"masks": m}, block=5)
+    t, meta = store.read_bundle(spark, str(tmp_path / "b_masks_1"), "masks")
+    assert t["masks"].count() == 2 and meta["config.block"] == "5"
+    with pytest.raises(ValueError, match="not 'other'"):
+        store.read_bundle(spark, str(tmp_path / "b_masks_1"), "other")
+    store.write_session(str(tmp_path / "g_stage1_2026"), {"masks": m.where("label = 1")})
+    assert [p.rpartition("/")[2] for p in store.find_rounds(spark, str(tmp_path))] == ["g_stage1_2026"]
+    assert store.latest_mask(spark, str(tmp_path)).count() == 1 and store.listed(spark, str(tmp_path / "none")) == []
+    assert store.replayed(m, m).count() == 2
+    with pytest.raises(ValueError):
+        store.replayed(m, m.where("label = 1"))
+    (tmp_path / "t.json").write_text('{"roi": [1, 2, 3, 4], "bright": 97.0}')
+    assert store.tuning(spark, str(tmp_path / "t.json"))["roi"] == (1, 2, 3, 4)
+    store.signed("a", None)
+    with pytest.raises(ValueError):
+        store.signed("a", "b")
+
+
+def test_edits_points_and_channels(spark):
+    from ephyra.operators import grouping
+
+    m = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (0, 2, 3)], "y int, x int, label int")
+    e = spark.createDataFrame([(1, "drop", 1), (2, "drop", 2), (3, "delete", 2)], "edit_id int, action string, target int")
+    assert sorted((r["x"], r["label"]) for r in grouping.curated(m, e).collect()) == [(1, 1), (2, 2)]
+    both = m.withColumn("kind", F.lit("process")).unionByName(spark.createDataFrame([(0, 1, 9, "soma")], "y int, x int, label int, kind string"))
+    at = {r["x"]: (r["kind"], r["label"]) for r in grouping.roi_at(both, spark.createDataFrame([(0, 1), (0, 2), (5, 5)], "y int, x int")).collect()}
+    assert at == {1: ("soma", 9), 2: ("process", 3), 5: (None, None)}
+    assert grouping.mask_summary(m, 3, 3).first()["n_rois"] == 3
+    s = spark.createDataFrame([("a", i, [float(i), 1.0]) for i in range(4)], "channel string, at long, value array<double>")
+    assert clock.header(s, ["channel"], "at", 2.0).first()["duration_s"] == 2.0 and clock.channel(s, "a", 1).where("value = 1.0").count() == 4
