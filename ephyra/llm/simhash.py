@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.window import Window
 
-from .common import field, materialize, table, with_arrow, without
+from .common import field, materialize, table, with_arrow
 from .components import connected_components
 
 #: Buckets of up to so many different fingerprints are joined with themselves; larger ones go by midpoints.
@@ -32,11 +33,46 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     ones, count = np.zeros(64, np.int64), n
     for k in range(0, n, 1 << 16):  # bounded memory on very long texts
         part = [hash_of(flat[i:j], seed) for i, j in zip(starts[k : min(n, k + (1 << 16))].tolist(), last[k : k + (1 << 16)].tolist())]
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int32)
+        ones += bit_sums(np.array(part, "<u8").reshape(-1, 1))
     return int(np.packbits(ones * 2 > count, bitorder="little").view("<u8")[0])
 
 
+def bit_sums(words: np.ndarray) -> np.ndarray:
+    """How many rows of (n, k) 64-bit words have each of the 64 k bits set. Sums of 255 rows fit a byte."""
+    out = np.zeros(words.shape[1] * 64, np.int64)
+    raw = np.ascontiguousarray(words, "<u8").view(np.uint8)
+    for i in range(0, len(raw), 255):
+        out += np.unpackbits(raw[i : i + 255], axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return out
+
+
+def shingle_set(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """The different shingle hashes of a text, in order."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    flat = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))
+    n, hash_of = max(1, len(words) - width + 1), xxhash.xxh64_intdigest
+    last = ends[min(width, len(words)) - 1 :] - 1
+    return np.unique(np.fromiter((hash_of(flat[i:j], seed) for i, j in zip(starts[:n].tolist(), last.tolist())), np.uint64, n))
+
+
+def long_fingerprint(text: str | None, width: int, words: int, seed: int = 42) -> bytes:
+    """64 * words bits over the set of a text's shingles; each hash gives as many bits by mixing. No words: all zero."""
+    h = shingle_set(text, width, seed)
+    if not len(h):
+        return bytes(8 * words)
+    ones = np.zeros(64 * words, np.int64)
+    for lo in range(0, len(h), 1 << 14):
+        m = h[lo : lo + (1 << 14), None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        m = (m ^ (m >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        m = (m ^ (m >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        ones += bit_sums(m ^ (m >> np.uint64(31)))
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
+
+
 def with_fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, column: str = "_fp") -> DataFrame:
     """docs with the fingerprint as a signed long."""
 
@@ -88,18 +124,129 @@ def simhash_components(docs: DataFrame, width: int = 3, seed: int = 42, distance
     return marked.join(named, "_fp").select("doc_id", "_fp", "component_id")
 
 
-def dedup(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each near-duplicate group: the one with the least doc_id. Of several rows with that id and
-    fingerprint the one whose columns sort first stays, nulls before all."""
+def plan(n: int, bits: int, distance: int, miss: float) -> tuple[int, int]:
+    """(bits of a block, blocks): blocks of log2(n) bits and two more keep chance buckets small; so many blocks that a pair at the
+    distance itself shares none of them with the probability `miss` (closer pairs: far less)."""
+    size = min(48, max(12, math.ceil(math.log2(max(n, 2))) + 2))
+    return size, math.ceil(math.log(miss) / math.log(1 - (1 - distance / bits) ** size))
+
+
+def block_keys(raw: np.ndarray, size: int, blocks: int, seed: int) -> np.ndarray:
+    """(n, blocks) keys of fingerprints (n, bytes): each block is a fixed choice of bits, below its number (from bit 48 on)."""
+    rng = np.random.default_rng([seed, size])
+    bits = np.unpackbits(raw, axis=1, bitorder="little")
+    out = np.empty((len(raw), blocks), np.int64)
+    weight = 1 << np.arange(size, dtype=np.int64)
+    for t in range(blocks):
+        out[:, t] = (bits[:, rng.choice(bits.shape[1], size, replace=False)] @ weight) | (t << 48)
+    return out
+
+
+def allowed_distance(similarity: float, bits: int, slack: float = 1.0) -> int:
+    """Differing bits of two sets of shingles with this Jaccard similarity: the angle between them over pi, and `slack` standard
+    deviations of the estimate."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + slack * math.sqrt(bits * share * (1 - share)))
+
+
+def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 8, miss: float = 0.02, seed: int = 42, chunk: int = 512) -> DataFrame:
+    """(doc_id, _fp, component_id) for each row of docs, linked where shingle sets have about `similarity` or more.
+
+    At 0.8 some 15 of 100 fingerprint bits differ, so no split in disjoint blocks that are worth a join leaves one equal for sure.
+    The fingerprint therefore has 64 * `words` bits and blocks are many choices of its bits (see plan); pairs that meet in a block
+    are verified by the Hamming distance of the whole fingerprints. Equal fingerprints are one node. Blocks that a node
+    has alone go before fingerprints move. A bucket is cut in chunks, and each pair of chunks is compared as one bit matrix that yields a
+    spanning edge for each member at most, so that hot buckets spread over tasks and no pair of them is left out or written.
+    Null and empty texts are copies of one another. An empty table gives no rows.
+    """
+    bits = 64 * words
+    distance = allowed_distance(similarity, bits)
+    marked = materialize(with_arrow(docs.select("doc_id", "text"), lambda: lambda texts: [[long_fingerprint(t, width, words, seed) for t in texts]], ["text"], [field("_fp", T.BinaryType())]).select("doc_id", "_fp"))
+    nodes = materialize(marked.groupBy("_fp").agg(F.min("doc_id").alias("rep")).withColumn("nid", F.monotonically_increasing_id()))
+    size, blocks = plan(nodes.count(), bits, distance, miss)
+    schema = T.StructType([field("nid", T.LongType()), field("keys", T.ArrayType(T.LongType()))])
+
+    def keyed(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                keys = block_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1), size, blocks, seed)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, blocks, dtype=np.int32)), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), flat], names=schema.names)
+
+    members = nodes.select("nid", "_fp").mapInArrow(keyed, schema).select("nid", F.explode("keys").alias("key"))
+    crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = members.join(crowded, "key").join(nodes.select("nid", "_fp"), "nid")
+    cut = met.withColumn("chunks", F.ceil(F.col("m") / chunk).cast("int")).withColumn("own", F.pmod(F.xxhash64("nid"), "chunks").cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    keys = ["key", "lo", "hi"]
+    sorted_blocks = cut.select(*keys, "nid", "_fp").repartition(*keys).sortWithinPartitions(*keys)
+    edge = T.StructType([field("a", T.LongType()), field("b", T.LongType())])
+
+    def compare(batches):
+        rest = None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 8 * chunk):
+                part = pa.Table.from_batches([batch.slice(lo, 8 * chunk)])
+                rest = part if rest is None else pa.concat_tables([rest, part])
+                ks = np.stack([rest.column(i).to_numpy() for i in range(3)], 1)
+                new = np.flatnonzero((ks[1:] != ks[:-1]).any(axis=1)) + 1
+                if len(new):
+                    yield from _spanning(rest.slice(0, int(new[-1])), distance)
+                    rest = rest.slice(int(new[-1]))
+        if rest is not None and rest.num_rows:
+            yield from _spanning(rest, distance)
+
+    edges = materialize(sorted_blocks.mapInArrow(compare, edge).distinct())
+    comp = connected_components(edges)
+    rooted = nodes.join(comp.withColumnRenamed("node", "nid"), "nid", "left").select("_fp", "rep", F.coalesce("root", "nid").alias("root"))
+    named = materialize(rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("_fp", "component_id"))
+    return marked.join(named, "_fp").select("doc_id", "_fp", "component_id")
+
+
+def _spanning(part: pa.Table, distance: int):
+    """Edges of a spanning forest of the close pairs in each group of equal keys. Most groups are pairs: those are compared at once."""
+    ks = np.stack([part.column(i).to_numpy() for i in range(3)], 1)
+    edges = np.concatenate([[0], np.flatnonzero((ks[1:] != ks[:-1]).any(axis=1)) + 1, [len(ks)]])
+    nid = part.column(3).to_numpy()
+    fp = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint64).reshape(len(ks), -1)
+    size = np.diff(edges)
+    two = edges[:-1][size == 2]
+    close = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1) <= distance
+    out_a, out_b = [nid[two[close]]], [nid[two[close] + 1]]
+    for lo, n in zip(edges[:-1][size > 2].tolist(), size[size > 2].tolist()):
+        f, ids = fp[lo : lo + n], nid[lo : lo + n]
+        left = np.arange(n)
+        while len(left) > 1:  # grow the component of the first that is left; the rest stays for the next
+            front, seen, left = left[:1], [], left[1:]
+            while len(front) and len(left):
+                hit, via = np.zeros(len(left), bool), np.zeros(len(left), np.int64)
+                for i in front.tolist():
+                    d = np.bitwise_count(f[left] ^ f[i]).sum(axis=1) <= distance
+                    via[d & ~hit] = i
+                    hit |= d
+                if hit.any():
+                    seen.append((left[hit], via[hit]))
+                front, left = left[hit], left[~hit]
+            for a, b in seen:
+                out_a.append(ids[a])
+                out_b.append(ids[b])
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 8, seed: int = 42, **options) -> DataFrame:
+    """docs with one row of each near-duplicate group (similar_components): one with the least doc_id. Of several rows with that id
+    the one stays whose columns sort first, nulls before all."""
     cols = docs.columns
-    keep = materialize(simhash_components(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "_fp").agg(F.count(F.lit(1)).alias("_copies")))
-    # a group may hold its least id under several fingerprints: the least of those stays
-    ids = keep.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_forms"), F.sum("_copies").alias("_rows"))
-    rows = with_fingerprints(docs, options.get("width", 3), options.get("seed", 42)).alias("d")
-    kept = rows.join(keep.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._fp") == F.col("k._fp"))).select("d.*", "k._copies")
-    once = kept.where("_copies = 1").select(*[F.col(f"`{c}`") for c in cols])
-    again = kept.where("_copies > 1").groupBy("doc_id", "_fp").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("_r")).select("_r.*")
-    return once.unionByName(again)
+    found = similar_components(docs, width, similarity, words, seed=seed, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = materialize(found.groupBy("component_id").agg(F.min("_fp").alias("__kept_fp__"), F.count(F.lit(1)).alias("__copies__")))
+    rows = with_arrow(docs, lambda: lambda texts: [[long_fingerprint(t, width, words, seed) for t in texts]], ["text"], [field("__fp__", T.BinaryType())]).alias("d")
+    kept = rows.join(keep.withColumnRenamed("component_id", "__component__").alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.__component__")) & (F.col("d.__fp__") == F.col("k.__kept_fp__"))).select("d.*", "__copies__")
+    pick = lambda df: df.select(*[F.col(f"`{c}`") for c in cols])
+    again = kept.where("__copies__ > 1").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("__row__")).select("__row__.*")
+    return pick(kept.where("__copies__ = 1")).unionByName(again)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -198,8 +198,72 @@ def test_links_connect_chains_of_close_fingerprints(spark, bucket):
 
 def test_dedup_keeps_one_row_of_each_group(spark):
     kept = simhash.dedup(docs(spark)).collect()
-    comp = components([(i, brute_fingerprint(t)) for i, t, *_ in rows()])
-    assert len(kept) == len(set(comp.values()))
-    assert Counter(r["doc_id"] for r in kept) == Counter(set(comp.values()))
+    comp = {r["component_id"] for r in simhash.similar_components(docs(spark)).collect()}
+    assert Counter(r["doc_id"] for r in kept) == Counter(comp)
     assert simhash.dedup(empty(spark)).count() == 0
     assert kept[0].__fields__ == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def jaccard(a, b, width=5):
+    s = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.lower().split(), b.lower().split())]
+    return len(s[0] & s[1]) / len(s[0] | s[1])
+
+
+def near_copies(seed=0):
+    """Groups of texts, each a source with copies of which a few words are others, and texts that only share a passage."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 7)))
+    data, passage = [], " ".join(word() for _ in range(60))
+    for g in range(40):
+        w = [word() for _ in range(r.randrange(80, 500))]
+        data.append((1000 * g, " ".join(w)))
+        for c in range(1, 4):
+            v = list(w)
+            for _ in range(len(w) // 60):
+                v[r.randrange(len(v))] = word()
+            data.append((1000 * g + c, " ".join(v)))
+    data += [(100_000 + i, passage + " " + " ".join(word() for _ in range(150))) for i in range(40)]
+    return data
+
+
+def test_similar_components_catch_near_copies_and_leave_others(spark):
+    data = near_copies()
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(spark.createDataFrame(data, "doc_id long, text string"), chunk=16).collect()}
+    text = dict(data)
+    close = [(a, b) for a in text for b in text if a < b and a // 1000 == b // 1000 and a < 100_000 and jaccard(text[a], text[b]) >= 0.82]
+    assert len(close) > 100 and sum(got[a] == got[b] for a, b in close) >= 0.98 * len(close)
+    assert all(got[i] == i for i in text if i >= 100_000)
+    assert all(got[i] // 1000 == i // 1000 for i in text if i < 100_000)
+
+
+def test_similar_components_on_awkward_rows(spark):
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.similar_components(docs(spark)).collect())
+    assert sum(got.values()) == len(rows())
+    assert all(got[i, 0] == 1 for i in (0, 1, 2, 3)) and all(c == 10 for i, c in got if i is not None and 10 <= i < 100)
+    assert simhash.similar_components(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [2, 64])
+def test_spanning_edges_equal_all_pairs(chunk):
+    import numpy as np
+    import pyarrow as pa
+
+    g = np.random.default_rng(1)
+    centre = g.integers(0, 256, (5, 64), dtype=np.uint8)
+    fps = np.concatenate([c ^ np.packbits(g.random((12, 512)) < 0.06, axis=1) for c in centre])
+    n = len(fps)
+    key = np.zeros(n, np.int64)
+    part = pa.table([pa.array(key)] * 3 + [pa.array(np.arange(n)), pa.array([f.tobytes() for f in fps], pa.binary())], names=list("abcde"))
+    root = list(range(n))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for batch in simhash._spanning(part, 70):
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            assert np.bitwise_count(fps[a] ^ fps[b]).sum() <= 70
+            root[find(a)] = find(b)
+    want = list(range(n))
+    top = lambda x: x if want[x] == x else top(want[x])
+    for a in range(n):
+        for b in range(n):
+            if np.bitwise_count(fps[a] ^ fps[b]).sum() <= 70:
+                want[top(a)] = top(b)
+    assert all((find(a) == find(b)) == (top(a) == top(b)) for a in range(n) for b in range(n))
