@@ -30,20 +30,20 @@ def scored(docs: DataFrame, model: Model, model_rows: int = MODEL_ROWS) -> DataF
 
 
 def limits(trusted: DataFrame) -> DataFrame:
-    """(_lang, most): from mergeable sketches of the scores of trusted texts; the row with `_all` is that of all languages."""
+    """(__lang__, __most__): from mergeable sketches of the scores of trusted texts; the row with `_all` is that of all languages."""
     sk = materialize(sketch(trusted.where("n_bytes > 0").withColumn("millinats", F.col("millinats")), ["lang"], ["millinats"]))
     probs = {"mid": 0.5, "high": 0.9}
-    most = (F.col("mid") + F.greatest(F.lit(50), SPREADS * (F.col("high") - F.col("mid")))).alias("most")
-    own = quantiles(sk, ["lang"], probs).where(F.col("total") >= LEAST).select(F.col("lang").alias("_lang"), most, F.lit(False).alias("_all"))
-    every = quantiles(sk.groupBy("metric", "v").agg(F.sum("n").alias("n")), [], probs).select(F.lit(None).cast("string").alias("_lang"), most, F.lit(True).alias("_all"))
+    most = (F.col("mid") + F.greatest(F.lit(50), SPREADS * (F.col("high") - F.col("mid")))).alias("__most__")
+    own = quantiles(sk, ["lang"], probs).where(F.col("total") >= LEAST).select(F.col("lang").alias("__lang__"), most, F.lit(False).alias("_all"))
+    every = quantiles(sk.groupBy("metric", "v").agg(F.sum("n").alias("n")), [], probs).select(F.lit(None).cast("string").alias("__lang__"), most, F.lit(True).alias("_all"))
     return own.unionByName(every)
 
 
 def verdicts(rows: DataFrame, lim: DataFrame) -> DataFrame:
     every = lim.where("_all").first()
-    fallback = F.lit(every["most"] if every else None).cast("long")
+    fallback = F.lit(every["__most__"] if every else None).cast("long")
     own = lim.where(~F.col("_all")).drop("_all")
-    judged = join_checked(rows, own, F.col("lang").eqNullSafe(F.col("_lang"))).withColumn("max_millinats", F.coalesce("most", fallback)).drop("_lang", "most")
+    judged = join_checked(rows, own, F.col("lang").eqNullSafe(F.col("__lang__"))).withColumn("max_millinats", F.coalesce("__most__", fallback)).drop("__lang__", "__most__")
     slack = F.lit(1.0) + F.when(F.col("n_bytes") > 0, F.lit(SHORT) / F.sqrt("n_bytes")).otherwise(0)
     return judged.withColumn("kept", F.coalesce(F.col("millinats") <= F.col("max_millinats") * slack, F.lit(True)))
 
@@ -59,7 +59,7 @@ def quality_classifier(docs: DataFrame, trusted: DataFrame, model_rows: int = MO
     """
     model = Model.train(trusted)
     lim = materialize(limits(scored(trusted.select("text", "lang"), model, model_rows)))
-    return verdicts(scored(without(docs, "max_millinats", "kept", "_lang", "most"), model, model_rows), lim)
+    return verdicts(scored(without(docs, "max_millinats", "kept", "__lang__", "__most__"), model, model_rows), lim)
 
 
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -112,18 +112,18 @@ def thresholds(stats: DataFrame) -> DataFrame:
         on = lambda p: [F.col(k).eqNullSafe(F.col(f"{p}{k}")) for k in keys] or [F.lit(True)]
         out = out.join(a, on(f"_{i}"), "left").join(b, on(f"_t{i}"), "left") if keys else out.crossJoin(a).crossJoin(b)
     pick = lambda m: F.when(F.col("_0_total") >= LEAST_GROUP, F.col(f"_0_{m}")).when(F.col("_1_total") >= LEAST_GROUP, F.col(f"_1_{m}")).otherwise(F.col(f"_2_{m}"))
-    return out.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[pick(m).alias(f"max_{m}") for m in RATES])
+    return out.select(F.col("lang").alias("__lang__"), F.col("source").alias("__source__"), *[pick(m).alias(f"max_{m}") for m in RATES])
 
 
 def verdicts(stats: DataFrame) -> DataFrame:
     """stats with the limits of each row's group and kept. The table of limits has one row for each language and
     source; it is broadcast only behind a count of it."""
     limits = materialize(thresholds(stats.select("lang", "source", "base_failed", *RATES)))
-    judged = join_checked(stats, limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")))
+    judged = join_checked(stats, limits, F.col("lang").eqNullSafe(F.col("__lang__")) & F.col("source").eqNullSafe(F.col("__source__")))
     over: Column = F.lit(False)
     for m in RATES:
         over = over | F.coalesce(F.col(m) > F.col(f"max_{m}"), F.lit(False))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~over).drop("_lang", "_source", "_n_lines", "_n_stutter")
+    return judged.withColumn("kept", ~F.col("base_failed") & ~over).drop("__lang__", "__source__", "_n_lines", "_n_stutter")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     the base rules. A rate equal to the limit is kept. Repeated rows are judged each. An empty table gives no rows.
     Columns of docs with the names of this operator's are replaced.
     """
-    return verdicts(with_stats(without(docs, "kept", *[f"max_{m}" for m in RATES])))
+    return verdicts(with_stats(without(docs, "kept", *[f"max_{m}" for m in RATES], "__lang__", "__source__")))
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -68,12 +68,12 @@ def histogram_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0.002,
     A null or empty text has size 1 and the checksum of no bytes. An empty table gives no rows. Clashing columns of
     docs (size, text_crc32, shard, slot) are replaced.
     """
-    docs = without(docs, "size", "text_crc32", "shard", "slot", "_k", "_t")
+    docs = without(docs, "size", "text_crc32", "shard", "slot", *(f"__{n}__" for n in ("k", "t", "part", "n", "off", "rank")))
     text = F.coalesce("text", F.lit(""))
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    keyed = docs.select(*rest, "text", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("_k"), F.xxhash64(*[c.cast("string") for c in rest], F.octet_length(text)).alias("_t"))
+    keyed = docs.select(*rest, "text", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("__k__"), F.xxhash64(*[c.cast("string") for c in rest], F.octet_length(text)).alias("__t__"))
     rows = materialize(keyed.drop("text"))
-    k, t, size = F.col("_k"), F.col("_t"), F.col("size")
+    k, t, size = F.col("__k__"), F.col("__t__"), F.col("size")
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     slack = int(total * tolerance / shards)
     targets = [total * i // shards for i in range(1, shards)]
@@ -95,7 +95,7 @@ def histogram_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0.002,
     for key, key2 in cuts:
         shard = shard + F.when((k > F.lit(key)) | ((k == F.lit(key)) & (t >= F.lit(key2))), 1).otherwise(0)
     parts = max(64, -(-n // (shards * bucket_rows)))
-    placed = (keyed if with_text else rows).withColumn("shard", shard.cast("int")).withColumn("_part", F.pmod(F.shiftright(t, 7), F.lit(parts)).cast("int"))
-    offsets = placed.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.sum("_n").over(Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "_part", F.coalesce("_off", F.lit(0)).alias("_off"))
-    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("shard", "_part").orderBy("_k", "_t")) - 1)
-    return ranked.join(offsets, ["shard", "_part"]).withColumn("slot", F.col("_off") + F.col("_rank")).drop("_part", "_k", "_t", "_off", "_rank")
+    placed = (keyed if with_text else rows).withColumn("shard", shard.cast("int")).withColumn("__part__", F.pmod(F.shiftright(t, 7), F.lit(parts)).cast("int"))
+    offsets = placed.groupBy("shard", "__part__").agg(F.count(F.lit(1)).alias("__n__")).withColumn("__off__", F.sum("__n__").over(Window.partitionBy("shard").orderBy("__part__").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "__part__", F.coalesce("__off__", F.lit(0)).alias("__off__"))
+    ranked = placed.withColumn("__rank__", F.row_number().over(Window.partitionBy("shard", "__part__").orderBy("__k__", "__t__")) - 1)
+    return ranked.join(offsets, ["shard", "__part__"]).withColumn("slot", F.col("__off__") + F.col("__rank__")).drop("__part__", "__k__", "__t__", "__off__", "__rank__")

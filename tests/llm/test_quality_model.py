@@ -111,8 +111,9 @@ def test_pipeline(spark, tmp_path):
     assert sum(labels[i] == 0 for i in left if i in labels) <= 0.02 * len(left)
     pieces = pipeline.run(spark, sf)
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == left
-    odd = docs(spark).withColumn("_fp", F.lit(1))
+    odd = docs(spark).withColumns({c: F.lit(f"own {c}") for c in ("_fp", "kept", "n_words", "component_id", "_lang", "most", "nll", "__copies__", "score")})
     for _, stage in pipeline.STAGES[:-1]:
-        assert stage(spark, odd, sf).columns == odd.columns
+        got = stage(spark, odd, sf)
+        assert got.columns == odd.columns and got.where("kept <> 'own kept' or _fp <> 'own _fp' or most <> 'own most'").count() == 0
         assert stage(spark, empty(spark), sf).count() == 0
     assert SCHEMA
