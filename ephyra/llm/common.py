@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 #: A table is broadcast only if a count of the written table shows at most so many rows.
 BROADCAST_ROWS = 200_000
+#: Rows that a worker turns to Python objects at a time.
+SLICE_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +72,8 @@ def with_arrow(df: DataFrame, fn, inputs: list, fields: list[T.StructField]) ->
 
     def run(batches):
         f = fn()
-        for batch in batches:
+        for whole, lo in ((b, i) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
+            batch = whole.slice(lo, SLICE_ROWS)
             cols = f(*[batch.column(n + i).to_pylist() for i in range(len(inputs))])
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=schema.names)
 

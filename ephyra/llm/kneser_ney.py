@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import field, materialize, with_arrow, without
+from .common import SLICE_ROWS, field, materialize, with_arrow, without
 
 #: An n-gram of `ORDER` bytes is packed in a long, the last byte lowest. Texts begin after ORDER - 1 zero bytes.
 ORDER = 5
@@ -17,7 +17,7 @@ UNIT = 10_000
 #: A model of up to so many entries (12 bytes each) goes to every worker; a larger one stays sharded and is joined.
 MODEL_ROWS = 6_000_000
 #: Bytes of text that a worker takes at a time, and different n-grams after which it hands on its counts.
-SLICE, FLUSH = 1 << 21, 3_000_000
+SLICE, FLUSH = 1 << 19, 1_000_000
 
 
 def grams(texts) -> list:
@@ -60,8 +60,8 @@ def counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         keys, ns = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            for (new, _), _ in grams(batch.column(0).to_pylist()):
+        for batch, lo in ((b, i) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
+            for (new, _), _ in grams(batch.column(0).slice(lo, SLICE_ROWS).to_pylist()):
                 u, c = np.unique(new, return_counts=True)
                 both, inv = np.unique(np.concatenate([keys, u]), return_inverse=True)
                 ns = np.bincount(inv, weights=np.concatenate([ns, c]), minlength=len(both)).astype(np.int64)
@@ -163,8 +163,8 @@ class Model:
         return with_arrow(docs, start, ["text"], [field("n_bytes", T.LongType()), field("nll", T.LongType())])
 
     def _by_joins(self, docs: DataFrame) -> DataFrame:
-        docs = materialize(without(docs, "_rid").withColumn("_rid", F.monotonically_increasing_id()))
-        schema = T.StructType([field("_rid", T.LongType()), field("key", T.LongType()), field("n", T.LongType())])
+        docs = materialize(without(docs, "__rid__").withColumn("__rid__", F.monotonically_increasing_id()))
+        schema = T.StructType([field("__rid__", T.LongType()), field("key", T.LongType()), field("n", T.LongType())])
 
         def run(batches):
             for batch in batches:
@@ -174,10 +174,10 @@ class Model:
                         u, c = np.unique(part, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), rid[i])), pa.array(u), pa.array(c.astype(np.int64))], names=schema.names)
 
-        used = materialize(docs.select("_rid", "text").mapInArrow(run, schema))
+        used = materialize(docs.select("__rid__", "text").mapInArrow(run, schema))
         q = materialize(self.looked_up(used.select("key").distinct()))
-        sums = used.join(q, "key").groupBy("_rid").agg(F.sum("n").alias("n_bytes"), (-F.sum(F.col("n") * F.col("q"))).alias("nll"))
-        return docs.join(sums, "_rid", "left").fillna(0, ["n_bytes", "nll"]).drop("_rid")
+        sums = used.join(q, "key").groupBy("__rid__").agg(F.sum("n").alias("n_bytes"), (-F.sum(F.col("n") * F.col("q"))).alias("nll"))
+        return docs.join(sums, "__rid__", "left").fillna(0, ["n_bytes", "nll"]).drop("__rid__")
 
 
 class Lookup:
