@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import field, materialize, table, without
 
-#: Different pre-tokens whose ids a worker remembers; beyond that it keeps the first ones, which are the common ones.
-MEMO, COMMON = 400_000, 100_000
+#: Different pre-tokens whose ids a worker remembers; beyond that it keeps the first ones, which are the common ones. Slots that
+#: tell a new pre-token from one that came before.
+MEMO, COMMON, SEEN = 400_000, 100_000, 1 << 22
 #: Outside these characters a text goes through the tokenizer whole.
 PLAIN = re.compile(r"[^\x00-\u024f\u2000-\u206f]")
 
@@ -41,10 +42,14 @@ def encoder(path: str, end_id: int = 0):
     class Memo(dict):
         def __missing__(self, piece):
             ids = array(kind, [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(shown))]).tobytes()
-            self[piece] = ids
+            # most new matches never come again: a match is kept from its second time on (a slot shared by chance: its first)
+            slot = hash(piece) & SEEN - 1
+            if seen[slot]:
+                self[piece] = ids
+            seen[slot] = 1
             return ids
 
-    memo = Memo()
+    memo, seen = Memo(), bytearray(SEEN)
 
     def encode(texts):
         for text in texts:
@@ -57,6 +62,7 @@ def encoder(path: str, end_id: int = 0):
                     common = dict(islice(memo.items(), COMMON))
                     memo.clear()
                     memo.update(common)
+                    seen[:] = bytes(SEEN)
 
     return encode, np.dtype(wide)
 
