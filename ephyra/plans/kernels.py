@@ -16,8 +16,8 @@ from .queries import _deltas, _traces, query, table
 @query()
 def t_pvalue_bh(spark, d):
     """p values of the t statistics, and which pass the step-up at 5 %."""
-    t = response.t_statistics(_deltas(spark, d), ["user_id", "event_type"]).withColumn("p", t_pvalue("t", "n"))
-    return response.bh_reject(t, "p").select("user_id", "event_type", rounded("p", 8).alias("p"), "rejected")
+    t = response.t_statistics(_deltas(spark, d), ["user_id"]).withColumn("p", t_pvalue("t", "n"))
+    return response.bh_reject(t, "p").select("user_id", rounded("p", 8).alias("p"), "rejected")
 
 
 @query()

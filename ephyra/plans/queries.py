@@ -402,10 +402,10 @@ def _deltas(spark, d):
     return response.trial_deltas(_trials(spark, d), ["user_id", "event_type", "trial"], "h", "value", "on", "off")
 
 
-@query(DELTA + " select user_id, event_type, count(resp - base) as n, round(avg(resp - base), 6) as mean, round(avg(resp - base) * sqrt(count(resp - base)) / nullif(stddev_samp(resp - base), 0), 6) as t from a group by all having count(resp - base) >= 5")
+@query(DELTA + " select user_id, count(resp - base) as n, round(avg(resp - base), 6) as mean, round(avg(resp - base) * sqrt(count(resp - base)) / nullif(stddev_samp(resp - base), 0), 6) as t from a group by all having count(resp - base) >= 5")
 def trial_deltas(spark, d):
-    """The flagship: baseline against response in each trial, and a one-sample t statistic for each roi and odor."""
-    return response.t_statistics(_deltas(spark, d), ["user_id", "event_type"]).select("user_id", "event_type", "n", rounded("mean").alias("mean"), rounded("t").alias("t"))
+    """The flagship: baseline against response in each trial of each odor, and a one-sample t statistic for each roi."""
+    return response.t_statistics(_deltas(spark, d), ["user_id"]).select("user_id", "n", rounded("mean").alias("mean"), rounded("t").alias("t"))
 
 
 @query(DELTA + " select user_id, event_type, cast(trial as date) as trial, round((resp - base) / case when abs(base) > 1e-9 then abs(base) end, 6) as dff, n_base, n_resp from a")
