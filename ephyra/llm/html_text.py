@@ -27,6 +27,9 @@ NOT_TEXT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo|promotion|sidebar|side|nav|navbar|navigation|menu|menubar|breadcrumbs?|footer|foot|masthead|site-header|page-header|contentinfo|complementary|search|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|paywall|social|share|sharing|related|recommended|comments?|commentlist|disqus|respond|replies|widget|toolbar|pagination|pager|tags?|hidden)(?=$|[\s_-])",
     re.I,
 )
+#: Names that only tell how a page is laid out around its article, such as "no-sidebar"; and styles that show nothing.
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:no|with|without|has|left|right|two|one)[_-]\S+", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z""", re.S)
 ATTR = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
@@ -77,7 +80,8 @@ def parse(html: str) -> tuple[Node, list[Node]]:
         if not dropped and m[3] and tag not in ("html", "body", "article", "main"):
             for key, a, b, c in ATTR.findall(m[3]):
                 key = key.lower()
-                if key in ("class", "id", "role") and NOT_TEXT.search(a or b or c) or key == "aria-hidden" and (a or b or c) == "true":
+                value = a or b or c
+                if key in ("class", "id", "role") and NOT_TEXT.search(LAYOUT.sub(" ", value)) or key == "aria-hidden" and value == "true" or key == "style" and UNSEEN.search(value):
                     dropped = True
                     break
             if re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", m[3])):

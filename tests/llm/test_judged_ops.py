@@ -78,6 +78,12 @@ def test_html_odd_pages(html, text):
     assert html_text.main_text(html) == text
 
 
+def test_html_layout_names_and_unseen_parts():
+    body = "<p>Some words, of an article, that are long enough to be one, surely, and then some more.</p>"
+    page = f'<div class="wrap no-sidebar"><div class="has-comments"><h1>T</h1>{body}<p style="display: none">gone</p></div><div id="comment-3"><p>I, too, say, so, and, so.</p></div></div>'
+    assert html_text.main_text(page).startswith("T Some words") and "gone" not in html_text.main_text(page) and "say" not in html_text.main_text(page)
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("Text", F.lit(1))
     got = html_text.extract(pages).collect()
