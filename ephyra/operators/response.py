@@ -9,10 +9,29 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import finite, safe_ratio
+from ..sources.shared import saved
 
 MAD = 1.4826
 
 
+def running(df: DataFrame, keys: list[str], value: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """df (one row for each value of a key) with running sums in order of the value, the row's own included, and totals:
+    for each name in sums (name: column) the columns name and name_total.
+
+    Rows are dealt by ranges of the value, summed within their range, and a range adds what the ranges before it hold: the only
+    table that is ordered in one place has a row for each range, so no task sees all rows even if there is one key."""
+    order = F.col(value).desc() if descending else F.col(value)
+    dealt = saved(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    ranges = dealt.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
+    w = Window.partitionBy(*keys)
+    before = w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_range_id"), *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums], *[F.sum(f"_s_{n}").over(w).alias(f"{n}_total") for n in sums])
+    own = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    got = dealt.withColumns({f"_o_{n}": F.sum(c).over(own) for n, c in sums.items()})
+    on = [F.col("_range") == F.col("_range_id"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]]
+    return got.join(ranges, on).withColumns({n: F.col(f"_o_{n}") + F.col(f"_b_{n}") for n in sums}).drop("_range", "_range_id", *[f"_k_{k}" for k in keys], *[f"{x}{n}" for n in sums for x in ("_o_", "_b_")])
+
+
 def trial_deltas(traces: DataFrame, keys: list[str], frame, value: str, on, off, baseline_frames: int | None = None) -> DataFrame:
     """(keys, base, resp, delta, n_base, n_resp): the mean over [on, off) less the mean before on (its last baseline_frames)."""
     t, on, off = F.col(frame), F.col(on), F.col(off)
@@ -41,14 +60,10 @@ def t_statistics(deltas: DataFrame, keys: list[str], value: str = "delta", min_t
 
 
 def bh_reject(tests: DataFrame, p: str, q: float = 0.05, keys: list[str] = ()) -> DataFrame:
-    """tests with rejected and cutoff: the largest p that is at most its rank / number * q. NULL p values take no part.
-
-    A rank over all tests needs an order over all: the order is found per distinct p, whose counts are summed before the
-    shuffle, so that the one ordered pass is over distinct values and not rows."""
+    """tests with rejected and cutoff: the largest p that is at most its rank / number * q. NULL p values take no part. Ranks are
+    running counts of distinct p values (see running), so tests of one family may be any number."""
     v = tests.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys)
-    rank = F.sum("_n").over(w.orderBy(p).rowsBetween(Window.unboundedPreceding, 0))
-    ok = v.withColumn("_rank", rank).withColumn("_m", F.sum("_n").over(w)).where(F.col(p) <= F.col("_rank") / F.col("_m") * q)
+    ok = running(v, list(keys), p, {"_rank": "_n"}).where(F.col(p) <= F.col("_rank") / F.col("_rank_total") * q)
     cut = ok.groupBy(*keys).agg(F.max(p).alias("cutoff"))
     got = tests.join(cut, list(keys), "left") if keys else tests.join(F.broadcast(cut), F.lit(True), "left")
     return got.withColumn("rejected", F.coalesce(F.col(p) <= F.col("cutoff"), F.lit(False)))
@@ -73,13 +88,10 @@ def empirical_threshold(z: DataFrame, keys: list[str], value: str, is_null: str,
     it, times the number of real ones, over the number of real ones as extreme, is within the target. Counts are per distinct
     value, so ties need no care and one ordered pass does both."""
     v = z.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(F.col(is_null).cast("long")).alias("_null"), F.sum((~F.col(is_null)).cast("long")).alias("_real"))
-    w = Window.partitionBy(*keys)
     out = None
-    for name, order, pick in (("excited", F.col(value).desc(), F.min), ("suppressed", F.col(value), F.max)):
-        beyond = w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        upto = w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        c = v.withColumns({"_b": F.coalesce(F.sum("_null").over(beyond), F.lit(0)), "_r": F.sum("_real").over(upto), "_nn": F.sum("_null").over(w), "_nr": F.sum("_real").over(w)})
-        good = (F.col("_real") > 0) & (F.col("_b") * F.col("_nr") <= target_fdr * F.col("_r") * F.col("_nn"))
+    for name, down, pick in (("excited", True, F.min), ("suppressed", False, F.max)):
+        c = running(v, list(keys), value, {"_b": "_null", "_r": "_real"}, down)
+        good = (F.col("_real") > 0) & ((F.col("_b") - F.col("_null")) * F.col("_r_total") <= target_fdr * F.col("_r") * F.col("_b_total"))
         got = c.groupBy(*keys).agg(pick(F.when(good, F.col(value))).alias(name))
         out = got if out is None else (out.join(got, list(keys)) if keys else out.crossJoin(got))
     return out
