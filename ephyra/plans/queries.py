@@ -682,6 +682,6 @@ def role_dictionary(spark, d):
     return stage0.dictionary(p.withColumn("control", F.col("p_size") < 3), p.where("p_size > 25")).select("odor_id", "odor_name", "role")
 
 
-@query("select l_returnflag, sum(case when l_linestatus = 'F' then 1 else 0 end) as \"F\", sum(case when l_linestatus = 'O' then 1 else 0 end) as \"O\" from lineitem group by l_returnflag")
+@query("select l_returnflag, count(*) filter (where l_linestatus = 'F') as \"F\", count(*) filter (where l_linestatus = 'O') as \"O\" from lineitem group by l_returnflag")
 def profile_pivot(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).count().fillna(0)
