@@ -267,3 +267,12 @@ def test_spanning_edges_equal_all_pairs(chunk):
             if np.bitwise_count(fps[a] ^ fps[b]).sum() <= 70:
                 want[top(a)] = top(b)
     assert all((find(a) == find(b)) == (top(a) == top(b)) for a in range(n) for b in range(n))
+
+
+def test_sharding_runs_no_python(spark, sf):
+    import re
+
+    df = sharding.histogram_shards(spark.read.parquet(f"{sf}/documents.parquet"))
+    df.count()
+    assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
+    assert df.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
