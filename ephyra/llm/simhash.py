@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import field, materialize, table, with_arrow
+from .common import field, join_checked, materialize, table, with_arrow
 from .components import connected_components
 
 #: Buckets of up to so many different fingerprints are joined with themselves; larger ones go by midpoints.
@@ -59,9 +59,8 @@ def shingle_set(text: str | None, width: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter((hash_of(flat[i:j], seed) for i, j in zip(starts[:n].tolist(), last.tolist())), np.uint64, n))
 
 
-def long_fingerprint(text: str | None, width: int, words: int, seed: int = 42) -> bytes:
-    """64 * words bits over the set of a text's shingles; each hash gives as many bits by mixing. No words: all zero."""
-    h = shingle_set(text, width, seed)
+def set_fingerprint(h: np.ndarray, words: int) -> bytes:
+    """64 * words bits over a set of shingle hashes; each hash gives as many bits by mixing. Of an empty set: all zero."""
     if not len(h):
         return bytes(8 * words)
     ones = np.zeros(64 * words, np.int64)
@@ -73,6 +72,11 @@ def long_fingerprint(text: str | None, width: int, words: int, seed: int = 42) -
     return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
 
 
+def long_fingerprint(text: str | None, width: int, words: int, seed: int = 42) -> bytes:
+    """The fingerprint of a text's set of shingles. No words: all zero."""
+    return set_fingerprint(shingle_set(text, width, seed), words)
+
+
 def with_fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, column: str = "_fp") -> DataFrame:
     """docs with the fingerprint as a signed long."""
 
@@ -149,21 +153,53 @@ def allowed_distance(similarity: float, bits: int, slack: float = 1.0) -> int:
     return int(bits * share + slack * math.sqrt(bits * share * (1 - share)))
 
 
-def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 8, miss: float = 0.02, seed: int = 42, chunk: int = 512) -> DataFrame:
-    """(doc_id, _fp, component_id) for each row of docs, linked where shingle sets have about `similarity` or more.
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 8, miss: float = 0.02, seed: int = 42, chunk: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): docs with __rid__ (a number of the row), __set__ (digest of its shingles) and __fp__, written; and
+    (__set__, __root__) for each digest: sets are linked where their Jaccard similarity is `similarity` or more, by count.
 
     At 0.8 some 15 of 100 fingerprint bits differ, so no split in disjoint blocks that are worth a join leaves one equal for sure.
-    The fingerprint therefore has 64 * `words` bits and blocks are many choices of its bits (see plan); pairs that meet in a block
-    are verified by the Hamming distance of the whole fingerprints. Equal fingerprints are one node. Blocks that a node
-    has alone go before fingerprints move. A bucket is cut in chunks, and each pair of chunks is compared as one bit matrix that yields a
-    spanning edge for each member at most, so that hot buckets spread over tasks and no pair of them is left out or written.
+    The fingerprint therefore has 64 * `words` bits and blocks are many choices of its bits (see plan). Pairs that meet in a block
+    within the expected distance and three standard deviations are candidates; each one that is used is verified on the sets
+    themselves (see linked). Equal sets are one node. First each block gives the closest candidates that connect what its
+    candidates connect. Where some of those fail, a second pass over the nodes concerned gives every candidate between sets that
+    are still apart, so that no pair is left out because a closer one failed.
     Null and empty texts are copies of one another. An empty table gives no rows.
     """
     bits = 64 * words
-    distance = allowed_distance(similarity, bits)
-    marked = materialize(with_arrow(docs.select("doc_id", "text"), lambda: lambda texts: [[long_fingerprint(t, width, words, seed) for t in texts]], ["text"], [field("_fp", T.BinaryType())]).select("doc_id", "_fp"))
-    nodes = materialize(marked.groupBy("_fp").agg(F.min("doc_id").alias("rep")).withColumn("nid", F.monotonically_increasing_id()))
-    size, blocks = plan(nodes.count(), bits, distance, miss)
+    distance = allowed_distance(similarity, bits, 3.0)
+
+    def marks():
+        def of(texts):
+            sets = [shingle_set(t, width, seed) for t in texts]
+            return [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [set_fingerprint(h, words) for h in sets]
+
+        return of
+
+    marked = with_arrow(docs, marks, ["text"], [field("__set__", T.BinaryType()), field("__fp__", T.BinaryType())])
+    rows = materialize(marked.withColumn("__rid__", F.monotonically_increasing_id()))
+    nodes = materialize(rows.groupBy("__set__", F.col("__fp__").alias("_fp")).agg(F.min("__rid__").alias("nid")))
+    size, blocks = plan(nodes.count(), bits, allowed_distance(similarity, bits), miss)
+    first = candidates(nodes.select("nid", F.col("nid").alias("grp"), "_fp"), distance, size, blocks, seed, chunk, _spanning)
+    met = connected_components(first)
+    chosen = join_checked(rows.select(F.col("__rid__").alias("node"), "text"), met, "node", "inner").select("node", "root", "text")
+    sets = materialize(with_arrow(chosen, lambda: lambda texts: [[shingle_set(t, width, seed).tobytes() for t in texts]], ["text"], [field("s", T.BinaryType())]).drop("text"))
+    true, tried = linked(first, sets, similarity, None)
+    comp = connected_components(true)
+    now = materialize(met.withColumnRenamed("root", "met").join(comp, "node", "left").select("node", "met", F.coalesce("root", "node").alias("grp")))
+    apart = now.join(now.groupBy("met").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("met"), "met", "left_semi")
+    some = materialize(nodes.join(apart.select(F.col("node").alias("nid"), "grp"), "nid").select("nid", "grp", "_fp"))
+    if not some.isEmpty():
+        rest = candidates(some, distance, size, blocks, seed, chunk, _crossing)
+        true, _ = linked(materialize(rest.join(tried, ["a", "b"], "left_anti")), sets, similarity, true)
+        comp = connected_components(true)
+    groups = nodes.join(comp.withColumnRenamed("node", "nid"), "nid", "left").select("__set__", F.coalesce("root", "nid").alias("__root__"))
+    return rows, materialize(groups)
+
+
+def candidates(nodes: DataFrame, distance: int, size: int, blocks: int, seed: int, chunk: int, pick) -> DataFrame:
+    """(a, b, d), a < b: pairs of nodes (nid, grp, _fp) that share a block and differ at d <= distance bits, as `pick` chooses them
+    in each bucket. Blocks that a node has alone go before fingerprints move. A bucket is cut in chunks, and each pair of chunks
+    is compared by itself, so that hot buckets spread over tasks."""
     schema = T.StructType([field("nid", T.LongType()), field("keys", T.ArrayType(T.LongType()))])
 
     def keyed(batches):
@@ -176,12 +212,12 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
 
     members = nodes.select("nid", "_fp").mapInArrow(keyed, schema).select("nid", F.explode("keys").alias("key"))
     crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = members.join(crowded, "key").join(nodes.select("nid", "_fp"), "nid")
+    met = members.join(crowded, "key").join(nodes, "nid")
     cut = met.withColumn("chunks", F.ceil(F.col("m") / chunk).cast("int")).withColumn("own", F.pmod(F.xxhash64("nid"), "chunks").cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
     keys = ["key", "lo", "hi"]
-    sorted_blocks = cut.select(*keys, "nid", "_fp").repartition(*keys).sortWithinPartitions(*keys)
-    edge = T.StructType([field("a", T.LongType()), field("b", T.LongType())])
+    sorted_blocks = cut.select(*keys, "nid", "_fp", "grp").repartition(*keys).sortWithinPartitions(*keys)
+    edge = T.StructType([field("a", T.LongType()), field("b", T.LongType()), field("d", T.LongType())])
 
     def compare(batches):
         rest = None
@@ -192,58 +228,137 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
                 ks = np.stack([rest.column(i).to_numpy() for i in range(3)], 1)
                 new = np.flatnonzero((ks[1:] != ks[:-1]).any(axis=1)) + 1
                 if len(new):
-                    yield from _spanning(rest.slice(0, int(new[-1])), distance)
+                    yield from pick(rest.slice(0, int(new[-1])), distance)
                     rest = rest.slice(int(new[-1]))
         if rest is not None and rest.num_rows:
-            yield from _spanning(rest, distance)
+            yield from pick(rest, distance)
+
+    return materialize(sorted_blocks.mapInArrow(compare, edge).distinct())
+
+
+def linked(pairs: DataFrame, sets: DataFrame, similarity: float, known: DataFrame | None, nearest: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(links, tried): pairs (a, b) whose sets (node, s) have a Jaccard similarity of `similarity` or more, with those known before,
+    enough to connect whatever pairs connect; and all pairs that were verified.
+
+    A pair whose ends are connected already needs no look. In each of the first `nearest` rounds every node takes its closest
+    candidate of another component, so that a large group moves few sets; what is left then is verified whole."""
+    true, tried, left, turn = known, None, pairs, 0
+    while not left.isEmpty():
+        close = left
+        if turn < nearest:
+            ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("n"), "d", "a", "b"), F.struct(F.col("b").alias("n"), "d", "a", "b"))).alias("e")).select("e.*")
+            close = ends.groupBy("n").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
+        close = materialize(close.select("a", "b"))
+        x = join_checked(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), close, "a", "inner").select("a", "b", "x")
+        y = join_checked(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), close, "b", "inner").select("a", "b", "y")
+        good = x.join(y, ["a", "b"]).mapInArrow(_alike(similarity), T.StructType([field("a", T.LongType()), field("b", T.LongType())]))
+        true = materialize(good if true is None else true.unionByName(good))
+        tried = close if tried is None else tried.unionByName(close)
+        comp, turn = connected_components(true), turn + 1
+        left = left.join(close, ["a", "b"], "left_anti")
+        for c in "ab":
+            left = left.join(comp.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
+        left = materialize(left.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "d"))
+    none = pairs.select("a", "b").limit(0)
+    return none if true is None else true, none if tried is None else tried
+
+
+def _alike(similarity: float):
+    """Of batches (a, b, x, y) the a and b whose sorted sets x and y of 64-bit hashes are similar, by exact count."""
+
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
+                ok.append(jaccard_reaches(x, y, similarity))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    edges = materialize(sorted_blocks.mapInArrow(compare, edge).distinct())
-    comp = connected_components(edges)
-    rooted = nodes.join(comp.withColumnRenamed("node", "nid"), "nid", "left").select("_fp", "rep", F.coalesce("root", "nid").alias("root"))
-    named = materialize(rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("_fp", "component_id"))
-    return marked.join(named, "_fp").select("doc_id", "_fp", "component_id")
+    return run
 
 
-def _spanning(part: pa.Table, distance: int):
-    """Edges of a spanning forest of the close pairs in each group of equal keys. Most groups are pairs: those are compared at once."""
+def jaccard_reaches(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two arrays of different values each have this Jaccard similarity or more."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 8, miss: float = 0.02, seed: int = 42, chunk: int = 512) -> DataFrame:
+    """(doc_id, _fp, component_id) for each row of docs, linked where shingle sets have `similarity` or more (similar_groups)."""
+    rows, groups = similar_groups(docs.select("doc_id", "text"), width, similarity, words, miss, seed, chunk)
+    marked = rows.join(groups, "__set__").select("doc_id", F.col("__fp__").alias("_fp"), "__root__")
+    return marked.join(marked.groupBy("__root__").agg(F.min("doc_id").alias("component_id")), "__root__").select("doc_id", "_fp", "component_id")
+
+
+def _buckets(part: pa.Table):
+    """(nid, fingerprints, first row and size of each group of equal keys)."""
     ks = np.stack([part.column(i).to_numpy() for i in range(3)], 1)
     edges = np.concatenate([[0], np.flatnonzero((ks[1:] != ks[:-1]).any(axis=1)) + 1, [len(ks)]])
-    nid = part.column(3).to_numpy()
-    fp = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint64).reshape(len(ks), -1)
-    size = np.diff(edges)
-    two = edges[:-1][size == 2]
-    close = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1) <= distance
-    out_a, out_b = [nid[two[close]]], [nid[two[close] + 1]]
-    for lo, n in zip(edges[:-1][size > 2].tolist(), size[size > 2].tolist()):
-        f, ids = fp[lo : lo + n], nid[lo : lo + n]
-        left = np.arange(n)
-        while len(left) > 1:  # grow the component of the first that is left; the rest stays for the next
-            front, seen, left = left[:1], [], left[1:]
-            while len(front) and len(left):
-                hit, via = np.zeros(len(left), bool), np.zeros(len(left), np.int64)
-                for i in front.tolist():
-                    d = np.bitwise_count(f[left] ^ f[i]).sum(axis=1) <= distance
-                    via[d & ~hit] = i
-                    hit |= d
-                if hit.any():
-                    seen.append((left[hit], via[hit]))
-                front, left = left[hit], left[~hit]
-            for a, b in seen:
-                out_a.append(ids[a])
-                out_b.append(ids[b])
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    return part.column(3).to_numpy(), np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint64).reshape(len(ks), -1), edges[:-1], np.diff(edges)
+
+
+def _edges(a: list, b: list, d: list):
+    a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(d).astype(np.int64)
     if len(a):
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], names=["a", "b", "d"])
+
+
+def _spanning(part: pa.Table, distance: int):
+    """The least spanning forest of the close pairs in each group of equal keys. Most groups are pairs: those are compared at once."""
+    nid, fp, start, size = _buckets(part)
+    two = start[size == 2]
+    d = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1)
+    close = d <= distance
+    out_a, out_b, out_d = [nid[two[close]]], [nid[two[close] + 1]], [d[close]]
+    for lo, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+        f, ids = fp[lo : lo + n].copy(), nid[lo : lo + n].copy()
+        near, via = np.full(n, 1 << 30, np.int64), np.zeros(n, np.int64)
+        a, b, c = [], [], []
+        for m in range(n - 1, 0, -1):  # the tree's newest member is at m, those not in it are before
+            d = np.bitwise_count(f[:m] ^ f[m]).sum(axis=1).astype(np.int64)
+            closer = d < near[:m]
+            near[:m][closer], via[:m][closer] = d[closer], ids[m]
+            j = int(near[:m].argmin())
+            if near[j] <= distance:
+                a.append(via[j])
+                b.append(ids[j])
+                c.append(near[j])
+            for v in (f, ids, near, via):
+                v[[j, m - 1]] = v[[m - 1, j]]
+        out_a.append(np.array(a, np.int64))
+        out_b.append(np.array(b, np.int64))
+        out_d.append(np.array(c, np.int64))
+    yield from _edges(out_a, out_b, out_d)
+
+
+def _crossing(part: pa.Table, distance: int):
+    """All close pairs of each group of equal keys whose ends have different grp."""
+    nid, fp, start, size = _buckets(part)
+    grp = part.column(5).to_numpy()
+    for lo, n in zip(start.tolist(), size.tolist()):
+        out_a, out_b, out_d = [], [], []
+        for i in range(lo, lo + n - 1):
+            d = np.bitwise_count(fp[i + 1 : lo + n] ^ fp[i]).sum(axis=1)
+            hit = np.flatnonzero((d <= distance) & (grp[i + 1 : lo + n] != grp[i]))
+            out_a.append(np.full(len(hit), nid[i]))
+            out_b.append(nid[i + 1 + hit])
+            out_d.append(d[hit])
+        if out_a:
+            yield from _edges(out_a, out_b, out_d)
 
 
 def dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 8, seed: int = 42, **options) -> DataFrame:
-    """docs with one row of each near-duplicate group (similar_components): one with the least doc_id. Of several rows with that id
+    """docs with one row of each near-duplicate group (similar_groups): one with the least doc_id. Of several rows with that id
     the one stays whose columns sort first, nulls before all."""
     cols = docs.columns
-    found = similar_components(docs, width, similarity, words, seed=seed, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = materialize(found.groupBy("component_id").agg(F.min("_fp").alias("__kept_fp__"), F.count(F.lit(1)).alias("__copies__")))
-    rows = with_arrow(docs, lambda: lambda texts: [[long_fingerprint(t, width, words, seed) for t in texts]], ["text"], [field("__fp__", T.BinaryType())]).alias("d")
-    kept = rows.join(keep.withColumnRenamed("component_id", "__component__").alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.__component__")) & (F.col("d.__fp__") == F.col("k.__kept_fp__"))).select("d.*", "__copies__")
+    rows, groups = similar_groups(docs, width, similarity, words, seed=seed, **options)
+    marked = rows.select("doc_id", "__set__").join(groups, "__set__")
+    least = marked.groupBy("__root__").agg(F.min("doc_id").alias("component_id"))
+    found = marked.join(least, "__root__").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = materialize(found.groupBy("component_id").agg(F.min("__set__").alias("__kept_set__"), F.count(F.lit(1)).alias("__copies__")))
+    kept = rows.alias("d").join(keep.withColumnRenamed("component_id", "__component__").alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.__component__")) & (F.col("d.__set__") == F.col("k.__kept_set__"))).select("d.*", "__copies__")
     pick = lambda df: df.select(*[F.col(f"`{c}`") for c in cols])
     again = kept.where("__copies__ > 1").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("__row__")).select("__row__.*")
     return pick(kept.where("__copies__ = 1")).unionByName(again)

@@ -243,6 +243,56 @@ def test_similar_components_on_awkward_rows(spark):
     assert simhash.similar_components(empty(spark)).count() == 0
 
 
+def at_similarity(target, groups, seed=0, n=400):
+    """Pairs of texts of n words whose five-word shingle sets have about this similarity, by words changed far apart."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    data, true = [], {}
+    for g in range(groups):
+        w = [word() for _ in range(n)]
+        v, shingles = list(w), n - 4
+        for k in range(round(shingles * (1 - target) / (1 + target) / 5)):
+            v[5 + 5 * k] = word()
+        data += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(v))]
+        true[g] = jaccard(data[-2][1], data[-1][1])
+    return data, true
+
+
+def test_similar_components_hold_the_similarity_itself(spark):
+    data, true = [], {}
+    for i, target in enumerate((0.75, 0.77, 0.785, 0.805, 0.82, 0.85)):
+        d, t = at_similarity(target, 60, seed=i)
+        data += [(1000 * i + k, x) for k, x in d]
+        true |= {1000 * i + 2 * g: s for g, s in t.items()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    joined = {k: got[k + 1] == k for k in true}
+    below, above = [joined[k] for k, s in true.items() if s < 0.8], [joined[k] for k, s in true.items() if s >= 0.8]
+    assert len(below) > 100 and not any(below)
+    assert len(above) > 100 and sum(above) >= 0.97 * len(above)
+
+
+def test_a_failed_candidate_leaves_no_pair_out(spark):
+    """A family whose members are all candidates of one another, of which only some pairs reach the similarity: as brute force."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    base = [word() for _ in range(300)]
+    data = []
+    for i in range(60):
+        v = list(base)
+        for k in r.sample(range(50), 4):
+            v[5 * k] = word()
+        data.append((i, " ".join(v)))
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_components(spark.createDataFrame(data, "doc_id long, text string"), miss=1e-6, chunk=8).collect()}
+    root = list(range(60))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in range(60):
+        for b in range(a):
+            if jaccard(data[a][1], data[b][1]) >= 0.8:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    assert 1 < len({find(a) for a in root}) < 60
+    assert all(got[a] == find(a) for a in range(60))
+
+
 @pytest.mark.parametrize("chunk", [2, 64])
 def test_spanning_edges_equal_all_pairs(chunk):
     import numpy as np
