@@ -350,18 +350,18 @@ def _crossing(part: pa.Table, distance: int):
 
 
 def dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 8, seed: int = 42, **options) -> DataFrame:
-    """docs with one row of each near-duplicate group (similar_groups): one with the least doc_id. Of several rows with that id
-    the one stays whose columns sort first, nulls before all."""
+    """docs with one row of each near-duplicate group (similar_groups), whatever its ids: one with the least doc_id, nulls last, of
+    those the set of shingles whose digest is least. Of several such rows the one stays whose columns sort first, nulls before all."""
     cols = docs.columns
     rows, groups = similar_groups(docs, width, similarity, words, seed=seed, **options)
-    marked = rows.select("doc_id", "__set__").join(groups, "__set__")
-    least = marked.groupBy("__root__").agg(F.min("doc_id").alias("component_id"))
-    found = marked.join(least, "__root__").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = materialize(found.groupBy("component_id").agg(F.min("__set__").alias("__kept_set__"), F.count(F.lit(1)).alias("__copies__")))
-    kept = rows.alias("d").join(keep.withColumnRenamed("component_id", "__component__").alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.__component__")) & (F.col("d.__set__") == F.col("k.__kept_set__"))).select("d.*", "__copies__")
+    found = rows.groupBy("__set__", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("__rid__").alias("rid")).join(groups, "__set__")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__set__", "n", "rid")).alias("k")
+    keep = materialize(found.groupBy("__root__").agg(best).select("__root__", "k.*"))
+    one = rows.join(keep.where("n = 1").select(F.col("rid").alias("__rid__")), "__rid__", "left_semi")
+    several = keep.where("n > 1").select("__root__", "__set__", F.col("doc_id").alias("__id__"))
+    held = rows.join(several, "__set__").where(F.col("doc_id").eqNullSafe(F.col("__id__")))
     pick = lambda df: df.select(*[F.col(f"`{c}`") for c in cols])
-    again = kept.where("__copies__ > 1").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("__row__")).select("__row__.*")
-    return pick(kept.where("__copies__ = 1")).unionByName(again)
+    return pick(one).unionByName(held.groupBy("__root__").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("__row__")).select("__row__.*"))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

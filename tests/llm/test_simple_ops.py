@@ -204,6 +204,16 @@ def test_dedup_keeps_one_row_of_each_group(spark):
     assert kept[0].__fields__ == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_dedup_keeps_one_row_of_each_group_whatever_its_ids(spark):
+    """Unlike texts with null ids or one repeated id all stay; their copies go, and a copy with an id goes before one without."""
+    r = random.Random(5)
+    text = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(60))
+    none, same, mixed = [text() for _ in range(5)], [text() for _ in range(3)], text()
+    data = [(None, x) for x in none] + [(None, none[0])] + [(7, x) for x in same] + [(9, same[1]), (8, same[2])] + [(None, mixed), (12, mixed), (11, mixed)]
+    kept = simhash.dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert Counter(tuple(x) for x in kept) == Counter([(None, x) for x in none] + [(7, x) for x in same] + [(11, mixed)])
+
+
 def jaccard(a, b, width=5):
     s = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.lower().split(), b.lower().split())]
     return len(s[0] & s[1]) / len(s[0] | s[1])
