@@ -11,7 +11,8 @@ from .common import field, table, with_arrow
 
 #: Element names of the HTML standard by their role here.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template svg math".split())
+RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template".split())
+FOREIGN = frozenset("svg math".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -41,8 +42,8 @@ class Node:
         self.tag, self.parent, self.items, self.dropped, self.score, self.chars, self.linked, self.block = tag, parent, [], dropped, 0.0, 0, 0, tag in BLOCK
 
 
-def parse(html: str) -> tuple[Node, list[Node]]:
-    """The tree, and its nodes in page order. Unclosed, crossed and stray tags are taken as browsers take them, nearly."""
+def parse(html: str, names: bool = True) -> tuple[Node, list[Node]]:
+    """The tree, and its nodes in page order. names: elements are dropped for words in class, id or role. Unclosed, crossed and stray tags are taken as browsers take them, nearly."""
     root = node = Node("html", None, False)
     nodes, at, size = [root], 0, len(html)
     low = None
@@ -81,7 +82,7 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             for key, a, b, c in ATTR.findall(m[3]):
                 key = key.lower()
                 value = a or b or c
-                if key in ("class", "id", "role") and NOT_TEXT.search(LAYOUT.sub(" ", value)) or key == "aria-hidden" and value == "true" or key == "style" and UNSEEN.search(value):
+                if names and key in ("class", "id", "role") and NOT_TEXT.search(LAYOUT.sub(" ", value)) or key == "aria-hidden" and value == "true" or key == "style" and UNSEEN.search(value):
                     dropped = True
                     break
             if re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", m[3])):
@@ -89,6 +90,10 @@ def parse(html: str) -> tuple[Node, list[Node]]:
         new = Node(tag, node, dropped or node.dropped)
         node.items.append(new)
         nodes.append(new)
+        if tag in FOREIGN:
+            if not m[3].endswith("/"):
+                at = _foreign_end(html, at, tag)
+            continue
         if tag in RAW:
             if low is None:
                 low = html.lower()
@@ -107,6 +112,18 @@ def parse(html: str) -> tuple[Node, list[Node]]:
     return root, nodes
 
 
+def _foreign_end(html: str, at: int, tag: str) -> int:
+    """Where a foreign element that is open at `at` ends: behind the end tag that matches, those inside it counted; without one, at once."""
+    deep, start = 1, at
+    while (m := TOKEN.search(html, at)) is not None:
+        at = m.end()
+        if m[2] and m[2].lower() == tag and (m[1] or not m[3].endswith("/")):
+            deep += -1 if m[1] else 1
+            if not deep:
+                return at
+    return start
+
+
 def _within(node: Node | None, tag: str) -> bool:
     while node is not None:
         if node.tag == tag:
@@ -115,6 +132,10 @@ def _within(node: Node | None, tag: str) -> bool:
     return False
 
 
+#: The page is read again without the rule of names where the text that it leaves is less than this share of what it then has.
+LEAST_SHARE = 0.2
+
+
 def main_text(html: str | None) -> str:
     """The article of a page.
 
@@ -123,10 +144,20 @@ def main_text(html: str | None) -> str:
     A container's points count less by the share of its text in links. The best container is the article; a sibling is
     kept if it reaches a fifth of its points, or if it is a long paragraph with few links. Then all text below those
     is taken in page order but for dropped elements. A page without any paragraph gives its body's text that isn't dropped.
+    Names in class, id and role don't drop the article: where they take most of the text, the page is read without them.
     """
     if not html:
         return ""
     root, nodes = parse(html)
+    text = _article(root, nodes)
+    if any(n.dropped and n.tag not in DROP for n in nodes):
+        whole = _article(*parse(html, names=False))
+        if len(text) < LEAST_SHARE * len(whole):
+            return whole
+    return text
+
+
+def _article(root: Node, nodes: list[Node]) -> str:
     for n in reversed(nodes):
         for x in n.items:
             if type(x) is str:

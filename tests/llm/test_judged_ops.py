@@ -84,6 +84,18 @@ def test_html_layout_names_and_unseen_parts():
     assert html_text.main_text(page).startswith("T Some words") and "gone" not in html_text.main_text(page) and "say" not in html_text.main_text(page)
 
 
+@pytest.mark.parametrize("inner", ['<svg class="i"/>', "<math/>", "<svg><svg><path/></svg><text>no</text></svg>", '<svg><path d="m"/></svg>', "<svg>"])
+def test_html_foreign_elements_end_where_they_end(inner):
+    assert html_text.main_text(f"<article><p>One.</p>{inner}<p>Three.</p></article>") == "One. Three."
+
+
+@pytest.mark.parametrize("name", ["post tag-news", "entry comments-open", "story share"])
+def test_html_names_dont_drop_the_article(name):
+    body = "<p>Some words, of an article, that are long enough to be one, surely, and then some more.</p>" * 4
+    page = f'<body><p>Home</p><div class="{name}">{body}</div><div class="sidebar"><p>Side</p></div></body>'
+    assert html_text.main_text(page).count("Some words") == 4
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("Text", F.lit(1))
     got = html_text.extract(pages).collect()
