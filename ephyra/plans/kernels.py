@@ -105,7 +105,7 @@ def pupil_frames(spark, d):
             yield pd.DataFrame({"label": pdf["label"], "index": pdf["vec_id"], "height": 40, "width": 40, "pixels": px})
 
     f = table(spark, d, "embeddings").select("vec_id", "label", "embedding").mapInPandas(run, "label int, index long, height int, width int, pixels binary")
-    m = frames.classify(frames.pupils(f, ["label"], frames.PupilConfig(trials=40)), ["label"], "index")
+    m = frames.classify(frames.pupils(f, ["label"], frames.PupilConfig()), ["label"], "index")
     return m.select("label", "index", rounded("diameter", 3).alias("diameter"), "blink", "clipped")
 
 

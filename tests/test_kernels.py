@@ -230,3 +230,13 @@ def test_drawn_process_on_a_flat_ridge():
     auto[3, 3:9] = 1
     both = segment.replay_drawings(np.full((31, 31), 0.5), auto, lines=[[(15, 10), (15, 20)]])
     assert both.max() == 2 and segment.replay_drawings(np.full((31, 31), 0.5), auto, deleted=[1]).max() == 0
+
+
+def test_pupil_query_has_the_default_trials(spark, sf, monkeypatch):
+    from ephyra.operators import frames
+    from ephyra.plans import registry
+
+    used, real = [], frames.pupils
+    monkeypatch.setattr(frames, "pupils", lambda f, keys, config: used.append(config) or real(f, keys, config))
+    registry.QUERIES["pupil_frames"](spark, sf)
+    assert used == [frames.PupilConfig()]
