@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import BROADCAST_ROWS, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -12,23 +12,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round points every node at its least neighbour (a minimum, summed before the shuffle, so that a hub costs no
     more than any node), doubles the pointers until they end in roots, and contracts the edges to edges between
-    roots. At least half of the nodes with edges go in each round. Self loops, repeated edges, nulls and an empty table
-    are allowed; rows with a null give no link. All tables stay in the shared folder and none is collected.
+    roots. At least half of the nodes with edges go in each round. A round whose counted edges bound its tables by
+    BROADCAST_ROWS follows pointers without a shuffle. Self loops, repeated edges, nulls and an empty table are allowed;
+    rows with a null give no link. All tables stay in the shared folder and none is collected.
     """
     a, b = F.col("a"), F.col("b")
     left = materialize(edges.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
     label = None
-    while label is None or not left.isEmpty():
+    while label is None or count:
+        count = left.count()
+        side = F.broadcast if 2 * count <= BROADCAST_ROWS else (lambda df: df)
         both = left.union(left.select(b.alias("a"), a.alias("b")))
         parent = materialize(both.groupBy("a").agg(F.least(a, F.min("b")).alias("p")))
-        while True:
+        while count:
             up = parent.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            nxt = materialize(parent.join(up, "p").select("a", "p", "q"))
-            done = nxt.where("p <> q").isEmpty()
+            nxt = materialize(parent.join(side(up), "p").select("a", "p", "q"))
             parent = nxt.select("a", F.col("q").alias("p"))
-            if done:
+            if nxt.where("p <> q").isEmpty():
                 break
-        label = parent.select(a.alias("node"), F.col("p").alias("root")) if label is None else materialize(label.join(parent.select(a.alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
-        pa, pb = (parent.select(F.col("a").alias(c), F.col("p").alias(f"p{c}")) for c in "ab")
-        left = materialize(left.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        if label is None:
+            label = parent.select(a.alias("node"), F.col("p").alias("root"))
+        elif count:
+            label = materialize(label.join(side(parent.select(a.alias("root"), "p")), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+        if count:
+            pa, pb = (side(parent.select(F.col("a").alias(c), F.col("p").alias(f"p{c}"))) for c in "ab")
+            left = materialize(left.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
     return label

@@ -123,8 +123,9 @@ def simhash_components(docs: DataFrame, width: int = 3, seed: int = 42, distance
     nodes = materialize(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("rep")))
     comp = connected_components(links(nodes.select("fp"), distance, pair_bucket))
     rooted = nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = materialize(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"))
+    rooted = materialize(rooted)
+    least = materialize(rooted.groupBy("root").agg(F.min("rep").alias("component_id")))
+    named = materialize(join_checked(rooted, least, "root", "inner").select(F.col("fp").alias("_fp"), "component_id"))
     return marked.join(named, "_fp").select("doc_id", "_fp", "component_id")
 
 
@@ -160,9 +161,8 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, wor
     At 0.8 some 15 of 100 fingerprint bits differ, so no split in disjoint blocks that are worth a join leaves one equal for sure.
     The fingerprint therefore has 64 * `words` bits and blocks are many choices of its bits (see plan). Pairs that meet in a block
     within the expected distance and three standard deviations are candidates; each one that is used is verified on the sets
-    themselves (see linked). Equal sets are one node. First each block gives the closest candidates that connect what its
-    candidates connect. Where some of those fail, a second pass over the nodes concerned gives every candidate between sets that
-    are still apart, so that no pair is left out because a closer one failed.
+    themselves (see Linking). Equal sets are one node. Each block gives the closest candidates that connect what its candidates
+    connect. Groups that a failed candidate keeps apart are looked at again, each group as one, until a pass links nothing new.
     Null and empty texts are copies of one another. An empty table gives no rows.
     """
     bits = 64 * words
@@ -179,26 +179,25 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, wor
     rows = materialize(marked.withColumn("__rid__", F.monotonically_increasing_id()))
     nodes = materialize(rows.groupBy("__set__", F.col("__fp__").alias("_fp")).agg(F.min("__rid__").alias("nid")))
     size, blocks = plan(nodes.count(), bits, allowed_distance(similarity, bits), miss)
-    first = candidates(nodes.select("nid", F.col("nid").alias("grp"), "_fp"), distance, size, blocks, seed, chunk, _spanning)
-    met = connected_components(first)
-    chosen = join_checked(rows.select(F.col("__rid__").alias("node"), "text"), met, "node", "inner").select("node", "root", "text")
-    sets = materialize(with_arrow(chosen, lambda: lambda texts: [[shingle_set(t, width, seed).tobytes() for t in texts]], ["text"], [field("s", T.BinaryType())]).drop("text"))
-    true, tried = linked(first, sets, similarity, None)
-    comp = connected_components(true)
-    now = materialize(met.withColumnRenamed("root", "met").join(comp, "node", "left").select("node", "met", F.coalesce("root", "node").alias("grp")))
-    apart = now.join(now.groupBy("met").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("met"), "met", "left_semi")
-    some = materialize(nodes.join(apart.select(F.col("node").alias("nid"), "grp"), "nid").select("nid", "grp", "_fp"))
-    if not some.isEmpty():
-        rest = candidates(some, distance, size, blocks, seed, chunk, _crossing)
-        true, _ = linked(materialize(rest.join(tried, ["a", "b"], "left_anti")), sets, similarity, true)
-        comp = connected_components(true)
-    groups = nodes.join(comp.withColumnRenamed("node", "nid"), "nid", "left").select("__set__", F.coalesce("root", "nid").alias("__root__"))
+    found = candidates(nodes.select("nid", F.col("nid").alias("grp"), "_fp"), distance, size, blocks, seed, chunk)
+    met = materialize(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    texts = join_checked(rows.select(F.col("__rid__").alias("node"), "text"), met, "node", "inner")
+    sets = materialize(with_arrow(texts, lambda: lambda texts: [[shingle_set(t, width, seed).tobytes() for t in texts]], ["text"], [field("s", T.BinaryType())]).select("node", "s"))
+    links = Linking(met, sets, similarity)
+    while not found.isEmpty():
+        grew = links.take(found)
+        apart = links.apart() if grew else None
+        if apart is None or apart.isEmpty():
+            break
+        some = materialize(join_checked(nodes, apart.withColumnRenamed("node", "nid"), "nid", "inner").select("nid", "grp", "_fp"))
+        found = links.untried(candidates(some, distance, size, blocks, seed, chunk))
+    groups = nodes.join(links.label.withColumnRenamed("node", "nid"), "nid", "left").select("__set__", F.coalesce("root", "nid").alias("__root__"))
     return rows, materialize(groups)
 
 
-def candidates(nodes: DataFrame, distance: int, size: int, blocks: int, seed: int, chunk: int, pick) -> DataFrame:
-    """(a, b, d), a < b: pairs of nodes (nid, grp, _fp) that share a block and differ at d <= distance bits, as `pick` chooses them
-    in each bucket. Blocks that a node has alone go before fingerprints move. A bucket is cut in chunks, and each pair of chunks
+def candidates(nodes: DataFrame, distance: int, size: int, blocks: int, seed: int, chunk: int) -> DataFrame:
+    """(a, b, d), a < b: pairs of nodes (nid, grp, _fp) of different grp that share a block and differ at d <= distance bits: those of
+    a least spanning forest of each bucket, where a grp is connected already. Blocks that a node has alone go before fingerprints move. A bucket is cut in chunks, and each pair of chunks
     is compared by itself, so that hot buckets spread over tasks."""
     schema = T.StructType([field("nid", T.LongType()), field("keys", T.ArrayType(T.LongType()))])
 
@@ -228,51 +227,82 @@ def candidates(nodes: DataFrame, distance: int, size: int, blocks: int, seed: in
                 ks = np.stack([rest.column(i).to_numpy() for i in range(3)], 1)
                 new = np.flatnonzero((ks[1:] != ks[:-1]).any(axis=1)) + 1
                 if len(new):
-                    yield from pick(rest.slice(0, int(new[-1])), distance)
+                    yield from _spanning(rest.slice(0, int(new[-1])), distance)
                     rest = rest.slice(int(new[-1]))
         if rest is not None and rest.num_rows:
-            yield from pick(rest, distance)
+            yield from _spanning(rest, distance)
 
     return materialize(sorted_blocks.mapInArrow(compare, edge).distinct())
 
 
-def linked(pairs: DataFrame, sets: DataFrame, similarity: float, known: DataFrame | None, nearest: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(links, tried): pairs (a, b) whose sets (node, s) have a Jaccard similarity of `similarity` or more, with those known before,
-    enough to connect whatever pairs connect; and all pairs that were verified.
-
-    A pair whose ends are connected already needs no look. In each of the first `nearest` rounds every node takes its closest
-    candidate of another component, so that a large group moves few sets; what is left then is verified whole."""
-    true, tried, left, turn = known, None, pairs, 0
-    while not left.isEmpty():
-        close = left
-        if turn < nearest:
-            ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("n"), "d", "a", "b"), F.struct(F.col("b").alias("n"), "d", "a", "b"))).alias("e")).select("e.*")
-            close = ends.groupBy("n").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
-        close = materialize(close.select("a", "b"))
-        x = join_checked(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), close, "a", "inner").select("a", "b", "x")
-        y = join_checked(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), close, "b", "inner").select("a", "b", "y")
-        good = x.join(y, ["a", "b"]).mapInArrow(_alike(similarity), T.StructType([field("a", T.LongType()), field("b", T.LongType())]))
-        true = materialize(good if true is None else true.unionByName(good))
-        tried = close if tried is None else tried.unionByName(close)
-        comp, turn = connected_components(true), turn + 1
-        left = left.join(close, ["a", "b"], "left_anti")
+class Linking:
+    """Components (label: node, root) of the pairs of nodes whose sets (node, s) have a Jaccard similarity of `similarity` or more."""
+
+    def __init__(self, nodes: DataFrame, sets: DataFrame, similarity: float):
+        self.label = nodes.select("node", F.col("node").alias("root"))
+        self.sets, self.similarity, self.tried, self.open = sets, similarity, None, None
+
+    def take(self, pairs: DataFrame) -> bool:
+        """Verifies of pairs (a, b, d) enough to connect whatever they connect; whether any was linked. A pair whose ends are
+        connected already needs no look. First every node takes its closest candidate, then each pair of components theirs, so that a
+        large group moves few sets; what is left then is verified whole."""
+        grew, left = False, pairs.select("a", "b", "d", F.col("a").alias("ra"), F.col("b").alias("rb"))
+        for turn in range(3):
+            close = left
+            if turn < 2:
+                ends = [F.struct(F.col(x).alias("n"), F.col(y).alias("to"), "d", "a", "b", "ra", "rb") for x, y in (("ra", "rb"), ("rb", "ra"))]
+                close = left.select(F.explode(F.array(*ends)).alias("e")).select("e.*") if turn == 0 else left.select(F.least("ra", "rb").alias("n"), F.greatest("ra", "rb").alias("to"), "d", "a", "b", "ra", "rb")
+                close = close.groupBy("n", *(["to"] if turn else [])).agg(F.min(F.struct("d", "a", "b", "ra", "rb")).alias("e")).select("e.*").distinct()
+            close = materialize(close.select("a", "b", "ra", "rb"))
+            good = self.verified(close)
+            self.tried = close.select("a", "b") if self.tried is None else self.tried.unionByName(close.select("a", "b"))
+            if not good.isEmpty():
+                grew = True
+                self.label = merged(self.label, connected_components(good.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+            self.open = left = self.crossing(pairs)
+            if left.isEmpty():
+                break
+        return grew
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, ra, rb) whose sets are similar."""
+        x = join_checked(self.sets.select(F.col("node").alias("a"), F.col("s").alias("x")), pairs, "a", "inner").select("a", "b", "ra", "rb", "x")
+        y = join_checked(self.sets.select(F.col("node").alias("b"), F.col("s").alias("y")), pairs.select("a", "b"), "b", "inner").select("a", "b", "y")
+        return materialize(x.join(y, ["a", "b"]).select("a", "b", "ra", "rb", "x", "y").mapInArrow(_alike(self.similarity), T.StructType([field(c, T.LongType()) for c in ("a", "b", "ra", "rb")])))
+
+    def crossing(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, d) with the roots of their ends, where these differ and the pair was not tried."""
         for c in "ab":
-            left = left.join(comp.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
-        left = materialize(left.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "d"))
-    none = pairs.select("a", "b").limit(0)
-    return none if true is None else true, none if tried is None else tried
+            pairs = join_checked(pairs, self.label.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "inner")
+        return materialize(self.untried(pairs.where("ra <> rb")).select("a", "b", "d", "ra", "rb"))
+
+    def untried(self, pairs: DataFrame) -> DataFrame:
+        return materialize(join_checked(pairs, self.tried, ["a", "b"], "left_anti"))
+
+    def apart(self) -> DataFrame:
+        """(node, grp) of the components that some tried pair failed to connect."""
+        pairs = self.tried
+        for c in "ab":
+            pairs = join_checked(pairs, self.label.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "inner")
+        roots = materialize(pairs.where("ra <> rb").select(F.explode(F.array("ra", "rb")).alias("root")).distinct())
+        return materialize(join_checked(self.label, roots, "root", "left_semi").select("node", F.col("root").alias("grp")))
+
+
+def merged(label: DataFrame, comp: DataFrame) -> DataFrame:
+    """label (node, root) after the components comp (node, root) of its roots."""
+    return materialize(join_checked(label, comp.select(F.col("node").alias("root"), F.col("root").alias("to")), "root").select("node", F.coalesce("to", "root").alias("root")))
 
 
 def _alike(similarity: float):
-    """Of batches (a, b, x, y) the a and b whose sorted sets x and y of 64-bit hashes are similar, by exact count."""
+    """Of batches (a, b, ra, rb, x, y) the pairs whose sorted sets x and y of 64-bit hashes are similar, by exact count."""
 
     def run(batches):
         for batch in batches:
             ok = []
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
+                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (4, 5))
                 ok.append(jaccard_reaches(x, y, similarity))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "ra", "rb"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -288,65 +318,44 @@ def jaccard_reaches(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
 def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 8, miss: float = 0.02, seed: int = 42, chunk: int = 512) -> DataFrame:
     """(doc_id, _fp, component_id) for each row of docs, linked where shingle sets have `similarity` or more (similar_groups)."""
     rows, groups = similar_groups(docs.select("doc_id", "text"), width, similarity, words, miss, seed, chunk)
-    marked = rows.join(groups, "__set__").select("doc_id", F.col("__fp__").alias("_fp"), "__root__")
-    return marked.join(marked.groupBy("__root__").agg(F.min("doc_id").alias("component_id")), "__root__").select("doc_id", "_fp", "component_id")
+    marked = materialize(rows.join(groups, "__set__").select("doc_id", F.col("__fp__").alias("_fp"), "__root__"))
+    least = materialize(marked.groupBy("__root__").agg(F.min("doc_id").alias("component_id")))
+    return join_checked(marked, least, "__root__", "inner").select("doc_id", "_fp", "component_id")
 
 
-def _buckets(part: pa.Table):
-    """(nid, fingerprints, first row and size of each group of equal keys)."""
+def _spanning(part: pa.Table, distance: int):
+    """The least spanning forest of the close pairs in each group of equal keys, between members of different grp; members of one grp
+    are at no distance. Most groups are pairs: those are compared at once."""
     ks = np.stack([part.column(i).to_numpy() for i in range(3)], 1)
     edges = np.concatenate([[0], np.flatnonzero((ks[1:] != ks[:-1]).any(axis=1)) + 1, [len(ks)]])
-    return part.column(3).to_numpy(), np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint64).reshape(len(ks), -1), edges[:-1], np.diff(edges)
-
-
-def _edges(a: list, b: list, d: list):
-    a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(d).astype(np.int64)
-    if len(a):
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], names=["a", "b", "d"])
-
-
-def _spanning(part: pa.Table, distance: int):
-    """The least spanning forest of the close pairs in each group of equal keys. Most groups are pairs: those are compared at once."""
-    nid, fp, start, size = _buckets(part)
+    start, size = edges[:-1], np.diff(edges)
+    nid, grp = part.column(3).to_numpy(), part.column(5).to_numpy()
+    fp = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint64).reshape(len(ks), -1)
     two = start[size == 2]
     d = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1)
-    close = d <= distance
+    close = (d <= distance) & (grp[two] != grp[two + 1])
     out_a, out_b, out_d = [nid[two[close]]], [nid[two[close] + 1]], [d[close]]
     for lo, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
-        f, ids = fp[lo : lo + n].copy(), nid[lo : lo + n].copy()
+        f, ids, own = fp[lo : lo + n].copy(), nid[lo : lo + n].copy(), grp[lo : lo + n].copy()
         near, via = np.full(n, 1 << 30, np.int64), np.zeros(n, np.int64)
         a, b, c = [], [], []
         for m in range(n - 1, 0, -1):  # the tree's newest member is at m, those not in it are before
-            d = np.bitwise_count(f[:m] ^ f[m]).sum(axis=1).astype(np.int64)
+            d = np.where(own[:m] == own[m], -1, np.bitwise_count(f[:m] ^ f[m]).sum(axis=1).astype(np.int64))
             closer = d < near[:m]
             near[:m][closer], via[:m][closer] = d[closer], ids[m]
             j = int(near[:m].argmin())
-            if near[j] <= distance:
+            if 0 <= near[j] <= distance:
                 a.append(via[j])
                 b.append(ids[j])
                 c.append(near[j])
-            for v in (f, ids, near, via):
+            for v in (f, ids, own, near, via):
                 v[[j, m - 1]] = v[[m - 1, j]]
         out_a.append(np.array(a, np.int64))
         out_b.append(np.array(b, np.int64))
         out_d.append(np.array(c, np.int64))
-    yield from _edges(out_a, out_b, out_d)
-
-
-def _crossing(part: pa.Table, distance: int):
-    """All close pairs of each group of equal keys whose ends have different grp."""
-    nid, fp, start, size = _buckets(part)
-    grp = part.column(5).to_numpy()
-    for lo, n in zip(start.tolist(), size.tolist()):
-        out_a, out_b, out_d = [], [], []
-        for i in range(lo, lo + n - 1):
-            d = np.bitwise_count(fp[i + 1 : lo + n] ^ fp[i]).sum(axis=1)
-            hit = np.flatnonzero((d <= distance) & (grp[i + 1 : lo + n] != grp[i]))
-            out_a.append(np.full(len(hit), nid[i]))
-            out_b.append(nid[i + 1 + hit])
-            out_d.append(d[hit])
-        if out_a:
-            yield from _edges(out_a, out_b, out_d)
+    a, b, d = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_d).astype(np.int64)
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], names=["a", "b", "d"])
 
 
 def dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 8, seed: int = 42, **options) -> DataFrame:
