@@ -1,4 +1,4 @@
-"""An interpolated modified Kneser-Ney model over byte n-grams: sharded counts, joins for its tables, two ways to score."""
+"""Interpolated modified Kneser-Ney models over byte n-grams: sharded counts, joins for their tables, scores by shards of the model."""
 
 from __future__ import annotations
 
@@ -14,17 +14,19 @@ from .common import SLICE_ROWS, field, materialize, with_arrow, without
 ORDER = 5
 #: Log probabilities are whole ten-thousandths of a nat, so that sums don't depend on the order of addition.
 UNIT = 10_000
-#: A model of up to so many entries (12 bytes each) goes to every worker; a larger one stays sharded and is joined.
+#: Entries (12 bytes each) of the models that a worker holds at a time: larger models go over the texts shard by shard.
 MODEL_ROWS = 6_000_000
+#: Texts fall in FOLDS parts by their hash (column `fold`); each part's trusted texts make a model of its own.
+FOLDS = 2
 #: Bytes of text that a worker takes at a time, and different n-grams after which it hands on its counts.
 SLICE, FLUSH = 1 << 19, 1_000_000
 
 
-def grams(texts) -> list:
-    """Yields (keys, place of each text's first key, places of texts) for slices of texts: the packed n-gram that ends at each byte."""
+def grams(texts, wanted=None) -> list:
+    """Yields (keys, place of each text's first key, places of texts) for slices of the (wanted) texts: the packed n-gram that ends at each byte."""
     own, places, held = [], [], 0
     for i, text in enumerate(texts):
-        raw = b"\0" * (ORDER - 1) + text.encode() if text else b""
+        raw = b"\0" * (ORDER - 1) + text.encode() if text and (wanted is None or wanted[i]) else b""
         for lo in range(0, max(0, len(raw) - ORDER + 1), SLICE):
             part = raw[lo : lo + SLICE + ORDER - 1]
             own.append(part)
@@ -52,138 +54,145 @@ def _keys(parts: list[bytes]):
     return key[inside], np.concatenate([[0], np.cumsum(size[:-1] - ORDER + 1)]).astype(np.int64)
 
 
+def with_fold(docs: DataFrame) -> DataFrame:
+    """docs with __fold__: equal texts fall in one part."""
+    return docs.withColumn("__fold__", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("int"))
+
+
 COUNTED = T.StructType([field("key", T.LongType()), field("n", T.LongType())])
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(key, n) of all n-grams of the texts. Each task adds up its own before the shuffle, a bounded number at a time."""
+    """(f, key, c) of all n-grams of the texts of each fold. Each task adds up its own before the shuffle, a bounded number at a time."""
 
     def run(batches):
         keys, ns = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch, lo in ((b, i) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
-            for (new, _), _ in grams(batch.column(0).slice(lo, SLICE_ROWS).to_pylist()):
-                u, c = np.unique(new, return_counts=True)
-                both, inv = np.unique(np.concatenate([keys, u]), return_inverse=True)
-                ns = np.bincount(inv, weights=np.concatenate([ns, c]), minlength=len(both)).astype(np.int64)
-                keys = both
-                if len(keys) > FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ns)], names=["key", "n"])
-                    keys, ns = keys[:0], ns[:0]
+            texts, folds = batch.column(0).slice(lo, SLICE_ROWS).to_pylist(), batch.column(1).slice(lo, SLICE_ROWS).to_numpy()
+            for f in range(FOLDS):
+                for (new, _), _ in grams([t for t, own in zip(texts, folds) if own == f]):
+                    u, c = np.unique(new | f << 8 * ORDER, return_counts=True)
+                    both, inv = np.unique(np.concatenate([keys, u]), return_inverse=True)
+                    ns = np.bincount(inv, weights=np.concatenate([ns, c]), minlength=len(both)).astype(np.int64)
+                    keys = both
+                    if len(keys) > FLUSH:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ns)], names=["key", "n"])
+                        keys, ns = keys[:0], ns[:0]
         if len(keys):
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ns)], names=["key", "n"])
 
-    return docs.select("text").mapInArrow(run, COUNTED).groupBy("key").agg(F.sum("n").alias("c"))
+    both = docs.select("text", "__fold__").mapInArrow(run, COUNTED).groupBy("key").agg(F.sum("n").alias("c"))
+    return both.select(F.shiftright("key", 8 * ORDER).cast("int").alias("f"), F.col("key").bitwiseAND(F.lit((1 << 8 * ORDER) - 1)).alias("key"), "c")
+
+
+def shard_of(key, shards: int):
+    """The shard of the entries of order 3 and more that the n-gram `key` needs (of a context: that of key << 8): by the two bytes before
+    the last, which every shorter form of it from order 3 on ends with too. Entries of orders 1 and 2 are in every shard."""
+    return ((key >> 8 & 0xFFFF) * 40503 >> 4 & 0xFFF) % shards
 
 
 class Model:
-    """probs[k]: (key, q) for the n-grams seen of order k; gammas[k]: (ctx, g) of their contexts; base: q of an unseen byte
-    after its gamma. All q and g are in UNITs of the logarithm."""
+    """One model for each fold. probs[k]: (f, key, q) for the n-grams seen of order k; gammas[k]: (f, ctx, g) of their contexts; base: q of
+    an unseen byte after its gamma. All q and g are in UNITs of the logarithm."""
 
     def __init__(self, probs: dict[int, DataFrame], gammas: dict[int, DataFrame]):
         self.probs, self.gammas, self.base = probs, gammas, round(UNIT * math.log(1 / 256))
 
     @classmethod
     def train(cls, trusted: DataFrame) -> Model:
-        """Counts of order ORDER from the texts; a lower order counts the different bytes that come before. Discounts come from
-        the counts of counts of each order (four numbers). Every table is joined and grouped by n-gram or context, in
-        shards; nothing of it is held by one task or the driver."""
+        """From texts with __fold__. Counts of order ORDER from the texts; a lower order counts the different bytes that come before.
+        Discounts come from the counts of counts of each order (four numbers). Every table is joined and grouped by n-gram or
+        context, in shards; nothing of it is held by one task or the driver."""
         tables = {ORDER: materialize(counts(trusted))}
         for k in range(ORDER - 1, 0, -1):
-            tables[k] = materialize(tables[k + 1].groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("key")).agg(F.count(F.lit(1)).alias("c")))
+            tables[k] = materialize(tables[k + 1].groupBy("f", F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("key")).agg(F.count(F.lit(1)).alias("c")))
         probs, gammas, lower = {}, {}, None
         for k in range(1, ORDER + 1):
-            of = {r["c"]: r["count"] for r in tables[k].where("c <= 4").groupBy("c").count().collect()}
-            d = discounts(*[of.get(i, 0) for i in (1, 2, 3, 4)])
-            cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-            seen = tables[k].select("key", "c", F.shiftright("key", 8).alias("ctx"), cut.alias("d"))
-            ctx = materialize(seen.groupBy("ctx").agg(F.sum("c").alias("s"), F.sum(F.col("d")).alias("free")))
-            gammas[k] = ctx.select("ctx", F.round(F.log(F.col("free") / F.col("s")) * UNIT).cast("int").alias("g"))
-            own = seen.join(ctx, "ctx").select("key", ((F.col("c") - F.col("d")) / F.col("s")).alias("p"), (F.col("free") / F.col("s")).alias("gamma"))
+            of = {(r["f"], r["c"]): r["count"] for r in tables[k].where("c <= 4").groupBy("f", "c").count().collect()}
+            cut = F.lit(None).cast("double")
+            for f in range(FOLDS):
+                d = discounts(*[of.get((f, i), 0) for i in (1, 2, 3, 4)])
+                cut = F.when(F.col("f") == f, F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])).otherwise(cut)
+            seen = tables[k].select("f", "key", "c", F.shiftright("key", 8).alias("ctx"), cut.alias("d"))
+            ctx = materialize(seen.groupBy("f", "ctx").agg(F.sum("c").alias("s"), F.sum(F.col("d")).alias("free")))
+            gammas[k] = ctx.select("f", "ctx", F.round(F.log(F.col("free") / F.col("s")) * UNIT).cast("int").alias("g"))
+            own = seen.join(ctx, ["f", "ctx"]).select("f", "key", ((F.col("c") - F.col("d")) / F.col("s")).alias("p"), (F.col("free") / F.col("s")).alias("gamma"))
             if lower is None:
-                own = own.select("key", (F.col("p") + F.col("gamma") / 256).alias("p"))
+                own = own.select("f", "key", (F.col("p") + F.col("gamma") / 256).alias("p"))
             else:
-                own = own.withColumn("low", F.col("key").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(lower.select(F.col("key").alias("low"), F.col("p").alias("pl")), "low").select("key", (F.col("p") + F.col("gamma") * F.col("pl")).alias("p"))
+                own = own.withColumn("low", F.col("key").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(lower.select("f", F.col("key").alias("low"), F.col("p").alias("pl")), ["f", "low"]).select("f", "key", (F.col("p") + F.col("gamma") * F.col("pl")).alias("p"))
             lower = materialize(own)
-            probs[k] = lower.select("key", F.round(F.log("p") * UNIT).cast("int").alias("q"))
+            probs[k] = lower.select("f", "key", F.round(F.log("p") * UNIT).cast("int").alias("q"))
         return cls(probs, gammas)
 
     def rows(self) -> DataFrame:
+        """(t, f, key, v): the entries of all tables; t is twice the order, and one more for a context's gamma."""
         out = None
         for k in self.probs:
-            for kind, df in ((0, self.probs[k].toDF("key", "v")), (1, self.gammas[k].toDF("key", "v"))):
-                df = df.select(F.lit(2 * k + kind).alias("t"), "key", "v")
+            for kind, df in ((0, self.probs[k].toDF("f", "key", "v")), (1, self.gammas[k].toDF("f", "key", "v"))):
+                df = df.select(F.lit(2 * k + kind).alias("t"), "f", "key", "v")
                 out = df if out is None else out.unionByName(df)
         return out
 
-    def looked_up(self, requests: DataFrame) -> DataFrame:
-        """(key, q) for distinct n-grams `key`, by joins with the sharded tables: each order takes what the one above left."""
-        left, done = requests.select("key", F.col("key").alias("cur"), F.lit(0).alias("acc")), None
-        for k in range(ORDER, 0, -1):
-            got = left.join(self.probs[k].withColumnRenamed("key", "cur"), "cur", "left")
-            hit = got.where("q is not null").select("key", (F.col("acc") + F.col("q")).alias("q"))
-            done = hit if done is None else done.unionByName(hit)
-            miss = got.where("q is null").withColumn("ctx", F.shiftright("cur", 8)).join(self.gammas[k], "ctx", "left")
-            left = materialize(miss.select("key", F.col("cur").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("cur"), (F.col("acc") + F.coalesce("g", F.lit(0))).alias("acc")))
-        return done.unionByName(left.select("key", (F.col("acc") + self.base).alias("q")))
-
     def score(self, docs: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
-        """docs with n_bytes and nll (UNITs, the whole text's). A model whose counted entries fit `model_rows` is sent to
-        the workers; a larger one is joined with the n-grams of each row. Both give the same numbers."""
+        """docs (with text and __fold__) with n_bytes and nll (UNITs, the whole text's), each by the model of the next fold, which has
+        not counted it. The models are cut in shards of about `model_rows` entries at most, and each shard goes over the texts by
+        itself and adds up the n-grams that end in its entries; one shard is enough for a small model. No n-gram is shuffled: with
+        several shards a row's partial sums are added by a number of the row."""
         docs = without(docs, "n_bytes", "nll")
         rows = self.rows()
-        if rows.count() <= model_rows:
-            return self._by_workers(docs, rows)
-        return self._by_joins(docs)
-
-    def _by_workers(self, docs: DataFrame, rows: DataFrame) -> DataFrame:
+        total = rows.count()
+        if total <= model_rows:
+            return self._pass(docs, rows, 1, 0)
+        shards = -(-2 * total // model_rows)
+        docs = materialize(without(docs, "__rid__").withColumn("__rid__", F.monotonically_increasing_id()))
+        of = F.when(F.col("t") < 6, -1).otherwise(F.pmod(F.shiftright(F.when(F.col("t") % 2 == 0, F.shiftright("key", 8)).otherwise(F.col("key")).bitwiseAND(F.lit(0xFFFF)) * 40503, 4).bitwiseAND(F.lit(0xFFF)), F.lit(shards)))
+        rows = materialize(rows.withColumn("shard", of.cast("int")))
+        parts = None
+        for s in range(shards):
+            part = materialize(self._pass(docs.select("__rid__", "text", "__fold__"), rows.where(F.col("shard").isin(-1, s)).drop("shard"), shards, s).drop("text", "__fold__"))
+            parts = part if parts is None else parts.unionByName(part)
+        sums = materialize(parts.groupBy("__rid__").agg(F.max("n_bytes").alias("n_bytes"), F.sum("nll").alias("nll")))
+        return docs.join(sums, "__rid__").drop("__rid__")
+
+    def _pass(self, docs: DataFrame, rows: DataFrame, shards: int, shard: int) -> DataFrame:
         held = rows.toArrow()
-        t, key, v = (held.column(c).to_numpy() for c in ("t", "key", "v"))
-        tables = {}
-        for x in range(2, 2 * ORDER + 2):
-            at = np.flatnonzero(t == x)
-            at = at[np.argsort(key[at])]
-            tables[x] = key[at], v[at].astype(np.int32)
+        t, f, key, v = (held.column(c).to_numpy() for c in ("t", "f", "key", "v"))
+        tables = []
+        for own in range(FOLDS):
+            tables.append({})
+            for x in range(2, 2 * ORDER + 2):
+                at = np.flatnonzero((t == x) & (f == own))
+                at = at[np.argsort(key[at])]
+                tables[own][x] = key[at], v[at].astype(np.int32)
         shared, base = docs.sparkSession.sparkContext.broadcast(tables), self.base
 
         def start():
-            look = Lookup(shared.value, base)
+            look = [Lookup(x, base) for x in shared.value]
 
-            def of(texts):
+            def of(texts, folds):
                 n, nll = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-                for (keys, begin), places in grams(texts):
-                    q = look(keys)
-                    sums = np.add.reduceat(q, begin)
-                    size = np.diff(np.append(begin, len(keys)))
-                    np.add.at(n, places, size)
-                    np.add.at(nll, places, -sums)
+                for fold in range(FOLDS):
+                    for (keys, begin), places in grams(texts, [own == fold for own in folds]):
+                        use = look[(fold + 1) % FOLDS]
+                        if shards == 1:
+                            q = use(keys)
+                        else:
+                            q, own = np.zeros(len(keys), np.int64), shard_of(keys, shards) == shard
+                            q[own] = use(keys[own])
+                        np.add.at(n, places, np.diff(np.append(begin, len(keys))))
+                        np.add.at(nll, places, -np.add.reduceat(q, begin))
                 return n.tolist(), nll.tolist()
 
             return of
 
-        return with_arrow(docs, start, ["text"], [field("n_bytes", T.LongType()), field("nll", T.LongType())])
-
-    def _by_joins(self, docs: DataFrame) -> DataFrame:
-        docs = materialize(without(docs, "__rid__").withColumn("__rid__", F.monotonically_increasing_id()))
-        schema = T.StructType([field("__rid__", T.LongType()), field("key", T.LongType()), field("n", T.LongType())])
-
-        def run(batches):
-            for batch in batches:
-                rid = batch.column(0).to_numpy()
-                for (keys, begin), places in grams(batch.column(1).to_pylist()):
-                    for i, part in zip(places, np.split(keys, begin[1:])):
-                        u, c = np.unique(part, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), rid[i])), pa.array(u), pa.array(c.astype(np.int64))], names=schema.names)
-
-        used = materialize(docs.select("__rid__", "text").mapInArrow(run, schema))
-        q = materialize(self.looked_up(used.select("key").distinct()))
-        sums = used.join(q, "key").groupBy("__rid__").agg(F.sum("n").alias("n_bytes"), (-F.sum(F.col("n") * F.col("q"))).alias("nll"))
-        return docs.join(sums, "__rid__", "left").fillna(0, ["n_bytes", "nll"]).drop("__rid__")
+        return with_arrow(docs, start, ["text", "__fold__"], [field("n_bytes", T.LongType()), field("nll", T.LongType())])
 
 
 class Lookup:
     """Log probabilities of packed n-grams by binary search, order by order, behind a direct-mapped cache."""
 
-    def __init__(self, tables: dict, base: int, bits: int = 20):
+    def __init__(self, tables: dict, base: int, bits: int = 19):
         self.t, self.base, self.bits = tables, base, bits
         self.keys, self.vals = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
 

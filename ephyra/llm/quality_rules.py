@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from itertools import chain
 
 import numpy as np
@@ -9,15 +10,19 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import field, join_checked, materialize, quantiles, sketch, table, with_arrow, without
 
-#: The metrics held against thresholds, in thousandths: count, of how many, and the least distance from the third quartile to
-#: the limit (below it a rate is noise in short texts; the base rules already bound repeated windows).
-RATES = {"symbol_rate": ("n_symbols", "word_chars", 60), "stutter_rate": ("_n_stutter", "n_words", 150), "dup_line_rate": ("n_dup_lines", "_n_lines", 600)}
-#: A threshold is the group's third quartile and SPREADS times its distance from the first, or the least distance.
+#: The metrics held against thresholds: count and of how many, in ten-thousandths. They are marks (ASCII punctuation), words equal to the
+#: word before, and the letters A-Z.
+SCALE = 10_000
+RATES = {"mark_rate": ("_n_marks", "word_chars"), "stutter_rate": ("_n_stutter", "n_words"), "upper_rate": ("_n_upper", "word_chars")}
+#: A group's limit is its third quartile and SPREADS times the distance of that from the first.
 SPREADS = 4
+#: A count n stands for a rate of n - NOISE * sqrt(n) at least (deviations of a Poisson count), so that short texts don't fail by chance.
+NOISE = 2
 #: Groups of fewer documents use the sketch of their language, then that of all documents.
 LEAST_GROUP = 50
-BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_n_lines", "_n_stutter"]
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_n_marks", "_n_stutter", "_n_upper"]
 SPACE, SYMBOLS = " \t\n\r\x0b\x0c", "#*$%&|<>"
+MARKS, UPPER = string.punctuation.encode(), string.ascii_uppercase.encode()
 WINDOW = 8
 
 
@@ -33,9 +38,10 @@ class TextStats:
         held = 0
         for text in texts:
             text = text or ""
-            w = text.encode().split()
+            raw = text.encode()
+            w = raw.split()
             lines = [x for x in text.split("\n") if x.strip(SPACE)]
-            rows.append((len(w), len(text) - sum(map(text.count, SPACE)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), len(lines)))
+            rows.append((len(w), len(text) - sum(map(text.count, SPACE)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), len(raw) - len(raw.translate(None, MARKS)), len(raw) - len(raw.translate(None, UPPER))))
             words.append(w)
             sizes.append(len(w))
             held += len(w)
@@ -45,8 +51,8 @@ class TextStats:
                 words, sizes, held = [], [], 0
         for known, new in zip((repeat, stutter), repeated(words, sizes)):
             known += new
-        cols = list(zip(*rows)) if rows else [[]] * 5
-        return [*cols[:4], repeat, cols[4], stutter]
+        cols = list(zip(*rows)) if rows else [[]] * 6
+        return [*cols[:4], repeat, cols[4], stutter, cols[5]]
 
 
 def repeated(docs: list[list[bytes]], sizes: list[int]) -> tuple[list[int], list[int]]:
@@ -87,11 +93,11 @@ def repeated(docs: list[list[bytes]], sizes: list[int]) -> tuple[list[int], list
 
 
 def with_stats(docs: DataFrame) -> DataFrame:
-    """docs with the base counts, the rates in thousandths, and base_failed."""
+    """docs with the base counts, the rates in ten-thousandths, and base_failed."""
     stats = with_arrow(without(docs, *RATES, "base_failed"), TextStats, ["text"], [field(c, T.LongType()) for c in BASE])
-    rate = lambda a, b: F.when(F.col(b) > 0, F.floor(F.col(a) * 1000 / F.col(b))).otherwise(0).cast("long")
+    rate = lambda a, b: F.when(F.col(b) > 0, F.floor(F.col(a) * SCALE / F.col(b))).otherwise(0).cast("long")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return stats.withColumns({k: rate(*v[:2]) for k, v in RATES.items()}).withColumn("base_failed", failed)
+    return stats.withColumns({k: rate(*v) for k, v in RATES.items()}).withColumn("base_failed", failed)
 
 
 def thresholds(stats: DataFrame) -> DataFrame:
@@ -101,8 +107,7 @@ def thresholds(stats: DataFrame) -> DataFrame:
     fine = materialize(sketch(passed, ["lang", "source"], list(RATES)))
     probs = {"q1": 0.25, "q3": 0.75}
     levels = [["lang", "source"], ["lang"], []]
-    least = F.create_map(*[F.lit(x) for m, (_, _, d) in RATES.items() for x in (m, d)])[F.col("metric")]
-    limit = F.col("q3") + F.greatest(least, SPREADS * (F.col("q3") - F.col("q1")))
+    limit = F.col("q3") + SPREADS * (F.col("q3") - F.col("q1"))
     out = fine.select("lang", "source").distinct()
     for i, keys in enumerate(levels):
         q = quantiles(fine.groupBy(*keys, "metric", "v").agg(F.sum("n").alias("n")), keys, probs)
@@ -121,9 +126,9 @@ def verdicts(stats: DataFrame) -> DataFrame:
     limits = materialize(thresholds(stats.select("lang", "source", "base_failed", *RATES)))
     judged = join_checked(stats, limits, F.col("lang").eqNullSafe(F.col("__lang__")) & F.col("source").eqNullSafe(F.col("__source__")))
     over: Column = F.lit(False)
-    for m in RATES:
-        over = over | F.coalesce(F.col(m) > F.col(f"max_{m}"), F.lit(False))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~over).drop("__lang__", "__source__", "_n_lines", "_n_stutter")
+    for m, (n, of) in RATES.items():
+        over = over | F.coalesce(F.col(n) - NOISE * F.sqrt(F.col(n)) > F.col(f"max_{m}") * F.col(of) / SCALE, F.lit(False))
+    return judged.withColumn("kept", ~F.col("base_failed") & ~over).drop("__lang__", "__source__", "_n_marks", "_n_stutter", "_n_upper")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -131,8 +136,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     Two passes: sketches of all documents, then the verdict row by row, with no shuffle of texts. The sketches are
     counts that each task sums before the shuffle, so one source may hold any share of the rows.
-    A document fails by the base rules, or by a rate above its group's limit. Null or empty texts have no words and fail
-    the base rules. A rate equal to the limit is kept. Repeated rows are judged each. An empty table gives no rows.
+    A document fails by the base rules, or by a rate that lies above its group's limit by more than chance. The limits come from
+    the quartiles of the group alone: no cutoff is fixed. Null or empty texts have no words and fail the base rules. A
+    rate equal to the limit is kept. Repeated rows are judged each. An empty table gives no rows.
     Columns of docs with the names of this operator's are replaced.
     """
     return verdicts(with_stats(without(docs, "kept", *[f"max_{m}" for m in RATES], "__lang__", "__source__")))
@@ -148,27 +154,29 @@ ORACLE_SQL = r"""
 with d as (select doc_id, lang, source, coalesce(text, '') as text, row_number() over () as k from documents),
 t as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from d),
 b as (select k, doc_id, lang, source, w, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  length(regexp_replace(text, '[^!-/:-@\[-\x60{-~]', '', 'g')) as n_marks, length(regexp_replace(text, '[^A-Z]', '', 'g')) as n_upper,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
 g as (select k, i, list_slice(w, i, i + 7) as gram from (select k, w, unnest(range(1, len(w) - 6)) as i from b where len(w) >= 8)),
 r as (select k, i from (select k, i, count(*) over (partition by k, gram) as c from g) where c > 1),
 h as (select k, count(distinct i + o) as n_repeat_words from r, range(8) q(o) group by k),
 s as (select k, count(*) as n_stutter from (select k, unnest(range(1, len(w))) as i, w from b where len(w) > 1) where w[i] = w[i + 1] group by k),
-m as (select b.k, doc_id, lang, source, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(lines) as n_lines, coalesce(n_stutter, 0) as n_stutter
+m as (select b.k, doc_id, lang, source, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, n_marks, n_upper, coalesce(n_stutter, 0) as n_stutter
   from b left join h using (k) left join s using (k)),
-f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, coalesce(n_symbols * 1000 // nullif(word_chars, 0), 0) as symbol_rate, coalesce(n_stutter * 1000 // nullif(n_words, 0), 0) as stutter_rate,
-  coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0) as dup_line_rate from m),
-u as (unpivot (select lang, source, cast(symbol_rate as bigint) as symbol_rate, cast(stutter_rate as bigint) as stutter_rate, cast(dup_line_rate as bigint) as dup_line_rate from f where not base_failed) on symbol_rate, stutter_rate, dup_line_rate into name metric value v),
+f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, coalesce(n_marks * 10000 // nullif(word_chars, 0), 0) as mark_rate, coalesce(n_stutter * 10000 // nullif(n_words, 0), 0) as stutter_rate,
+  coalesce(n_upper * 10000 // nullif(word_chars, 0), 0) as upper_rate from m),
+u as (unpivot (select lang, source, cast(mark_rate as bigint) as mark_rate, cast(stutter_rate as bigint) as stutter_rate, cast(upper_rate as bigint) as upper_rate from f where not base_failed) on mark_rate, stutter_rate, upper_rate into name metric value v),
 z as (select lang, source, metric, (v >> greatest(0, length(bin(v)) - 6)) << greatest(0, length(bin(v)) - 6) as v from u),
 l as (select 0 as level, lang, source, metric, v, count(*) as n from z group by all union all select 1, lang, null, metric, v, count(*) from z group by lang, metric, v union all select 2, null, null, metric, v, count(*) from z group by metric, v),
 c as (select *, sum(n) over (partition by level, lang, source, metric order by v) as cum, sum(n) over (partition by level, lang, source, metric) as total from l),
 q as (select level, lang, source, metric, max(total) as total, min(v) filter (where cum >= ceil(total * 0.25)) as q1, min(v) filter (where cum >= ceil(total * 0.75)) as q3 from c group by all),
-x as (select *, q3 + greatest(case metric when 'symbol_rate' then 60 when 'stutter_rate' then 150 else 600 end, 4 * (q3 - q1)) as most from q),
+x as (select *, q3 + 4 * (q3 - q1) as most from q),
 o as (select a.lang, a.source, a.metric, case when a.total >= 50 then a.most when y.total >= 50 then y.most else e.most end as most from x a
   left join x y on y.level = 1 and y.lang is not distinct from a.lang and y.metric = a.metric left join x e on e.level = 2 and e.metric = a.metric where a.level = 0),
-p as (pivot o on metric in ('symbol_rate', 'stutter_rate', 'dup_line_rate') using first(most) group by lang, source)
+p as (pivot o on metric in ('mark_rate', 'stutter_rate', 'upper_rate') using first(most) group by lang, source)
 select f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed,
- not f.base_failed and not (coalesce(f.symbol_rate > p.symbol_rate, false) or coalesce(f.stutter_rate > p.stutter_rate, false) or coalesce(f.dup_line_rate > p.dup_line_rate, false)) as kept,
- cast(f.symbol_rate as bigint) as symbol_rate, cast(f.stutter_rate as bigint) as stutter_rate, cast(f.dup_line_rate as bigint) as dup_line_rate,
- cast(p.symbol_rate as bigint) as max_symbol_rate, cast(p.stutter_rate as bigint) as max_stutter_rate, cast(p.dup_line_rate as bigint) as max_dup_line_rate
+ not f.base_failed and not (coalesce(n_marks - 2 * sqrt(n_marks) > p.mark_rate * word_chars / 10000, false) or coalesce(n_stutter - 2 * sqrt(n_stutter) > p.stutter_rate * n_words / 10000, false)
+  or coalesce(n_upper - 2 * sqrt(n_upper) > p.upper_rate * word_chars / 10000, false)) as kept,
+ cast(f.mark_rate as bigint) as mark_rate, cast(f.stutter_rate as bigint) as stutter_rate, cast(f.upper_rate as bigint) as upper_rate,
+ cast(p.mark_rate as bigint) as max_mark_rate, cast(p.stutter_rate as bigint) as max_stutter_rate, cast(p.upper_rate as bigint) as max_upper_rate
 from f left join p on p.lang is not distinct from f.lang and p.source is not distinct from f.source
 """

@@ -138,10 +138,28 @@ def test_quality_limits_follow_their_group(spark):
     r = random.Random(4)
     words = lambda n, extra: " ".join(r.choice("alpha beta gamma delta rho sigma tau".split()) + extra + str(r.randrange(999)) for _ in range(n))
     data = [(i, words(60, ""), "en", "plain", 1) for i in range(200)] + [(1000 + i, words(60, "#"), "en", "hash", 1) for i in range(200)] + [(5000, words(60, "#"), "en", "plain", 1), (5001, words(60, "#"), "xx", "tiny", 1), (5002, words(60, ""), None, None, 1)]
-    kept = {x["doc_id"]: x["kept"] for x in quality_rules.quality_rules(spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    got = quality_rules.quality_rules(spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    kept, limit = {x["doc_id"]: x["kept"] for x in got}, {x["source"]: x["max_mark_rate"] for x in got}
+    assert limit["plain"] == 0 and limit["hash"] > 1000 and 0 <= limit["tiny"] == limit[None]
     assert all(kept[i] for i in range(200)) and all(kept[1000 + i] for i in range(200)) and not kept[5000] and kept[5002]
 
 
+def test_quality_limits_have_no_constant_in_them(spark):
+    """Twice the marks in every text of a group give twice its limit, and the same verdicts."""
+    r = random.Random(5)
+    data = []
+    for g, k in (("one", 1), ("two", 2), ("three", 3)):
+        own = random.Random(9)
+        for i in range(120):
+            n = own.choice([2, 3, 3, 4, 4, 5, 6]) if i else 40
+            words = [f"w{r.randrange(10**6):06d}" for _ in range(200)]
+            data.append((len(data), " ".join(words) + "!" * (k * n), "en", g, 1))
+    got = quality_rules.quality_rules(spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    limit = {x["source"]: x["max_mark_rate"] for x in got}
+    assert limit["one"] < limit["two"] < limit["three"] and abs(limit["three"] / limit["one"] - 3) < 0.5
+    assert [x["doc_id"] % 120 for x in got if not x["kept"]] == [0, 0, 0]
+
+
 def test_sketch_quantiles_are_within_their_bound(spark):
     from ephyra.llm.common import quantiles, sketch
 

@@ -313,7 +313,7 @@ def test_spanning_edges_equal_all_pairs(chunk):
     fps = np.concatenate([c ^ np.packbits(g.random((12, 512)) < 0.06, axis=1) for c in centre])
     n = len(fps)
     key = np.zeros(n, np.int64)
-    part = pa.table([pa.array(key)] * 3 + [pa.array(np.arange(n)), pa.array([f.tobytes() for f in fps], pa.binary())], names=list("abcde"))
+    part = pa.table([pa.array(key)] * 3 + [pa.array(np.arange(n)), pa.array([f.tobytes() for f in fps], pa.binary()), pa.array(np.arange(n))], names=list("abcdef"))
     root = list(range(n))
     find = lambda x: x if root[x] == x else find(root[x])
     for batch in simhash._spanning(part, 70):
