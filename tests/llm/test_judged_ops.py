@@ -89,11 +89,69 @@ def test_html_foreign_elements_end_where_they_end(inner):
     assert html_text.main_text(f"<article><p>One.</p>{inner}<p>Three.</p></article>") == "One. Three."
 
 
-@pytest.mark.parametrize("name", ["post tag-news", "entry comments-open", "story share"])
-def test_html_names_dont_drop_the_article(name):
-    body = "<p>Some words, of an article, that are long enough to be one, surely, and then some more.</p>" * 4
-    page = f'<body><p>Home</p><div class="{name}">{body}</div><div class="sidebar"><p>Side</p></div></body>'
-    assert html_text.main_text(page).count("Some words") == 4
+PARAGRAPH = "<p>Some words, of an article, that are long enough to be one, surely, and then some more.</p>"
+
+
+@pytest.mark.parametrize("name", ["post tag-news", "entry comments-open", "story share", "post tag-river", "entry category-notice", "content related-topics", "page-with-share-buttons", "story search-result", "js nav-open"])
+@pytest.mark.parametrize("tag", ["div", "article", "body"])
+def test_html_names_dont_drop_the_article(name, tag):
+    rest = '<div class="sidebar"><p>Side, bar</p></div><section id="comments"><p>Reader, says, so, too</p></section>'
+    got = html_text.main_text(f'<body><nav>Home</nav><{tag} class="{name}"><h1>T</h1>{PARAGRAPH * 4}</{tag}>{rest}</body>')
+    assert got == " ".join(["T"] * (tag != "body" or got.startswith("T")) + [PARAGRAPH[3:-4]] * 4)
+
+
+def test_html_readers_words_go_whatever_their_element():
+    page = f'<main><article class="post">{PARAGRAPH * 2}</article><article class="comment"><p>Reader, says, this, and, that</p></article></main>'
+    assert html_text.main_text(page) == " ".join([PARAGRAPH[3:-4]] * 2)
+    assert html_text.main_text(f"<!-->{PARAGRAPH}") == html_text.main_text(f"<!--->{PARAGRAPH}") == html_text.main_text(f"<!-- a > b -->{PARAGRAPH}") == PARAGRAPH[3:-4]
+
+
+def test_html_several_posts_with_marked_names_all_stay():
+    page = "".join(f'<article class="post tag-{i}"><h2>N{i}</h2>{PARAGRAPH * 2}</article>' for i in range(7))
+    assert html_text.main_text(f"<body><div>{page}</div></body>").count("Some words") == 14
+
+
+@pytest.mark.parametrize("bad", ['<a "x ', "<svg>", "<header>", '<p x="', "</x>", '<div class="ad">', '<div class="ad"><p>a', "<!--", "<", "<body>", "<script>", "<b></i>", "<p><b>", "<x><div></x>", "<svg><x>"])
+def test_html_time_is_linear_in_bad_pages(bad):
+    import time
+
+    html_text.main_text(bad * 1000)
+    took = []
+    for n in (1, 4):
+        began = time.process_time()
+        html_text.main_text(bad * (n * 200_000 // len(bad)))
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+def built_page(r):
+    """(html, text) of a page that is put together from an article and what is none."""
+    word = lambda: r.choice(["alpha", "beta", "R&amp;D", "d&eacute;j&agrave;", "x&lt;y", "na\u00efve"])
+    plain = lambda s: s.replace("&amp;", "&").replace("&eacute;", "\xe9").replace("&agrave;", "\xe0").replace("&lt;", "<")
+    say = lambda n: ", ".join(" ".join(word() for _ in range(6)) for _ in range(n))
+    blocks, text = [], []
+    for _ in range(r.randrange(3, 9)):
+        own = say(r.randrange(3, 6))
+        text.append(plain(own))
+        kind = r.randrange(5)
+        own = own.replace(" ", r.choice([" ", "\n\t", "  "]))
+        blocks.append([f"<p>{own}</p>", f"<p>{own}", f"<blockquote><p>{own}</p></blockquote>", f"<P CLASS=lead>{own.replace('alpha', '<b>alpha</b>')}</P>", f"<p>{own}</p><!-- <p>no</p> -->"][kind])
+        if r.random() < 0.3:
+            blocks.append(r.choice(['<div class="ad"><p>Buy, this, now</p></div>', "<aside><p>By the way, this</p></aside>", "<script>if (a < b) document.write('<p>no</p>')</script>", '<form><p>Your mail, please</p><input></form>', '<svg viewBox="0 0 1 1"><title>i</title><path d="m"/></svg>', '<div class="share"><a href="#">Share</a></div>']))
+    inner = "".join(blocks)
+    name = r.choice(["", ' class="post"', ' id=content', ' class="entry tag-x"', ' class="story no-sidebar"'])
+    body = r.choice([f"<article{name}>{inner}</article>", f"<main><div{name}>{inner}</div></main>", f"<div{name}>{inner}</div>"])
+    before = r.choice(["", "<header><h1>Site</h1><p>Slogan, of, it</p></header>", "<nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav>", '<div id="cookie-banner"><p>Cookies, and so on, ok</p></div>'])
+    after = r.choice(["", "<footer><p>&copy; some, rights</p></footer>", '<div class="sidebar"><ul><li><a href=x>More</a></ul></div>', '<section class="comments"><div class="comment"><p>I, too, say, so</p></div></section>', "<style>p{}</style>"])
+    return f"<!doctype html><html><head><title>t</title></head><body>{before}{body}{after}</body></html>", " ".join(" ".join(text).split())
+
+
+def test_html_of_built_pages_is_their_article(spark):
+    r = random.Random(11)
+    pages = [built_page(r) for _ in range(400)]
+    got = {x["page_id"]: x["text"] for x in html_text.extract(spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    for i, (html, text) in enumerate(pages):
+        assert got[i] == text, html
 
 
 def test_html_table(spark):
