@@ -8,7 +8,8 @@ import numpy as np
 import regex
 import xxhash
 
-WORDS = regex.compile(r"\p{L}+").findall
+WORD = regex.compile(r"\p{L}+")
+WORDS = WORD.findall
 #: Rows of the feature table; words that a worker remembers before it starts anew.
 DIM, MEMO = 1 << 17, 200_000
 NGRAMS = (2, 3, 4)
@@ -20,6 +21,16 @@ def words_of(text: str | None) -> list[str]:
     return WORDS(text.lower()) if text else []
 
 
+def places_of(text: str) -> list[tuple[int, int]]:
+    """Where in the text, in its own code points, each of words_of(text) begins and ends, though lower case may be longer."""
+    low = text.lower()
+    found = [m.span() for m in WORD.finditer(low)]
+    if len(low) == len(text):
+        return found
+    at = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])  # the character that each one of low comes from
+    return [(int(at[a]), int(at[b - 1]) + 1) for a, b in found]
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(rows of the feature table, start of each word's rows): byte n-grams of the word between two marks, so that those with
     a mark are its prefixes and suffixes, and the word itself (the lexicon)."""

@@ -7,18 +7,17 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import field, table, with_arrow
+from .common import field, join_checked, materialize, table, with_arrow
 from .crf import CRF, Tagger, batches, words_of
 
-#: The model is fitted on so many training documents of each language at most (the first by a hash of doc_id), so many words
-#: of each, so many languages (the most frequent), and so many characters of a text.
-FIT_DOCS, FIT_WORDS, FIT_LANGS, FIT_CHARS = 250, 240, 64, 20_000
+#: The model is fitted on the whole texts of so many training documents of each language at most (the first by a hash of doc_id).
+FIT_DOCS = 150
 
 
-def sample(docs: DataFrame, label: str, per_label: int, labels: int) -> list:
-    """[(label, text)] of training rows: per_label rows of each of the most frequent labels, by the order of a hash."""
+def sample(docs: DataFrame, label: str, per_label: int) -> list:
+    """[(label, text)] of training rows: per_label rows of each label, by the order of a hash."""
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.col(label).alias("y"), "text")
-    got = chosen(rows, per_label, labels).select("y", "h", F.substring("text", 1, FIT_CHARS).alias("text")).collect()
+    got = chosen(rows, per_label).select("y", "h", "text").collect()
     out, seen = [], Counter()
     for y, h, text in sorted(tuple(r) for r in got):
         seen[y] += 1
@@ -27,16 +26,14 @@ def sample(docs: DataFrame, label: str, per_label: int, labels: int) -> list:
     return sorted(out)
 
 
-def chosen(rows: DataFrame, per_label: int, labels: int) -> DataFrame:
-    """Rows of each of the most frequent labels `y` whose hash `h` of doc_id is least: per_label and some more, by a bound on the
-    hash that follows from the label's count. No label's rows are ordered or gathered for it."""
+def chosen(rows: DataFrame, per_label: int) -> DataFrame:
+    """Rows of each label `y` whose hash `h` of doc_id is least: per_label and some more, by a bound on the hash that follows from the
+    label's count. No label's rows are ordered or gathered for it, and every label has its rows, however rare."""
     top = (1 << 62) - 1
     rows = rows.where("y is not null").withColumn("h", F.xxhash64("doc_id", F.lit(11)).bitwiseAND(F.lit(top)))
-    counts = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(labels).collect()
-    keep = F.lit(False)
-    for r in counts:
-        keep = keep | ((F.col("y") == F.lit(r["y"])) & (F.col("h") <= F.lit(int(min(1.0, (per_label + 4 * per_label**0.5 + 20) / r["n"]) * top))))
-    return rows.where(keep)
+    counts = materialize(rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")))
+    bound = F.least(F.lit(1.0), (per_label + 4 * per_label**0.5 + 20) / F.col("n")) * float(top)
+    return join_checked(rows, counts.select("y", bound.cast("long").alias("bound")), "y", "inner").where("h <= bound").drop("bound")
 
 
 class LanguageModel:
@@ -55,7 +52,7 @@ class LanguageModel:
         rng = np.random.default_rng(seed)
         runs = []
         for y, text in rows:
-            w = words_of(text)[:FIT_WORDS]
+            w = words_of(text)
             i = 0
             while i < len(w):
                 n = int(rng.integers(8, 60))
@@ -99,9 +96,9 @@ def held_out(mod: int, rest: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod == rest
 
 
-def fit(train: DataFrame, per_label: int = FIT_DOCS, labels: int = FIT_LANGS) -> LanguageModel:
+def fit(train: DataFrame, per_label: int = FIT_DOCS) -> LanguageModel:
     """A model from training rows (doc_id, text, lang), fitted on the driver on a bounded sample of them."""
-    return LanguageModel.fit(sample(train, "lang", per_label, labels))
+    return LanguageModel.fit(sample(train, "lang", per_label))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
