@@ -60,6 +60,25 @@ def test_embedding_links_default_plan_and_edge_tables(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0], 1), (5, None, 1)], VEC)).count() == 2
 
 
+def test_embedding_links_of_planted_pairs_at_the_default_plan(spark):
+    """64 dimensions, 6,000 vectors, of which 900 have others at cosines from 0.93 to 1, and a cluster of 700."""
+    g = np.random.default_rng(3)
+    x = g.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(900):
+        c, side = g.uniform(0.93, 0.999), g.standard_normal(64)
+        side -= side @ x[i] * x[i]
+        x[2000 + i] = c * x[i] + math.sqrt(1 - c * c) * side / np.linalg.norm(side)
+    x[4000:4700] = x[5000] + g.standard_normal((700, 64)) * 0.02
+    x = x.astype("f4")
+    unit = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VEC)).collect()}
+    links = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (links <= want).all() and links.sum() >= 0.999 * want.sum() and (links[:900] >= want[:900]).mean() >= 0.995
+    assert len({got[i]["component_id"] for i in range(4000, 4700)}) == 1
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>
 <header><h2>Site</h2><p>Welcome, to, the, site, with, commas, and, more, and, more.</p></header><nav><ul><li><a href=/x>Menu</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies, and, and, and, and.</p></div><div class='ad banner'>Buy, buy, buy</div>
