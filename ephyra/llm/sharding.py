@@ -56,11 +56,11 @@ def _refine(rows: DataFrame, key: Column, size: Column, targets: list[int], tole
 def histogram_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, fan: int = 32, bucket_rows: int = 20_000, with_text: bool = False) -> DataFrame:
     """docs with size, text_crc32, shard and slot (gapless from 0 in each shard); shards hold near equal bytes.
 
-    The order is (XXH64 of the text, XXH64 of the row's other columns): equal texts are neighbours and stay in one shard
-    unless a boundary must fall among copies. Candidate boundaries are probed on the text's key; each round counts the
+    The order is (XXH64 of the text, a second key): equal texts are neighbours and stay in one shard unless a boundary must fall
+    among copies. The second key is the XXH64 of the row's other columns and of a number of the row in the written narrow
+    table, so that rows equal in every column are cut like any others. Candidate boundaries are probed on the text's key; each round counts the
     exact bytes below all probes in one scan of the written narrow table. Where one text alone is larger than the
-    tolerance (`tolerance` of a shard's bytes), its copies are cut by the second key in the same way. Rows equal in
-    every column can't be told apart and stay together. The exchange is one shuffle by (shard, part of the second
+    tolerance (`tolerance` of a shard's bytes), its copies are cut by the second key in the same way. The exchange is one shuffle by (shard, part of the second
     key): parts hold about `bucket_rows` rows even if a third of all rows are copies, and slots are a part's offset
     plus the place in it. with_text: the texts take part in that exchange and are returned; otherwise only the narrow
     columns move.
@@ -72,7 +72,8 @@ def histogram_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0.002,
     text = F.coalesce("text", F.lit(""))
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     keyed = docs.select(*rest, "text", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("__k__"), F.xxhash64(*[c.cast("string") for c in rest], F.octet_length(text)).alias("__t__"))
-    rows = materialize(keyed.drop("text"))
+    # numbered before it is written: what is read back is one row each, whatever runs again
+    rows = materialize((keyed if with_text else keyed.drop("text")).withColumn("__t__", F.xxhash64("__t__", F.monotonically_increasing_id())))
     k, t, size = F.col("__k__"), F.col("__t__"), F.col("size")
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     slack = int(total * tolerance / shards)
@@ -95,7 +96,7 @@ def histogram_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0.002,
     for key, key2 in cuts:
         shard = shard + F.when((k > F.lit(key)) | ((k == F.lit(key)) & (t >= F.lit(key2))), 1).otherwise(0)
     parts = max(64, -(-n // (shards * bucket_rows)))
-    placed = (keyed if with_text else rows).withColumn("shard", shard.cast("int")).withColumn("__part__", F.pmod(F.shiftright(t, 7), F.lit(parts)).cast("int"))
+    placed = rows.withColumn("shard", shard.cast("int")).withColumn("__part__", F.pmod(F.shiftright(t, 7), F.lit(parts)).cast("int"))
     offsets = placed.groupBy("shard", "__part__").agg(F.count(F.lit(1)).alias("__n__")).withColumn("__off__", F.sum("__n__").over(Window.partitionBy("shard").orderBy("__part__").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "__part__", F.coalesce("__off__", F.lit(0)).alias("__off__"))
     ranked = placed.withColumn("__rank__", F.row_number().over(Window.partitionBy("shard", "__part__").orderBy("__k__", "__t__")) - 1)
     return ranked.join(offsets, ["shard", "__part__"]).withColumn("slot", F.col("__off__") + F.col("__rank__")).drop("__part__", "__k__", "__t__", "__off__", "__rank__")

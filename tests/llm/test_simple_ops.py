@@ -168,6 +168,19 @@ def components(fps):
     return {k: least[find(k)] for k in keys}
 
 
+@pytest.mark.parametrize("with_text", [False, True])
+def test_sharding_cuts_rows_equal_in_every_column(spark, with_text):
+    d = spark.createDataFrame([(7, "same text")] * 4000 + [(i, f"t{i}") for i in range(800)], "doc_id long, text string")
+    got = sharding.histogram_shards(d, with_text=with_text).collect()
+    size = Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+    assert len(got) == 4800 and len(size) == 8 and max(size.values()) <= 1.02 * min(size.values())
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    assert not with_text or Counter(r["text"] for r in got)["same text"] == 4000
+
+
 @pytest.mark.parametrize("bucket", [1, 64])
 def test_simhash_equals_brute_force(spark, bucket):
     got = simhash.simhash_components(docs(spark), pair_bucket=bucket).collect()
