@@ -39,14 +39,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df to a table of its own in the shared folder and reads it back: cuts the lineage, and outlives a lost
-    executor. Hadoop deletes the files when the driver's JVM ends."""
+    executor. The files go by discard() or when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ephyra-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes written tables (as materialize returned them) that nothing will read again."""
+    for df in tables:
+        if df is not None and getattr(df, "_written", None):
+            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def join_checked(df: DataFrame, small: DataFrame, on, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BROADCAST_ROWS, materialize
+from .common import BROADCAST_ROWS, discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -18,23 +18,32 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     left = materialize(edges.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
-    label = None
-    while label is None or count:
+    label = None  # a written table, once there is a second round
+    while True:
         count = left.count()
+        if label is not None and not count:
+            discard(left)
+            return label
         side = F.broadcast if 2 * count <= BROADCAST_ROWS else (lambda df: df)
         both = left.union(left.select(b.alias("a"), a.alias("b")))
-        parent = materialize(both.groupBy("a").agg(F.least(a, F.min("b")).alias("p")))
+        held = materialize(both.groupBy("a").agg(F.least(a, F.min("b")).alias("p")))
+        parent = held
         while count:
             up = parent.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            nxt = materialize(parent.join(side(up), "p").select("a", "p", "q"))
-            parent = nxt.select("a", F.col("q").alias("p"))
-            if nxt.where("p <> q").isEmpty():
+            held, last = materialize(parent.join(side(up), "p").select("a", "p", "q")), held
+            discard(last)
+            parent = held.select("a", F.col("q").alias("p"))
+            if held.where("p <> q").isEmpty():
                 break
         if label is None:
-            label = parent.select(a.alias("node"), F.col("p").alias("root"))
-        elif count:
-            label = materialize(label.join(side(parent.select(a.alias("root"), "p")), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+            new = parent.select(a.alias("node"), F.col("p").alias("root"))
+        else:
+            new = label.join(side(parent.select(a.alias("root"), "p")), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
+        new, last = materialize(new), label
+        discard(last)
+        label = new
         if count:
             pa, pb = (side(parent.select(F.col("a").alias(c), F.col("p").alias(f"p{c}"))) for c in "ab")
-            left = materialize(left.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-    return label
+            left, last = materialize(left.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()), left
+            discard(last)
+        discard(held)

@@ -10,13 +10,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import field, join_checked, materialize, table, with_arrow
+from .common import discard, field, join_checked, materialize, table, with_arrow
 from .components import connected_components
 
 #: Buckets of up to so many different fingerprints are joined with themselves; larger ones go by midpoints.
 PAIR_BUCKET = 64
 #: Fingerprint bits fall in 4 blocks of 16; two that differ at 2 bits or fewer agree on 2 blocks at least.
 BLOCKS = 4
+#: Candidates that a node gives in each block at first, where closer ones failed.
+NEAREST = 8
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -162,7 +164,8 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, wor
     The fingerprint therefore has 64 * `words` bits and blocks are many choices of its bits (see plan). Pairs that meet in a block
     within the expected distance and three standard deviations are candidates; each one that is used is verified on the sets
     themselves (see Linking). Equal sets are one node. Each block gives the closest candidates that connect what its candidates
-    connect. Groups that a failed candidate keeps apart are looked at again, each group as one, until a pass links nothing new.
+    connect. Where some fail, the nodes of the groups that they keep apart are looked at again: each gives its NEAREST candidates
+    in other groups in each block, then twice as many, until a pass links nothing new. No block gives all its pairs.
     Null and empty texts are copies of one another. An empty table gives no rows.
     """
     bits = 64 * words
@@ -183,21 +186,20 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, wor
     met = materialize(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     texts = join_checked(rows.select(F.col("__rid__").alias("node"), "text"), met, "node", "inner")
     sets = materialize(with_arrow(texts, lambda: lambda texts: [[shingle_set(t, width, seed).tobytes() for t in texts]], ["text"], [field("s", T.BinaryType())]).select("node", "s"))
-    links = Linking(met, sets, similarity)
-    while not found.isEmpty():
-        grew = links.take(found)
-        apart = links.apart() if grew else None
-        if apart is None or apart.isEmpty():
-            break
+    links, nearest = Linking(met, sets, similarity), NEAREST
+    links.take(found)
+    while not (apart := links.apart()).isEmpty():
         some = materialize(join_checked(nodes, apart.withColumnRenamed("node", "nid"), "nid", "inner").select("nid", "grp", "_fp"))
-        found = links.untried(candidates(some, distance, size, blocks, seed, chunk))
+        if not links.take(links.untried(candidates(some, distance, size, blocks, seed, chunk, nearest))):
+            break
+        nearest *= 2
     groups = nodes.join(links.label.withColumnRenamed("node", "nid"), "nid", "left").select("__set__", F.coalesce("root", "nid").alias("__root__"))
     return rows, materialize(groups)
 
 
-def candidates(nodes: DataFrame, distance: int, size: int, blocks: int, seed: int, chunk: int) -> DataFrame:
+def candidates(nodes: DataFrame, distance: int, size: int, blocks: int, seed: int, chunk: int, nearest: int = 0) -> DataFrame:
     """(a, b, d), a < b: pairs of nodes (nid, grp, _fp) of different grp that share a block and differ at d <= distance bits: those of
-    a least spanning forest of each bucket, where a grp is connected already. Blocks that a node has alone go before fingerprints move. A bucket is cut in chunks, and each pair of chunks
+    a least spanning forest of each bucket, or each node's `nearest` ones. Blocks that a node has alone go before fingerprints move. A bucket is cut in chunks, and each pair of chunks
     is compared by itself, so that hot buckets spread over tasks."""
     schema = T.StructType([field("nid", T.LongType()), field("keys", T.ArrayType(T.LongType()))])
 
@@ -219,6 +221,7 @@ def candidates(nodes: DataFrame, distance: int, size: int, blocks: int, seed: in
     edge = T.StructType([field("a", T.LongType()), field("b", T.LongType()), field("d", T.LongType())])
 
     def compare(batches):
+        pick = (lambda part: _closest(part, distance, nearest)) if nearest else (lambda part: _spanning(part, distance))
         rest = None
         for batch in batches:
             for lo in range(0, batch.num_rows, 8 * chunk):
@@ -227,10 +230,10 @@ def candidates(nodes: DataFrame, distance: int, size: int, blocks: int, seed: in
                 ks = np.stack([rest.column(i).to_numpy() for i in range(3)], 1)
                 new = np.flatnonzero((ks[1:] != ks[:-1]).any(axis=1)) + 1
                 if len(new):
-                    yield from _spanning(rest.slice(0, int(new[-1])), distance)
+                    yield from pick(rest.slice(0, int(new[-1])))
                     rest = rest.slice(int(new[-1]))
         if rest is not None and rest.num_rows:
-            yield from _spanning(rest, distance)
+            yield from pick(rest)
 
     return materialize(sorted_blocks.mapInArrow(compare, edge).distinct())
 
@@ -240,14 +243,16 @@ class Linking:
 
     def __init__(self, nodes: DataFrame, sets: DataFrame, similarity: float):
         self.label = nodes.select("node", F.col("node").alias("root"))
-        self.sets, self.similarity, self.tried, self.open = sets, similarity, None, None
+        self.sets, self.similarity, self.tried = sets, similarity, nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
 
     def take(self, pairs: DataFrame) -> bool:
         """Verifies of pairs (a, b, d) enough to connect whatever they connect; whether any was linked. A pair whose ends are
         connected already needs no look. First every node takes its closest candidate, then each pair of components theirs, so that a
         large group moves few sets; what is left then is verified whole."""
-        grew, left = False, pairs.select("a", "b", "d", F.col("a").alias("ra"), F.col("b").alias("rb"))
+        grew, left = False, self.crossing(pairs)
         for turn in range(3):
+            if left.isEmpty():
+                break
             close = left
             if turn < 2:
                 ends = [F.struct(F.col(x).alias("n"), F.col(y).alias("to"), "d", "a", "b", "ra", "rb") for x, y in (("ra", "rb"), ("rb", "ra"))]
@@ -255,13 +260,14 @@ class Linking:
                 close = close.groupBy("n", *(["to"] if turn else [])).agg(F.min(F.struct("d", "a", "b", "ra", "rb")).alias("e")).select("e.*").distinct()
             close = materialize(close.select("a", "b", "ra", "rb"))
             good = self.verified(close)
-            self.tried = close.select("a", "b") if self.tried is None else self.tried.unionByName(close.select("a", "b"))
+            self.tried = self.tried.unionByName(close.select("a", "b"))
             if not good.isEmpty():
                 grew = True
-                self.label = merged(self.label, connected_components(good.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
-            self.open = left = self.crossing(pairs)
-            if left.isEmpty():
-                break
+                comp, last = connected_components(good.select(F.col("ra").alias("a"), F.col("rb").alias("b"))), self.label
+                self.label = merged(self.label, comp)
+                discard(comp, last)
+            discard(good)
+            left = self.crossing(pairs)
         return grew
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -323,39 +329,63 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     return join_checked(marked, least, "__root__", "inner").select("doc_id", "_fp", "component_id")
 
 
-def _spanning(part: pa.Table, distance: int):
-    """The least spanning forest of the close pairs in each group of equal keys, between members of different grp; members of one grp
-    are at no distance. Most groups are pairs: those are compared at once."""
+def _buckets(part: pa.Table):
+    """(nid, grp, fingerprints, first row and size of each group of equal keys)."""
     ks = np.stack([part.column(i).to_numpy() for i in range(3)], 1)
     edges = np.concatenate([[0], np.flatnonzero((ks[1:] != ks[:-1]).any(axis=1)) + 1, [len(ks)]])
-    start, size = edges[:-1], np.diff(edges)
-    nid, grp = part.column(3).to_numpy(), part.column(5).to_numpy()
-    fp = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint64).reshape(len(ks), -1)
+    return part.column(3).to_numpy(), part.column(5).to_numpy(), np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint64).reshape(len(ks), -1), edges[:-1], np.diff(edges)
+
+
+def _edges(a: list, b: list, d: list):
+    a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(d).astype(np.int64)
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], names=["a", "b", "d"])
+
+
+def _spanning(part: pa.Table, distance: int):
+    """The least spanning forest of the close pairs in each group of equal keys. Most groups are pairs: those are compared at once."""
+    nid, _, fp, start, size = _buckets(part)
     two = start[size == 2]
     d = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1)
-    close = (d <= distance) & (grp[two] != grp[two + 1])
+    close = d <= distance
     out_a, out_b, out_d = [nid[two[close]]], [nid[two[close] + 1]], [d[close]]
     for lo, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
-        f, ids, own = fp[lo : lo + n].copy(), nid[lo : lo + n].copy(), grp[lo : lo + n].copy()
+        f, ids = fp[lo : lo + n].copy(), nid[lo : lo + n].copy()
         near, via = np.full(n, 1 << 30, np.int64), np.zeros(n, np.int64)
         a, b, c = [], [], []
         for m in range(n - 1, 0, -1):  # the tree's newest member is at m, those not in it are before
-            d = np.where(own[:m] == own[m], -1, np.bitwise_count(f[:m] ^ f[m]).sum(axis=1).astype(np.int64))
+            d = np.bitwise_count(f[:m] ^ f[m]).sum(axis=1).astype(np.int64)
             closer = d < near[:m]
             near[:m][closer], via[:m][closer] = d[closer], ids[m]
             j = int(near[:m].argmin())
-            if 0 <= near[j] <= distance:
+            if near[j] <= distance:
                 a.append(via[j])
                 b.append(ids[j])
                 c.append(near[j])
-            for v in (f, ids, own, near, via):
+            for v in (f, ids, near, via):
                 v[[j, m - 1]] = v[[m - 1, j]]
         out_a.append(np.array(a, np.int64))
         out_b.append(np.array(b, np.int64))
         out_d.append(np.array(c, np.int64))
-    a, b, d = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_d).astype(np.int64)
-    if len(a):
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], names=["a", "b", "d"])
+    yield from _edges(out_a, out_b, out_d)
+
+
+def _closest(part: pa.Table, distance: int, nearest: int):
+    """Of each member of each group of equal keys the nearest close ones of another grp."""
+    nid, grp, fp, start, size = _buckets(part)
+    out_a, out_b, out_d = [nid[:0]], [nid[:0]], [nid[:0]]
+    for lo, n in zip(start.tolist(), size.tolist()):
+        if (grp[lo : lo + n] == grp[lo]).all():
+            continue
+        for i in range(lo, lo + n):
+            d = np.bitwise_count(fp[lo : lo + n] ^ fp[i]).sum(axis=1)
+            hit = np.flatnonzero((d <= distance) & (grp[lo : lo + n] != grp[i]))
+            if len(hit) > nearest:
+                hit = hit[np.argsort(d[hit], kind="stable")[:nearest]]
+            out_a.append(np.full(len(hit), nid[i]))
+            out_b.append(nid[lo + hit])
+            out_d.append(d[hit])
+    yield from _edges(out_a, out_b, out_d)
 
 
 def dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 8, seed: int = 42, **options) -> DataFrame:
