@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
 import uuid
@@ -59,6 +60,12 @@ def discard(*tables: DataFrame | None) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of queries that are done: it does so when the driver's JVM finds their plans unused."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def join_checked(df: DataFrame, small: DataFrame, on, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a written table: broadcast behind a count of its rows, else by shuffle, where AQE splits hot keys."""
     return df.join(F.broadcast(small) if small.limit(limit + 1).count() <= limit else small, on, how)

@@ -10,15 +10,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import discard, field, join_checked, materialize, table, with_arrow
+from .common import discard, field, freed, join_checked, materialize, table, with_arrow
 from .components import connected_components
 
 #: Buckets of up to so many different fingerprints are joined with themselves; larger ones go by midpoints.
 PAIR_BUCKET = 64
 #: Fingerprint bits fall in 4 blocks of 16; two that differ at 2 bits or fewer agree on 2 blocks at least.
 BLOCKS = 4
-#: Candidates that a node gives in each block at first, where closer ones failed.
-NEAREST = 8
+#: Where candidates fail: those that a node gives in each block at first, and the 64-bit words of the fingerprints that are compared.
+NEAREST, LONGER = 4, 32
+#: Standard deviations of the Hamming estimate within which a pair is a candidate.
+SLACK = 2.0
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -162,14 +164,14 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, wor
 
     At 0.8 some 15 of 100 fingerprint bits differ, so no split in disjoint blocks that are worth a join leaves one equal for sure.
     The fingerprint therefore has 64 * `words` bits and blocks are many choices of its bits (see plan). Pairs that meet in a block
-    within the expected distance and three standard deviations are candidates; each one that is used is verified on the sets
+    within the expected distance and SLACK standard deviations are candidates; each one that is used is verified on the sets
     themselves (see Linking). Equal sets are one node. Each block gives the closest candidates that connect what its candidates
-    connect. Where some fail, the nodes of the groups that they keep apart are looked at again: each gives its NEAREST candidates
-    in other groups in each block, then twice as many, until a pass links nothing new. No block gives all its pairs.
+    connect. Where some fail, the nodes of the groups that they keep apart are looked at again by LONGER fingerprints: each gives its
+    NEAREST candidates in other groups in each block, then twice as many, until a pass links nothing new. No block gives all its pairs.
     Null and empty texts are copies of one another. An empty table gives no rows.
     """
     bits = 64 * words
-    distance = allowed_distance(similarity, bits, 3.0)
+    distance = allowed_distance(similarity, bits, SLACK)
 
     def marks():
         def of(texts):
@@ -186,15 +188,20 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, wor
     met = materialize(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     texts = join_checked(rows.select(F.col("__rid__").alias("node"), "text"), met, "node", "inner")
     sets = materialize(with_arrow(texts, lambda: lambda texts: [[shingle_set(t, width, seed).tobytes() for t in texts]], ["text"], [field("s", T.BinaryType())]).select("node", "s"))
+    freed(docs.sparkSession)
     links, nearest = Linking(met, sets, similarity), NEAREST
     links.take(found)
-    while not (apart := links.apart()).isEmpty():
-        some = materialize(join_checked(nodes, apart.withColumnRenamed("node", "nid"), "nid", "inner").select("nid", "grp", "_fp"))
-        if not links.take(links.untried(candidates(some, distance, size, blocks, seed, chunk, nearest))):
-            break
-        nearest *= 2
-    groups = nodes.join(links.label.withColumnRenamed("node", "nid"), "nid", "left").select("__set__", F.coalesce("root", "nid").alias("__root__"))
-    return rows, materialize(groups)
+    discard(found)
+    close, grew = allowed_distance(similarity, 64 * LONGER, SLACK), True
+    while grew and not (apart := links.apart()).isEmpty():
+        longer = with_arrow(join_checked(sets, apart, "node", "inner"), lambda: lambda raw: [[set_fingerprint(np.frombuffer(x, np.uint64), LONGER) for x in raw]], ["s"], [field("_fp", T.BinaryType())])
+        some = materialize(longer.select(F.col("node").alias("nid"), "grp", "_fp"))
+        more = candidates(some, close, *plan(some.count(), 64 * LONGER, allowed_distance(similarity, 64 * LONGER), miss), seed, chunk, nearest)
+        grew, nearest = links.take(more), 2 * nearest
+        discard(apart, some, more)
+    groups = materialize(nodes.join(links.label.withColumnRenamed("node", "nid"), "nid", "left").select("__set__", F.coalesce("root", "nid").alias("__root__")))
+    discard(nodes, met, sets, links.label, *links.written)
+    return rows, groups
 
 
 def candidates(nodes: DataFrame, distance: int, size: int, blocks: int, seed: int, chunk: int, nearest: int = 0) -> DataFrame:
@@ -243,7 +250,7 @@ class Linking:
 
     def __init__(self, nodes: DataFrame, sets: DataFrame, similarity: float):
         self.label = nodes.select("node", F.col("node").alias("root"))
-        self.sets, self.similarity, self.tried = sets, similarity, nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        self.sets, self.similarity, self.written, self.tried = sets, similarity, [], nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
 
     def take(self, pairs: DataFrame) -> bool:
         """Verifies of pairs (a, b, d) enough to connect whatever they connect; whether any was linked. A pair whose ends are
@@ -260,6 +267,7 @@ class Linking:
                 close = close.groupBy("n", *(["to"] if turn else [])).agg(F.min(F.struct("d", "a", "b", "ra", "rb")).alias("e")).select("e.*").distinct()
             close = materialize(close.select("a", "b", "ra", "rb"))
             good = self.verified(close)
+            self.written.append(close)
             self.tried = self.tried.unionByName(close.select("a", "b"))
             if not good.isEmpty():
                 grew = True
@@ -267,7 +275,9 @@ class Linking:
                 self.label = merged(self.label, comp)
                 discard(comp, last)
             discard(good)
-            left = self.crossing(pairs)
+            left, last = self.crossing(pairs), left
+            discard(last)
+        discard(left)
         return grew
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -280,10 +290,7 @@ class Linking:
         """The pairs (a, b, d) with the roots of their ends, where these differ and the pair was not tried."""
         for c in "ab":
             pairs = join_checked(pairs, self.label.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "inner")
-        return materialize(self.untried(pairs.where("ra <> rb")).select("a", "b", "d", "ra", "rb"))
-
-    def untried(self, pairs: DataFrame) -> DataFrame:
-        return materialize(join_checked(pairs, self.tried, ["a", "b"], "left_anti"))
+        return materialize(join_checked(pairs.where("ra <> rb"), self.tried, ["a", "b"], "left_anti").select("a", "b", "d", "ra", "rb"))
 
     def apart(self) -> DataFrame:
         """(node, grp) of the components that some tried pair failed to connect."""
@@ -291,7 +298,9 @@ class Linking:
         for c in "ab":
             pairs = join_checked(pairs, self.label.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "inner")
         roots = materialize(pairs.where("ra <> rb").select(F.explode(F.array("ra", "rb")).alias("root")).distinct())
-        return materialize(join_checked(self.label, roots, "root", "left_semi").select("node", F.col("root").alias("grp")))
+        out = materialize(join_checked(self.label, roots, "root", "left_semi").select("node", F.col("root").alias("grp")))
+        discard(roots)
+        return out
 
 
 def merged(label: DataFrame, comp: DataFrame) -> DataFrame:
@@ -396,6 +405,7 @@ def dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int =
     found = rows.groupBy("__set__", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("__rid__").alias("rid")).join(groups, "__set__")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__set__", "n", "rid")).alias("k")
     keep = materialize(found.groupBy("__root__").agg(best).select("__root__", "k.*"))
+    freed(docs.sparkSession)
     one = rows.join(keep.where("n = 1").select(F.col("rid").alias("__rid__")), "__rid__", "left_semi")
     several = keep.where("n > 1").select("__root__", "__set__", F.col("doc_id").alias("__id__"))
     held = rows.join(several, "__set__").where(F.col("doc_id").eqNullSafe(F.col("__id__")))
