@@ -160,7 +160,7 @@ def otsu(values: np.ndarray, bins: int = 256) -> float:
 
 def ellipse(points: np.ndarray) -> dict | None:
     """The direct least-squares ellipse through (y, x) points: centre, half axes, angle; None if there is none."""
-    if len(points) < 6:
+    if len(points) < 5:
         return None
     c = points.mean(axis=0)
     y, x = (points - c).T
@@ -192,64 +192,125 @@ def ellipse(points: np.ndarray) -> dict | None:
     return {"cy": float(y0 * s + c[0]), "cx": float(x0 * s + c[1]), "major": float(axes[i]), "minor": float(axes[1 - i]), "angle": float(math.atan2(vecs[1, i], vecs[0, i]) % math.pi)}
 
 
-def ellipse_distance(e: dict, points: np.ndarray) -> np.ndarray:
-    """About how far points lie from an ellipse (their radius less the ellipse's in their direction)."""
-    dy, dx = points[:, 0] - e["cy"], points[:, 1] - e["cx"]
+def level(values: np.ndarray) -> float:
+    """Otsu's threshold of 8-bit values: the grey level up to which the dark class goes."""
+    n = np.bincount(values.astype(np.uint8).ravel(), minlength=256).astype(float)
+    w, s = np.cumsum(n), np.cumsum(n * np.arange(256))
+    rest = w[-1] - w
+    apart = np.divide((s[-1] * w - s * w[-1]) ** 2, w * rest, out=np.zeros(256), where=(w > 0) & (rest > 0))
+    return float(np.argmax(apart)) if w[-1] else float("nan")
+
+
+def radial(e: dict, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, radius) of places from an ellipse: the first-order distance, below 0 inside, and the radius in half axes."""
+    dy, dx = y - e["cy"], x - e["cx"]
     u, v = dx * math.cos(e["angle"]) + dy * math.sin(e["angle"]), -dx * math.sin(e["angle"]) + dy * math.cos(e["angle"])
-    r = np.hypot(u, v)
     rho = np.hypot(u / e["major"], v / e["minor"])
-    return r - r / np.maximum(rho, 1e-9)
+    slope = np.hypot(u / e["major"] ** 2, v / e["minor"] ** 2) / np.maximum(rho, 1e-15)
+    return (rho - 1) / np.maximum(slope, 1e-15), rho
+
+
+def ellipse_distance(e: dict, points: np.ndarray) -> np.ndarray:
+    """How far (y, x) points lie from an ellipse, to first order."""
+    return np.abs(radial(e, points[:, 0], points[:, 1])[0])
 
 
 def boundary(mask: np.ndarray) -> np.ndarray:
     return np.argwhere(mask & dilate(~np.pad(mask, 1), 1)[1:-1, 1:-1])
 
 
+#: Fixed values of a lid's chord: the least corridor in pixels and in residuals, tries at most, points, share of the boundary, span
+#: over the bounding box's diagonal, largest gap over the span, offset from the middle over the extent, and the wider corridor.
+CHORD = {"px": 3.5, "residuals": 1.75, "tries": 80, "points": 12, "share": 0.10, "span": 0.25, "gap": 0.30, "offset": 0.90, "wide": 1.5}
+
+
+def chord(points: np.ndarray, residual: float, tries: int, rng: np.random.Generator) -> np.ndarray:
+    """Which points belong to a straight stretch that cuts the shape off, as a lid does; none if the best line doesn't look like one."""
+    near = max(CHORD["px"], CHORD["residuals"] * residual)
+    none, best = np.zeros(len(points), bool), None
+    for _ in range(min(tries, CHORD["tries"])):
+        a, b = points[rng.choice(len(points), 2, replace=False)].astype(float)
+        along = (b - a) / np.hypot(*(b - a))
+        hit = np.abs((points - a) @ np.array([-along[1], along[0]])) <= near
+        if best is None or hit.sum() > best.sum():
+            best = hit
+    line = points[best].astype(float)
+    if len(line) < CHORD["points"] or len(line) < CHORD["share"] * len(points):
+        return none
+    middle, centre = line.mean(axis=0), points.mean(axis=0)
+    along = np.linalg.svd(line - middle, full_matrices=False)[2][0]
+    across = np.array([-along[1], along[0]])
+    place = np.sort(line @ along)
+    span = place[-1] - place[0]
+    gap = np.diff(place).max() / max(span, 1e-12)
+    offset = abs((middle - centre) @ across) / max(np.abs((points - centre) @ across).max(), 1e-12)
+    if span < CHORD["span"] * np.hypot(*np.ptp(points, axis=0)) or gap > CHORD["gap"] or offset > CHORD["offset"]:
+        return none
+    return np.abs((points - middle) @ across) <= CHORD["wide"] * near
+
+
 def fit_ellipse(mask: np.ndarray, residual: float = 2.0, trials: int = 200, seed: int = 0) -> dict | None:
-    """An ellipse through a mask's boundary. A straight stretch (a lid's chord) is found by random lines and left out if it holds a
-    fair share of the boundary; then far points are trimmed step by step; if that fails, random subsets vote."""
-    pts = boundary(mask)
-    if len(pts) < 12:
+    """An ellipse through a mask's boundary without a lid's chord: a direct fit, three times trimmed of far points, and if too little
+    of the boundary lies on it, the best of random subsets. Centre in the image, half axes from 2 pixels to half the image's larger
+    side, or there is none. residual: the median distance of the points on it; inlier_fraction: of the whole boundary."""
+    every = boundary(mask)
+    if len(every) < 12:
         return None
     rng = np.random.default_rng(seed)
-    chord, share = np.zeros(len(pts), bool), 0.0
-    for _ in range(trials):
-        a, b = pts[rng.integers(0, len(pts), 2)]
-        n = np.hypot(*(b - a))
-        if n < 5:
-            continue
-        off = np.abs((pts[:, 0] - a[0]) * (b[1] - a[1]) - (pts[:, 1] - a[1]) * (b[0] - a[0])) / n
-        if (near := off < 0.75).mean() > share:
-            chord, share = near, float(near.mean())
-    use = pts[~chord] if share >= 0.16 else pts
-    e, left = None, use
-    for _ in range(5):
-        e = ellipse(left)
-        if e is None:
-            break
-        d = np.abs(ellipse_distance(e, left))
-        keep = d <= max(residual, 2.5 * np.median(d))
-        if keep.all() or keep.sum() < 12:
-            break
-        left = left[keep]
-    inlier = lambda e: float((np.abs(ellipse_distance(e, use)) <= residual).mean())
-    if e is None or inlier(e) < 0.5:
+    cut = chord(every, residual, trials, rng)
+    use = every[~cut]
+    if len(use) < 12:
+        return None
+
+    def sound(e):
+        return e is not None and 0 <= e["cx"] < mask.shape[1] and 0 <= e["cy"] < mask.shape[0] and e["minor"] >= 2 and e["major"] <= 0.5 * max(mask.shape)
+
+    def rated(e):
+        d = ellipse_distance(e, use)
+        on = d <= residual
+        return int(on.sum()), -float(np.median(d[on])) if on.any() else -np.inf, on
+
+    def trimmed(e):
+        for _ in range(3):
+            d = ellipse_distance(e, use)
+            mid = np.median(d)
+            keep = d <= max(residual, mid + 3 * 1.4826 * np.median(np.abs(d - mid)))
+            new = ellipse(use[keep]) if keep.sum() >= 12 else None
+            if new is None:
+                break
+            e = new
+        return e
+
+    e, voted = ellipse(use), False
+    if e is not None:
+        e = trimmed(e)
+    if not sound(e) or rated(e)[0] < 0.45 * len(every):
+        e, voted, top = None, True, (-1, -np.inf)
         for _ in range(trials):
-            c = ellipse(use[rng.choice(len(use), min(len(use), 8), replace=False)])
-            if c and c["major"] < max(mask.shape) and (e is None or inlier(c) > inlier(e)):
-                e = c
-    if e is None:
+            c = ellipse(use[rng.choice(len(use), 5, replace=False)])
+            if sound(c) and rated(c)[:2] > top:
+                e, top = c, rated(c)[:2]
+        for _ in range(2):
+            new = ellipse(use[rated(e)[2]]) if e is not None else None
+            if not sound(new):
+                break
+            e = new
+    if e is None or not rated(e)[0]:
         return None
-    d = np.abs(ellipse_distance(e, use))
-    return {**e, "area": float(mask.sum()), "axis_ratio": e["minor"] / e["major"], "residual": float(np.sqrt((d**2).mean())), "inlier_fraction": float((d <= residual).mean()), "chord_fraction": share, "diameter": 2 * math.sqrt(e["major"] * e["minor"])}
-
-
-def trim_protrusions(mask: np.ndarray, e: dict, margin: float = 6.0, fraction: float = 0.06, least: float = 0.02, most: float = 0.2) -> np.ndarray:
-    """The mask without what stands out of its ellipse, if that is a fair share of it."""
-    pts = np.argwhere(mask)
-    out = ellipse_distance(e, pts) > max(margin, fraction * 2 * e["major"])
-    if not least <= out.mean() <= most:
-        return mask
-    new = mask.copy()
-    new[tuple(pts[out].T)] = False
-    return new
+    n, mid, _ = rated(e)
+    a, b = e["major"], e["minor"]
+    return {**e, "area": math.pi * a * b, "axis_ratio": b / a, "residual": -mid, "inlier_fraction": n / len(every), "chord_fraction": float(cut.mean()), "diameter": 2 * math.sqrt(a * b), "used_ransac": float(voted)}
+
+
+def trim_protrusions(mask: np.ndarray, e: dict | None, margin: float = 6.0, fraction: float = 0.06, least: float = 0.02, most: float = 0.2) -> tuple[np.ndarray, float]:
+    """(mask, removed share): the largest piece of the mask within a margin of its ellipse, holes filled, if what goes is a fair share
+    and 20 pixels stay; else the mask as it is and 0."""
+    total = int(mask.sum())
+    if e is None or not total:
+        return mask, 0.0
+    far = radial(e, *np.indices(mask.shape))[0] > max(margin, fraction * e["major"])
+    kept = largest(mask & ~far, eight=False)
+    removed = 1 - int(kept.sum()) / total
+    if not least <= removed <= most or kept.sum() < 20:
+        return mask, 0.0
+    return fill_holes(kept), removed

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import finite, safe_ratio
 
-#: Bounds of the fast time constant in seconds and of the slow one's ratio to it, seconds after an odor that are left
-#: out, and the least number of frames.
-FAST_S, RATIO, GUARD_S, LEAST_FRAMES, LEAST_ROWS = (0.1, 10.0), (2.0, 40.0), 6.0, 20, 8
+#: Bounds of the fast time constant in seconds (of a single one it is the only one) and of the slow one's ratio to it,
+#: seconds after an odor that are left out, and the least number of frames.
+FAST_S, ONLY_S, RATIO, GUARD_S, LEAST_FRAMES, LEAST_ROWS = (0.1, 10.0), (0.1, 60.0), (2.0, 40.0), 6.0, 20, 8
 
 
 def outside(frame, on, off, guard: float) -> Column:
@@ -18,11 +18,19 @@ def outside(frame, on, off, guard: float) -> Column:
     return (F.col(frame) < F.col(on)) | (F.col(frame) >= F.col(off) + guard)
 
 
-def fit_baseline(means: DataFrame, keys: list[str], frame: str, value: str, rate: float, components: int = 2) -> DataFrame:
-    """(keys, ok, tau_fast, tau_slow, a_fast, a_slow, c, r2) of a * exp(-t/tau) sums fitted to mean traces outside the odor window.
+def fit_baseline(means: DataFrame, keys: list[str], frame: str, value: str, rate: float, components: int = 2, window: str = "outside", odor: tuple[int, int] | None = None, guard_s: float = GUARD_S) -> DataFrame:
+    """(keys, ok, tau_fast, tau_slow, a_fast, a_slow, c, r2) of a * exp(-t/tau) sums fitted to mean traces. odor: the first onset and
+    the last end of the odor in frames; frames from it until guard_s after it are left out, or (window "pre") all from it on. None:
+    the traces are all baseline. A key may hold the trial, for a fit of each trial.
 
     For given time constants the rest is linear, so only those are searched: a grid over their bounds, refined around its best
     point. One mean trace for each key goes to a task; its length is that of a trial."""
+    if window not in ("pre", "outside"):
+        raise ValueError(f"window is 'pre' or 'outside', not {window!r}")
+    if odor is not None:
+        on, off = odor
+        means = means.where(F.col(frame) < on) if window == "pre" else means.where((F.col(frame) < on) | (F.col(frame) >= off + round(guard_s * rate)))
+    taus = FAST_S if components == 2 else ONLY_S
     schema = ", ".join([*[f"{k} {means.schema[k].dataType.simpleString()}" for k in keys], "ok boolean, tau_fast double, tau_slow double, a_fast double, a_slow double, c double, r2 double"])
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -36,7 +44,7 @@ def fit_baseline(means: DataFrame, keys: list[str], frame: str, value: str, rate
             b = np.linalg.lstsq(x, y, rcond=None)[0]
             return float(((y - x @ b) ** 2).sum()), b
 
-        lo, hi = np.log(FAST_S[0]), np.log(FAST_S[1])
+        lo, hi = np.log(taus[0]), np.log(taus[1])
         rlo, rhi = np.log(RATIO[0]), np.log(RATIO[1])
         best = None
         for _ in range(5):
@@ -46,7 +54,7 @@ def fit_baseline(means: DataFrame, keys: list[str], frame: str, value: str, rate
                     if best is None or e < best[0] - 1e-15:
                         best = e, lt, lr, b
             w, r = (hi - lo) / 6, (rhi - rlo) / 4
-            lo, hi = max(np.log(FAST_S[0]), best[1] - w / 2), min(np.log(FAST_S[1]), best[1] + w / 2)
+            lo, hi = max(np.log(taus[0]), best[1] - w / 2), min(np.log(taus[1]), best[1] + w / 2)
             rlo, rhi = max(np.log(RATIO[0]), best[2] - r / 2), min(np.log(RATIO[1]), best[2] + r / 2)
         e, lt, lr, b = best
         total = float(((y - y.mean()) ** 2).sum())

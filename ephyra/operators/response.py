@@ -42,15 +42,17 @@ def trial_deltas(traces: DataFrame, keys: list[str], frame, value: str, on, off,
     return got.withColumn("delta", F.col("resp") - F.col("base"))
 
 
-def trial_responses(traces: DataFrame, roi: list[str], trial: str, frame, value: str, on, off, pooled: bool = True) -> DataFrame:
-    """(roi, trial, dff, z): the response against |base|, and against the standard deviation before the onset, of the trial or
-    (pooled) of all its roi's trials."""
-    t = F.col(frame)
+def trial_responses(traces: DataFrame, roi: list[str], trial: str, frame, value: str, on, off, pooled: bool = True, baseline_frames: int | None = None, carry: list[str] = ()) -> DataFrame:
+    """(roi, trial, carry, dff, z): the response less the mean of the baseline (the last baseline_frames before the onset, or all),
+    against |base|, and against the standard deviation of all frames before the onset, of the trial or (pooled) within all its
+    roi's trials. carry: columns that are the same in all frames of a trial."""
+    t, on = F.col(frame), F.col(on)
     v = finite(value)
-    pre, post = F.when(t < F.col(on), v), F.when((t >= F.col(on)) & (t < F.col(off)), v)
-    got = traces.groupBy(*roi, trial).agg(F.avg(pre).alias("base"), F.avg(post).alias("resp"), F.var_pop(pre).alias("_var"), F.count(pre).alias("_n"))
+    pre, post = F.when(t < on, v), F.when((t >= on) & (t < F.col(off)), v)
+    base = F.when((t < on) & (t >= on - baseline_frames), v) if baseline_frames else pre
+    got = traces.groupBy(*roi, trial, *carry).agg(F.avg(base).alias("base"), F.avg(post).alias("resp"), F.var_pop(pre).alias("_var"), F.count(pre).alias("_n"))
     var = F.sum(F.col("_var") * F.col("_n")).over(Window.partitionBy(*roi)) / F.sum("_n").over(Window.partitionBy(*roi)) if pooled else F.col("_var")
-    return got.withColumn("sd", F.sqrt(var)).withColumns({"dff": safe_ratio(F.col("resp") - F.col("base"), F.abs("base"), 1e-9), "z": safe_ratio(F.col("resp") - F.col("base"), "sd")}).drop("_var", "_n")
+    return got.withColumn("sd", F.sqrt(var)).withColumns({"dff": safe_ratio(F.col("resp") - F.col("base"), F.abs("base"), 1e-9), "z": safe_ratio(F.col("resp") - F.col("base"), "sd", 1e-9)}).drop("_var", "_n")
 
 
 def t_statistics(deltas: DataFrame, keys: list[str], value: str = "delta", min_trials: int = 5) -> DataFrame:
@@ -134,6 +136,43 @@ def treves_rolls(rates: DataFrame, keys: list[str], rate: str) -> DataFrame:
     return a.withColumn("sparseness", safe_ratio(1 - safe_ratio(F.col("_m") * F.col("_m"), "_q"), 1 - F.lit(1.0) / F.col("n"))).drop("_m", "_q")
 
 
+def sham_offsets(first_onset: int, span: int, n_base: int, step_fraction: float = 0.2) -> list[int]:
+    """How many frames before the onset sham windows begin: from one span on, as long as a baseline of n_base frames is left."""
+    return list(range(span, first_onset - n_base + 1, max(1, round(step_fraction * span))))
+
+
+def sham_responses(traces: DataFrame, offsets: list[int], span: int, baseline_frames: int, frame: str = "frame", value: str = "v") -> DataFrame:
+    """(roi, odor, place, offset, z): the mean over an odor's trials of the pooled z of windows that begin `offset` frames before the
+    onset, made as a real response's is. One pass over traces (roi, trial, odor, frame, v, on) for all offsets."""
+    t, on, v = F.col(frame), F.col("on"), finite(value)
+    each = []
+    for i, shift in enumerate(offsets):
+        at = on - shift
+        pre = F.when(t < at, v)
+        each.append(F.struct(F.lit(i).alias("place"), F.lit(shift).alias("offset"), F.avg(F.when((t >= at) & (t < at + span), v)).alias("resp"), F.avg(F.when((t < at) & (t >= at - baseline_frames), v)).alias("base"), F.var_pop(pre).alias("var"), F.count(pre).alias("n")))
+    long = traces.groupBy("roi", "trial", "odor").agg(F.array(*each).alias("_w")).select("roi", "trial", "odor", F.explode("_w").alias("_w")).select("roi", "trial", "odor", "_w.*")
+    w = Window.partitionBy("roi", "place")
+    sd = F.sqrt(F.sum(F.col("var") * F.col("n")).over(w) / F.sum("n").over(w))
+    return long.withColumn("z", safe_ratio(F.col("resp") - F.col("base"), sd, 1e-9)).groupBy("roi", "odor", "place", "offset").agg(F.avg("z").alias("z"))
+
+
+def sham_null(sham: DataFrame, target: float = 0.01) -> DataFrame:
+    """One row: thresholds at the target share of each tail of the sham responses at every other offset (the fitted ones), and the share
+    that passes them at the offsets between (held out): whether the calibration holds."""
+    fitted, held = F.when(F.col("place") % 2 == 0, F.col("z")), F.when(F.col("place") % 2 == 1, F.col("z"))
+    cut = sham.agg(F.percentile(fitted, 1 - target).alias("z_excited"), F.percentile(fitted, target).alias("z_suppressed"), F.count(fitted).alias("n_null"), F.countDistinct("place").alias("n_offsets"))
+    held_out = sham.select(held.alias("h")).where("h is not null").join(F.broadcast(cut))
+    rate = held_out.agg(F.avg((F.col("h") >= F.col("z_excited")).cast("double")).alias("achieved_excited"), F.avg((F.col("h") <= F.col("z_suppressed")).cast("double")).alias("achieved_suppressed"))
+    return cut.join(F.broadcast(rate)).withColumns({"target": F.lit(target), "available": F.col("n_offsets") >= 2})
+
+
+def sham_null_by_roi(sham: DataFrame, target: float = 0.01) -> DataFrame:
+    """(roi, z_excited, z_suppressed, n, reliable): thresholds of each roi from its fitted offsets; reliable if five samples lie beyond
+    the target."""
+    z = sham.where("place % 2 = 0")
+    return z.groupBy("roi").agg(F.percentile("z", 1 - target).alias("z_excited"), F.percentile("z", target).alias("z_suppressed"), F.count("z").alias("n")).withColumn("reliable", F.col("n") * target >= 5)
+
+
 def sham_windows(traces: DataFrame, keys: list[str], frame: str, value: str, on: str, span: int, step: int) -> DataFrame:
     """(keys, offset, sham): mean over [offset, offset + span) less the mean of the span before, for windows that slide by `step`
     before the onset. Each frame goes to the windows that hold it, without a join."""

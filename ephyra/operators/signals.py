@@ -14,7 +14,7 @@ from . import clock
 
 #: Fixed values of the respiration channel.
 FILTER_HZ, SNIFF_HZ, NOISE_HZ, ORDER = (1.0, 50.0), (0.5, 15.0), (20.0, 100.0), 2
-MEDIAN_S, ENVELOPE_S, ENVELOPE_PCT, EXCURSION, QUALITY_S = 0.3, 2.0, 90.0, 0.7, 1.0
+MEDIAN_S, ENVELOPE_S, ENVELOPE_PCT, EXCURSION, QUALITY_S, QUIET = 0.3, 2.0, 90.0, 0.7, 1.0, 0.2
 
 
 def butterworth(low: float, high: float, rate: float, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -70,28 +70,34 @@ def running_median(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def envelope(x: np.ndarray, rate: float, window_s: float = ENVELOPE_S) -> np.ndarray:
-    """The 90th percentile of |x| in tiles, on lines between their middles; never 0."""
-    k = max(1, int(window_s * rate))
-    tiles = [np.percentile(np.abs(x[i : i + k]), ENVELOPE_PCT) for i in range(0, len(x), k)]
-    mids = [i + min(k, len(x) - i) / 2 for i in range(0, len(x), k)]
-    return np.maximum(np.interp(np.arange(len(x)), mids, tiles), 1e-12)
+    """The 90th percentile of |x| in tiles of at least 8 samples, on lines between the tiles' middles. Quiet tiles count as a
+    fifth of the median tile, so that silence is not blown up to breaths."""
+    k = max(int(window_s * rate), 8)
+    tiles = np.array([np.percentile(np.abs(x[i : i + k]), ENVELOPE_PCT) for i in range(0, len(x), k)])
+    return np.interp(np.arange(len(x)), (np.arange(len(tiles)) + 0.5) * k, np.maximum(tiles, QUIET * np.median(tiles)))
 
 
 def onsets(x: np.ndarray, rate: float, band=SNIFF_HZ, excursion: float = EXCURSION) -> np.ndarray:
-    """Samples at which the signal over its envelope passes 0 upwards, at least one period of the band's top after the last one that
-    counted, and after a trough deep enough since then."""
-    if len(x) < 3:
+    """The last samples at or below 0 before the signal over its envelope rises above it: the first one, and each that comes at least
+    one period of the band's top after the last that counted, with a trough deep enough between them. Missing samples lie on lines
+    between their neighbours; a flat signal has no onset."""
+    fine = np.isfinite(x)
+    if fine.sum() < 3:
         return np.zeros(0, np.int64)
-    y = (x - running_median(x, int(MEDIAN_S * rate) | 1)) / envelope(x, rate)
-    deep = excursion * np.percentile(y, 10)
-    up = np.flatnonzero((y[:-1] <= 0) & (y[1:] > 0)) + 1
-    low = np.minimum.reduceat(y, np.concatenate([[0], up]))[: len(up)] if len(up) else []
-    out, last, trough = [], -np.inf, np.inf
-    for i, v in zip(up.tolist(), low):
-        trough = min(trough, v)
-        if i - last >= rate / band[1] and trough <= deep:
-            out.append(i)
-            last, trough = i, np.inf
+    y = x - x[fine].mean()
+    y = np.interp(np.arange(len(x)), np.flatnonzero(fine), y[fine])
+    y = y - running_median(y, max(int(MEDIAN_S * rate) | 1, 3))
+    size = envelope(y, rate)
+    y = np.divide(y, size, out=np.zeros(len(y)), where=size > 0)
+    up = np.flatnonzero((y[:-1] <= 0) & (y[1:] > 0))
+    if len(up) < 2:
+        return up
+    deep = np.flatnonzero(y <= excursion * min(float(np.percentile(y, 10)), 0.0))
+    trough = np.append(deep, -1)[np.searchsorted(deep, up, "right") - 1]  # the last deep sample up to each rise
+    out = [int(up[0])]
+    for at, low in zip(up[1:].tolist(), trough[1:].tolist()):
+        if at - out[-1] >= rate / band[1] and low > out[-1]:
+            out.append(at)
     return np.array(out, np.int64)
 
 
@@ -156,6 +162,11 @@ def quality_report(scores: DataFrame, keys: list[str], thresholds=(0.1, 0.2, 0.2
     return scores.groupBy(*keys).agg(*aggs).select(*keys, F.explode(F.array(*[f"_{i}" for i in range(len(thresholds))])).alias("_t")).select(*keys, "_t.*")
 
 
+def tile_envelope(samples: DataFrame, keys: list[str], at: str, value: str, width: int, q: float = ENVELOPE_PCT / 100) -> DataFrame:
+    """(keys, tile, n, envelope): a percentile of |value| in tiles of `width` along `at`."""
+    return samples.groupBy(*keys, F.floor(F.col(at) / width).cast("long").alias("tile")).agg(F.count(F.lit(1)).alias("n"), F.percentile(F.abs(F.col(value)), q).alias("envelope"))
+
+
 def trial_frames(rates: DataFrame, keys: list[str], trial: str, most: float = 0.2) -> DataFrame:
     """(keys, trial, masked_fraction, flagged)."""
     return rates.groupBy(*keys, trial).agg(F.avg(F.col("rate").isNull().cast("double")).alias("masked_fraction")).withColumn("flagged", F.col("masked_fraction") > most)

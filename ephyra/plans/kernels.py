@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import rounded
-from ..functions.special import first_component, normal_pvalue, t_pvalue
+from ..functions.special import normal_pvalue, t_pvalue
 from ..operators import baseline, frames, response, segment, signals
 from .queries import _deltas, _traces, query, table
 
@@ -28,17 +28,11 @@ def normal_tails(spark, d):
 
 @query()
 def deglobal_pc1(spark, d):
-    """Residuals of rois less their first common component over trials; a group's matrix is rois x frames of one label."""
-    wide = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        x = x - x.mean(axis=1, keepdims=True)
-        v = first_component(x)
-        left = x - np.outer(x @ v, v)
-        return pd.DataFrame({"vec_id": pdf["vec_id"], "label": key[0], "clean": [np.round(r, 6).tolist() for r in left]})
+    """Responses of trials less their first common component over rois."""
+    from . import reports
 
-    return wide.groupBy("label").applyInPandas(run, "vec_id long, label int, clean array<double>")
+    z = reports.trial_windows(_session(spark, d), ["roi", "odor", "trial"], 12).select("roi", "odor", "trial", F.col("d").alias("z"))
+    return reports.without_first_component(z, "z").select("roi", "odor", "trial", rounded("z").alias("z"))
 
 
 def _samples(spark, d):
@@ -64,8 +58,9 @@ def band_power_quality(spark, d):
 
 @query()
 def fit_baseline(spark, d):
+    """One fit for each label, outside an odor from frame 20 to 30 and two seconds after it."""
     m = _traces(spark, d).groupBy("label", "frame").agg(F.avg("v").alias("v"))
-    return baseline.fit_baseline(m, ["label"], "frame", "v", 8.0).select("label", "ok", *[rounded(c).alias(c) for c in ("tau_fast", "tau_slow", "c", "r2")])
+    return baseline.fit_baseline(m, ["label"], "frame", "v", 8.0, odor=(20, 30), guard_s=2.0).select("label", "ok", *[rounded(c).alias(c) for c in ("tau_fast", "tau_slow", "c", "r2")])
 
 
 @query()
@@ -157,6 +152,71 @@ def qc_report(spark, d):
     return r.select(*[rounded(c, 4).alias(c) if t == "double" else F.col(c) for c, t in r.dtypes])
 
 
+#: Of 20 trials at most none lies 5 deviations out, so the SQL needs no outliers. Sham windows of 8 frames begin 8, 10, ..., 24 before.
+SHAM = """with f as (select vec_id % 50 as roi, vec_id // 50 as trial, (vec_id // 50) % 5 as odor, (vec_id // 50) % 2 as st, i - 1 as frame, embedding[i]::double as v from embeddings, range(1, 65) r(i)),
+ o as (select range as place, 8 + 2 * range as s from range(9)),
+ w as (select roi, trial, odor, place, avg(v) filter (where frame >= 32 - s and frame < 40 - s) as r, avg(v) filter (where frame < 32 - s and frame >= 28 - s) as b, var_pop(v) filter (where frame < 32 - s) as var, count(v) filter (where frame < 32 - s) as n from f, o group by all),
+ p as (select *, sqrt(sum(var * n) over (partition by roi, place) / sum(n) over (partition by roi, place)) as sd from w), z as (select roi, odor, place, avg((r - b) / sd) as z from p group by all),
+ c as (select quantile_cont(z, 0.99) filter (where place % 2 = 0) as up, quantile_cont(z, 0.01) filter (where place % 2 = 0) as down, count(z) filter (where place % 2 = 0) as n_null from z)"""
+CELLS = SHAM + """, e as (select roi, trial, odor, case when st = 0 then 'pre' else 'post' end as state, avg(v) filter (where frame < 32 and frame >= 28) as base, avg(v) filter (where frame >= 32 and frame < 48) as resp, var_pop(v) filter (where frame < 32) as var from f group by all),
+ y as (select *, (resp - base) / abs(base) as dff, (resp - base) / sqrt(avg(var) over (partition by roi)) as ze from e),
+ k as (select state from y group by state having count(distinct trial) >= (select count(distinct odor) from y)),
+ q as (select 'pooled' as block, roi, odor, avg(dff) as dff, avg(ze) as z from y group by all union all select state, roi, odor, avg(dff), avg(ze) from y where state in (select state from k) group by all),
+ a as (select q.*, z >= up as exc, z <= down as sup, z >= up or z <= down as hit from q, c)"""
+SPARSE = "round((1 - avg(abs(dff)) ** 2 / avg(dff * dff)) / nullif(1 - 1.0 / count(dff), 0), 6)"
+
+
+def _qc(spark, d):
+    from . import qc
+
+    t = _session(spark, d)
+    null, _ = qc.thresholds(t, 4.0)
+    resp = response.trial_responses(t, ["roi"], "trial", "frame", "v", "on", "off", True, 4, ["odor", "state"])
+    return qc.called(qc.cells(resp), null)
+
+
+@query(SHAM + """ select round(up, 6) as z_excited, round(down, 6) as z_suppressed, n_null, round((select avg((z >= up)::int) from z where place % 2 = 1), 6) as achieved_excited,
+ round((select avg((z <= down)::int) from z where place % 2 = 1), 6) as achieved_suppressed from c""")
+def sham_null(spark, d):
+    from . import qc
+
+    null, _ = qc.thresholds(_session(spark, d), 4.0)
+    return null.select("n_null", *[rounded(c).alias(c) for c in ("z_excited", "z_suppressed", "achieved_excited", "achieved_suppressed")])
+
+
+@query(CELLS + f" select block, odor::int as odor, round(avg(hit::int), 6) as responsive, round(avg(exc::int), 6) as excited, round(avg(sup::int), 6) as suppressed, {SPARSE} as sparseness from a group by block, odor")
+def qc_odor_block(spark, d):
+    from . import qc
+
+    return qc.odor_block(_qc(spark, d)).select("block", "odor", *[rounded(c).alias(c) for c in ("responsive", "excited", "suppressed", "sparseness")])
+
+
+@query(CELLS + f" select block, roi, count(*) filter (where hit) as n_odors, bool_and(sup) as suppressed_by_all, {SPARSE} as sparseness from a group by block, roi")
+def qc_roi_block(spark, d):
+    from . import qc
+
+    return qc.roi_block(_qc(spark, d)).select("block", "roi", "n_odors", "suppressed_by_all", rounded("sparseness").alias("sparseness"))
+
+
+@query(CELLS + """, r as (select block, roi, bool_or(hit) as n_any, bool_and(hit) as n_all, bool_or(exc) as e, bool_or(sup) as s, (1 - avg(abs(dff)) ** 2 / avg(dff * dff)) / nullif(1 - 1.0 / count(dff), 0) as life from a group by all)
+ select block, n_rois, n_any, n_all, n_excited, n_suppressed, lifetime_median, dff_p95 from (select block, count(*) as n_rois, count(*) filter (where n_any) as n_any, count(*) filter (where n_all) as n_all, count(*) filter (where e) as n_excited,
+ count(*) filter (where s) as n_suppressed, round(median(life), 6) as lifetime_median from r group by block) join (select block, round(quantile_cont(dff, 0.95), 4) as dff_p95 from a group by block) using (block)""")
+def qc_block_rows(spark, d):
+    from . import qc
+
+    return qc.block_rows(_qc(spark, d)).select("block", "n_rois", "n_any", "n_all", "n_excited", "n_suppressed", rounded("lifetime_median").alias("lifetime_median"), rounded("dff_p95", 4).alias("dff_p95"))
+
+
+@query()
+def response_qc(spark, d):
+    """The flags of a session's report."""
+    from . import qc
+
+    t = _session(spark, d)
+    _, report = qc.response_qc(t, t.groupBy("roi").agg(F.count_distinct("trial").alias("area")), 4.0)
+    return report.select("n_rois", "n_any", "source", F.concat_ws("; ", "flags").alias("flags"))
+
+
 @query("""with f as (select vec_id % 50 as roi, (vec_id // 50) % 5 as odor, vec_id // 50 as trial, i - 1 as frame, embedding[i]::double as v from embeddings, range(1, 65) r(i)), t as (select roi, odor, trial, avg(v) filter (where frame >= 32 and frame < 48) - avg(v) filter (where frame < 32) as d from f group by all)
  select roi, """ + ", ".join(f'round(avg(d) filter (where odor = {i}), 6) as "{i}"' for i in range(5)) + " from t group by roi")
 def by_odor(spark, d):

@@ -39,14 +39,14 @@ SIGNAL = "with s as (select event_id, user_id, event_type, ts, epoch_us(ts) as u
 # -- trials and catalogs
 
 
-@query("""select c.c_custkey, o.o_orderkey, o.o_orderstatus, n.n_name as region_label,
- round((epoch_us(o.o_orderdate) - epoch_us(timestamp '1992-01-01')) / 1e6 / 86400, 6) as days
- from orders o left join customer c on o.o_custkey = c.c_custkey left join nation n on c.c_nationkey = n.n_nationkey""")
+@query("""with t as (select o_orderkey, o_custkey, epoch_us(o_orderdate) as d from orders), a as (select c_custkey, epoch_us(timestamp '1992-01-01') as s from customer where c_custkey % 7 > 0)
+ select o_orderkey, 3600.0 as odor_duration_s, 86400.0 as baseline_s, round((d - s) / 1e6, 3) as odor_minus_acq_start_s from t left join a on o_custkey = c_custkey""")
 def trial_table(spark, d):
-    """Trials left-joined with their acquisition and its group, and a duration in days."""
-    o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
-    days = (micros("o_orderdate") - micros(F.lit("1992-01-01 00:00:00").cast("timestamp"))) / F.lit(1e6) / 86400
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "o_orderkey", "o_orderstatus", F.col("n_name").alias("region_label"), rounded(days).alias("days"))
+    """Orders as trials of an hour from the order's date, a day after their start; some have no acquisition."""
+    at = F.col("o_orderdate").cast("timestamp")
+    t = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("acq_id"), at.alias("odor_on"), (at + F.expr("interval 1 hour")).alias("odor_off"), (at - F.expr("interval 1 day")).alias("trial_start"))
+    a = table(spark, d, "customer").where("c_custkey % 7 > 0").select(F.col("c_custkey").alias("acq_id"), F.lit("1992-01-01 00:00:00").cast("timestamp").alias("acq_start"))
+    return catalog.trial_table(t, a).select("o_orderkey", *[rounded(c, 3).alias(c) for c in ("odor_duration_s", "baseline_s", "odor_minus_acq_start_s")])
 
 
 @query(SIGNAL + """, p as (select user_id, event_type, min(ts) as f from s group by all),
@@ -255,8 +255,9 @@ def rolling_median3(spark, d):
 
 @query(SIGNAL + " select user_id, cast(us // 86400000000 as bigint) as tile, count(*) as n, round(quantile_cont(abs(value), 0.9), 6) as envelope from s group by all")
 def tile_quality(spark, d):
-    s = signal(spark, d).withColumn("tile", F.floor(F.col("us") / 86_400_000_000).cast("long"))
-    return s.groupBy("user_id", "tile").agg(F.count(F.lit(1)).alias("n"), rounded(F.expr("percentile(abs(value), 0.9)")).alias("envelope"))
+    from ..operators import signals
+
+    return signals.tile_envelope(signal(spark, d), ["user_id"], "us", "value", 86_400_000_000).withColumn("envelope", rounded("envelope"))
 
 
 # -- movies and masks: part sizes and brands stand for places
@@ -524,13 +525,11 @@ def bleaching(spark, d):
     return response.bleaching(m, ["label"], "frame", "m").select("label", rounded("first").alias("first"), rounded("last").alias("last"), rounded("percent", 3).alias("percent"))
 
 
-@query("""with r as (select user_id, event_type, bool_or(value > 95) as a, bool_and(value > 1) as b, avg(value) as dff from events group by all)
+@query("""with r as (select user_id, event_type, bool_or(value > 95) as a, bool_and(value > 95) as b, avg(value) as dff from events group by all)
  select coalesce(event_type, 'all') as event_type, count(*) as n, count(*) filter (where a) as n_any, count(*) filter (where b) as n_all, round(quantile_cont(dff, 0.5), 6) as median_dff, round(quantile_cont(dff, 0.95), 6) as p95_dff from r group by grouping sets ((event_type), ())""")
 def qc_blocks(spark, d):
-    e = table(spark, d, "events")
-    per = e.groupBy("user_id", "event_type").agg(F.bool_or(F.col("value") > 95).alias("_any"), F.bool_and(F.col("value") > 1).alias("_all"), F.avg("value").alias("dff"))
-    got = per.groupingSets([[F.col("event_type")], []], F.col("event_type")).agg(F.count(F.lit(1)).alias("n"), F.count_if("_any").alias("n_any"), F.count_if("_all").alias("n_all"), F.expr("percentile(dff, 0.5)").alias("median_dff"), F.expr("percentile(dff, 0.95)").alias("p95_dff"))
-    return got.select(F.coalesce("event_type", F.lit("all")).alias("event_type"), "n", "n_any", "n_all", rounded("median_dff").alias("median_dff"), rounded("p95_dff").alias("p95_dff"))
+    got = response.qc_blocks(table(spark, d, "events").withColumn("called", F.col("value") > 95), "user_id", "event_type", "called", "value")
+    return got.select("event_type", "n", "n_any", "n_all", rounded("median_dff").alias("median_dff"), rounded("p95_dff").alias("p95_dff"))
 
 
 @query("""with r as (select user_id, count(*) as n, avg(value) as m, max(value) as x from events group by 1)
@@ -561,20 +560,25 @@ def detrend_exponential(spark, d):
 # -- frames
 
 
-@query("""with f as (select event_id, user_id, value, lag(value) over (partition by user_id order by ts, event_id) as b from events), m as (select user_id, median(value) as m from events group by 1)
- select event_id, coalesce(value < 0.3 * m, false) and coalesce(abs(value - b) > 0.5 * m, false) as blink, round(abs(value - b), 6) as jump from f join m using (user_id)""")
+@query("""with f as (select *, row_number() over (partition by user_id order by ts, event_id) / 10.0 as tm, event_id % 10 / 10.0 as inl, event_id % 4 as res from events),
+ g as (select *, abs(value - lag(value) over w) / 0.1 as rate, median(value) over (partition by user_id) as m from f window w as (partition by user_id order by tm)),
+ h as (select *, (value < 0.25 * m)::int + (inl < 0.55 or res > 3.0)::int + coalesce(rate > 150, false)::int as n, inl < 0.55 or res > 3.0 as bad from g)
+ select event_id, n >= 2 as blink, bad and n < 2 as clipped, round(rate, 3) as rate from h""")
 def blink_flags(spark, d):
-    w = Window.partitionBy("user_id")
-    e = table(spark, d, "events").withColumns({"m": F.median("value").over(w), "b": F.lag("value").over(w.orderBy("ts", "event_id"))})
-    jump = F.abs(F.col("value") - F.col("b"))
-    return e.select("event_id", (F.coalesce(F.col("value") < 0.3 * F.col("m"), F.lit(False)) & F.coalesce(jump > 0.5 * F.col("m"), F.lit(False))).alias("blink"), rounded(jump).alias("jump"))
+    """Events as measures of pupils, ten a second."""
+    from ..operators import frames
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    m = table(spark, d, "events").select("event_id", "user_id", (F.row_number().over(w) / F.lit(10.0)).alias("at"), F.col("value").alias("area"), F.col("value").alias("diameter"), F.lit(0.9).alias("axis_ratio"), (F.col("event_id") % 10 / F.lit(10.0)).alias("inlier_fraction"), (F.col("event_id") % 4).cast("double").alias("residual"))
+    return frames.classify(m, ["user_id"], "at", seconds="at").select("event_id", "blink", "clipped", rounded("rate", 3).alias("rate"))
 
 
 @query("select user_id, cast(ts as date) as trial, round(avg(case when value > 150 then 1.0 else 0 end), 6) as masked_fraction, avg(case when value > 150 then 1.0 else 0 end) > 0.2 as flagged from events group by all")
 def masked_fraction(spark, d):
     e = table(spark, d, "events").withColumn("rate", F.when(F.col("value") <= 150, F.col("value")))
-    g = e.groupBy("user_id", F.to_date("ts").alias("trial")).agg(F.avg(F.col("rate").isNull().cast("double")).alias("masked"))
-    return g.select("user_id", "trial", rounded("masked").alias("masked_fraction"), (F.col("masked") > 0.2).alias("flagged"))
+    from ..operators import signals
+
+    return signals.trial_frames(e.withColumn("trial", F.to_date("ts")), ["user_id"], "trial").withColumn("masked_fraction", rounded("masked_fraction"))
 
 
 # -- grouping of rois

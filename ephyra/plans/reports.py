@@ -41,18 +41,24 @@ def trial_calls(traces: DataFrame, width: int, *, deglobal: str | None = None, r
     return got.select(*keys, "z", "control", yes(F.col("z") >= F.col("_e")).alias("excited"), yes(F.col("z") <= F.col("_s")).alias("suppressed"))
 
 
-def without_first_component(z: DataFrame, value: str) -> DataFrame:
+def without_first_component(z: DataFrame, value: str, tolerance: float = 1e-9, most: int = 200) -> DataFrame:
     """z (roi, odor, trial, value) less what the first right singular vector of the rois' residuals (from their odor's mean) explains.
-    The vector is found by power iteration in the cluster: each step is two sums over the long table, and only trials' weights move."""
+    The vector is found by power iteration in the cluster, until it moves by no more than the tolerance: each step is two sums over the
+    long table, and only trials' weights move."""
     from ..sources.shared import saved
 
     r = saved(z.withColumn("_res", F.coalesce(F.col(value) - F.avg(value).over(Window.partitionBy("roi", "odor")), F.lit(0.0))))
-    v = r.groupBy("odor", "trial").agg(F.avg("_res").alias("_w")).withColumn("_w", F.col("_w") + F.lit(1e-9))
-    for _ in range(12):
+    # a start that no symmetry of the data cancels
+    v = saved(r.groupBy("odor", "trial").agg((F.avg("_res") + F.pmod(F.xxhash64("odor", "trial"), F.lit(1000)) * 1e-3).alias("_w")))
+    for _ in range(most):
         u = r.join(v, ["odor", "trial"]).groupBy("roi").agg(F.sum(F.col("_res") * F.col("_w")).alias("_u"))
-        v = r.join(u, "roi").groupBy("odor", "trial").agg(F.sum(F.col("_res") * F.col("_u")).alias("_w"))
-        norm = v.agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
-        v = saved(v.crossJoin(F.broadcast(norm)).select("odor", "trial", F.coalesce(safe_ratio("_w", "_n"), F.lit(0.0)).alias("_w")))
+        new = r.join(u, "roi").groupBy("odor", "trial").agg(F.sum(F.col("_res") * F.col("_u")).alias("_w"))
+        norm = new.agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
+        new = saved(new.join(F.broadcast(norm)).select("odor", "trial", F.coalesce(safe_ratio("_w", "_n"), F.lit(0.0)).alias("_w")))
+        moved = new.join(v.withColumnRenamed("_w", "_old"), ["odor", "trial"]).agg(F.sqrt(F.sum(F.pow(F.col("_w") - F.col("_old"), 2)))).first()[0]
+        v = new
+        if moved is None or moved <= tolerance:
+            break
     centred = v.withColumn("_g", F.col("_w") - F.avg("_w").over(Window.partitionBy("odor"))).drop("_w")
     both = r.join(centred, ["odor", "trial"])
     slope = both.groupBy("roi").agg(safe_ratio(F.sum(F.col("_res") * F.col("_g")), F.sum(F.col("_g") * F.col("_g"))).alias("_b"))
@@ -98,7 +104,9 @@ def trial_counts(calls: DataFrame, high: float = 2.0, low: float = -2.0) -> Data
 
 def qc_report(traces: DataFrame, width: int, *, deglobal: str | None = "pc1", target_fdr: float = 0.05) -> DataFrame:
     """One row: rois, trials, shares called against chance, split-half control, mean sparseness, and flags."""
-    calls = trial_calls(traces, width, deglobal=deglobal, target_fdr=target_fdr).persist()
+    from ..sources.shared import saved
+
+    calls = saved(trial_calls(traces, width, deglobal=deglobal, target_fdr=target_fdr))
     sp = response.sparsity(calls, ["odor"], "trial", "excited").agg(F.avg("mean").alias("mean_sparsity"))
     life = response.treves_rolls(calls.groupBy("roi", "odor").agg(F.avg("z").alias("r")), ["roi"], "r").agg(F.avg("sparseness").alias("mean_lifetime"))
     places = calls.withColumn("place", F.col("trial").cast("long"))

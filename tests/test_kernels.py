@@ -36,6 +36,28 @@ def test_running_median_and_onsets():
     assert 56 <= len(on) <= 61 and abs(np.median(np.diff(on)) - 80) <= 1
 
 
+def test_onsets_are_the_samples_before_the_rise():
+    t = np.arange(0, 10, 1 / 200)
+    x = np.sin(2 * np.pi * 2 * t - 0.3)
+    on = signals.onsets(x, 200.0)
+    y = x - signals.running_median(x, 61)
+    assert len(on) >= 18 and (y[on] <= 1e-12).all() and (y[on + 1] > 0).all()
+    gap = x.copy()
+    gap[500:503] = np.nan
+    assert abs(len(signals.onsets(gap, 200.0)) - len(on)) <= 1 and len(signals.onsets(np.full(100, np.nan), 200.0)) == 0 and len(signals.onsets(np.zeros(100), 200.0)) == 0
+
+
+def test_silence_is_no_breath():
+    """A stretch with a hundredth of the amplitude counts as a fifth of the median: its ripples reach no trough."""
+    t = np.arange(0, 20, 1 / 200)
+    x = np.sin(2 * np.pi * 3 * t) * np.where((t > 8) & (t < 14), 0.01, 1.0)
+    env = signals.envelope(x, 200.0)
+    assert env[2200] == pytest.approx(0.2 * np.median([np.percentile(np.abs(x[i : i + 400]), 90) for i in range(0, len(x), 400)]))
+    on = signals.onsets(x, 200.0)
+    assert ((on > 9 * 200) & (on < 13 * 200)).sum() <= 1 < (on < 8 * 200).sum()
+    assert signals.envelope(np.array([1.0, -1.0] * 6), 1.0)[0] == 1.0
+
+
 def test_quality_separates_breath_from_noise():
     g, t = np.random.default_rng(3), np.arange(0, 10, 1 / 400)
     breath, noise = np.sin(2 * np.pi * 4 * t) + 0.01 * g.standard_normal(len(t)), g.standard_normal(len(t))
@@ -135,8 +157,11 @@ def test_somas_and_processes():
     yy, xx = np.mgrid[:60, :60]
     im += np.exp(-((yy - 15) ** 2 + (xx - 15) ** 2) / 20)
     im[45, 10:50] += 0.8
-    somas = segment.soma_blobs(im, p=segment.SegmentParams(min_diameter_px=4, max_diameter_px=16))
-    assert somas[15, 15]
+    im += 0.9 * np.exp(-((yy - 30) ** 2 + (xx - 42) ** 2) / 50)
+    somas = segment.soma_blobs(im, segment.SomaParams(border_px=5))
+    assert somas[15, 15] == 1 and somas[30, 42] == 2 and set(np.unique(somas)) == {0, 1, 2}
+    assert {(y, x) for y, x, _ in segment.blobs(np.clip(im, 0, 1), segment.SomaParams(border_px=5))} >= {(15, 15), (30, 42)}
+    assert segment._shared(0, 2, 5) == 1 and segment._shared(8, 2, 5) == 0 and 0 < segment._shared(4, 2, 5) < 1
     pr = segment.processes(im, np.where(somas == somas[15, 15], 1, 0))
     assert (pr[44:47, 15:45] > 0).any(axis=0).mean() > 0.9
 
@@ -151,7 +176,9 @@ def test_ellipse_of_a_clipped_pupil():
     e = images.fit_ellipse(m)
     assert abs(e["cy"] - 60) < 1 and abs(e["cx"] - 70) < 1 and abs(e["major"] - 35) < 1.5 and abs(e["minor"] - 24) < 1.5
     m[:54] = False
+    assert e["area"] == pytest.approx(math.pi * e["major"] * e["minor"]) and e["inlier_fraction"] > 0.95 and e["residual"] < 1
     e = images.fit_ellipse(m)
+    assert e["inlier_fraction"] < 0.9  # of the whole boundary, the lid's edge too
     assert e["chord_fraction"] >= 0.16 and abs(e["cy"] - 60) < 4 and abs(e["cx"] - 70) < 3 and abs(e["major"] - 35) < 5 and abs(e["minor"] - 24) < 5
     assert images.fit_ellipse(np.zeros((20, 20), bool)) is None
 
@@ -161,31 +188,59 @@ def test_protrusions():
     tail = m.copy()
     tail[55:66, 95:125] = True
     e = images.fit_ellipse(m)
-    assert images.trim_protrusions(tail, e).sum() < tail.sum() * 0.99
+    trimmed, removed = images.trim_protrusions(tail, e)
+    assert trimmed.sum() < tail.sum() * 0.99 and removed == pytest.approx(1 - trimmed.sum() / tail.sum(), abs=0.01)
     corner = m.copy()
     corner[30:33, 60:64] = True
-    assert images.trim_protrusions(corner, e).sum() == corner.sum()
+    assert images.trim_protrusions(corner, e)[0].sum() == corner.sum() and images.trim_protrusions(corner, e)[1] == 0
 
 
 def test_pupil_frames(spark):
     f = np.zeros((100, 100), np.uint8)
     f[20:80, 20:80] = 50
     f[40:60, 40:60] = 220
-    assert (frames.segment_bright(f)[40:60, 40:60]).all() and frames.segment_bright(f).sum() == 400
+    mask, threshold = frames.segment_bright(f)
+    assert mask[40:60, 40:60].all() and mask.sum() == 400 and 50 <= threshold < 220
+    roi = frames.PupilConfig(roi=(0, 100, 0, 50))  # y0, y1, x0, x1
+    assert frames.segment_bright(f, roi)[0].sum() == 200 and not frames.segment_bright(f, roi)[0][:, 50:].any()
+    assert not frames.segment_bright(np.full((9, 9), 90, np.uint8))[0].any()
     dark = np.full((40, 50), 42, np.uint8)
     a = frames.analyze(dark, 0)
+    lit = f.copy()
+    lit[:, 60:] = 255
+    assert frames.analyze(lit, 0, frames.PupilConfig(roi=(0, 100, 0, 30)))["active"] == 0  # dark where it is looked at
     assert a["peak"] == 42 and a["active"] == 0 and math.isnan(a["threshold"])
     eye = np.where(disk((80, 80), 40, 40, 15, 20), 200, 20).astype(np.uint8)
     rows = [("v", i, 80, 80, bytearray(eye.tobytes())) for i in range(4)] + [("v", 4, 40, 50, bytearray(dark.tobytes()))]
     got = frames.classify(frames.pupils(spark.createDataFrame(rows, "k string, index long, height int, width int, pixels binary"), ["k"]), ["k"], "index").orderBy("index").collect()
-    assert [r["blink"] for r in got] == [False] * 4 + [True] and abs(got[0]["diameter"] - 2 * math.sqrt(300)) < 2
+    assert [r["blink"] for r in got] == [False] * 5 and [r["clipped"] for r in got] == [False] * 4 + [True] and abs(got[0]["diameter"] - 2 * math.sqrt(300)) < 2
 
 
 def test_blink_rules(spark):
-    rows = [("a", 0, 100.0, 0.9, 1.0, 0.9, 10.0), ("a", 1, 90.0, 0.2, 5.0, 0.2, 11.0), ("a", 2, 5.0, 0.2, 5.0, 0.2, 2.0), ("a", 3, 100.0, 0.9, 1.0, 0.9, 10.0)]
-    df = spark.createDataFrame(rows, "k string, i int, area double, axis_ratio double, residual double, inlier_fraction double, diameter double")
-    got = frames.classify(df, ["k"], "i").orderBy("i").collect()
-    assert [r["blink"] for r in got] == [False, False, True, False] and [r["clipped"] for r in got] == [False, True, False, False]
+    """Two of a collapse, a bad fit and a jump; a bad fit alone is clipped. 10 frames a second."""
+    good = (100.0, 0.9, 1.0, 0.9, 50.0)
+    rows = [good, good, (20.0, 0.9, 1.0, 0.9, 50.0), (20.0, 0.9, 5.0, 0.9, 50.0), (100.0, 0.2, 1.0, 0.3, 50.0), (100.0, 0.9, 1.0, 0.5, 50.0), (100.0, 0.9, 3.5, 0.9, 50.0), (100.0, 0.9, 1.0, 0.5, 70.0), good, (None, None, None, None, None), good, good]
+    df = spark.createDataFrame([("a", i, i / 10, *r) for i, r in enumerate(rows)], "k string, i int, at double, area double, axis_ratio double, residual double, inlier_fraction double, diameter double")
+    got = frames.classify(df, ["k"], "i", seconds="at").orderBy("i").collect()
+    assert [r["blink"] for r in got] == [False, False, False, True, True, False, False, True, False, False, False, False]
+    assert [r["clipped"] for r in got] == [False, False, False, False, False, True, True, False, False, True, False, False]
+    assert got[7]["rate"] == pytest.approx(200) and got[0]["rate"] is None
+    off = frames.classify(df.withColumn("on", F.col("i") < 3), ["k"], "i", seconds="at", active="on").orderBy("i").collect()
+    assert not any(r["blink"] or r["clipped"] for r in off)
+
+
+def test_seeds_flood_against_their_surroundings():
+    yy, xx = np.mgrid[:40, :60]
+    im = np.exp(-((yy - 20) ** 2 + (xx - 20) ** 2) / 20) + np.exp(-((yy - 20) ** 2 + (xx - 33) ** 2) / 20)
+    p, free = segment.SegmentParams(min_diameter_px=3, max_diameter_px=12), np.ones(im.shape, bool)
+    got = segment.grow_seed(im, (20, 20), free, p)
+    assert got[20, 20] and not got[20, 30:].any() and got.sum() <= p.area_bounds()[1]
+    low = segment.grow_seed(im, (2, 50), free, p, 60)
+    assert low.sum() == (np.hypot(yy - 2, xx - 50) <= 1.5).sum()
+    taken = free.copy()
+    taken[20, 20] = False
+    assert not segment.grow_seed(im, (20, 20), taken, p)[20, 20]
+    assert not segment.grow_seed(im, (-1, 5), free, p).any()
 
 
 def test_baselines(spark):
@@ -196,6 +251,14 @@ def test_baselines(spark):
     assert out < 1e-6
     fit = baseline.fit_baseline(df.where(mask).groupBy("roi", "frame").agg(F.avg("v").alias("v")), ["roi"], "frame", "v", 10.0).collect()
     assert all(f["ok"] and f["r2"] > 0.999 for f in fit)
+    slow = spark.createDataFrame([(0, i, 3 * math.exp(-i / 300) + 1) for i in range(600)], "roi int, frame int, v double")
+    one = baseline.fit_baseline(slow, ["roi"], "frame", "v", 10.0, components=1).first()
+    assert abs(one["tau_fast"] - 30) < 0.1 and one["tau_slow"] is None  # beyond what a fast part may have
+    bump = df.withColumn("v", F.col("v") + F.when((F.col("frame") >= 25) & (F.col("frame") < 50), 4.0).otherwise(0.0))
+    both = [baseline.fit_baseline(bump, ["roi"], "frame", "v", 10.0, odor=(25, 35), guard_s=1.5, window=w).collect() for w in ("outside", "pre")]
+    assert all(f["ok"] and f["r2"] > 0.999 for fits in both for f in fits)
+    with pytest.raises(ValueError):
+        baseline.fit_baseline(df, ["roi"], "frame", "v", 10.0, window="after")
     assert not baseline.fit_baseline(df.where("frame < 10"), ["roi"], "frame", "v", 10.0).first()["ok"]
     shape = baseline.fit_shape(df, ["roi"], "frame", "v", mask, 80)
     flat = baseline.detrend_by_shape(df, ["roi"], "frame", "v", mask, shape).where(mask)

@@ -35,6 +35,78 @@ def test_responders_and_calls(spark):
     assert r["n_rois"] == 6 and r["n_trials"] == 12 and 0.1 < r["share_excited"] < 0.3
 
 
+def test_first_component_equals_the_decomposition(spark):
+    """Two close components: the result is that of the singular value decomposition, not a mixture."""
+    g = np.random.default_rng(4)
+    x = np.outer(g.standard_normal(9), g.standard_normal(20)) * 2.0 + np.outer(g.standard_normal(9), g.standard_normal(20)) * 1.7
+    rows = [(r, 0, t, float(x[r, t])) for r in range(9) for t in range(20)]
+    got = {(r["roi"], r["trial"]): r["z"] for r in reports.without_first_component(spark.createDataFrame(rows, "roi int, odor int, trial int, z double"), "z").collect()}
+    res = x - x.mean(axis=1, keepdims=True)
+    v = np.linalg.svd(res)[2][0]
+    v = v - v.mean()
+    want = x - np.outer(res @ v / (v @ v), v)
+    assert max(abs(got[r, t] - want[r, t]) for r in range(9) for t in range(20)) < 1e-5
+
+
+def brute_sham(x, odors, on, offsets, span, base):
+    z = np.empty((len(offsets), x.shape[0], len(set(odors))))
+    for i, shift in enumerate(offsets):
+        at = on - shift
+        sd = np.sqrt(np.mean((x[:, :, :at] - x[:, :, :at].mean(axis=2, keepdims=True)) ** 2, axis=(1, 2)))
+        per = (x[:, :, at : at + span].mean(axis=2) - x[:, :, at - base : at].mean(axis=2)) / sd[:, None]
+        for k in sorted(set(odors)):
+            z[i, :, k] = per[:, np.array(odors) == k].mean(axis=1)
+    return z
+
+
+def test_sham_null_equals_brute_force(spark):
+    from ephyra.plans import qc
+
+    g = np.random.default_rng(5)
+    x, odors = g.standard_normal((7, 10, 60)) + 10, [k % 2 for k in range(10)]
+    t = spark.createDataFrame([(r, k, odors[k], "pre" if k < 5 else "post", i, float(x[r, k, i]), 40, 55) for r in range(7) for k in range(10) for i in range(60)], "roi int, trial int, odor int, state string, frame int, v double, on int, off int")
+    null, rois = qc.thresholds(t, 4.0, 0.1, per_roi=True)
+    from ephyra.operators import response
+
+    offsets = response.sham_offsets(40, 8, 8)
+    assert offsets == list(range(8, 33, 2))
+    z = brute_sham(x, odors, 40, offsets, 8, 4)
+    fit, held = z[0::2].ravel(), z[1::2].ravel()
+    row = null.first()
+    assert row["z_excited"] == pytest.approx(np.percentile(fit, 90)) and row["z_suppressed"] == pytest.approx(np.percentile(fit, 10)) and row["n_null"] == fit.size
+    assert row["achieved_excited"] == pytest.approx((held >= np.percentile(fit, 90)).mean()) and row["available"] and not row["per_roi"] and rois is None
+    own = {r["roi"]: r["z_excited"] for r in response.sham_null_by_roi(response.sham_responses(t, offsets, 8, 4), 0.1).collect()}
+    assert all(own[r] == pytest.approx(np.percentile(z[0::2, r].ravel(), 90)) for r in range(7))
+    short = qc.thresholds(t.withColumn("on", F.lit(12)), 4.0)[0].first()
+    assert not short["available"] and short["z_excited"] == qc.Z_EXCITED
+
+
+def test_response_qc_and_its_flags(spark):
+    from ephyra.plans import qc
+
+    s = session(spark, n_trial=12).withColumn("v", F.col("v") - F.when(F.col("trial") == 3, 200.0).otherwise(0.0))
+    areas = spark.createDataFrame([(r, 5 if r == 2 else 50) for r in range(6)], "roi int, area int")
+    blocks, report = qc.response_qc(s, areas, 4.0, target=0.02, outlier_sd=3.0)
+    b, r = {x["block"]: x for x in blocks.collect()}, report.first()
+    assert set(b) == {"pooled", "pre", "post"} and b["pooled"]["n_excited"] >= 1 and b["pooled"]["n_suppressed"] >= 1 and r["n_dead"] == 1 and r["n_tiny"] == 1
+    assert any("10 pixels" in f for f in r["flags"]) and r["source"] == "calibrated"
+    assert r["n_suppressed_by_all"] >= 1
+    strict = qc.response_qc(s, areas, 4.0, fixed=(3.0, -3.0), outlier_sd=3.0)[1].first()
+    assert strict["n_excited"] == strict["n_suppressed"] == strict["n_suppressed_by_all"] == 1 and any("suppressed by every odor" in f for f in strict["flags"])
+    quiet = qc.response_qc(session(spark, n_trial=6).where("roi > 1"), areas, 4.0, fixed=(50.0, -50.0))[1].first()
+    assert any("fewer than a tenth" in f for f in quiet["flags"]) and quiet["source"] == "fixed" and quiet["n_any"] == 0
+    short = qc.response_qc(session(spark).withColumn("on", F.lit(10)), areas, 4.0, per_roi=True)[1].first()
+    assert any("no null" in f for f in short["flags"]) and any("too few sham" in f for f in short["flags"])
+    falling = session(spark).withColumn("v", F.col("v") * (1 - 0.05 * F.col("trial")) * (1 - 0.005 * F.col("frame")))
+    flags = qc.response_qc(falling, areas, 4.0)[1].first()["flags"]
+    assert any("within a trial" in f for f in flags) and any("first trial to the last" in f for f in flags)
+    odors, trial = qc.trial_report(s, areas, 4.0, 10, outlier_sd=3.0)
+    o, t = {(x["block"], x["odor"]): x for x in odors.collect()}, trial.first()
+    assert t["dead_trials"] == [3] and t["n_trials"] == 11 and any("left out" in f for f in t["flags"]) and any("manipulation" in f for f in t["flags"])
+    assert 0.1 < o["pooled", 0]["excited"] < 0.4 and ("pre", 1) in o
+    assert not any("manipulation" in f for f in qc.trial_report(s, areas, 4.0, 10, manipulation="saline")[1].first()["flags"])
+
+
 def test_first_component_goes(spark):
     g = np.random.default_rng(1)
     w, common = g.standard_normal(8), g.standard_normal(30) * 5
