@@ -21,6 +21,8 @@ BLOCKS = 4
 NEAREST, LONGER = 4, 32
 #: Standard deviations of the Hamming estimate within which a pair is a candidate.
 SLACK = 2.0
+#: Bits of a fingerprint that go to the blocks.
+SKETCH = 128
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -134,9 +136,10 @@ def simhash_components(docs: DataFrame, width: int = 3, seed: int = 42, distance
 
 
 def plan(n: int, bits: int, distance: int, miss: float) -> tuple[int, int]:
-    """(bits of a block, blocks): blocks of log2(n) bits and two more keep chance buckets small; so many blocks that a pair at the
-    distance itself shares none of them with the probability `miss` (closer pairs: far less)."""
-    size = min(48, max(12, math.ceil(math.log2(max(n, 2))) + 2))
+    """(bits of a block, blocks): blocks of so many bits that by chance some 64 of n fingerprints share one, and so many blocks that a
+    pair at the distance itself shares none of them with the probability `miss` (closer pairs: far less). Comparisons inside a block
+    are cheap next to another block for each row; the number of blocks grows as n to the power 0.24 at a similarity of 0.8."""
+    size = min(48, max(12, math.ceil(math.log2(max(n, 2))) - 6))
     return size, math.ceil(math.log(miss) / math.log(1 - (1 - distance / bits) ** size))
 
 
@@ -184,7 +187,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, wor
     rows = materialize(marked.withColumn("__rid__", F.monotonically_increasing_id()))
     nodes = materialize(rows.groupBy("__set__", F.col("__fp__").alias("_fp")).agg(F.min("__rid__").alias("nid")))
     size, blocks = plan(nodes.count(), bits, allowed_distance(similarity, bits), miss)
-    found = candidates(nodes.select("nid", F.col("nid").alias("grp"), "_fp"), distance, size, blocks, seed, chunk)
+    found = candidates(nodes.select("nid", F.col("nid").alias("grp"), "_fp"), similarity, distance, size, blocks, seed, chunk)
     met = materialize(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     texts = join_checked(rows.select(F.col("__rid__").alias("node"), "text"), met, "node", "inner")
     sets = materialize(with_arrow(texts, lambda: lambda texts: [[shingle_set(t, width, seed).tobytes() for t in texts]], ["text"], [field("s", T.BinaryType())]).select("node", "s"))
@@ -196,7 +199,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, wor
     while grew and not (apart := links.apart()).isEmpty():
         longer = with_arrow(join_checked(sets, apart, "node", "inner"), lambda: lambda raw: [[set_fingerprint(np.frombuffer(x, np.uint64), LONGER) for x in raw]], ["s"], [field("_fp", T.BinaryType())])
         some = materialize(longer.select(F.col("node").alias("nid"), "grp", "_fp"))
-        more = candidates(some, close, *plan(some.count(), 64 * LONGER, allowed_distance(similarity, 64 * LONGER), miss), seed, chunk, nearest)
+        more = candidates(some, similarity, close, *plan(some.count(), 64 * LONGER, allowed_distance(similarity, 64 * LONGER), miss), seed, chunk, nearest)
         grew, nearest = links.take(more), 2 * nearest
         discard(apart, some, more)
     groups = materialize(nodes.join(links.label.withColumnRenamed("node", "nid"), "nid", "left").select("__set__", F.coalesce("root", "nid").alias("__root__")))
@@ -204,45 +207,70 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, wor
     return rows, groups
 
 
-def candidates(nodes: DataFrame, distance: int, size: int, blocks: int, seed: int, chunk: int, nearest: int = 0) -> DataFrame:
+def candidates(nodes: DataFrame, similarity: float, distance: int, size: int, blocks: int, seed: int, chunk: int, nearest: int = 0) -> DataFrame:
     """(a, b, d), a < b: pairs of nodes (nid, grp, _fp) of different grp that share a block and differ at d <= distance bits: those of
-    a least spanning forest of each bucket, or each node's `nearest` ones. Blocks that a node has alone go before fingerprints move. A bucket is cut in chunks, and each pair of chunks
-    is compared by itself, so that hot buckets spread over tasks."""
-    schema = T.StructType([field("nid", T.LongType()), field("keys", T.ArrayType(T.LongType()))])
+    a least spanning forest of each bucket, or each node's `nearest` ones. Only ids and 128 bits of the fingerprints go to the
+    blocks; members without another that is close by these leave, and fingerprints are fetched by id for the rest. Sizes of
+    buckets are summed in tasks before the shuffle. A bucket is cut in chunks, and each pair of chunks is compared by itself, so
+    that hot buckets spread over tasks."""
+    schema = T.StructType([field("nid", T.LongType()), field("s0", T.LongType()), field("s1", T.LongType()), field("keys", T.ArrayType(T.LongType()))])
 
     def keyed(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                keys = block_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1), size, blocks, seed)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                keys = block_keys(raw, size, blocks, seed)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, blocks, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), flat], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(raw[:, k : k + 8]).view("<i8")[:, 0]) for k in (0, 8)), flat], names=schema.names)
 
-    members = nodes.select("nid", "_fp").mapInArrow(keyed, schema).select("nid", F.explode("keys").alias("key"))
-    crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = members.join(crowded, "key").join(nodes, "nid")
+    members = nodes.select("nid", "_fp").mapInArrow(keyed, schema).select("nid", "s0", "s1", F.explode("keys").alias("key"))
+    crowded = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    met = join_checked(members, crowded, "key", "inner")
     cut = met.withColumn("chunks", F.ceil(F.col("m") / chunk).cast("int")).withColumn("own", F.pmod(F.xxhash64("nid"), "chunks").cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
     keys = ["key", "lo", "hi"]
-    sorted_blocks = cut.select(*keys, "nid", "_fp", "grp").repartition(*keys).sortWithinPartitions(*keys)
+    where = T.StructType([field("key", T.LongType()), field("lo", T.IntegerType()), field("hi", T.IntegerType()), field("nid", T.LongType())])
+    near = allowed_distance(similarity, SKETCH, 3.5)
+    by_block = cut.select(*keys, "nid", "s0", "s1").repartition(*keys).sortWithinPartitions(*keys)
+    asked = materialize(by_block.mapInArrow(lambda batches: _streamed(batches, chunk, lambda part: _near(part, near)), where))
+    sorted_blocks = join_checked(nodes, asked, "nid", "inner").select(*keys, "nid", "_fp", "grp").repartition(*keys).sortWithinPartitions(*keys)
     edge = T.StructType([field("a", T.LongType()), field("b", T.LongType()), field("d", T.LongType())])
+    pick = (lambda part: _closest(part, distance, nearest)) if nearest else (lambda part: _spanning(part, distance))
+    out = materialize(sorted_blocks.mapInArrow(lambda batches: _streamed(batches, chunk, pick), edge).distinct())
+    discard(crowded, asked)
+    return out
 
-    def compare(batches):
-        pick = (lambda part: _closest(part, distance, nearest)) if nearest else (lambda part: _spanning(part, distance))
-        rest = None
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 8 * chunk):
-                part = pa.Table.from_batches([batch.slice(lo, 8 * chunk)])
-                rest = part if rest is None else pa.concat_tables([rest, part])
-                ks = np.stack([rest.column(i).to_numpy() for i in range(3)], 1)
-                new = np.flatnonzero((ks[1:] != ks[:-1]).any(axis=1)) + 1
-                if len(new):
-                    yield from pick(rest.slice(0, int(new[-1])))
-                    rest = rest.slice(int(new[-1]))
-        if rest is not None and rest.num_rows:
-            yield from pick(rest)
 
-    return materialize(sorted_blocks.mapInArrow(compare, edge).distinct())
+def _streamed(batches, chunk: int, done):
+    """done(table) of whole groups of the first three columns, a bounded number of rows at a time."""
+    rest = None
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 8 * chunk):
+            part = pa.Table.from_batches([batch.slice(lo, 8 * chunk)])
+            rest = part if rest is None else pa.concat_tables([rest, part])
+            ks = np.stack([rest.column(i).to_numpy() for i in range(3)], 1)
+            new = np.flatnonzero((ks[1:] != ks[:-1]).any(axis=1)) + 1
+            if len(new):
+                yield from done(rest.slice(0, int(new[-1])))
+                rest = rest.slice(int(new[-1]))
+    if rest is not None and rest.num_rows:
+        yield from done(rest)
+
+
+def _near(part: pa.Table, distance: int):
+    """The rows (key, lo, hi, nid) that have another one of their block within the distance by their 128 bits."""
+    ks = np.stack([part.column(i).to_numpy() for i in range(3)], 1)
+    s = np.stack([part.column(i).to_numpy().view(np.uint64) for i in (4, 5)], 1)
+    edges = np.concatenate([[0], np.flatnonzero((ks[1:] != ks[:-1]).any(axis=1)) + 1, [len(ks)]])
+    hit = np.zeros(len(ks), bool)
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        own = s[lo:hi]
+        for at in range(0, hi - lo, 512) if hi - lo > 1 else ():
+            d = np.bitwise_count(own[at : at + 512, None] ^ own[None]).sum(axis=2, dtype=np.uint8)
+            d[np.arange(len(d)), at + np.arange(len(d))] = 255
+            hit[lo + at : lo + at + len(d)] = (d <= distance).any(axis=1)
+    yield from part.select(range(4)).filter(pa.array(hit)).combine_chunks().to_batches()
 
 
 class Linking:
@@ -275,7 +303,7 @@ class Linking:
                 self.label = merged(self.label, comp)
                 discard(comp, last)
             discard(good)
-            left, last = self.crossing(pairs), left
+            left, last = self.crossing(left.select("a", "b", "d")), left
             discard(last)
         discard(left)
         return grew
@@ -406,9 +434,11 @@ def dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int =
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__set__", "n", "rid")).alias("k")
     keep = materialize(found.groupBy("__root__").agg(best).select("__root__", "k.*"))
     freed(docs.sparkSession)
-    one = rows.join(keep.where("n = 1").select(F.col("rid").alias("__rid__")), "__rid__", "left_semi")
-    several = keep.where("n > 1").select("__root__", "__set__", F.col("doc_id").alias("__id__"))
-    held = rows.join(several, "__set__").where(F.col("doc_id").eqNullSafe(F.col("__id__")))
+    # what goes is less than what stays, so texts move only if it is too much to be broadcast
+    gone = materialize(rows.select("__rid__").join(keep.where("n = 1").select(F.col("rid").alias("__rid__")), "__rid__", "left_anti"))
+    one = join_checked(rows, gone, "__rid__", "left_anti")
+    several = materialize(keep.where("n > 1").select("__root__", "__set__", F.col("doc_id").alias("__id__")))
+    held = join_checked(rows, several, "__set__", "inner").where(F.col("doc_id").eqNullSafe(F.col("__id__")))
     pick = lambda df: df.select(*[F.col(f"`{c}`") for c in cols])
     return pick(one).unionByName(held.groupBy("__root__").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("__row__")).select("__row__.*"))
 
