@@ -176,3 +176,24 @@ def test_overlay_and_manual_groups(spark):
     assert o[0] == (0, 0, 0) and o[2] == (128, 128, 128) and o[4] == (128, 255, 128)
     rois, auto, manual = spark.range(4).toDF("roi"), spark.createDataFrame([(0, 1), (1, 1)], "roi long, group int"), spark.createDataFrame([(1, None), (3, 7)], "roi long, group int")
     assert {r["roi"]: r["group"] for r in reports.roi_groups(rois, auto, manual).collect()} == {0: 1, 1: -1, 2: -1, 3: 7}
+
+
+def test_first_component_by_products_and_by_iteration(spark):
+    """Both ways give what a singular value decomposition gives; empty tables and missing ids give no rows for them."""
+    g = np.random.default_rng(4)
+    x = np.outer(g.standard_normal(7), g.standard_normal(10)) * 3 + g.standard_normal((7, 10))
+    rows = [(i, j % 2, j, float(x[i, j])) for i in range(7) for j in range(10)]
+    z = spark.createDataFrame(rows, "roi int, odor int, trial int, z double")
+    res = x.copy()
+    for o in (0, 1):
+        res[:, o::2] -= res[:, o::2].mean(axis=1, keepdims=True)
+    w = np.linalg.svd(res)[2][0].copy()
+    for o in (0, 1):
+        w[o::2] -= w[o::2].mean()
+    want = x - np.outer(res @ w / (w @ w), w)
+    for bound in (1024, 3):
+        got = {(r["roi"], r["trial"]): r["z"] for r in reports.without_first_component(z, "z", gram_trials=bound).collect()}
+        assert len(got) == 70 and max(abs(got[i, j] - want[i, j]) for i in range(7) for j in range(10)) < 1e-6
+    assert reports.without_first_component(z.limit(0), "z").count() == 0
+    extra = z.unionByName(spark.createDataFrame([(None, 0, 0, 99.0), (1, None, 0, 99.0)], z.schema))
+    assert reports.without_first_component(extra, "z").count() == 70
