@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import byte_bpe, embedding_dedup, html_text, language_id, packing, quality_classifier, quality_rules, simhash, toxicity
+from . import byte_bpe, embedding_dedup, exact_dedup, html_text, language_id, packing, quality_classifier, quality_rules, simhash, source_audit, toxicity, vector_codes
 from .common import table
 from .sharding import histogram_shards
 
@@ -33,8 +33,17 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
         "op10_sharding": op10_sharding,
+        "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+        "op12_source_audit": source_audit.op12_source_audit,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embedding_dedup": embedding_dedup.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
+    return {
+        "op4_embedding_dedup": embedding_dedup.ORACLE_SQL,
+        "op8_quality_rules": quality_rules.ORACLE_SQL,
+        "op11_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op12_source_audit": source_audit.ORACLE_SQL,
+        "op13_vector_codes": vector_codes.ORACLE_SQL,
+    }
