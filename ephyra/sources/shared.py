@@ -5,19 +5,34 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in spark.checkpoint.dir; in local mode without one in a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; in local mode without one a temporary folder."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = tempfile.mkdtemp(prefix="ephyra-")
             atexit.register(shutil.rmtree, root, ignore_errors=True)
         sc.setCheckpointDir(root)
+    return sc.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in that folder."""
+    folder(df.sparkSession)
     return df.checkpoint()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in that folder, which goes when the driver's JVM ends."""
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
