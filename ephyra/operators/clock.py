@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import col
+from ..sources.shared import saved
 
 #: Volts that a logic level passes, and seconds between frames at least.
 LOGIC_V, DEBOUNCE_S, BLOCK_GAP_S = 2.5, 0.005, 2.0
@@ -32,18 +33,42 @@ def pulses(signal: DataFrame, key: list[str], order: list[str], value: str, at:
     return e.withColumn("off", F.lead(at).over(_in_order(key, order))).where("edge = 'rise' and off is not null").select(*key, F.col(at).alias("on"), "off")
 
 
-def debounced(onsets: DataFrame, key: list[str], at: str, least) -> DataFrame:
-    """Onsets (whole numbers) of which each is `least` or more after the last one that was kept.
+def chain(events: DataFrame, key: list[str], at: str, ready: str) -> DataFrame:
+    """(key, at) of the events that count: the first of each key, and after one that counts the first at or after its `ready`
+    (NULL: never). ready lies after `at` and never falls from one event to the next.
 
-    An onset that far from the onset before it is kept whatever was dropped, so bursts between such gaps stand alone. The fold
-    runs within a burst, never over a whole series."""
+    An event at or after the `ready` of the one before it counts whatever went before. From there the next ones are found by their
+    successors, which a forward as-of join gives: pointers are doubled until none is left, and marks spread along them, the longest
+    first. So a burst takes as many rounds as its length has binary digits, and is no list and no task of its own."""
     w = _in_order(key, [at])
-    burst = F.sum((F.coalesce(F.col(at) - F.lag(at).over(w), F.lit(least)) >= least).cast("long")).over(w)
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(at)), F.array().cast("array<bigint>"),
-        lambda k, x: F.when((F.size(k) == 0) | (x - F.element_at(k, -1) >= least), F.array_append(k, x)).otherwise(k),
-    )
-    return onsets.withColumn("_burst", burst).groupBy(*key, "_burst").agg(kept.alias("_k")).select(*key, F.explode("_k").alias(at))
+    rows = events.select(*key, at, ready).distinct()
+    rows = saved(rows.withColumn("_sure", F.lag(at).over(w).isNull() | F.coalesce(F.lag(ready).over(w) <= F.col(at), F.lit(False))))
+    if rows.where("not _sure").isEmpty():
+        return rows.select(*key, at)
+    asked = rows.where(F.col(ready).isNotNull()).select(*key, F.col(at).alias("_from"), F.col(ready).alias(at))
+    after = asof(asked, rows.select(*key, at, "_sure"), key, at, ["_sure"], "forward")
+    names = [f"_k{i}" for i in range(len(key))]
+    hops = [saved(after.where("not _sure").select(*[F.col(k).alias(n) for k, n in zip(key, names)], "_from", F.col("at_right").alias("_to")))]
+
+    def follow(left: DataFrame, hop: DataFrame) -> DataFrame:
+        """left (names, _from, _to) with the ends that a hop takes them to."""
+        l, r = left.alias("l"), hop.alias("r")
+        on = F.col("l._to") == F.col("r._from")
+        for n in names:
+            on = on & F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}"))
+        return l.join(r, on).select(*[F.col(f"l.{n}").alias(n) for n in names], F.col("l._from").alias("_from"), F.col("r._to").alias("_to"))
+
+    while not (twice := saved(follow(hops[-1], hops[-1]))).isEmpty():
+        hops.append(twice)
+    marked = rows.where("_sure").select(*[F.col(k).alias(n) for k, n in zip(key, names)], F.col(at).alias("_from"), F.col(at).alias("_to"))
+    for hop in reversed(hops):
+        marked = saved(marked.union(follow(marked, hop)))
+    return marked.select(*[F.col(n).alias(k) for n, k in zip(names, key)], F.col("_to").alias(at))
+
+
+def debounced(onsets: DataFrame, key: list[str], at: str, least) -> DataFrame:
+    """Onsets (whole numbers) of which each is `least` or more after the last one that was kept."""
+    return chain(onsets.select(*key, at, (F.col(at) + least).alias("_ready")), key, at, "_ready")
 
 
 def gap_blocks(events: DataFrame, key: list[str], order: list[str], at, gap) -> DataFrame:
@@ -125,11 +150,11 @@ def window_bounds(on_frame, n_pre: int, n_span: int) -> tuple[Column, Column]:
 
 
 def step_rate(onsets: DataFrame, key: list[str], at: str, low: float, high: float, per: float = 1.0) -> DataFrame:
-    """(key, at, rate): one over the time since the onset before (in units of `per`), NULL outside [low, high]; to be held until
-    the next onset by a backward as-of join."""
-    gap = (F.col(at) - F.lag(at).over(_in_order(key, [at]))) / per
+    """(key, at, rate): one over the time to the next onset (in units of `per`), NULL outside [low, high]; to be held from there by a
+    backward as-of join. The last onset begins no interval and has no row."""
+    gap = (F.lead(at).over(_in_order(key, [at])) - F.col(at)) / per
     rate = F.when(gap > 0, F.lit(1.0) / gap)
-    return onsets.select(*key, at, F.when(rate.between(low, high), rate).alias("rate"))
+    return onsets.select(*key, at, gap.alias("_gap"), F.when(rate.between(low, high), rate).alias("rate")).where("_gap is not null").drop("_gap")
 
 
 def rolling_median(series: DataFrame, key: list[str], order: list[str], value: str, k: int = 3, name: str = "smooth") -> DataFrame:

@@ -1,19 +1,19 @@
 """Breath-like signals: filters, onsets, rates and quality. A session's samples are one ordered series; sessions go side by side.
 
-A series enters a task as its samples in order; the kernels below need them together (a recursive filter has no other form), and a
-session is bounded by its recording.
+The kernels on arrays define what is computed; `longseries` computes the same over series of any length, in blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from . import clock
 
 #: Fixed values of the respiration channel.
 FILTER_HZ, SNIFF_HZ, NOISE_HZ, ORDER = (1.0, 50.0), (0.5, 15.0), (20.0, 100.0), 2
+THRESHOLD, SMOOTH, RETENTION, MASKED = 5.0, 3, 0.7, 0.2
 MEDIAN_S, ENVELOPE_S, ENVELOPE_PCT, EXCURSION, QUALITY_S, QUIET = 0.3, 2.0, 90.0, 0.7, 1.0, 0.2
 
 
@@ -103,8 +103,10 @@ def onsets(x: np.ndarray, rate: float, band=SNIFF_HZ, excursion: float = EXCURSI
 
 def band_quality(x: np.ndarray, rate: float, window_s: float = QUALITY_S, band=SNIFF_HZ, noise=NOISE_HZ) -> np.ndarray:
     """The mean power in the breath band over that in the noise band, in tiles under a Hann window; 0 without noise."""
-    k = int(window_s * rate)
-    if k < 2 or len(x) < k:
+    k = int(round(window_s * rate))
+    if k < 8:
+        raise ValueError(f"a window of {window_s} s has fewer than 8 samples at {rate} Hz")
+    if len(x) < k:
         return np.zeros(0)
     t = x[: len(x) // k * k].reshape(-1, k)
     p = np.abs(np.fft.rfft((t - t.mean(axis=1, keepdims=True)) * np.hanning(k), axis=1)) ** 2
@@ -114,46 +116,70 @@ def band_quality(x: np.ndarray, rate: float, window_s: float = QUALITY_S, band=S
     return np.where(n > 0, s / np.where(n > 0, n, 1), 0.0)
 
 
-def _per_series(samples: DataFrame, keys: list[str], order: str, value: str, kernel, fields: str) -> DataFrame:
-    schema = ", ".join([*[f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys], fields])
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        got = kernel(pdf[value].to_numpy(float), pdf[order].to_numpy())
-        return pd.DataFrame({**{k: [v] * len(next(iter(got.values()))) for k, v in zip(keys, key)}, **got})
-
-    return samples.select(*keys, order, value).groupBy(*keys).applyInPandas(run, schema)
-
-
 def filtered(samples: DataFrame, keys: list[str], order: str, value: str, rate: float, band=FILTER_HZ) -> DataFrame:
     """(keys, order, value) after the band-pass."""
-    return _per_series(samples, keys, order, value, lambda x, t: {order: t, value: bandpass(x, rate, band)}, f"{order} {samples.schema[order].dataType.simpleString()}, {value} double")
+    from . import longseries
+
+    return longseries.bandpassed(samples, keys, order, value, rate, band).select(*keys, order, value)
 
 
 def inhalations(samples: DataFrame, keys: list[str], order: str, value: str, rate: float) -> DataFrame:
     """(keys, sample): onsets of the filtered signal."""
-    return _per_series(samples, keys, order, value, lambda x, t: {"sample": t[onsets(bandpass(x, rate), rate)].astype("int64")}, "sample long")
+    from . import longseries
+
+    return longseries.inhalations(samples, keys, order, value, rate)
 
 
 def quality(samples: DataFrame, keys: list[str], order: str, value: str, rate: float) -> DataFrame:
     """(keys, tile, score)."""
-
-    def kernel(x, t):
-        q = band_quality(x, rate)
-        return {"tile": np.arange(len(q)), "score": q}
-
-    return _per_series(samples, keys, order, value, kernel, "tile long, score double")
-
-
-def instantaneous_rate(samples: DataFrame, keys: list[str], order: str, value: str, rate: float, at: DataFrame, threshold: float = 5.0, smooth: int = 3) -> DataFrame:
-    """at (keys, sample) with rate (smoothed over breaths), unmasked and quality: the rate holds from one breath to the next, NULL
-    before the first; where the quality on lines between tiles is below the threshold it is masked."""
-    r = clock.step_rate(inhalations(samples, keys, order, value, rate), keys, "sample", *SNIFF_HZ, per=rate)
-    r = clock.rolling_median(r, keys, ["sample"], "rate", smooth, "unmasked").select(*keys, "sample", "unmasked")
-    held = clock.asof(at, r, keys, "sample", ["unmasked"]).drop("at_right")
-    mid = (F.col("tile") + 0.5) * QUALITY_S * rate
-    q = quality(samples, keys, order, value, rate).select(*keys, mid.cast("long").alias("sample"), F.col("score").alias("quality"))
-    return clock.interpolated(held, q, keys, "sample", "quality").withColumn("rate", F.when(F.col("quality") >= threshold, F.col("unmasked")))
+    from . import longseries
+
+    return longseries.quality(samples, keys, order, value, rate)
+
+
+def tile_lines(at: DataFrame, scores: DataFrame, keys: list[str], place: str, width: float, name: str = "quality") -> DataFrame:
+    """at with the score on the line between the middles of the tiles (keys, tile, score) around it; NULL before the first middle and
+    after the last. width: a tile's in units of `place`."""
+    held = scores.select(*keys, F.col("tile").alias("_tile"), F.col("score").alias("_a"), F.lead("score").over(Window.partitionBy(*keys).orderBy("tile")).alias("_z"))
+    where = F.col(place) / F.lit(float(width)) - 0.5
+    share = where - F.col("_tile")
+    line = F.when(share == 0, F.col("_a")).otherwise(F.col("_a") + (F.col("_z") - F.col("_a")) * share)
+    return at.withColumn("_tile", F.floor(where).cast("long")).join(held, [*keys, "_tile"], "left").withColumn(name, line).drop("_tile", "_a", "_z")
+
+
+def breath_rates(onsets: DataFrame, scores: DataFrame, at: DataFrame, keys: list[str], place: str, per: float, width: float, threshold: float = THRESHOLD, smooth: int = SMOOTH) -> DataFrame:
+    """at (keys, place) with `frequency`, `unmasked` (its median over `smooth` breaths), `quality`, and `frequency_masked` and `rate`, the
+    two where the quality reaches the threshold.
+
+    onsets (keys, place) in the same units as `at`, of which `per` are a second; scores (keys, tile, score) in tiles of `width`. A rate holds
+    from the onset that begins its interval until the next one, the last beyond its end; it is NULL before the first onset and for
+    intervals outside the breath band. A series with fewer than two onsets has neither rates nor quality."""
+    r = clock.step_rate(onsets, keys, place, *SNIFF_HZ, per=per)
+    r = clock.rolling_median(r, keys, [place], "rate", smooth, "unmasked").withColumnRenamed("rate", "frequency")
+    held = clock.asof(at, r, keys, place, ["frequency", "unmasked"]).drop("at_right")
+    breathing = r.select(*keys).distinct().withColumn("_breathes", F.lit(True))
+    lined = tile_lines(held, scores, keys, place, width).join(breathing, keys, "left")
+    good = F.col("quality") >= threshold
+    return lined.withColumn("quality", F.when(F.col("_breathes"), F.col("quality"))).drop("_breathes").withColumns({"frequency_masked": F.when(good, F.col("frequency")), "rate": F.when(good, F.col("unmasked"))})
+
+
+def breath_report(onsets: DataFrame, scores: DataFrame, rated: DataFrame, keys: list[str], threshold: float = THRESHOLD, least: float = RETENTION) -> DataFrame:
+    """(keys, n_breaths, median_hz, fraction_good, flags) of each series with onsets, scores or rated rows (`breath_rates`): flags say that
+    too few tiles reach the threshold, or that there is no onset at all."""
+    n = onsets.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    good = scores.groupBy(*keys).agg(F.avg((F.col("score") >= threshold).cast("double")).alias("_g"))
+    mid = rated.groupBy(*keys).agg(F.median("frequency").alias("median_hz"))
+    breaths = F.coalesce(F.greatest(F.col("_n") - 1, F.lit(0)), F.lit(0))
+    share = F.when(breaths > 0, F.col("_g")).otherwise(0.0)
+    few = F.concat(F.lit("only "), F.format_string("%.0f%%", 100 * F.col("fraction_good")), F.lit(f" of the windows reach a ratio of {threshold:g} (at least {least:.0%} are needed): the masked rate rests on these alone, and the recording's rate isn't to be used"))
+    flags = F.when(F.col("n_breaths") == 0, F.array(F.lit("no onset was found: the channel held no respiration"))).when(F.col("fraction_good") < least, F.array(few)).otherwise(F.array().cast("array<string>"))
+    both = n.join(good, keys, "full").join(mid, keys, "full")
+    return both.select(*keys, breaths.cast("long").alias("n_breaths"), "median_hz", share.alias("fraction_good")).withColumn("flags", flags)
+
+
+def instantaneous_rate(samples: DataFrame, keys: list[str], order: str, value: str, rate: float, at: DataFrame, threshold: float = THRESHOLD, smooth: int = SMOOTH) -> DataFrame:
+    """at (keys, sample) with the columns of `breath_rates`, from the onsets and the quality of the samples."""
+    return breath_rates(inhalations(samples, keys, order, value, rate), quality(samples, keys, order, value, rate), at, keys, "sample", rate, QUALITY_S * rate, threshold, smooth)
 
 
 def quality_report(scores: DataFrame, keys: list[str], thresholds=(0.1, 0.2, 0.25, 0.3, 0.4, 0.5)) -> DataFrame:

@@ -238,8 +238,8 @@ def first_pulse_in_block(spark, d):
     return clock.first_inside(blocks, points, ["user_id"], "begin", "end", "us", ["level"]).select("user_id", "block", "us", rounded("level").alias("level"))
 
 
-@query(SIGNAL + """, o as (select distinct user_id, us from s where event_type = 'view'), q as (select user_id, us, (us - lag(us) over (partition by user_id order by us)) / 3.6e9 as g from o),
- r as (select user_id, us, case when g > 0 and 1 / g between 0.02 and 20 then 1 / g end as rate from q)
+@query(SIGNAL + """, o as (select distinct user_id, us from s where event_type = 'view'), q as (select user_id, us, (lead(us) over (partition by user_id order by us) - us) / 3.6e9 as g from o),
+ r as (select user_id, us, case when g > 0 and 1 / g between 0.02 and 20 then 1 / g end as rate from q where g is not null)
  select l.event_id, round(r.rate, 6) as rate from (select * from s where event_type = 'click') l asof left join r on l.user_id = r.user_id and l.us >= r.us""")
 def step_hold_rate(spark, d):
     s = signal(spark, d)
