@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import finite, safe_ratio
+from ..sources.shared import saved
 
 #: Bounds of the fast time constant in seconds (of a single one it is the only one) and of the slow one's ratio to it,
 #: seconds after an odor that are left out, and the least number of frames.
@@ -18,50 +18,67 @@ def outside(frame, on, off, guard: float) -> Column:
     return (F.col(frame) < F.col(on)) | (F.col(frame) >= F.col(off) + guard)
 
 
-def fit_baseline(means: DataFrame, keys: list[str], frame: str, value: str, rate: float, components: int = 2, window: str = "outside", odor: tuple[int, int] | None = None, guard_s: float = GUARD_S) -> DataFrame:
+def grid_fits(rows: DataFrame, keys: list[str], bounds: DataFrame, components: int, steps: tuple[int, int] = (13, 9)) -> DataFrame:
+    """(keys, i, j, lt, lr, a, b, sse): least squares for each point of a grid of time constants exp(lt) and ratios exp(lr).
+
+    rows (keys, t, v): times in seconds and values less their key's mean. bounds (keys, lo, hi, rlo, rhi): the grid's ends. With the time
+    constants given the rest is linear, so sums over the rows say all: one aggregation, which tasks begin before the shuffle, serves
+    all points of all keys. Where the two exponentials can't be told apart the slow one has no part."""
+    ni, nj = steps[0], steps[1] if components == 2 else 1
+    at = lambda lo, hi, k, n: F.col(lo) + (F.col(hi) - F.col(lo)) * F.col(k) / (n - 1) if n > 1 else F.col(lo)
+    grid = bounds.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(ni - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nj - 1))))
+    points = grid.select(*keys, "i", "j", at("lo", "hi", "i", ni).alias("lt"), at("rlo", "rhi", "j", nj).alias("lr"))
+    both = rows.join(points, keys).select(*keys, "i", "j", "lt", "lr", "v", F.exp(-F.col("t") / F.exp("lt")).alias("q"), (F.exp(-F.col("t") / F.exp(F.col("lt") + F.col("lr"))) if components == 2 else F.lit(0.0)).alias("r"))
+    s = lambda x, y: F.sum(F.col(x) * F.col(y)).alias(x + y)
+    m = both.groupBy(*keys, "i", "j", "lt", "lr").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("q"), F.sum("r").alias("r"), F.sum("v").alias("v"), s("q", "q"), s("r", "r"), s("q", "r"), s("q", "v"), s("r", "v"), s("v", "v"))
+    cov = lambda x, y: F.col(x + y) - F.col(x) * F.col(y) / F.col("n")
+    m = m.select(*keys, "i", "j", "lt", "lr", *[cov(*p).alias(p) for p in ("qq", "rr", "qr", "qv", "rv", "vv")])
+    det = F.col("qq") * F.col("rr") - F.col("qr") * F.col("qr")
+    apart = det > 1e-12 * F.col("qq") * F.col("rr")
+    alone = F.coalesce(safe_ratio("qv", "qq"), F.lit(0.0))
+    a = F.when(apart, (F.col("qv") * F.col("rr") - F.col("rv") * F.col("qr")) / det).otherwise(alone)
+    b = F.when(apart, (F.col("rv") * F.col("qq") - F.col("qv") * F.col("qr")) / det).otherwise(0.0)
+    return m.withColumns({"a": a, "b": b}).select(*keys, "i", "j", "lt", "lr", "a", "b", F.greatest(F.lit(0.0), F.col("vv") - F.col("a") * F.col("qv") - F.col("b") * F.col("rv")).alias("sse"))
+
+
+def fit_baseline(means: DataFrame, keys: list[str], frame: str, value: str, rate: float, components: int = 2, window: str = "outside", odor: tuple[int, int] | None = None, guard_s: float = GUARD_S, rounds: int = 7) -> DataFrame:
     """(keys, ok, tau_fast, tau_slow, a_fast, a_slow, c, r2) of a * exp(-t/tau) sums fitted to mean traces. odor: the first onset and
     the last end of the odor in frames; frames from it until guard_s after it are left out, or (window "pre") all from it on. None:
     the traces are all baseline. A key may hold the trial, for a fit of each trial.
 
-    For given time constants the rest is linear, so only those are searched: a grid over their bounds, refined around its best
-    point. One mean trace for each key goes to a task; its length is that of a trial."""
+    For given time constants the rest is linear, so only those are searched: a grid over their bounds (`grid_fits`), closed in around
+    its best point in each of a few rounds. A round is one aggregation for all keys; no trace is gathered."""
     if window not in ("pre", "outside"):
         raise ValueError(f"window is 'pre' or 'outside', not {window!r}")
     if odor is not None:
         on, off = odor
         means = means.where(F.col(frame) < on) if window == "pre" else means.where((F.col(frame) < on) | (F.col(frame) >= off + round(guard_s * rate)))
     taus = FAST_S if components == 2 else ONLY_S
-    schema = ", ".join([*[f"{k} {means.schema[k].dataType.simpleString()}" for k in keys], "ok boolean, tau_fast double, tau_slow double, a_fast double, a_slow double, c double, r2 double"])
-
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[np.isfinite(pdf[value].astype(float))]
-        t, y = pdf[frame].to_numpy(float) / rate, pdf[value].to_numpy(float)
-        if len(t) < LEAST_FRAMES:
-            return pd.DataFrame([[*key, False, *[None] * 6]], columns=[*keys, "ok", "tau_fast", "tau_slow", "a_fast", "a_slow", "c", "r2"])
-
-        def solve(tau, ratio):
-            x = np.stack([np.exp(-t / tau), *([np.exp(-t / (tau * ratio))] if components == 2 else []), np.ones_like(t)], 1)
-            b = np.linalg.lstsq(x, y, rcond=None)[0]
-            return float(((y - x @ b) ** 2).sum()), b
-
-        lo, hi = np.log(taus[0]), np.log(taus[1])
-        rlo, rhi = np.log(RATIO[0]), np.log(RATIO[1])
-        best = None
-        for _ in range(5):
-            for lt in np.linspace(lo, hi, 13):
-                for lr in np.linspace(rlo, rhi, 9) if components == 2 else [0.0]:
-                    e, b = solve(np.exp(lt), np.exp(lr))
-                    if best is None or e < best[0] - 1e-15:
-                        best = e, lt, lr, b
-            w, r = (hi - lo) / 6, (rhi - rlo) / 4
-            lo, hi = max(np.log(taus[0]), best[1] - w / 2), min(np.log(taus[1]), best[1] + w / 2)
-            rlo, rhi = max(np.log(RATIO[0]), best[2] - r / 2), min(np.log(RATIO[1]), best[2] + r / 2)
-        e, lt, lr, b = best
-        total = float(((y - y.mean()) ** 2).sum())
-        slow = (float(np.exp(lt + lr)), float(b[1])) if components == 2 else (None, None)
-        return pd.DataFrame([[*key, True, float(np.exp(lt)), slow[0], float(b[0]), slow[1], float(b[-1]), 1 - e / total if total > 0 else None]], columns=[*keys, "ok", "tau_fast", "tau_slow", "a_fast", "a_slow", "c", "r2"])
-
-    return means.groupBy(*keys).applyInPandas(fit, schema)
+    ends = {"lo": np.log(taus[0]), "hi": np.log(taus[1]), "rlo": np.log(RATIO[0]), "rhi": np.log(RATIO[1])}
+    given = means.select(*keys, (F.col(frame) / rate).alias("t"), finite(F.col(value).cast("double")).alias("y"))
+    per = saved(given.groupBy(*keys).agg(F.count("y").alias("n"), F.avg("y").alias("m")))
+    enough = per.where(F.col("n") >= LEAST_FRAMES)
+    rows = saved(given.where("y is not null").join(enough, keys).select(*keys, "t", (F.col("y") - F.col("m")).alias("v")))
+    sums = rows.groupBy(*keys).agg(F.sum(F.col("v") * F.col("v")).alias("total"))
+    bounds = enough.select(*keys, *[F.lit(float(v)).alias(k) for k, v in ends.items()])
+    best = None
+    for _ in range(rounds):
+        fits = grid_fits(rows, keys, bounds, components)
+        found = fits.groupBy(*keys).agg(F.min_by(F.struct("sse", "lt", "lr", "a", "b"), F.struct("sse", "i", "j")).alias("f"))
+        if best is not None:
+            found = found.join(best.withColumnRenamed("f", "g"), keys).select(*keys, F.when(F.col("f.sse") < F.col("g.sse"), F.col("f")).otherwise(F.col("g")).alias("f"))
+        best = saved(found)
+        near = lambda c, lo, hi, share, end, out: F.greatest(F.lit(float(ends[end])), c - (F.col(hi) - F.col(lo)) / share) if out < 0 else F.least(F.lit(float(ends[end])), c + (F.col(hi) - F.col(lo)) / share)
+        t, r = F.col("f.lt"), F.col("f.lr")
+        bounds = saved(bounds.join(best, keys).select(*keys, near(t, "lo", "hi", 12, "lo", -1).alias("lo"), near(t, "lo", "hi", 12, "hi", 1).alias("hi"), near(r, "rlo", "rhi", 8, "rlo", -1).alias("rlo"), near(r, "rlo", "rhi", 8, "rhi", 1).alias("rhi")))
+    tau, slow = F.exp("f.lt"), F.exp(F.col("f.lt") + F.col("f.lr"))
+    at_mean = rows.join(best, keys).groupBy(*keys).agg(F.avg(F.exp(-F.col("t") / tau)).alias("_q"), F.avg(F.exp(-F.col("t") / slow)).alias("_r"))
+    two = F.lit(components == 2)
+    out = per.join(best, keys, "left").join(at_mean, keys, "left").join(sums, keys, "left")
+    return out.select(
+        *keys, F.col("f").isNotNull().alias("ok"), tau.alias("tau_fast"), F.when(two, slow).alias("tau_slow"), F.col("f.a").alias("a_fast"), F.when(two, F.col("f.b")).alias("a_slow"),
+        F.when(F.col("f").isNotNull(), F.col("m") - F.col("f.a") * F.col("_q") - F.col("f.b") * F.col("_r")).alias("c"), (1 - safe_ratio("f.sse", "total")).alias("r2"),
+    )
 
 
 def detrend_exponential(traces: DataFrame, keys: list[str], frame: str, value: str, fast: float, slow: float | None, mask: Column) -> DataFrame:

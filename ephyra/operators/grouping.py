@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -116,45 +118,59 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def constrained_groups(links: DataFrame, kinds: DataFrame, least: float, name: str = "soma") -> DataFrame:
-    """(a, b, corr, gap, status, root): links (a, b, corr, gap) in order of correlation (strongest, then nearest) join groups unless
-    the group would hold two rois of the kind. Groups can only form inside a component of the links that are strong enough, so
-    components are worked on side by side; the order within one is what its group's fold needs."""
-    strong = links.where(F.col("corr") >= least)
-    root = components(strong.select("a", "b"))
-    marked = strong.join(root.withColumnRenamed("node", "a"), "a")
-    marked = marked.join(kinds.select(F.col("roi").alias("a"), F.col(name).alias("ka")), "a").join(kinds.select(F.col("roi").alias("b"), F.col(name).alias("kb")), "b")
-    schema = "a long, b long, corr double, gap double, status string, root long"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["corr", "gap", "a", "b"], ascending=[False, True, True, True])
-        parent: dict[int, int] = {}
-        held: dict[int, int] = {}
-
-        def find(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        status = []
-        for a, b, ka, kb in zip(pdf["a"], pdf["b"], pdf["ka"], pdf["kb"]):
-            for x, k in ((a, ka), (b, kb)):
-                if x not in parent:
-                    parent[x], held[x] = x, int(k)
-            a, b = sorted((find(a), find(b)))
-            if a == b:
-                status.append("already_grouped")
-            elif held[a] + held[b] > 1:
-                status.append("two_somas")
-            else:
-                parent[b] = a
-                held[a] += held[b]
-                status.append("linked")
-        return pdf.assign(status=status, root=[find(x) for x in pdf["a"]])[["a", "b", "corr", "gap", "status", "root"]]
-
-    done = marked.groupBy("root").applyInPandas(fold, schema)
-    weak = links.where(F.coalesce(F.col("corr") < least, F.lit(True))).select(F.col("a").cast("long"), F.col("b").cast("long"), "corr", F.col("gap").cast("double"), F.lit("below_correlation").alias("status"), F.lit(None).cast("long").alias("root"))
-    return done.unionByName(weak)
+    """(a, b, corr, gap, status, root): links (a, b, corr, gap) in order of correlation (strongest, then nearest, then by roi) join groups
+    unless the group would hold two rois of the kind. root is the least roi of a's group.
+
+    The outcome is that of taking the links one after another, found in rounds instead. A group without a roi of the kind can be joined to
+    any other, and nothing before its best link touches it, so that link joins in any case: all such groups take their best link at
+    once. What links them are trees with at most one roi of the kind each (or a pair that chose each other), so pointers are doubled to
+    their ends and the groups contracted. Links inside a group or between two groups of the kind drop out. At least half of the groups
+    without the kind that have links left vanish in a round, whatever the shape of the component; no task holds one."""
+    typed = links.select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("corr").cast("double"), F.col("gap").cast("double"))
+    strong = saved(typed.where(F.coalesce(F.col("corr") >= least, F.lit(False)) & ~F.isnan("corr")))
+    rois = saved(strong.select(F.explode(F.array("a", "b")).alias("roi")).distinct().join(kinds.select(F.col("roi").cast("long").alias("roi"), F.col(name).alias("own")), "roi", "left").select("roi", F.coalesce("own", F.lit(False)).alias("own")))
+    label = rois.select("roi", F.col("roi").alias("g"))
+    side = lambda x: rois.select(F.col("roi").alias(x), F.col("own").alias(f"s{x}"))
+    live = strong.join(side("a"), "a").join(side("b"), "b").select("a", "b", "corr", "gap", F.col("a").alias("ga"), F.col("b").alias("gb"), "sa", "sb")
+    joined = []
+    while True:
+        live = saved(live.where((F.col("ga") != F.col("gb")) & ~(F.col("sa") & F.col("sb"))))
+        if live.isEmpty():
+            break
+        ends = F.explode(F.array(F.struct(F.col("ga").alias("g"), F.col("sa").alias("s"), F.col("gb").alias("to"), F.col("sb").alias("st")), F.struct(F.col("gb").alias("g"), F.col("sb").alias("s"), F.col("ga").alias("to"), F.col("sa").alias("st"))))
+        first = F.struct((-F.col("corr")).alias("c"), "gap", "a", "b")
+        best = saved(live.select(first.alias("_o"), ends.alias("_e")).where("not _e.s").groupBy("_e.g").agg(F.min_by(F.struct("_e.to", "_e.st", "_o.a", "_o.b"), "_o").alias("_b")).select("g", "_b.*"))
+        joined.append(best.select("a", "b").distinct())
+        root = _ends(best)
+        label = saved(label.join(root.select("g", "to"), "g", "left").select("roi", F.coalesce("to", "g").alias("g")))
+        for x in "ab":
+            new = root.select(F.col("g").alias(f"g{x}"), F.col("to").alias("_t"), F.col("st").alias("_st"))
+            live = live.join(new, f"g{x}", "left").withColumns({f"s{x}": F.when(F.col("_t").isNull(), F.col(f"s{x}")).otherwise(F.col("_st")), f"g{x}": F.coalesce("_t", f"g{x}")}).drop("_t", "_st")
+    root = label.groupBy("g").agg(F.min("roi").alias("root"))
+    named = saved(label.join(root, "g").select("roi", "root"))
+    out = strong.join(named.select(F.col("roi").alias("a"), "root"), "a").join(named.select(F.col("roi").alias("b"), F.col("root").alias("_rb")), "b")
+    if joined:
+        chosen = reduce(DataFrame.union, joined).withColumn("_chosen", F.lit(True))
+        out = out.join(chosen, ["a", "b"], "left")
+    else:
+        out = out.withColumn("_chosen", F.lit(None).cast("boolean"))
+    status = F.when(F.col("_chosen"), "linked").when(F.col("root") == F.col("_rb"), "already_grouped").otherwise("two_somas")
+    weak = typed.where(F.coalesce(F.col("corr") < least, F.lit(True)) | F.isnan("corr")).select("a", "b", "corr", "gap", F.lit("below_correlation").alias("status"), F.lit(None).cast("long").alias("root"))
+    return out.select("a", "b", "corr", "gap", status.alias("status"), "root").unionByName(weak)
+
+
+def _ends(pointers: DataFrame) -> DataFrame:
+    """(g, to, st) with `to` the end of the way from g along pointers (g, to, st); of two that point at each other the lesser is the end
+    of both. st belongs to `to`."""
+    ahead = pointers.select(F.col("g").alias("to"), F.col("to").alias("_t"), F.col("st").alias("_st"))
+    both = F.coalesce(F.col("_t") == F.col("g"), F.lit(False))
+    now = saved(pointers.join(ahead, "to", "left").select("g", F.when(both, F.least("g", "to")).otherwise(F.col("to")).alias("to"), F.when(both, F.lit(False)).otherwise(F.col("st")).alias("st")))
+    while True:
+        ahead = now.select(F.col("g").alias("to"), F.col("to").alias("_t"), F.col("st").alias("_st"))
+        new = saved(now.join(ahead, "to", "left").select("g", F.coalesce("_t", "to").alias("to"), F.coalesce("_st", "st").alias("st"), (F.col("_t") != F.col("to")).alias("_moved")))
+        now = new.drop("_moved")
+        if new.where("_moved").isEmpty():
+            return now
 
 
 def group_members(links: DataFrame) -> DataFrame:

@@ -56,6 +56,21 @@ def band_power_quality(spark, d):
     return signals.quality_report(signals.quality(_samples(spark, d), ["user_id"], "sample", "value", 50.0), ["user_id"]).withColumn("percent", rounded("percent"))
 
 
+@query("""with v as (select label, unnest(range(64)) as frame, unnest(embedding)::double as y from embeddings), m as (select label, frame, avg(y) as y from v group by all), w as (select label, frame / 8.0 as t, y - avg(y) over (partition by label) as v from m where frame < 20 or frame >= 46),
+ k as (select *, ln(0.1) + (ln(10.0) - ln(0.1)) * i / 12 as lt, ln(2.0) + (ln(40.0) - ln(2.0)) * j / 8 as lr from range(13) a(i), range(9) b(j)),
+ e as (select label, i, j, v, exp(-t / exp(lt)) as q, exp(-t / exp(lt + lr)) as r from w, k),
+ s as (select label, i, j, covar_pop(q, q) * count(*) as qq, covar_pop(r, r) * count(*) as rr, covar_pop(q, r) * count(*) as qr, covar_pop(q, v) * count(*) as qv, covar_pop(r, v) * count(*) as rv, covar_pop(v, v) * count(*) as vv from e group by all),
+ f as (select *, (qv * rr - rv * qr) / (qq * rr - qr * qr) as a, (rv * qq - qv * qr) / (qq * rr - qr * qr) as b from s)
+ select label, cast(i as int) as i, cast(j as int) as j, round(greatest(vv - a * qv - b * rv, 0), 7) as sse from f""")
+def baseline_grid(spark, d):
+    """The squares that two exponentials leave of each label's mean trace, for every point of the first grid of time constants."""
+    m = _traces(spark, d).groupBy("label", "frame").agg(F.avg("v").alias("v")).where("frame < 20 or frame >= 46")
+    rows = m.select("label", (F.col("frame") / 8.0).alias("t"), (F.col("v") - F.avg("v").over(Window.partitionBy("label"))).alias("v"))
+    ends = {"lo": baseline.FAST_S[0], "hi": baseline.FAST_S[1], "rlo": baseline.RATIO[0], "rhi": baseline.RATIO[1]}
+    bounds = rows.select("label").distinct().select("label", *[F.lit(float(np.log(v))).alias(k) for k, v in ends.items()])
+    return baseline.grid_fits(rows, ["label"], bounds, 2).select("label", "i", "j", rounded("sse", 7).alias("sse"))
+
+
 @query()
 def fit_baseline(spark, d):
     """One fit for each label, outside an odor from frame 20 to 30 and two seconds after it."""

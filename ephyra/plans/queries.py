@@ -607,11 +607,17 @@ def gap_profile(spark, d):
     return grouping.gap_profile(g, "pair_type", 2.0).select("pair_type", F.col("gap_bin").cast("double").alias("gap_bin"), rounded("mean").alias("mean"), "n")
 
 
-@query()
+@query("""with recursive t as (select user_id as roi, cast(ts as date) as day, avg(value) as v from events group by all),
+ c as (select a.roi as a, b.roi as b, round(corr(a.v, b.v), 6) as corr, cast(b.roi - a.roi as double) as gap from t a join t b on a.roi < b.roi and b.roi - a.roi <= 6 and a.day = b.day group by all),
+ o as materialized (select *, row_number() over (order by corr desc, gap, a, b) as k from c where corr >= 0.05),
+ s(k, m, h, status) as (select 0::bigint, list_transform(range(0, (select max(roi) + 1 from t)), lambda x: x), list_transform(range(0, (select max(roi) + 1 from t)), lambda x: x % 5 = 0), null::varchar union all
+  select k, case when status = 'linked' then list_transform(m, lambda x: case when x = hi then lo else x end) else m end, case when status = 'linked' then list_transform(h, lambda x, i: case when i = lo + 1 then x or h[hi + 1] else x end) else h end, status
+  from (select o.k, m, h, least(m[a + 1], m[b + 1]) as lo, greatest(m[a + 1], m[b + 1]) as hi, case when m[a + 1] = m[b + 1] then 'already_grouped' when h[m[a + 1] + 1] and h[m[b + 1] + 1] then 'two_somas' else 'linked' end as status from s join o on o.k = s.k + 1))
+ select a, b, corr, gap, s.status, (select arg_max(m, k) from s)[a + 1] as root from o join s using (k) union all select a, b, corr, gap, 'below_correlation', null from c where corr is null or corr < 0.05""")
 def constrained_groups(spark, d):
     """Links in order of correlation that never join two rois of kind 'soma'."""
     t = table(spark, d, "events").groupBy(F.col("user_id").alias("roi"), F.datediff(F.to_date("ts"), F.lit("2024-01-01")).alias("frame")).agg(F.avg("value").alias("v")).withColumn("trial", F.lit(0))
-    c = grouping.lagged_correlations(t).withColumn("gap", F.abs(F.col("a") - F.col("b")).cast("double"))
+    c = grouping.lagged_correlations(t).withColumns({"gap": F.abs(F.col("a") - F.col("b")).cast("double"), "corr": rounded("corr")})
     kinds = t.select("roi").distinct().withColumn("soma", F.col("roi") % 5 == 0)
     return grouping.constrained_groups(c.where("gap <= 6"), kinds, 0.05)
 
