@@ -36,6 +36,9 @@ READERS = re.compile(r"(?:^|\s)(?:(?:user|reader|post|article)[_-])?(?:comments?
 #: Names that only tell how a page is laid out around its article, such as "no-sidebar"; and styles that show nothing.
 LAYOUT = re.compile(r"(?:^|(?<=\s))(?:no|with|without|has|left|right|two|one)[_-]\S+", re.I)
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Whole names that mark the article; beside them, a name that only has one of the words above in it says nothing.
+ARTICLE = re.compile(r"(?:^|\s)(?:post|entry|article|story|content|main|hentry|(?:post|entry|article|story|main|page)[_-](?:content|body|text))(?=$|\s)", re.I)
+ALONE = re.compile(r"(?:(?<=\s)|^)[^\s_-]+(?=\s|$)")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTR = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:([\"'])|([^\s>]*)))?")
 SPACE = re.compile(r"[\s/]*")
@@ -43,15 +46,18 @@ SPACE = re.compile(r"[\s/]*")
 
 class Node:
     """items: text and child nodes in order. dropped: it and all in it are no text. noise: 1 or 2 (readers' words) if its names say that it is
-    not the article. inner: it lies in an article. near: itself or the nearest block around it."""
+    not the article. inner: it lies in an article. near: itself or the nearest block around it. held: how many elements of each name are
+    open between the nearest element of SCOPE (itself or around it) and the place that is read."""
 
-    __slots__ = ("tag", "parent", "items", "dropped", "noise", "kind", "score", "points", "chars", "linked", "block", "inner", "near")
+    __slots__ = ("tag", "parent", "items", "dropped", "noise", "kind", "score", "points", "chars", "linked", "block", "inner", "near", "held", "inside")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, noise: int = 0, kind: str = ""):
         self.tag, self.parent, self.items, self.dropped, self.noise, self.kind = tag, parent, [], dropped, noise, kind
         self.score, self.points, self.chars, self.linked, self.block = 0.0, 0, 0, 0, tag in BLOCK
         self.inner = parent is not None and (parent.inner or parent.tag == "article")
         self.near = self if self.block or parent is None else parent.near
+        self.held: dict[str, int] = {} if parent is None or tag in SCOPE else parent.held
+        self.inside = 0
 
 
 class Reader:
@@ -102,8 +108,8 @@ class Reader:
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
-    """The tree, and its nodes in page order. Unclosed, crossed and stray tags are taken as browsers take them, nearly. Linear in the page
-    but for the depth of its end tags."""
+    """The tree, and its nodes in page order. Unclosed, crossed and stray tags are taken as browsers take them, nearly. Linear in the page:
+    an end tag climbs only over what it closes."""
     root = node = Node("html", None, False)
     nodes, at, size = [root], 0, len(html)
     read, low, body, foreign, open_ = Reader(html), None, False, None, {}
@@ -124,7 +130,7 @@ def parse(html: str) -> tuple[Node, list[Node]]:
         tag, attrs, own, at = read.tag(lt + 1 + closing)
         if closing:
             up = node
-            if open_.get(tag):
+            if open_.get(tag) if tag in SCOPE else node.held.get(tag):
                 while up is not root and up.tag != tag and not (up.tag in SCOPE and tag not in SCOPE):
                     up = up.parent
                 if up is not root and up.tag == tag:
@@ -150,6 +156,8 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             if tag != "main":
                 names = LAYOUT.sub(" ", " ".join(attrs.get(k, "") for k in ("class", "id", "role")))
                 noise = 2 if READERS.search(names) else 1 if NOT_TEXT.search(names) else 0
+                if noise == 1 and ARTICLE.search(names) and not NOT_TEXT.search(" ".join(ALONE.findall(names))):
+                    noise = 0
         new = Node(tag, node, dropped or node.dropped, noise, attrs.get("class", "").partition(" ")[0])
         node.items.append(new)
         nodes.append(new)
@@ -167,6 +175,7 @@ def parse(html: str) -> tuple[Node, list[Node]]:
         if tag not in VOID and not (own and (foreign is not None or tag in FOREIGN or tag not in BLOCK)):
             node = new
             open_[tag] = open_.get(tag, 0) + 1
+            new.parent.held[tag] = new.parent.held.get(tag, 0) + 1
             if foreign is None and tag in FOREIGN:
                 foreign = new
     return root, nodes
@@ -176,23 +185,26 @@ def _closed(node: Node, last: Node, open_: dict[str, int]) -> Node:
     """What is open after node and all around it up to `last` are closed."""
     while True:
         open_[node.tag] -= 1
+        node.parent.held[node.tag] -= 1
         if node is last:
             return node.parent
         node = node.parent
 
 
-#: Names don't drop elements without which less than this share of the page's points would be left.
-LEAST_SHARE = 0.15
+#: Elements whose names say that they are something else weigh this much less: they are dropped only if the others' points are at least
+#: this share of all points.
+LEAST_SHARE = 0.3
 
 
 def main_text(html: str | None) -> str:
     """The article of a page.
 
     Each paragraph outside dropped elements has a point, one for each comma and one for each 100 characters (three at
-    most). Elements whose names (class, id, role) say that they are something else weigh nothing, unless the page
-    would be left without an article: then the heaviest of them counts in full, with its like siblings, and so on. Paragraphs pass
-    their points whole to their parent, halved to the grandparent, by thirds, sixths and so on above that.
-    A container's points count less by the share of its text in links. The best container is the article; a sibling is
+    most). Elements whose names (class, id, role) say that they are something else weigh nothing, unless the others have less than
+    LEAST_SHARE of the page's points: then the heaviest of them counts in full, with its like siblings, and so on. Paragraphs pass
+    their points whole to their parent, halved to the grandparent, then by thirds, sixths and so on up to the eighth element around.
+    A container's points count less by the share of its text in links. The best container is the article, or what holds it and
+    more than as much again; a sibling is
     kept if it reaches a fifth of its points, or if it is a long paragraph with few links. Then all text below those
     is taken in page order but for dropped elements. A page without any paragraph gives its body's text that isn't dropped.
     """
@@ -286,6 +298,7 @@ def _article(root: Node, nodes: list[Node]) -> str:
                 best, top = n, s
     if best is None:
         return _text([n for n in nodes if n.tag == "body"][:1] or [root])
+    best = _widened(best, nodes)
     while best.parent is not None and best.tag not in ("article", "main") and best.inner:
         best = best.parent  # a part of an article stands for the article
     kept = [best]
@@ -303,6 +316,22 @@ def _article(root: Node, nodes: list[Node]) -> str:
     return _text(kept)
 
 
+def _widened(best: Node, nodes: list[Node]) -> Node:
+    """The element around best that holds the article, if best is only one of many alike wrappers: the lowest one in which most
+    points lie outside of best. Text in links doesn't count."""
+    for n in nodes:
+        n.inside = 0 if n.dropped else n.points
+    for n in reversed(nodes):
+        if n.parent is not None and not n.dropped and not (n.linked * 2 > n.chars):
+            n.parent.inside += n.inside
+    up = best
+    while up.parent is not None and best.tag not in ("article", "main", "body"):
+        up = up.parent
+        if up.tag in CONTAINER and up.inside > 2 * best.inside:
+            best = up
+    return best
+
+
 def _text(nodes: list[Node]) -> str:
     out: list[str] = []
     stack: list = list(reversed(nodes))
