@@ -14,7 +14,8 @@ from .common import field, join_checked, materialize, quantiles, sketch, table,
 #: word before, and the letters A-Z.
 SCALE = 10_000
 RATES = {"mark_rate": ("_n_marks", "word_chars"), "stutter_rate": ("_n_stutter", "n_words"), "upper_rate": ("_n_upper", "word_chars")}
-#: A group's limit is its third quartile and SPREADS times the distance of that from the first.
+#: A group's limit is its third quartile and SPREADS times the distance of that from the first, or times the rate of one event in a
+#: document of the group's median length if that is more: finer differences can't be seen in such documents.
 SPREADS = 4
 #: A count n stands for a rate of n - NOISE * sqrt(n) at least (deviations of a Poisson count), so that short texts don't fail by chance.
 NOISE = 2
@@ -104,14 +105,21 @@ def thresholds(stats: DataFrame) -> DataFrame:
     """(lang, source, one limit for each rate): from the sketches of the documents that pass the base rules. Null
     languages or sources are groups like any other. The sketch of a language is the sum of its sources' sketches."""
     passed = stats.where(~F.col("base_failed"))
-    fine = materialize(sketch(passed, ["lang", "source"], list(RATES)))
-    probs = {"q1": 0.25, "q3": 0.75}
+    sizes = sorted({of for _, of in RATES.values()})
+    fine = materialize(sketch(passed, ["lang", "source"], [*RATES, *sizes]))
+    probs = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
     levels = [["lang", "source"], ["lang"], []]
-    limit = F.col("q3") + SPREADS * (F.col("q3") - F.col("q1"))
+    of_rate = F.create_map(*[F.lit(x) for m, (_, of) in RATES.items() for x in (m, of)])
     out = fine.select("lang", "source").distinct()
     for i, keys in enumerate(levels):
         q = quantiles(fine.groupBy(*keys, "metric", "v").agg(F.sum("n").alias("n")), keys, probs)
-        wide = q.groupBy(*keys).pivot("metric", list(RATES)).agg(F.first(limit))
+        length = q.where(F.col("metric").isin(*sizes)).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("metric", "q2"))).alias("_m"))
+        same = [F.col(f"_q.{k}").eqNullSafe(F.col(f"_s.{k}")) for k in keys] or [F.lit(True)]
+        sized = q.where(F.col("metric").isin(*RATES)).alias("_q").join(length.alias("_s"), same).select("_q.*", F.element_at("_m", F.element_at(of_rate, F.col("metric"))).alias("_length"))
+        # a median length of 0 (no word passes the base rules): nothing to hold against
+        unit = F.coalesce(F.floor(SCALE / F.nullif(F.col("_length"), F.lit(0))), F.lit(SCALE)).cast("long")
+        q = sized.withColumn("_limit", F.col("q3") + SPREADS * F.greatest(F.col("q3") - F.col("q1"), unit))
+        wide = q.groupBy(*keys).pivot("metric", list(RATES)).agg(F.first("_limit"))
         total = q.groupBy(*keys).agg(F.max("total").alias("_total"))
         a, b = wide.select(*[F.col(k).alias(f"_{i}{k}") for k in keys], *[F.col(m).alias(f"_{i}_{m}") for m in RATES]), total.select(*[F.col(k).alias(f"_t{i}{k}") for k in keys], F.col("_total").alias(f"_{i}_total"))
         on = lambda p: [F.col(k).eqNullSafe(F.col(f"{p}{k}")) for k in keys] or [F.lit(True)]
@@ -123,7 +131,7 @@ def thresholds(stats: DataFrame) -> DataFrame:
 def verdicts(stats: DataFrame) -> DataFrame:
     """stats with the limits of each row's group and kept. The table of limits has one row for each language and
     source; it is broadcast only behind a count of it."""
-    limits = materialize(thresholds(stats.select("lang", "source", "base_failed", *RATES)))
+    limits = materialize(thresholds(stats.select("lang", "source", "base_failed", "n_words", "word_chars", *RATES)))
     judged = join_checked(stats, limits, F.col("lang").eqNullSafe(F.col("__lang__")) & F.col("source").eqNullSafe(F.col("__source__")))
     over: Column = F.lit(False)
     for m, (n, of) in RATES.items():
@@ -137,7 +145,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     Two passes: sketches of all documents, then the verdict row by row, with no shuffle of texts. The sketches are
     counts that each task sums before the shuffle, so one source may hold any share of the rows.
     A document fails by the base rules, or by a rate that lies above its group's limit by more than chance. The limits come from
-    the quartiles of the group alone: no cutoff is fixed. Null or empty texts have no words and fail the base rules. A
+    the quartiles and the median length of the group alone: no cutoff is fixed, and where all of a group's documents are alike a few
+    events in a long text don't fail it. Null or empty texts have no words and fail the base rules. A
     rate equal to the limit is kept. Repeated rows are judged each. An empty table gives no rows.
     Columns of docs with the names of this operator's are replaced.
     """
@@ -164,14 +173,16 @@ m as (select b.k, doc_id, lang, source, n_words, word_chars, n_symbols, len(line
   from b left join h using (k) left join s using (k)),
 f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, coalesce(n_marks * 10000 // nullif(word_chars, 0), 0) as mark_rate, coalesce(n_stutter * 10000 // nullif(n_words, 0), 0) as stutter_rate,
   coalesce(n_upper * 10000 // nullif(word_chars, 0), 0) as upper_rate from m),
-u as (unpivot (select lang, source, cast(mark_rate as bigint) as mark_rate, cast(stutter_rate as bigint) as stutter_rate, cast(upper_rate as bigint) as upper_rate from f where not base_failed) on mark_rate, stutter_rate, upper_rate into name metric value v),
+u as (unpivot (select lang, source, cast(mark_rate as bigint) as mark_rate, cast(stutter_rate as bigint) as stutter_rate, cast(upper_rate as bigint) as upper_rate, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars from f where not base_failed) on mark_rate, stutter_rate, upper_rate, n_words, word_chars into name metric value v),
 z as (select lang, source, metric, (v >> greatest(0, length(bin(v)) - 6)) << greatest(0, length(bin(v)) - 6) as v from u),
 l as (select 0 as level, lang, source, metric, v, count(*) as n from z group by all union all select 1, lang, null, metric, v, count(*) from z group by lang, metric, v union all select 2, null, null, metric, v, count(*) from z group by metric, v),
 c as (select *, sum(n) over (partition by level, lang, source, metric order by v) as cum, sum(n) over (partition by level, lang, source, metric) as total from l),
-q as (select level, lang, source, metric, max(total) as total, min(v) filter (where cum >= ceil(total * 0.25)) as q1, min(v) filter (where cum >= ceil(total * 0.75)) as q3 from c group by all),
-x as (select *, q3 + 4 * (q3 - q1) as most from q),
-o as (select a.lang, a.source, a.metric, case when a.total >= 50 then a.most when y.total >= 50 then y.most else e.most end as most from x a
-  left join x y on y.level = 1 and y.lang is not distinct from a.lang and y.metric = a.metric left join x e on e.level = 2 and e.metric = a.metric where a.level = 0),
+q as (select level, lang, source, metric, max(total) as total, min(v) filter (where cum >= ceil(total * 0.25)) as q1, min(v) filter (where cum >= ceil(total * 0.5)) as q2, min(v) filter (where cum >= ceil(total * 0.75)) as q3 from c group by all),
+y as (select level, lang, source, metric, q2 from q where metric in ('n_words', 'word_chars')),
+x as (select q.*, q3 + 4 * greatest(q3 - q1, coalesce(10000 // nullif(y.q2, 0), 10000)) as most from q join y on y.level = q.level and y.lang is not distinct from q.lang and y.source is not distinct from q.source and y.metric = case q.metric when 'stutter_rate' then 'n_words' else 'word_chars' end
+  where q.metric in ('mark_rate', 'stutter_rate', 'upper_rate')),
+o as (select a.lang, a.source, a.metric, case when a.total >= 50 then a.most when b.total >= 50 then b.most else e.most end as most from x a
+  left join x b on b.level = 1 and b.lang is not distinct from a.lang and b.metric = a.metric left join x e on e.level = 2 and e.metric = a.metric where a.level = 0),
 p as (pivot o on metric in ('mark_rate', 'stutter_rate', 'upper_rate') using first(most) group by lang, source)
 select f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed,
  not f.base_failed and not (coalesce(n_marks - 2 * sqrt(n_marks) > p.mark_rate * word_chars / 10000, false) or coalesce(n_stutter - 2 * sqrt(n_stutter) > p.stutter_rate * n_words / 10000, false)

@@ -248,3 +248,67 @@ def test_sketch_quantiles_are_within_their_bound(spark):
         v = sorted(m for g, m in data if g == k)
         exact = v[math.ceil(0.9 * len(v)) - 1]
         assert exact - exact / 32 - 1 <= got[k] <= exact
+
+
+LONG = "<p>" + "Some words of a long paragraph, with commas, and enough of them to count as text, so that it has points. " * 2 + "</p>"
+
+
+@pytest.mark.parametrize("name", ["post tag-river", "tag-river", "content related-topics", "entry comments-open share-bar"])
+def test_html_a_marked_article_beats_one_unmarked_block(name):
+    got = html_text.main_text(f'<body><div class="{name}">{LONG * 4}</div><div>{LONG}</div></body>')
+    assert got.count("Some words") >= 8
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 5])
+def test_html_paragraphs_in_wrappers_stay_together(depth):
+    inner = ("<div>" * depth + LONG + "</div>" * depth) * 6
+    got = html_text.main_text(f'<body><nav>Home</nav><div>{inner}</div><div class="sidebar">{LONG}</div><footer>f</footer></body>')
+    assert got.count("Some words") == 12 and "Home" not in got
+
+
+def test_html_marked_boxes_beside_an_article_still_go():
+    boxes = "".join(f'<div class="{n}">{LONG}</div>' for n in ("cookie-notice", "post-share", "ad", "content sponsored"))
+    assert html_text.main_text(f"<body><div>{LONG * 4}</div>{boxes}</body>").count("Some words") == 8
+
+
+def test_html_stray_end_tags_take_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.time()
+        html_text.main_text("<i><div>" + "<b>" * n + "</i>" * n)
+        took.append(time.time() - began)
+    assert took[1] < 4 * took[0] * 2.5 + 0.5
+
+
+def russian(spark, extra):
+    r = random.Random(1)
+    words = ["дом", "река", "город", "весна", "книга", "слово", "время", "человек", "дорога", "песня", "утро", "сад"]
+
+    def text(n):
+        out = [r.choice(words)]
+        while len(out) < n:
+            w = r.choice(words)
+            out += [w] if w != out[-1] else []
+        return out
+
+    rows = [(i, " ".join(text(r.randrange(80, 300))) + ".", "ru", "s") for i in range(99)]
+    return text, spark.createDataFrame(rows + [(1000 + i, " ".join(f(text)), "ru", "s") for i, f in enumerate(extra)], "doc_id long, text string, lang string, source string")
+
+
+def test_rules_where_all_documents_are_alike(spark):
+    """Quartiles of 0: six capitals in a short text and five doubled words in a long one stay, many doubled words go."""
+    few = lambda text: [*text(196), "UNESCO"]
+
+    def long(text):
+        w = text(20_000)
+        return [x for i, x in enumerate(w) for _ in range(2 if i % 4000 == 1 else 1)]
+
+    doubled = lambda text: [x for x in text(100) for _ in range(2)]
+    shouted = lambda text: [x.upper() if i % 2 else "ABCDEFGH" for i, x in enumerate(text(200))]
+    _, df = russian(spark, [few, long, doubled, shouted])
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(df).collect()}
+    assert not any(got[i]["base_failed"] for i in (1000, 1002, 1003)) and got[1000]["kept"] and not got[1002]["kept"] and not got[1003]["kept"]
+    assert got[1001]["kept"] or got[1001]["base_failed"]  # words of so few kinds repeat by chance
+    assert all(got[i]["kept"] or got[i]["base_failed"] for i in range(99))
