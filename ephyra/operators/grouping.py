@@ -102,19 +102,20 @@ def gap_profile(pairs: DataFrame, kind: str, width: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node that edges (a, b) reach. Each round takes the least label among neighbours (a minimum, summed
-    before the shuffle) and then the label's own label, so that long chains shrink fast; rounds end when nothing moves."""
-    edges = saved(edges.select(F.col("a").cast("long"), F.col("b").cast("long")))
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = saved(both.union(both.select("a", F.col("a").alias("b"))).distinct())
-    label = saved(both.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-    while True:
-        spread = saved(both.join(label, both.b == label.node).groupBy("a").agg(F.min("root").alias("new")))
-        top = spread.select(F.col("a").alias("new"), F.col("new").alias("top"))
-        new = saved(spread.join(top, "new").join(label, F.col("a") == F.col("node")).select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
-        label = new.select("node", "root")
-        if new.where("moved").isEmpty():
-            return label
+    """(node, root): the least node that edges (a, b) reach. In each round a node points to its least neighbour if that is less than itself
+    (a minimum, summed before the shuffle), pointers are doubled to their ends, and edges become those between ends, until none
+    is left. Rows with a NULL give no link."""
+    edges = saved(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).dropna())
+    label = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root"))
+    between = lambda df: saved(df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    live = between(edges)
+    while not live.isEmpty():
+        root = _ends(live.groupBy(F.col("b").alias("g")).agg(F.min("a").alias("to")).withColumn("st", F.lit(False))).select("g", "to")
+        label = saved(label.join(root, F.col("root") == F.col("g"), "left").select("node", F.coalesce("to", "root").alias("root")))
+        for c in "ab":
+            live = live.join(root, F.col(c) == F.col("g"), "left").withColumn(c, F.coalesce("to", c)).drop("g", "to")
+        live = between(live)
+    return label
 
 
 def constrained_groups(links: DataFrame, kinds: DataFrame, least: float, name: str = "soma") -> DataFrame:

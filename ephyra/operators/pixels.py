@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import safe_ratio
 
 HALF = [(0, 1), (1, -1), (1, 0), (1, 1)]
+#: Pixels on the side of a block of a movie, and its frames: with the borrowed edges 8 MB of doubles.
+TILE, SPAN = 64, 256
 
 
 def baseline_z(frames: DataFrame, keys: list[str], t: str, value: str, on: str, sample: bool = True, floor: float = 1e-6) -> DataFrame:
@@ -29,23 +33,47 @@ def stouffer(z: DataFrame, keys: list[str], value: str) -> DataFrame:
     return z.groupBy(*keys).agg(F.count(value).alias("n"), (F.sum(value) / F.sqrt(F.count(value))).alias("pooled"))
 
 
-def neighbour_correlation(frames: DataFrame, keys: list[str], t: list[str], value: str, centre_by: list[str] | None = None) -> DataFrame:
+def neighbour_correlation(frames: DataFrame, keys: list[str], t: list[str], value: str, centre_by: list[str] | None = None, tile: int = TILE, span: int = SPAN) -> DataFrame:
     """(keys, y, x, corr): the mean correlation over time of each pixel with its up to 8 neighbours; 0 with a flat one.
 
-    Four shifted joins on equal keys give each pair once; its correlation counts at both ends. centre_by: values are first
-    taken from their mean in each block (and pixel), for movies laid end to end."""
-    f = frames.select(*keys, *t, "y", "x", F.col(value).cast("double").alias("v"))
+    The movie is dealt once, to blocks of tile x tile pixels and `span` of the first of `t` (whole frame numbers); pixels at a tile's edge go to the
+    tiles beside it too. A block gives the moments of each pixel with four of its neighbours over its frames, which add up over blocks
+    to those of the movie: what is shuffled after that is of the order of the image. Missing (NULL) values aren't part of a pair. centre_by:
+    values are first taken from their mean in each block (and pixel), for movies laid end to end."""
+    f = frames.where(F.col(value).isNotNull()).select(*keys, *t, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(value).cast("double").alias("v"))
     if centre_by:
         f = f.withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy(*keys, *centre_by, "y", "x")))
-    shifts = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in HALF]))
-    moved = f.withColumn("_d", shifts).select(*keys, *t, (F.col("y") + F.col("_d.dy")).alias("y"), (F.col("x") + F.col("_d.dx")).alias("x"), F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("v").alias("w"))
-    on = [*keys, *t, "y", "x"]
-    pairs = f.join(moved, on).groupBy(*keys, "y", "x", "y0", "x0").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("v").alias("a"), F.sum("w").alias("b"), F.sum(F.col("v") * F.col("v")).alias("aa"), F.sum(F.col("w") * F.col("w")).alias("bb"), F.sum(F.col("v") * F.col("w")).alias("ab")
-    )
+    at = lambda dy, dx: F.struct(F.floor((F.col("y") - dy) / tile).cast("int").alias("_ty"), F.floor((F.col("x") - dx) / tile).cast("int").alias("_tx"))
+    spread = f.withColumn("_b", F.explode(F.array_distinct(F.array(at(0, 0), *[at(*d) for d in HALF])))).withColumn("_span", F.floor(F.col(t[0]) / span).cast("long"))
+    own = [f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys]
+
+    def moments(pdf: pd.DataFrame) -> pd.DataFrame:
+        frame, k = np.unique(pdf[t[0]].to_numpy(), return_inverse=True)
+        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        y0, x0 = int(y.min()), int(x.min())
+        h, w = int(y.max()) - y0 + 1, int(x.max()) - x0 + 1
+        v, there = np.zeros((len(frame), h + 2, w + 2)), np.zeros((len(frame), h + 2, w + 2))
+        v[k, y - y0 + 1, x - x0 + 1], there[k, y - y0 + 1, x - x0 + 1] = pdf["v"].to_numpy(), 1.0
+        mine = ((np.arange(h) + y0) // tile == int(pdf["_ty"].iloc[0]))[:, None] & ((np.arange(w) + x0) // tile == int(pdf["_tx"].iloc[0]))
+        a, ma = v[:, 1:-1, 1:-1], there[:, 1:-1, 1:-1]
+        out = []
+        for d, (dy, dx) in enumerate(HALF):
+            cut = slice(None), slice(1 + dy, 1 + dy + h), slice(1 + dx, 1 + dx + w)
+            b, mb = v[cut], there[cut]
+            n = (ma * mb).sum(axis=0) * mine
+            y, x = np.nonzero(n)
+            sums = [s[y, x] for s in (n, (a * mb).sum(axis=0), (ma * b).sum(axis=0), (a * a * mb).sum(axis=0), (ma * b * b).sum(axis=0), (a * b).sum(axis=0))]
+            out.append(pd.DataFrame(dict(zip(["y", "x", "d", "n", "a", "b", "aa", "bb", "ab"], [y + y0, x + x0, np.full(len(y), d), *sums], strict=True))))
+        got = pd.concat(out, ignore_index=True)
+        return got.assign(**{c: pd.Series([pdf[c].iloc[0]] * len(got), dtype=object) for c in keys})[[*keys, *got.columns[:9]]]
+
+    dealt = spread.select(*keys, *t, "y", "x", "v", "_span", "_b._ty", "_b._tx").groupBy(*keys, *t[1:], "_span", "_ty", "_tx")
+    blocks = dealt.applyInPandas(moments, ", ".join([*own, "y int, x int, d int, n double, a double, b double, aa double, bb double, ab double"]))
+    pairs = blocks.groupBy(*keys, "y", "x", "d").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")])
     va, vb, cov = (F.col("aa") - F.col("a") * F.col("a") / F.col("n")), (F.col("bb") - F.col("b") * F.col("b") / F.col("n")), (F.col("ab") - F.col("a") * F.col("b") / F.col("n"))
     c = F.when((va > 1e-12) & (vb > 1e-12), cov / F.sqrt(va * vb)).otherwise(0.0)
-    ends = pairs.select(*keys, F.explode(F.array(F.struct("y", "x", c.alias("c")), F.struct(F.col("y0").alias("y"), F.col("x0").alias("x"), c.alias("c")))).alias("_e"))
+    step = lambda i: F.get(F.array(*[F.lit(d[i]) for d in HALF]), F.col("d"))
+    ends = pairs.select(*keys, F.explode(F.array(F.struct("y", "x", c.alias("c")), F.struct((F.col("y") + step(0)).alias("y"), (F.col("x") + step(1)).alias("x"), c.alias("c")))).alias("_e"))
     return ends.groupBy(*keys, "_e.y", "_e.x").agg(F.avg("_e.c").alias("corr"))
 
 
