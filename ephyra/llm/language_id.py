@@ -12,18 +12,26 @@ from .crf import CRF, Tagger, batches, words_of
 
 #: The model is fitted on the whole texts of so many training documents of each language at most (the first by a hash of doc_id).
 FIT_DOCS = 150
+#: And on so many code points of them for each label at most; the driver holds no more of the texts.
+FIT_CHARS = 8_000_000
 
 
-def sample(docs: DataFrame, label: str, per_label: int) -> list:
-    """[(label, text)] of training rows: per_label rows of each label, by the order of a hash."""
+def sample(docs: DataFrame, label: str, per_label: int, chars: int = FIT_CHARS) -> list:
+    """[(label, text)] of training rows: per_label rows of each label, by the order of a hash of doc_id, as long as their texts have no
+    more than `chars` code points for each label; a text that is longer than what is left is passed over whole. Rows that share a doc_id
+    count once, with the least text. Lengths come to the driver first, and then the texts that were taken."""
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.col(label).alias("y"), "text")
-    got = chosen(rows, per_label).select("y", "h", "text").collect()
-    out, seen = [], Counter()
-    for y, h, text in sorted(tuple(r) for r in got):
-        seen[y] += 1
-        if seen[y] <= per_label:
-            out.append((y, text))
-    return sorted(out)
+    got = materialize(chosen(rows, per_label).groupBy("y", "h").agg(F.min("text").alias("text")))
+    seen, room, taken = Counter(), Counter(), []
+    for y, h, n in sorted(tuple(r) for r in got.select("y", "h", F.length("text")).collect()):
+        if seen[y] < per_label and room[y] + n <= chars:
+            seen[y] += 1
+            room[y] += n
+            taken.append((y, h))
+    if not taken:
+        return []
+    keys = docs.sparkSession.createDataFrame(taken, got.select("y", "h").schema)
+    return sorted(tuple(r) for r in got.join(F.broadcast(keys), ["y", "h"]).select("y", "text").collect())
 
 
 def chosen(rows: DataFrame, per_label: int) -> DataFrame:

@@ -138,3 +138,15 @@ def test_toxicity_finds_inflected_forms_and_edge_rows(spark):
     assert toxicity.score(test.limit(0), model).count() == 0
     none = toxicity.fit(train.limit(0).drop("toxic"), train.limit(0).drop("text"))
     assert toxicity.score(test, none).where("score = 0").count() == 6
+
+
+def test_the_sample_is_bounded_in_rows_and_characters(spark):
+    some = [(i, f"text {i} of one language", "en") for i in range(300)] + [(i, "x" * 4000, "de") for i in range(300, 400)]
+    hot = [(7, f"another text of the id {i}", "en") for i in range(3000)] + [(None, f"no id {i}", "fr") for i in range(50)] + [(401, None, "fr"), (402, "no label", None), (500, "y" * 90_000, "es"), (501, "short", "es")]
+    d = spark.createDataFrame(some + hot, "doc_id long, text string, lang string")
+    got = language_id.sample(d, "lang", 40, chars=50_000)
+    by = {y: [t for l, t in got if l == y] for y in {l for l, _ in got}}
+    assert set(by) == {"en", "de", "fr", "es"} and by["fr"] == ["no id 0"] and by["es"] == ["short"]
+    assert len(by["de"]) == 12 and sum(t.startswith("another") for t in by["en"]) <= 1 and len(by["en"]) <= 40
+    assert got == language_id.sample(d.orderBy(F.rand(1)).repartition(5), "lang", 40, chars=50_000)
+    assert language_id.sample(d.limit(0), "lang", 40) == []
