@@ -159,6 +159,14 @@ def responders(spark, d):
     return reports.responders(_session(spark, d), min_trials=2).select("block", "roi", "odor", "n", rounded("t").alias("t"), rounded("p", 8).alias("p"), "rejected", "sign")
 
 
+@query()
+def responder_flags(spark, d):
+    """Counts of each block of the session's responders, and what would make them unreadable."""
+    from . import reports
+
+    return reports.responder_flags(reports.responders(_session(spark, d), min_trials=2), detrended=False)
+
+
 @query()
 def qc_report(spark, d):
     from . import reports

@@ -110,6 +110,10 @@ def without_first_component(z: DataFrame, value: str, gram_trials: int = GRAM_TR
     return both.join(slope, "roi").withColumn(value, F.col(value) - F.coalesce("_b", F.lit(0.0)) * F.col("_g")).drop("_res", "_g", "_b")
 
 
+#: An odor with fewer trials is thin, and more than this share of excited rois is no answer to an odor.
+THIN_TRIALS, UNIFORM = 10, 0.9
+
+
 def responder_test(deltas: DataFrame, keys: list[str], target_fdr: float = 0.05, min_trials: int = 5) -> DataFrame:
     """(keys, n, mean, t, p, rejected, sign) of one-sample tests with the step-up over all of them."""
     t = response.t_statistics(deltas, keys, "delta", min_trials).withColumn("p", t_pvalue("t", "n"))
@@ -136,6 +140,35 @@ def responders(traces: DataFrame, *, target_fdr: float = 0.05, min_trials: int =
     return out
 
 
+def responder_counts(tests: DataFrame) -> DataFrame:
+    """(block, n_tests, n_excited, n_suppressed, n_rois, rois_excited, rois_suppressed, fewest_trials, thin_odors) of what `responders`
+    gives; thin odors have tests of fewer than THIN_TRIALS trials. Two aggregations, by roi and by odor; tests may be any number."""
+    hit = lambda name: F.col("rejected") & (F.col("sign") == name)
+    rois = tests.groupBy("block", "roi").agg(F.count_if(F.col("p").isNotNull()).alias("_n"), F.count_if(hit("excited")).alias("_e"), F.count_if(hit("suppressed")).alias("_s"))
+    by_roi = rois.groupBy("block").agg(
+        F.sum("_n").alias("n_tests"), F.sum("_e").alias("n_excited"), F.sum("_s").alias("n_suppressed"), F.count("roi").alias("n_rois"), F.count_if(F.col("_e") > 0).alias("rois_excited"), F.count_if(F.col("_s") > 0).alias("rois_suppressed")
+    )
+    odors = tests.groupBy("block", "odor").agg(F.max("n").alias("_n")).groupBy("block").agg(F.min("_n").alias("fewest_trials"), F.count_if(F.col("_n") < THIN_TRIALS).alias("thin_odors"))
+    return by_roi.join(odors, "block")
+
+
+def responder_flags(tests: DataFrame, detrended: bool) -> DataFrame:
+    """responder_counts with `flags`: on the row of all trials, what would make its counts unreadable; other rows have none.
+
+    A control that finds anything at all is flagged, since no odor was there. No tests give no rows; a roi whose tests are all
+    NULL counts as a roi, not as a test. Odors with too few trials for any test have no rows in tests and aren't counted as thin.
+    """
+    from ..sources.shared import saved
+
+    counts = saved(responder_counts(tests))
+    control = counts.where("block = 'control'").agg(F.coalesce(F.sum(F.col("n_excited") + F.col("n_suppressed")), F.lit(0)).alias("control_found"))
+    own = F.col("block") == "all"
+    return response.flags(counts.join(F.broadcast(control), F.lit(True), "left"), {
+        "traces are not detrended": own & F.lit(not detrended), "responses in the control": own & (F.col("control_found") > 0), f"odors with fewer than {THIN_TRIALS} trials": own & (F.col("thin_odors") > 0),
+        "nothing responds": own & (F.col("n_tests") > 0) & (F.col("n_excited") + F.col("n_suppressed") == 0), "nearly every roi is excited": own & (F.col("rois_excited") > UNIFORM * F.col("n_rois")),
+    })
+
+
 def by_odor(deltas: DataFrame, value: str, odors: list) -> DataFrame:
     """(roi, one column for each odor) of means."""
     return deltas.groupBy("roi").pivot("odor", odors).agg(F.avg(value))

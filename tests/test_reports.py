@@ -197,3 +197,26 @@ def test_first_component_by_products_and_by_iteration(spark):
     assert reports.without_first_component(z.limit(0), "z").count() == 0
     extra = z.unionByName(spark.createDataFrame([(None, 0, 0, 99.0), (1, None, 0, 99.0)], z.schema))
     assert reports.without_first_component(extra, "z").count() == 70
+
+
+def test_responder_flags_against_counts_by_hand(spark):
+    g = np.random.default_rng(5)
+    rows = [(b, r, o, int(g.integers(8, 14)), None if g.random() < 0.1 else 0.5, bool(g.random() < 0.3), "excited" if g.random() < 0.5 else "suppressed") for b in ("all", "pre", "control") for r in range(20) for o in range(3)]
+    rows = [(b, r, o, n, p, rej and p is not None, s if rej and p is not None else "none") for b, r, o, n, p, rej, s in rows]
+    schema = "block string, roi int, odor int, n long, p double, rejected boolean, sign string"
+    got = {r["block"]: r for r in reports.responder_flags(spark.createDataFrame(rows, schema), detrended=False).collect()}
+    for block, r in got.items():
+        own = [x for x in rows if x[0] == block]
+        most = [max(x[3] for x in own if x[2] == o) for o in range(3)]
+        want = (sum(x[4] is not None for x in own), *[sum(x[6] == s for x in own) for s in ("excited", "suppressed")], 20, *[len({x[1] for x in own if x[6] == s}) for s in ("excited", "suppressed")], min(most), sum(m < 10 for m in most))
+        assert tuple(r[c] for c in ("n_tests", "n_excited", "n_suppressed", "n_rois", "rois_excited", "rois_suppressed", "fewest_trials", "thin_odors")) == want
+    assert got["all"]["flags"] == ["traces are not detrended", "responses in the control"] and got["pre"]["flags"] == [] == got["control"]["flags"]
+
+    def flags(rows, detrended=True):
+        return {r["block"]: r["flags"] for r in reports.responder_flags(spark.createDataFrame(rows, schema), detrended).collect()}
+
+    none = [("all", r, 0, 9, 0.9, False, "none") for r in range(10)] + [("control", r, 0, 9, 0.9, False, "none") for r in range(10)]
+    assert flags(none)["all"] == ["odors with fewer than 10 trials", "nothing responds"]
+    every = [("all", r, 0, 12, 0.0, True, "excited") for r in range(10)]
+    assert flags(every)["all"] == ["nearly every roi is excited"] and flags(every[:9] + [("all", 9, 0, 12, 0.5, False, "none")])["all"] == []
+    assert flags([("all", 1, 0, 12, None, False, "none")])["all"] == [] and flags([]) == {}
