@@ -162,8 +162,13 @@ def otsu(values: DataFrame, keys: list[str], value: str, low: float, high: float
     """(keys, threshold): the bin edge of the largest variance between both sides, the first of equals."""
     b = F.least(F.lit(bins - 1), F.floor((F.col(value) - low) / ((high - low) / bins)).cast("int"))
     h = values.where(F.col(value).between(low, high)).groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return otsu_of_counts(h, keys).withColumn("threshold", low + (F.col("bin") + 1) * ((high - low) / bins))
+
+
+def otsu_of_counts(h: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, bin): the last bin of the lower side, of histograms (keys, bin, n)."""
     w = Window.partitionBy(*keys)
     c = h.withColumns({"_w": F.sum("n").over(w.orderBy("bin")), "_s": F.sum(F.col("n") * F.col("bin")).over(w.orderBy("bin")), "_tw": F.sum("n").over(w), "_ts": F.sum(F.col("n") * F.col("bin")).over(w)})
     m0, m1 = F.col("_s") / F.col("_w"), (F.col("_ts") - F.col("_s")) / F.nullif(F.col("_tw") - F.col("_w"), F.lit(0))
     score = F.round(F.col("_w") / F.col("_tw") * ((F.col("_tw") - F.col("_w")) / F.col("_tw")) * (m0 - m1) * (m0 - m1), 9)
-    return c.withColumn("_v", score).groupBy(*keys).agg(F.min_by("bin", F.struct(-F.coalesce("_v", F.lit(-1.0)), F.col("bin"))).alias("bin")).withColumn("threshold", low + (F.col("bin") + 1) * ((high - low) / bins))
+    return c.withColumn("_v", score).groupBy(*keys).agg(F.min_by("bin", F.struct(-F.coalesce("_v", F.lit(-1.0)), F.col("bin"))).alias("bin"))

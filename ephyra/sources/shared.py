@@ -36,3 +36,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in that folder. Unlike a checkpoint, whose estimated size is that of its plan, it is planned by its real size: rounds
+    that join their own outcome again and again need that."""
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
