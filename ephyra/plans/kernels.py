@@ -105,17 +105,22 @@ def ridge_processes(spark, d):
     return segment.per_image(_images(spark, d), ["odor"], lambda im: segment.processes(np.nan_to_num(im), np.zeros(im.shape, int)))
 
 
-@query()
-def pupil_frames(spark, d):
-    """Embeddings as 8 x 8 grey frames, blown up to 40 x 40."""
+def _eye_frames(spark, d):
+    """Embeddings as 8 x 8 grey frames, blown up to 40 x 40, dealt evenly: a frame takes far longer than its reading, and a file of few row
+    groups would be few tasks."""
 
     def run(batches):
         for pdf in batches:
             px = [np.kron(np.clip(np.asarray(e, float).reshape(8, 8) * 60 + 128, 0, 255), np.ones((5, 5))).astype(np.uint8).tobytes() for e in pdf["embedding"]]
             yield pd.DataFrame({"label": pdf["label"], "index": pdf["vec_id"], "height": 40, "width": 40, "pixels": px})
 
-    f = table(spark, d, "embeddings").select("vec_id", "label", "embedding").mapInPandas(run, "label int, index long, height int, width int, pixels binary")
-    m = frames.classify(frames.pupils(f, ["label"], frames.PupilConfig()), ["label"], "index")
+    dealt = table(spark, d, "embeddings").select("vec_id", "label", "embedding").repartition(4 * spark.sparkContext.defaultParallelism, "vec_id")
+    return dealt.mapInPandas(run, "label int, index long, height int, width int, pixels binary")
+
+
+@query()
+def pupil_frames(spark, d):
+    m = frames.classify(frames.pupils(_eye_frames(spark, d), ["label"], frames.PupilConfig()), ["label"], "index")
     return m.select("label", "index", rounded("diameter", 3).alias("diameter"), "blink", "clipped")
 
 
