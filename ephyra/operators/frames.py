@@ -93,15 +93,16 @@ def pupils(frames: DataFrame, keys: list[str], config: PupilConfig = PupilConfig
     return got.withColumns({f: F.when(~F.isnan(f), F.col(f)) for f in FIELDS})
 
 
-def classify(measures: DataFrame, keys: list[str], order: str, config: PupilConfig = PupilConfig(), seconds: str | None = None, active: str | None = None) -> DataFrame:
+def classify(measures: DataFrame, keys: list[str], order: str, config: PupilConfig = PupilConfig(), seconds: str | None = None, active: str | None = None, period: float = 1.0) -> DataFrame:
     """measures with rate (pixels a second), blink and clipped. seconds: the camera's time of each frame (by default its order).
+    period: the seconds that its unit stands for, so that whole numbers of frames keep a jump free of a clock's rounding.
     A collapse (a quarter of the median area, or a very long ellipse), a bad fit (few inliers, a large residual or none) and a
     jump (the diameter's rate): two of them make a blink; a bad fit without a blink is a clipped pupil. Frames that are not
     active are neither."""
     w, last = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(order)
     yes = lambda c: F.coalesce(c, F.lit(False))
     at = F.col(seconds or order)
-    rate = safe_ratio(F.abs(F.col("diameter") - F.lag("diameter").over(last)), at - F.lag(at).over(last))
+    rate = safe_ratio(F.abs(F.col("diameter") - F.lag("diameter").over(last)), (at - F.lag(at).over(last)) * F.lit(period))
     collapse = yes(F.col("area") < config.collapse_fraction * F.median("area").over(w)) | yes(F.col("axis_ratio") < config.axis_ratio)
     bad = F.col("diameter").isNull() | yes(F.col("inlier_fraction") < config.least_inliers) | yes(F.col("residual") > config.max_residual_px)
     on = F.lit(True) if active is None else yes(F.col(active).cast("boolean"))
