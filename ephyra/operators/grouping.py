@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import safe_ratio
-from ..sources.shared import saved
+from ..sources.shared import saved, written
 
 
 def index_image(somas: DataFrame, processes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -31,42 +33,80 @@ def pairwise_gaps(mask: DataFrame, most: int) -> DataFrame:
     return m.withColumnRenamed("label", "a").join(other, ["cy", "cx"]).where((F.col("a") < F.col("b")) & (d2 <= most * most)).groupBy("a", "b").agg(F.sqrt(F.min(d2)).alias("gap"))
 
 
-#: Values of two blocks of traces that a task holds at most, and rois of a block.
-BLOCK_VALUES, BLOCK_ROIS = 8_000_000, 512
+#: Values of two blocks of traces that a task holds at most, rois of a block, and those of a tile, whose pairs are compared at once.
+BLOCK_VALUES, BLOCK_ROIS, TILE_ROIS = 8_000_000, 32_768, 512
 
 
 def lagged_correlations(traces: DataFrame, pairs: DataFrame | None = None, max_lag: int = 0) -> DataFrame:
     """(a, b, corr), a < b: the largest correlation of two rois' traces (roi, trial, frame, v) over lags within trials, NULL if flat.
 
-    pairs (a, b): only these, by joins. Else all pairs that share a frame, as a matrix: rois are cut in blocks, each pair of blocks
-    is one task of a few matrix products, so that frames are copied once for each block and never once for each pair."""
+    pairs (a, b): only these, by joins. Else all pairs that share a frame, as a matrix: a roi's trace is packed in one row, rois are cut
+    in blocks, each pair of blocks is one task of matrix products over pairs of tiles, so that traces are copied once for each
+    block and never once for each pair. What is shuffled is the traces times the blocks; what comes out is of the order of all pairs."""
     if pairs is not None:
         a = traces.select(F.col("roi").alias("a"), "trial", "frame", F.col("v").alias("va"))
         lags = F.explode(F.array(*[F.lit(i) for i in range(-max_lag, max_lag + 1)]))
         b = traces.withColumn("lag", lags).select(F.col("roi").alias("b"), "trial", (F.col("frame") + F.col("lag")).alias("frame"), "lag", F.col("v").alias("vb"))
-        per = a.join(pairs, "a").join(b, ["b", "trial", "frame"]).groupBy("a", "b", "lag").agg(F.corr("va", "vb").alias("c"))
+        per = a.join(pairs, "a").join(b, ["b", "trial", "frame"]).groupBy("a", "b", "lag").agg(F.covar_pop("va", "vb").alias("_c"), *[F.var_pop(F.when(F.col(y).isNotNull(), F.col(x))).alias(f"_{x}") for x, y in (("va", "vb"), ("vb", "va"))])
+        per = per.select("a", "b", safe_ratio("_c", F.sqrt(F.col("_va") * F.col("_vb"))).alias("c"))  # corr itself fails on flat traces
         return per.groupBy("a", "b").agg(F.max(F.when(~F.isnan("c"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c"))))).alias("corr"))
-    t = saved(traces.select(F.col("roi").cast("long"), F.col("trial").cast("long"), F.col("frame").cast("long"), F.col("v").cast("double")).where("v is not null"))
-    rois, times = t.select("roi").distinct().count(), t.select("trial", "frame").distinct().count()
-    blocks = max(1, -(-rois // max(16, min(BLOCK_ROIS, BLOCK_VALUES // max(1, 2 * times)))))
+    t = traces.select(F.col("roi").cast("long"), F.col("trial").cast("long"), F.col("frame").cast("long"), F.col("v").cast("double")).where("v is not null and roi is not null")
+    packed = written(t.groupBy("roi").agg(F.array_sort(F.collect_list(F.struct("trial", "frame", "v"))).alias("_p")).select("roi", *[F.col(f"_p.{c}").alias(c) for c in ("trial", "frame", "v")]))
+    rois, longest, low, high = packed.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0)), F.min(F.array_min("frame")), F.max(F.array_max("frame"))).first()
+    times = packed.select(F.explode(F.array_distinct("trial"))).distinct().count() * ((high or 0) - (low or 0) + 1 + 2 * max_lag)
+    tile = max(16, min(TILE_ROIS, BLOCK_VALUES // max(1, 2 * times)))
+    # blocks as large as a task can hold, but so many that their pairs keep each core busy
+    cores = traces.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-rois // max(tile, min(BLOCK_ROIS, BLOCK_VALUES // max(1, 2 * longest)))), min(-(-rois // tile), math.ceil(math.sqrt(16 * cores))))
     own = F.pmod(F.xxhash64("roi"), F.lit(blocks)).cast("int")
-    cut = t.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    got = cut.groupBy("lo", "hi").applyInPandas(lambda key, pdf: _block_correlations(key, pdf, max_lag), "a long, b long, corr double")
-    return got
-
-
-def _block_correlations(key, pdf: pd.DataFrame, max_lag: int) -> pd.DataFrame:
-    roi, r = np.unique(pdf["roi"].to_numpy(), return_inverse=True)
-    trial, tr = np.unique(pdf["trial"].to_numpy(), return_inverse=True)
-    frame = pdf["frame"].to_numpy()
+    cut = packed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other")
+    # partitions by number, so that none are put together: their input is small, what they make of it isn't
+    dealt = cut.repartition(max(1, min(blocks * (blocks + 1) // 2, 2000)), "lo", "hi").sortWithinPartitions("lo", "hi")
+    return dealt.mapInArrow(lambda batches: _pairs_of_blocks(batches, max_lag, tile), "a long, b long, corr double")
+
+
+def _pairs_of_blocks(batches, max_lag: int, tile: int):
+    """The correlations of each pair of blocks in sorted rows (roi, trial, frame, v, own, lo, hi), held one pair of blocks at a time."""
+    held, key = [], None
+    for batch in batches:
+        lo, hi = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("lo", "hi"))
+        edges = [0, *(np.flatnonzero((lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1).tolist(), batch.num_rows]
+        for i, j in zip(edges[:-1], edges[1:]):
+            if j > i:
+                if held and key != (lo[i], hi[i]):
+                    yield from _tiles(pa.Table.from_batches(held), key, max_lag, tile)
+                    held = []
+                key = (lo[i], hi[i])
+                held.append(batch.slice(i, j - i))
+    if held:
+        yield from _tiles(pa.Table.from_batches(held), key, max_lag, tile)
+
+
+def _tiles(rows: pa.Table, key: tuple, max_lag: int, tile: int):
+    own = rows.column("own").to_numpy()
+    place = lambda side: np.flatnonzero(own == side)
+    cut = lambda at: [at[i : i + tile] for i in range(0, len(at), tile)]
+    los, his = cut(place(key[0])), cut(place(key[1]))
+    for i, a in enumerate(los):
+        for b in his[i:] if key[0] == key[1] else his:
+            same = a[0] == b[0]
+            yield _tile_correlations(rows.take(pa.array(a if same else np.concatenate([a, b]))), len(a), same, max_lag)
+
+
+def _tile_correlations(rows: pa.Table, first: int, same: bool, max_lag: int) -> pa.RecordBatch:
+    """All pairs of the first rows with the others, or (same) of all rows with one another."""
+    roi = rows.column("roi").to_numpy()
+    flat_of = lambda c: rows.column(c).combine_chunks().flatten().to_numpy()
+    r = np.repeat(np.arange(len(roi)), pc.list_value_length(rows.column("v")).to_numpy())
+    trial, tr = np.unique(flat_of("trial"), return_inverse=True)
+    frame = flat_of("frame")
     low, width = frame.min(), int(frame.max() - frame.min()) + 1 + 2 * max_lag
     x = np.full((len(roi), len(trial), width), np.nan)
-    x[r, tr, frame - low + max_lag] = pdf["v"].to_numpy()
+    x[r, tr, frame - low + max_lag] = flat_of("v")
     there = ~np.isnan(x)
-    x = np.where(there, x - np.nanmean(np.where(there, x, np.nan), axis=(1, 2), keepdims=True), 0.0)
-    lo = np.zeros(len(roi), bool)
-    lo[r[(pdf["own"] == key[0]).to_numpy()]] = True
-    hi = ~lo if key[0] != key[1] else lo
+    x = np.where(there, x - (np.where(there, x, 0.0).sum(axis=(1, 2)) / np.maximum(there.sum(axis=(1, 2)), 1))[:, None, None], 0.0)
+    lo = np.arange(len(roi)) < first
+    hi = lo if same else ~lo
     flat = lambda v, k: np.roll(v, k, axis=2).reshape(len(v), -1)  # noqa: E731  margins keep a lag inside its trial
     a, ma = flat(x[lo], 0), flat(there[lo], 0).astype(float)
     best, met = np.full((lo.sum(), hi.sum()), -np.inf), np.zeros((lo.sum(), hi.sum()), bool)
@@ -80,9 +120,9 @@ def _block_correlations(key, pdf: pd.DataFrame, max_lag: int) -> pd.DataFrame:
         best = np.where(ok, np.maximum(best, c), best)
         met |= n > 0
     ra, rb = np.broadcast_arrays(roi[lo][:, None], roi[hi][None])
-    keep = met & ((ra < rb) if key[0] == key[1] else True)
+    keep = met & ((ra < rb) if same else True)
     c = best[keep]
-    return pd.DataFrame({"a": np.minimum(ra, rb)[keep], "b": np.maximum(ra, rb)[keep], "corr": np.where(np.isfinite(c), c, np.nan)}).astype({"corr": object}).where(lambda d: d.notna(), None)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(ra, rb)[keep]), pa.array(np.maximum(ra, rb)[keep]), pa.array(c, mask=~np.isfinite(c))], names=["a", "b", "corr"])
 
 
 def array_correlations(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
