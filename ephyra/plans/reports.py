@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
@@ -13,6 +14,7 @@ from ..functions.columns import finite, safe_ratio
 from ..functions.special import t_pvalue
 from ..operators import baseline, clock, grouping, pixels, response, signals
 from ..sources import store
+from ..sources.shared import written
 
 # -- calls and responders: traces are (roi, trial, odor, state, frame, v) with on and off
 
@@ -42,56 +44,70 @@ def trial_calls(traces: DataFrame, width: int, *, deglobal: str | None = None, r
     return got.select(*keys, "z", "control", yes(F.col("z") >= F.col("_e")).alias("excited"), yes(F.col("z") <= F.col("_s")).alias("suppressed"))
 
 
-#: Up to so many trials their products over rois are summed whole (a square of 8-byte sums on the driver); more go by power iteration.
+#: Up to so many trials, or else rois, their products are summed whole (a square of 8-byte sums on the driver); more of both go by power iteration.
 GRAM_TRIALS = 1024
 
 
+def _products(cells: DataFrame, n: int) -> np.ndarray:
+    """The n x n sums of products of rows (i: places below n, x: values). Each task sums those of its rows; repeated places of a row add up."""
+
+    def products(batches):
+        g, any_rows = np.zeros((n, n)), False
+        for batch in batches:
+            any_rows = any_rows or batch.num_rows > 0
+            for lo in range(0, batch.num_rows, 4096):
+                i, x = (batch.column(k).slice(lo, 4096) for k in (0, 1))
+                row = np.repeat(np.arange(len(i)), pc.list_value_length(i).to_numpy())
+                m = np.bincount(row * n + i.flatten().to_numpy(), weights=x.flatten().to_numpy(), minlength=len(i) * n).reshape(-1, n)
+                g += m.T @ m
+        if any_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(list(g), pa.list_(pa.float64()))], names=["i", "g"])
+
+    parts = cells.select("i", "x").mapInArrow(products, "i int, g array<double>")
+    sums = parts.select("i", F.posexplode("g").alias("j", "g")).groupBy("i", "j").agg(F.sum("g").alias("g")).toPandas()
+    g = np.zeros((n, n))
+    if len(sums):
+        g[sums["i"], sums["j"]] = sums["g"]
+    return g
+
+
 def first_trial_component(r: DataFrame, tolerance: float = 1e-9, most: int = 200, gram_trials: int = GRAM_TRIALS) -> DataFrame:
     """(odor, trial, _w): the first right singular vector of the written table r (roi, odor, trial, _res).
 
-    A session has few trials: there each task sums the products of its rois' rows, the sums are added in a shuffle of at most a square of
-    the trials for each task, and the vector is exact after one pass. Beyond `gram_trials` the cluster iterates until the vector moves
-    by no more than the tolerance: each step is two sums over the long table, and only trials' weights move."""
-    from ..sources.shared import saved
-
+    A session has few trials, and a long one few rois: there each task sums the products of the rows of one by the other, the sums are
+    added in a shuffle of at most a square of the fewer for each task, and the vector is exact after one pass (from that of the
+    rois, the trials' follows by one sum). With more than `gram_trials` of both the cluster iterates until the vector moves by no more
+    than the tolerance: each step is two sums over the long table, and only weights move, by shuffles, never through the driver."""
     spark = r.sparkSession
-    trials = r.select("odor", "trial").distinct()
-    names = trials.limit(gram_trials + 1).collect()
-    n = len(names)
-    if n <= gram_trials:
+    small = lambda *by: r.select(*by).distinct().limit(gram_trials + 1).collect()
+    names = small("odor", "trial")
+    if len(names) <= gram_trials:
         schema = r.select("odor", "trial").schema
         # nulls are trials of no one: they join nothing below either
         names = sorted((tuple(x) for x in names if None not in tuple(x)), key=str)
-        n = len(names)
         place = spark.createDataFrame([(*x, i) for i, x in enumerate(names)], T.StructType([*schema.fields, T.StructField("_i", T.IntegerType())]))
         # of a trial's repeated rows, each counts
         cells = r.where("roi is not null").join(F.broadcast(place), ["odor", "trial"]).groupBy("roi").agg(F.collect_list("_i").alias("i"), F.collect_list("_res").alias("x"))
-
-        def products(batches):
-            g, any_rows = np.zeros((n, n)), False
-            for batch in batches:
-                any_rows = any_rows or batch.num_rows > 0
-                for i, x in zip(batch.column(0), batch.column(1)):
-                    row = np.bincount(i.values.to_numpy(), weights=x.values.to_numpy(), minlength=n)
-                    g += np.outer(row, row)
-            if any_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(list(g), pa.list_(pa.float64()))], names=["i", "g"])
-
-        parts = cells.select("i", "x").mapInArrow(products, "i int, g array<double>")
-        sums = parts.select("i", F.posexplode("g").alias("j", "g")).groupBy("i", "j").agg(F.sum("g").alias("g")).toPandas()
-        g = np.zeros((n, n))
-        if len(sums):
-            g[sums["i"], sums["j"]] = sums["g"]
-        w = np.linalg.eigh(g)[1][:, -1] if n else np.zeros(0)
+        w = np.linalg.eigh(_products(cells, len(names)))[1][:, -1] if names else np.zeros(0)
         return spark.createDataFrame([(*x, float(v)) for x, v in zip(names, w)], T.StructType([*schema.fields, T.StructField("_w", T.DoubleType())]))
+    rois = small("roi")
+    if len(rois) <= gram_trials:
+        rois = sorted((x[0] for x in rois if x[0] is not None), key=str)
+        own = T.StructType([*r.select("roi").schema.fields, T.StructField("_i", T.IntegerType())])
+        known = r.where("odor is not null and trial is not null")
+        cells = known.join(F.broadcast(spark.createDataFrame([(x, i) for i, x in enumerate(rois)], own)), "roi").groupBy("odor", "trial").agg(F.collect_list("_i").alias("i"), F.collect_list("_res").alias("x"))
+        values, vectors = np.linalg.eigh(_products(cells, len(rois))) if rois else (np.zeros(1), np.zeros((0, 1)))
+        norm = float(np.sqrt(max(values[-1], 0.0)))
+        weight = spark.createDataFrame([(x, float(v) / norm if norm else 0.0) for x, v in zip(rois, vectors[:, -1])], T.StructType([own.fields[0], T.StructField("_u", T.DoubleType())]))
+        return known.join(F.broadcast(weight), "roi").groupBy("odor", "trial").agg(F.sum(F.col("_res") * F.col("_u")).alias("_w"))
     # a start that no symmetry of the data cancels
-    v = saved(r.groupBy("odor", "trial").agg((F.avg("_res") + F.pmod(F.xxhash64("odor", "trial"), F.lit(1000)) * 1e-3).alias("_w")))
+    v = written(r.groupBy("odor", "trial").agg((F.avg("_res") + F.pmod(F.xxhash64("odor", "trial"), F.lit(1000)) * 1e-3).alias("_w")))
     for _ in range(most):
-        u = r.join(v, ["odor", "trial"]).groupBy("roi").agg(F.sum(F.col("_res") * F.col("_w")).alias("_u"))
-        new = saved(r.join(u, "roi").groupBy("odor", "trial").agg(F.sum(F.col("_res") * F.col("_u")).alias("_w")))
+        u = r.join(v.hint("merge"), ["odor", "trial"]).groupBy("roi").agg(F.sum(F.col("_res") * F.col("_w")).alias("_u"))
+        new = written(r.join(u.hint("merge"), "roi").groupBy("odor", "trial").agg(F.sum(F.col("_res") * F.col("_u")).alias("_w")))
         norm = new.agg(F.sqrt(F.sum(F.col("_w") * F.col("_w")))).first()[0] or 0.0
         new = new.withColumn("_w", F.col("_w") / norm if norm else F.lit(0.0))
-        moved = new.join(v.withColumnRenamed("_w", "_old"), ["odor", "trial"]).agg(F.sqrt(F.sum(F.pow(F.col("_w") - F.col("_old"), 2)))).first()[0]
+        moved = new.join(v.withColumnRenamed("_w", "_old").hint("merge"), ["odor", "trial"]).agg(F.sqrt(F.sum(F.pow(F.col("_w") - F.col("_old"), 2)))).first()[0]
         v = new
         if moved is None or moved <= tolerance:
             break
@@ -100,9 +116,7 @@ def first_trial_component(r: DataFrame, tolerance: float = 1e-9, most: int = 200
 
 def without_first_component(z: DataFrame, value: str, gram_trials: int = GRAM_TRIALS) -> DataFrame:
     """z (roi, odor, trial, value) less what the first right singular vector of the rois' residuals (from their odor's mean) explains."""
-    from ..sources.shared import saved
-
-    r = saved(z.withColumn("_res", F.coalesce(F.col(value) - F.avg(value).over(Window.partitionBy("roi", "odor")), F.lit(0.0))))
+    r = written(z.withColumn("_res", F.coalesce(F.col(value) - F.avg(value).over(Window.partitionBy("roi", "odor")), F.lit(0.0))))
     v = first_trial_component(r, gram_trials=gram_trials)
     centred = v.withColumn("_g", F.col("_w") - F.avg("_w").over(Window.partitionBy("odor"))).drop("_w")
     both = r.join(centred, ["odor", "trial"])

@@ -220,3 +220,17 @@ def test_responder_flags_against_counts_by_hand(spark):
     every = [("all", r, 0, 12, 0.0, True, "excited") for r in range(10)]
     assert flags(every)["all"] == ["nearly every roi is excited"] and flags(every[:9] + [("all", 9, 0, 12, 0.5, False, "none")])["all"] == []
     assert flags([("all", 1, 0, 12, None, False, "none")])["all"] == [] and flags([]) == {}
+
+
+def test_first_component_by_the_fewer_side_takes_one_pass(spark, monkeypatch):
+    """More trials than the bound but few rois: the products of the rois give the same, and no round moves weights."""
+    g = np.random.default_rng(6)
+    x = np.outer(g.standard_normal(5), g.standard_normal(40)) * 3 + g.standard_normal((5, 40))
+    z = spark.createDataFrame([(i, j % 2, j, float(x[i, j])) for i in range(5) for j in range(40)], "roi int, odor int, trial int, z double")
+    want = {(r["roi"], r["trial"]): r["z"] for r in reports.without_first_component(z, "z").collect()}
+    made, real = [], reports.written
+    monkeypatch.setattr(reports, "written", lambda df: made.append(0) or real(df))
+    got = {(r["roi"], r["trial"]): r["z"] for r in reports.without_first_component(z, "z", gram_trials=8).collect()}
+    assert len(made) == 1 and len(got) == 200 and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    extra = z.unionByName(spark.createDataFrame([(None, 0, 0, 99.0), (1, None, 0, 99.0)], z.schema))
+    assert reports.without_first_component(extra, "z", gram_trials=8).count() == 200
