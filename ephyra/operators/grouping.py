@@ -47,9 +47,12 @@ def lagged_correlations(traces: DataFrame, pairs: DataFrame | None = None, max_l
         a = traces.select(F.col("roi").alias("a"), "trial", "frame", F.col("v").alias("va"))
         lags = F.explode(F.array(*[F.lit(i) for i in range(-max_lag, max_lag + 1)]))
         b = traces.withColumn("lag", lags).select(F.col("roi").alias("b"), "trial", (F.col("frame") + F.col("lag")).alias("frame"), "lag", F.col("v").alias("vb"))
-        per = a.join(pairs, "a").join(b, ["b", "trial", "frame"]).groupBy("a", "b", "lag").agg(F.covar_pop("va", "vb").alias("_c"), *[F.var_pop(F.when(F.col(y).isNotNull(), F.col(x))).alias(f"_{x}") for x, y in (("va", "vb"), ("vb", "va"))])
-        per = per.select("a", "b", safe_ratio("_c", F.sqrt(F.col("_va") * F.col("_vb"))).alias("c"))  # corr itself fails on flat traces
-        return per.groupBy("a", "b").agg(F.max(F.when(~F.isnan("c"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c"))))).alias("corr"))
+        own = [m.alias(f"_{n}{x}") for x, y in (("va", "vb"), ("vb", "va")) for n, m in ((f, g(F.when(F.col(y).isNotNull(), F.col(x)))) for f, g in (("s", F.var_pop), ("q", lambda v: F.avg(v * v))))]
+        per = a.join(pairs, "a").join(b, ["b", "trial", "frame"]).groupBy("a", "b", "lag").agg(F.covar_pop("va", "vb").alias("_c"), *own)
+        # corr itself fails on flat traces; what merging sums leaves of them is a deviation in the 16th digit
+        varies = (F.col("_sva") > 1e-24 * F.col("_qva")) & (F.col("_svb") > 1e-24 * F.col("_qvb"))
+        per = per.select("a", "b", F.when(varies, F.col("_c") / F.sqrt(F.col("_sva") * F.col("_svb"))).alias("c"))
+        return per.groupBy("a", "b").agg(F.max(F.when(F.col("c").isNotNull() & ~F.isnan("c"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c"))))).alias("corr"))
     t = traces.select(F.col("roi").cast("long"), F.col("trial").cast("long"), F.col("frame").cast("long"), F.col("v").cast("double")).where("v is not null and roi is not null")
     packed = written(t.groupBy("roi").agg(F.array_sort(F.collect_list(F.struct("trial", "frame", "v"))).alias("_p")).select("roi", *[F.col(f"_p.{c}").alias(c) for c in ("trial", "frame", "v")]))
     rois, longest, low, high = packed.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0)), F.min(F.array_min("frame")), F.max(F.array_max("frame"))).first()
