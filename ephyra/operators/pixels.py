@@ -10,8 +10,18 @@ from pyspark.sql.window import Window
 from ..functions.columns import safe_ratio
 
 HALF = [(0, 1), (1, -1), (1, 0), (1, 1)]
-#: Pixels on the side of a block of a movie, and its frames: with the borrowed edges 8 MB of doubles.
-TILE, SPAN = 64, 256
+#: Pixels on the side of a tile of a movie, the frames that are dealt together, and the rows that a task looks at at once.
+TILE, SPAN, PIECE = 64, 256, 500_000
+
+
+def _numbered(rows: pd.DataFrame, cols: list[str]) -> np.ndarray:
+    """Numbers from 0 of stretches of rows with equal columns; NULL equals NULL."""
+    new = np.zeros(len(rows), bool)
+    for c in cols:
+        v = rows[c]
+        v = v.to_numpy() if v.dtype.kind in "iub" else pd.factorize(v, use_na_sentinel=False)[0]
+        new[1:] |= v[1:] != v[:-1]
+    return np.cumsum(new)
 
 
 def baseline_z(frames: DataFrame, keys: list[str], t: str, value: str, on: str, sample: bool = True, floor: float = 1e-6) -> DataFrame:
@@ -36,39 +46,66 @@ def stouffer(z: DataFrame, keys: list[str], value: str) -> DataFrame:
 def neighbour_correlation(frames: DataFrame, keys: list[str], t: list[str], value: str, centre_by: list[str] | None = None, tile: int = TILE, span: int = SPAN) -> DataFrame:
     """(keys, y, x, corr): the mean correlation over time of each pixel with its up to 8 neighbours; 0 with a flat one.
 
-    The movie is dealt once, to blocks of tile x tile pixels and `span` of the first of `t` (whole frame numbers); pixels at a tile's edge go to the
-    tiles beside it too. A block gives the moments of each pixel with four of its neighbours over its frames, which add up over blocks
-    to those of the movie: what is shuffled after that is of the order of the image. Missing (NULL) values aren't part of a pair. centre_by:
+    The movie is dealt once, to tiles of tile x tile pixels and `span` of the first of `t` (whole frame numbers); pixels at a tile's edge go to the
+    tiles beside it too. Tasks stream their sorted rows, many tiles of frames at a time: a pixel finds four of its neighbours in its frame by
+    search, so that a frame costs what it holds and not what the image could hold. Moments of pairs add up over pieces to those of the
+    movie: what is shuffled after that is of the order of the image for each piece. Missing (NULL) values aren't part of a pair. centre_by:
     values are first taken from their mean in each block (and pixel), for movies laid end to end."""
     f = frames.where(F.col(value).isNotNull()).select(*keys, *t, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(value).cast("double").alias("v"))
     if centre_by:
-        f = f.withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy(*keys, *centre_by, "y", "x")))
+        by = [*keys, *centre_by, "y", "x"]
+        mean = f.groupBy(*by).agg(F.avg("v").alias("_mean")).withColumnsRenamed({c: f"_by_{c}" for c in by})
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+        f = f.join(mean, same).withColumn("v", F.col("v") - F.col("_mean")).select(*keys, *t, "y", "x", "v")
     at = lambda dy, dx: F.struct(F.floor((F.col("y") - dy) / tile).cast("int").alias("_ty"), F.floor((F.col("x") - dx) / tile).cast("int").alias("_tx"))
     spread = f.withColumn("_b", F.explode(F.array_distinct(F.array(at(0, 0), *[at(*d) for d in HALF])))).withColumn("_span", F.floor(F.col(t[0]) / span).cast("long"))
     own = [f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys]
+    frame = [*keys, *t, "_ty", "_tx"]
+    sums = ["n", "a", "b", "aa", "bb", "ab"]
 
     def moments(pdf: pd.DataFrame) -> pd.DataFrame:
-        frame, k = np.unique(pdf[t[0]].to_numpy(), return_inverse=True)
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        y0, x0 = int(y.min()), int(x.min())
-        h, w = int(y.max()) - y0 + 1, int(x.max()) - x0 + 1
-        v, there = np.zeros((len(frame), h + 2, w + 2)), np.zeros((len(frame), h + 2, w + 2))
-        v[k, y - y0 + 1, x - x0 + 1], there[k, y - y0 + 1, x - x0 + 1] = pdf["v"].to_numpy(), 1.0
-        mine = ((np.arange(h) + y0) // tile == int(pdf["_ty"].iloc[0]))[:, None] & ((np.arange(w) + x0) // tile == int(pdf["_tx"].iloc[0]))
-        a, ma = v[:, 1:-1, 1:-1], there[:, 1:-1, 1:-1]
+        place = _numbered(pdf, frame)
+        y, x = pdf["y"].to_numpy().astype(np.int64), pdf["x"].to_numpy().astype(np.int64)
+        v = pdf["v"].to_numpy()
+        h, w = int(y.max() - y.min()) + 3, int(x.max() - x.min()) + 3  # a margin, so that a neighbour's code is no other pixel's
+        code = (place * h + y - y.min() + 1) * w + x - x.min() + 1
+        order = np.argsort(code, kind="stable")
+        code, y, x, v = code[order], y[order], x[order], v[order]
+        rows = pdf.iloc[order]
+        mine = np.flatnonzero((y // tile == rows["_ty"].to_numpy()) & (x // tile == rows["_tx"].to_numpy()))
+        pixel = ((_numbered(rows, keys) if keys else np.zeros(len(rows), np.int64)) * h + y - y.min()) * w + x - x.min()
         out = []
         for d, (dy, dx) in enumerate(HALF):
-            cut = slice(None), slice(1 + dy, 1 + dy + h), slice(1 + dx, 1 + dx + w)
-            b, mb = v[cut], there[cut]
-            n = (ma * mb).sum(axis=0) * mine
-            y, x = np.nonzero(n)
-            sums = [s[y, x] for s in (n, (a * mb).sum(axis=0), (ma * b).sum(axis=0), (a * a * mb).sum(axis=0), (ma * b * b).sum(axis=0), (a * b).sum(axis=0))]
-            out.append(pd.DataFrame(dict(zip(["y", "x", "d", "n", "a", "b", "aa", "bb", "ab"], [y + y0, x + x0, np.full(len(y), d), *sums], strict=True))))
-        got = pd.concat(out, ignore_index=True)
-        return got.assign(**{c: pd.Series([pdf[c].iloc[0]] * len(got), dtype=object) for c in keys})[[*keys, *got.columns[:9]]]
-
-    dealt = spread.select(*keys, *t, "y", "x", "v", "_span", "_b._ty", "_b._tx").groupBy(*keys, *t[1:], "_span", "_ty", "_tx")
-    blocks = dealt.applyInPandas(moments, ", ".join([*own, "y int, x int, d int, n double, a double, b double, aa double, bb double, ab double"]))
+            want = code[mine] + dy * w + dx
+            found = np.minimum(np.searchsorted(code, want), len(code) - 1)
+            met = code[found] == want
+            i, j = mine[met], found[met]
+            if len(i):
+                _, first, k = np.unique(pixel[i], return_index=True, return_inverse=True)
+                a, b, size = v[i], v[j], len(first)
+                got = rows.iloc[i[first]][[*keys, "y", "x"]].assign(d=np.int32(d))
+                out.append(got.assign(**{c: np.bincount(k, z, size) for c, z in zip(sums, (np.ones(len(a)), a, b, a * a, b * b, a * b), strict=True)}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=[*keys, "y", "x", "d", *sums])
+
+    def run(batches):
+        held, n = [], 0
+        for pdf in batches:
+            held.append(pdf)
+            n += len(pdf)
+            if n >= PIECE:
+                whole = pd.concat(held, ignore_index=True)
+                last = _numbered(whole, frame)
+                cut = int(np.flatnonzero(last != last[-1])[-1]) + 1 if (last != last[-1]).any() else 0
+                if cut:
+                    yield moments(whole.iloc[:cut])
+                held, n = [whole.iloc[cut:]], len(whole) - cut
+        if n:
+            yield moments(pd.concat(held, ignore_index=True))
+
+    dealt = spread.select(*keys, *t, "y", "x", "v", "_span", "_b._ty", "_b._tx").repartition(*keys, *t[1:], "_span", "_ty", "_tx").sortWithinPartitions(*frame)
+    blocks = dealt.drop("_span").mapInPandas(run, ", ".join([*own, "y int, x int, d int", *[f"{c} double" for c in sums]]))
     pairs = blocks.groupBy(*keys, "y", "x", "d").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")])
     va, vb, cov = (F.col("aa") - F.col("a") * F.col("a") / F.col("n")), (F.col("bb") - F.col("b") * F.col("b") / F.col("n")), (F.col("ab") - F.col("a") * F.col("b") / F.col("n"))
     c = F.when((va > 1e-12) & (vb > 1e-12), cov / F.sqrt(va * vb)).otherwise(0.0)

@@ -91,3 +91,24 @@ def test_neighbour_correlations_equal_the_definition(spark, tile, span):
                 assert ((k, y, x) in got) == bool(cs)
                 if cs:
                     assert got[k, y, x] == pytest.approx(np.mean(cs), abs=1e-9)
+
+
+def test_pieces_of_a_sparse_movie_are_looked_at_together(spark, monkeypatch):
+    """Frames of a few pixels over many spans: the result doesn't depend on where pieces end, and no span is a piece of its own."""
+    g = np.random.default_rng(5)
+    rows = [(t, t % 3, int(y), int(x), float(g.standard_normal())) for t in range(4000) for y, x in {(int(a), int(b)) for a, b in g.integers(0, 4, (5, 2))}]
+    df = spark.createDataFrame(rows, "t long, block long, y int, x int, v double")
+    whole = {(r["y"], r["x"]): r["corr"] for r in pixels.neighbour_correlation(df, [], ["t", "block"], "v", centre_by=["block"]).collect()}
+    monkeypatch.setattr(pixels, "PIECE", 100)
+    cut = {(r["y"], r["x"]): r["corr"] for r in pixels.neighbour_correlation(df, [], ["t", "block"], "v", centre_by=["block"], span=7).collect()}
+    assert len(whole) == 16 and cut == pytest.approx(whole, abs=1e-9)
+    m = {}
+    for _, b, y, x, z in rows:
+        m.setdefault((b, y, x), []).append(z)
+    v = {(t, y, x): z - np.mean(m[b, y, x]) for t, b, y, x, z in rows}
+    for (y, x), got in whole.items():
+        cs = []
+        for q in [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]:
+            both = [(v[t, y, x], v[t, *q]) for t in range(4000) if (t, y, x) in v and (t, *q) in v]
+            cs += [np.corrcoef(*zip(*both))[0, 1]] if both else []
+        assert got == pytest.approx(np.mean(cs), abs=1e-9)
