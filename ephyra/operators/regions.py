@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..sources.shared import saved
+from ..sources.shared import saved, written
 from .grouping import components
 
 #: Columns of a line that are compared together.
@@ -76,6 +78,82 @@ def drop_clipped(mask: DataFrame, least: float, keys: list[str] = ()) -> tuple[D
     return best.where(F.col("area") >= least).drop("area"), best.where(F.col("area") < least).select(*by, "area").distinct()
 
 
+#: Pairs that a task makes, or holds uncounted, at a time.
+PAIRS = 2_000_000
+
+
+def sharing(members: DataFrame, least: float) -> DataFrame:
+    """(a, b, s), a < b: how many items rois (roi, kind, item) of different kinds share, of the pairs that share at least `least` of the items
+    of a; an overlap over union of `least` or more has that. Rows with a NULL share nothing.
+
+    Every pair of every item has to be looked at, since shares are small; but a pair is one number in a packed list of its lesser roi, and
+    is counted, and mostly dropped, where that roi's lists meet: nothing of the order of the pairs is shuffled as rows or again."""
+    m = written(members.select(F.col("roi").cast("long"), "kind", "item").dropna().distinct())
+    own = m.groupBy("roi").agg(F.countDistinct("item").alias("n"))
+    held = m.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("roi", F.xxhash64("kind").alias("kind")))).alias("_l")).where(F.size("_l") > 1)
+
+    def pairs(batches):
+        for batch in batches:
+            roi, kind = (batch.column(i).flatten().to_numpy() for i in (0, 1))
+            size = np.diff(batch.column(0).offsets.to_numpy())
+            end = np.repeat(np.cumsum(size), size)
+            after = end - np.arange(len(roi)) - 1  # those behind a roi in its item's list
+            lo = 0
+            while lo < len(roi):
+                hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(after[lo:]), PAIRS, "right")))
+                n = after[lo:hi]
+                i = np.repeat(np.arange(lo, hi), n)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                met = (kind[i] != kind[j]) & (roi[i] != roi[j])
+                i, j = i[met], j[met]
+                count = np.bincount(i - lo, minlength=hi - lo)
+                some = np.flatnonzero(count)
+                if len(some):
+                    offsets = np.concatenate([[0], np.cumsum(count[some])]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(roi[lo + some]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(roi[j]))], names=["a", "bs"])
+                lo = hi
+
+    lists = held.select("_l.roi", "_l.kind").mapInArrow(pairs, "a long, bs array<long>")
+    # each roi's number of items comes first among its rows
+    first = own.select(F.col("roi").alias("a"), F.lit(None).cast("array<long>").alias("bs"), "n")
+    rows = lists.withColumn("n", F.lit(None).cast("long")).unionByName(first).repartition("a").sortWithinPartitions("a", F.col("n").desc_nulls_last())
+
+    def counts(batches):
+        a, need, found, times, open_, waiting = None, 0, None, None, [], 0
+
+        def packed():
+            b, k = np.unique(np.concatenate([found, *open_]), return_inverse=True)
+            return b, np.bincount(k, np.concatenate([times, *[np.ones(len(x)) for x in open_]]), len(b)).astype(np.int64)
+
+        def done():
+            b, s = packed()
+            good = s >= need
+            return pa.RecordBatch.from_arrays([pa.array(np.full(int(good.sum()), a)), pa.array(b[good]), pa.array(s[good])], names=["a", "b", "s"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            roi, n = batch.column(0).to_numpy(), batch.column(2).fill_null(-1).to_numpy()
+            values, offsets = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
+            edges = [0, *(np.flatnonzero(roi[1:] != roi[:-1]) + 1).tolist(), len(roi)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if roi[lo] != a:
+                    if open_:
+                        yield done()
+                    a, need, found, times, open_, waiting = int(roi[lo]), 0, np.zeros(0, np.int64), np.zeros(0), [], 0
+                if n[lo] >= 0:
+                    need = least * int(n[lo]) * (1 - 1e-9)
+                if offsets[hi] > offsets[lo]:
+                    open_.append(values[offsets[lo] : offsets[hi]])
+                    waiting += len(open_[-1])
+                    if waiting > PAIRS:
+                        (found, times), open_, waiting = packed(), [np.zeros(0, np.int64)], 0
+        if open_:
+            yield done()
+
+    return rows.mapInArrow(counts, "a long, b long, s long")
+
+
 def clusters(rois: DataFrame, overlaps: DataFrame, least: float, linkage: str = "complete") -> DataFrame:
     """(roi, cluster): rois joined while the linkage of two clusters is an overlap of `least` or more; cluster is the least roi in it.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import regions
+from ..sources.shared import written
 from .queries import query, table
 
 
@@ -22,8 +23,7 @@ def labelled_regions(spark, d):
 def linkage_clusters(spark, d):
     """Suppliers' parts by return flag as rois of three masks; rois of different masks that share enough parts are one."""
     li = table(spark, d, "lineitem").select("l_returnflag", (F.col("l_suppkey") * 3 + F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)).alias("roi"), "l_partkey").distinct()
-    area = li.groupBy("roi").agg(F.count(F.lit(1)).alias("n"))
-    a, b = (li.select(F.col("l_returnflag").alias(f"_{c}"), F.col("roi").alias(c), "l_partkey") for c in "ab")
-    shared = a.join(b, "l_partkey").where("a < b and _a <> _b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("s"))
+    area = written(li.groupBy("roi").agg(F.count(F.lit(1)).alias("n")))
+    shared = regions.sharing(li.select("roi", F.col("l_returnflag").alias("kind"), F.col("l_partkey").alias("item")), 0.1)
     iou = shared.join(area.select(F.col("roi").alias("a"), F.col("n").alias("na")), "a").join(area.select(F.col("roi").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", (F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).alias("overlap"))
     return regions.clusters(area.select("roi"), iou, 0.1)

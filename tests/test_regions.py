@@ -112,3 +112,15 @@ def test_pieces_of_a_sparse_movie_are_looked_at_together(spark, monkeypatch):
             both = [(v[t, y, x], v[t, *q]) for t in range(4000) if (t, y, x) in v and (t, *q) in v]
             cs += [np.corrcoef(*zip(*both))[0, 1]] if both else []
         assert got == pytest.approx(np.mean(cs), abs=1e-9)
+
+
+def test_shared_items_are_counted_in_packed_lists(spark, monkeypatch):
+    g = np.random.default_rng(9)
+    rows = sorted({(r, "ABC"[r % 3], int(i)) for r in range(40) for i in g.integers(0, 60, 25)}) + [(1, "B", None), (2, None, 5)]
+    df = spark.createDataFrame(rows, "roi long, kind string, item long")
+    monkeypatch.setattr(regions, "PAIRS", 50)
+    items = {r: {i for q, k, i in rows if q == r and k and i is not None} for r in range(40)}
+    for least in (0.0, 0.4):
+        got = {(r["a"], r["b"]): r["s"] for r in regions.sharing(df, least).collect()}
+        want = {(a, b): len(items[a] & items[b]) for a in range(40) for b in range(a + 1, 40) if a % 3 != b % 3 and items[a] & items[b]}
+        assert got == {k: s for k, s in want.items() if s >= least * len(items[k[0]])} and got
