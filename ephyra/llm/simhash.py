@@ -170,7 +170,8 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, wor
     within the expected distance and SLACK standard deviations are candidates; each one that is used is verified on the sets
     themselves (see Linking). Equal sets are one node. Each block gives the closest candidates that connect what its candidates
     connect. Where some fail, the nodes of the groups that they keep apart are looked at again by LONGER fingerprints: each gives its
-    NEAREST candidates in other groups in each block, then twice as many, until a pass links nothing new. No block gives all its pairs.
+    NEAREST candidates in other groups in each block, then twice as many, until a pass links nothing new and leaves nothing out: where it did,
+    the nodes that had more than they gave are asked again, in the same blocks, for twice as many, until all of theirs were verified.
     Null and empty texts are copies of one another. An empty table gives no rows.
     """
     bits = 64 * words
@@ -195,13 +196,23 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, wor
     links, nearest = Linking(met, sets, similarity), NEAREST
     links.take(found)
     discard(found)
-    close, grew = allowed_distance(similarity, 64 * LONGER, SLACK), True
-    while grew and not (apart := links.apart()).isEmpty():
+    close, grew, capped, layout = allowed_distance(similarity, 64 * LONGER, SLACK), True, None, None
+    while True:
+        apart = links.apart()
+        if not grew:  # a pair that the last pass left out lies between two nodes that both had more than they gave
+            apart = materialize(apart.join(capped, "node", "left_semi"))
+        if apart.isEmpty():
+            break
         longer = with_arrow(join_checked(sets, apart, "node", "inner"), lambda: lambda raw: [[set_fingerprint(np.frombuffer(x, np.uint64), LONGER) for x in raw]], ["s"], [field("_fp", T.BinaryType())])
         some = materialize(longer.select(F.col("node").alias("nid"), "grp", "_fp"))
-        more = candidates(some, similarity, close, *plan(some.count(), 64 * LONGER, allowed_distance(similarity, 64 * LONGER), miss), seed, chunk, nearest)
-        grew, nearest = links.take(more), 2 * nearest
+        if grew:  # the same blocks while what they left out is asked for
+            layout = plan(some.count(), 64 * LONGER, allowed_distance(similarity, 64 * LONGER), miss)
+        more = candidates(some, similarity, close, *layout, seed, chunk, nearest)
+        discard(capped)
+        capped = materialize(more.where("a = b").select(F.col("a").alias("node")))
+        grew, nearest = links.take(more.where("a < b")), 2 * nearest
         discard(apart, some, more)
+    discard(apart, capped)
     groups = materialize(nodes.join(links.label.withColumnRenamed("node", "nid"), "nid", "left").select("__set__", F.coalesce("root", "nid").alias("__root__")))
     discard(nodes, met, sets, links.label, *links.written)
     return rows, groups
@@ -209,7 +220,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, wor
 
 def candidates(nodes: DataFrame, similarity: float, distance: int, size: int, blocks: int, seed: int, chunk: int, nearest: int = 0) -> DataFrame:
     """(a, b, d), a < b: pairs of nodes (nid, grp, _fp) of different grp that share a block and differ at d <= distance bits: those of
-    a least spanning forest of each bucket, or each node's `nearest` ones. Only ids and 128 bits of the fingerprints go to the
+    a least spanning forest of each bucket, or each node's `nearest` ones, with (nid, nid, 0) for nodes that have more. Only ids and 128 bits of the fingerprints go to the
     blocks; members without another that is close by these leave, and fingerprints are fetched by id for the rest. Sizes of
     buckets are summed in tasks before the shuffle. A bucket is cut in chunks, and each pair of chunks is compared by itself, so
     that hot buckets spread over tasks."""
@@ -408,7 +419,7 @@ def _spanning(part: pa.Table, distance: int):
 
 
 def _closest(part: pa.Table, distance: int, nearest: int):
-    """Of each member of each group of equal keys the nearest close ones of another grp."""
+    """Of each member of each group of equal keys the nearest close ones of another grp; of one that has more, also (nid, nid, 0)."""
     nid, grp, fp, start, size = _buckets(part)
     out_a, out_b, out_d = [nid[:0]], [nid[:0]], [nid[:0]]
     for lo, n in zip(start.tolist(), size.tolist()):
@@ -419,6 +430,9 @@ def _closest(part: pa.Table, distance: int, nearest: int):
             hit = np.flatnonzero((d <= distance) & (grp[lo : lo + n] != grp[i]))
             if len(hit) > nearest:
                 hit = hit[np.argsort(d[hit], kind="stable")[:nearest]]
+                out_a.append(nid[i : i + 1])
+                out_b.append(nid[i : i + 1])
+                out_d.append(np.zeros(1, d.dtype))
             out_a.append(np.full(len(hit), nid[i]))
             out_b.append(nid[lo + hit])
             out_d.append(d[hit])

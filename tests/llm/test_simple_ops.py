@@ -349,3 +349,17 @@ def test_sharding_runs_no_python(spark, sf):
     df.count()
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
     assert df.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_nodes_with_more_candidates_than_they_give_say_so():
+    """One of four close ones in other groups is given, and each node that has more is named, so that it is asked again."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ephyra.llm import simhash
+
+    n = 5
+    part = pa.table({"key": [7] * n, "lo": [0] * n, "hi": [0] * n, "nid": list(range(n)), "_fp": [np.array([1 << i, 0], "<u8").tobytes() for i in range(n)], "grp": list(range(n))})
+    rows = lambda k: [(r["a"], r["b"]) for b in simhash._closest(part, 2, k) for r in b.to_pylist()]
+    assert {a for a, b in rows(1) if a == b} == set(range(n)) and not [a for a, b in rows(4) if a == b]
+    assert {p for p in rows(4)} == {(a, b) for a in range(n) for b in range(a + 1, n)}
