@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BROADCAST_ROWS, discard, materialize
+from .common import BROADCAST_ROWS, discard, materialize, written_rows
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     left = materialize(edges.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
     label = None  # a written table, once there is a second round
     while True:
-        count = left.count()
+        count = written_rows(left)
         if label is not None and not count:
             discard(left)
             return label

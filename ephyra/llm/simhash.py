@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import discard, field, freed, join_checked, materialize, table, with_arrow
+from .common import discard, field, freed, join_checked, materialize, table, with_arrow, written_rows
 from .components import connected_components
 
 #: Buckets of up to so many different fingerprints are joined with themselves; larger ones go by midpoints.
@@ -187,7 +187,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, wor
     marked = with_arrow(docs, marks, ["text"], [field("__set__", T.BinaryType()), field("__fp__", T.BinaryType())])
     rows = materialize(marked.withColumn("__rid__", F.monotonically_increasing_id()))
     nodes = materialize(rows.groupBy("__set__", F.col("__fp__").alias("_fp")).agg(F.min("__rid__").alias("nid")))
-    size, blocks = plan(nodes.count(), bits, allowed_distance(similarity, bits), miss)
+    size, blocks = plan(written_rows(nodes), bits, allowed_distance(similarity, bits), miss)
     found = candidates(nodes.select("nid", F.col("nid").alias("grp"), "_fp"), similarity, distance, size, blocks, seed, chunk)
     met = materialize(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     texts = join_checked(rows.select(F.col("__rid__").alias("node"), "text"), met, "node", "inner")
@@ -200,20 +200,22 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, wor
     while True:
         apart = links.apart()
         if not grew:  # a pair that the last pass left out lies between two nodes that both had more than they gave
-            apart = materialize(apart.join(capped, "node", "left_semi"))
-        if apart.isEmpty():
+            apart, last = materialize(apart.join(capped, "node", "left_semi")), apart
+            discard(last)
+        if not written_rows(apart):
             break
         longer = with_arrow(join_checked(sets, apart, "node", "inner"), lambda: lambda raw: [[set_fingerprint(np.frombuffer(x, np.uint64), LONGER) for x in raw]], ["s"], [field("_fp", T.BinaryType())])
         some = materialize(longer.select(F.col("node").alias("nid"), "grp", "_fp"))
         if grew:  # the same blocks while what they left out is asked for
-            layout = plan(some.count(), 64 * LONGER, allowed_distance(similarity, 64 * LONGER), miss)
+            layout = plan(written_rows(some), 64 * LONGER, allowed_distance(similarity, 64 * LONGER), miss)
         more = candidates(some, similarity, close, *layout, seed, chunk, nearest)
         discard(capped)
         capped = materialize(more.where("a = b").select(F.col("a").alias("node")))
         grew, nearest = links.take(more.where("a < b")), 2 * nearest
         discard(apart, some, more)
+        freed(docs.sparkSession)
     discard(apart, capped)
-    groups = materialize(nodes.join(links.label.withColumnRenamed("node", "nid"), "nid", "left").select("__set__", F.coalesce("root", "nid").alias("__root__")))
+    groups = materialize(links.rooted(nodes, "nid", "__root__").select("__set__", "__root__"))
     discard(nodes, met, sets, links.label, *links.written)
     return rows, groups
 
@@ -285,11 +287,13 @@ def _near(part: pa.Table, distance: int):
 
 
 class Linking:
-    """Components (label: node, root) of the pairs of nodes whose sets (node, s) have a Jaccard similarity of `similarity` or more."""
+    """Components of the pairs of nodes whose sets (node, s) have a Jaccard similarity of `similarity` or more. label: (node, root) of the
+    nodes that have another root, the others are roots themselves; so what the driver broadcasts follows what was linked, not all nodes."""
 
     def __init__(self, nodes: DataFrame, sets: DataFrame, similarity: float):
-        self.label = nodes.select("node", F.col("node").alias("root"))
-        self.sets, self.similarity, self.written, self.tried = sets, similarity, [], nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        none = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        self.label = materialize(none.toDF("node", "root"))
+        self.sets, self.similarity, self.written, self.tried, self.n_tried = sets, similarity, [], none, 0
 
     def take(self, pairs: DataFrame) -> bool:
         """Verifies of pairs (a, b, d) enough to connect whatever they connect; whether any was linked. A pair whose ends are
@@ -297,7 +301,7 @@ class Linking:
         large group moves few sets; what is left then is verified whole."""
         grew, left = False, self.crossing(pairs)
         for turn in range(3):
-            if left.isEmpty():
+            if not written_rows(left):
                 break
             close = left
             if turn < 2:
@@ -307,8 +311,8 @@ class Linking:
             close = materialize(close.select("a", "b", "ra", "rb"))
             good = self.verified(close)
             self.written.append(close)
-            self.tried = self.tried.unionByName(close.select("a", "b"))
-            if not good.isEmpty():
+            self.tried, self.n_tried = self.tried.unionByName(close.select("a", "b")), self.n_tried + written_rows(close)
+            if written_rows(good):
                 grew = True
                 comp, last = connected_components(good.select(F.col("ra").alias("a"), F.col("rb").alias("b"))), self.label
                 self.label = merged(self.label, comp)
@@ -322,29 +326,36 @@ class Linking:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, ra, rb) whose sets are similar."""
         x = join_checked(self.sets.select(F.col("node").alias("a"), F.col("s").alias("x")), pairs, "a", "inner").select("a", "b", "ra", "rb", "x")
-        y = join_checked(self.sets.select(F.col("node").alias("b"), F.col("s").alias("y")), pairs.select("a", "b"), "b", "inner").select("a", "b", "y")
+        y = join_checked(self.sets.select(F.col("node").alias("b"), F.col("s").alias("y")), pairs.select("a", "b"), "b", "inner", rows=written_rows(pairs)).select("a", "b", "y")
         return materialize(x.join(y, ["a", "b"]).select("a", "b", "ra", "rb", "x", "y").mapInArrow(_alike(self.similarity), T.StructType([field(c, T.LongType()) for c in ("a", "b", "ra", "rb")])))
 
+    def rooted(self, df: DataFrame, node: str, root: str) -> DataFrame:
+        """df with the root of its nodes."""
+        if not written_rows(self.label):
+            return df.withColumn(root, F.col(node))
+        return join_checked(df, self.label.toDF(node, root), node, rows=written_rows(self.label)).withColumn(root, F.coalesce(root, node))
+
     def crossing(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, d) with the roots of their ends, where these differ and the pair was not tried."""
-        for c in "ab":
-            pairs = join_checked(pairs, self.label.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "inner")
-        return materialize(join_checked(pairs.where("ra <> rb"), self.tried, ["a", "b"], "left_anti").select("a", "b", "d", "ra", "rb"))
+        new = self.rooted(self.rooted(pairs, "a", "ra"), "b", "rb").where("ra <> rb")
+        if self.n_tried:
+            new = join_checked(new, self.tried, ["a", "b"], "left_anti", rows=self.n_tried)
+        return materialize(new.select("a", "b", "d", "ra", "rb"))
 
     def apart(self) -> DataFrame:
         """(node, grp) of the components that some tried pair failed to connect."""
-        pairs = self.tried
-        for c in "ab":
-            pairs = join_checked(pairs, self.label.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "inner")
+        pairs = self.rooted(self.rooted(self.tried, "a", "ra"), "b", "rb")
         roots = materialize(pairs.where("ra <> rb").select(F.explode(F.array("ra", "rb")).alias("root")).distinct())
-        out = materialize(join_checked(self.label, roots, "root", "left_semi").select("node", F.col("root").alias("grp")))
+        others = join_checked(self.label, roots, "root", "left_semi").select("node", F.col("root").alias("grp"))
+        out = materialize(roots.select(F.col("root").alias("node"), F.col("root").alias("grp")).unionByName(others))
         discard(roots)
         return out
 
 
 def merged(label: DataFrame, comp: DataFrame) -> DataFrame:
-    """label (node, root) after the components comp (node, root) of its roots."""
-    return materialize(join_checked(label, comp.select(F.col("node").alias("root"), F.col("root").alias("to")), "root").select("node", F.coalesce("to", "root").alias("root")))
+    """label (node, root; without the roots) after the components comp (node, root) of its roots."""
+    moved = join_checked(label, comp.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", rows=written_rows(comp)).select("node", F.coalesce("to", "root").alias("root"))
+    return materialize(moved.unionByName(comp.where("node <> root")))
 
 
 def _alike(similarity: float):
