@@ -17,12 +17,14 @@ from .components import connected_components
 PAIR_BUCKET = 64
 #: Fingerprint bits fall in 4 blocks of 16; two that differ at 2 bits or fewer agree on 2 blocks at least.
 BLOCKS = 4
-#: Where candidates fail: those that a node gives in each block at first, and the 64-bit words of the fingerprints that are compared.
-NEAREST, LONGER = 4, 32
+#: Where candidates fail: the 64-bit words of the fingerprints that nodes are looked at by again.
+LONGER = 32
 #: Standard deviations of the Hamming estimate within which a pair is a candidate.
 SLACK = 2.0
 #: Bits of a fingerprint that go to the blocks.
 SKETCH = 128
+#: Bytes of sets in a chunk of a family, about; and the columns of hashes that a task counts at a time.
+CHUNK_BYTES, COLUMNS = 4 << 20, 4096
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -169,9 +171,9 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, wor
     The fingerprint therefore has 64 * `words` bits and blocks are many choices of its bits (see plan). Pairs that meet in a block
     within the expected distance and SLACK standard deviations are candidates; each one that is used is verified on the sets
     themselves (see Linking). Equal sets are one node. Each block gives the closest candidates that connect what its candidates
-    connect. Where some fail, the nodes of the groups that they keep apart are looked at again by LONGER fingerprints: each gives its
-    NEAREST candidates in other groups in each block, then twice as many, until a pass links nothing new and leaves nothing out: where it did,
-    the nodes that had more than they gave are asked again, in the same blocks, for twice as many, until all of theirs were verified.
+    connect. Where some fail, the nodes of the groups that they keep apart are looked at again by LONGER fingerprints, and what any
+    candidates connect is a family: its groups are compared whole, each set of one with each of another, by exact count (Linking.compare).
+    Tasks do that on chunks of a family and give links that connect groups only, so no table holds the pairs of a family.
     Null and empty texts are copies of one another. An empty table gives no rows.
     """
     bits = 64 * words
@@ -193,28 +195,19 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, wor
     texts = join_checked(rows.select(F.col("__rid__").alias("node"), "text"), met, "node", "inner")
     sets = materialize(with_arrow(texts, lambda: lambda texts: [[shingle_set(t, width, seed).tobytes() for t in texts]], ["text"], [field("s", T.BinaryType())]).select("node", "s"))
     freed(docs.sparkSession)
-    links, nearest = Linking(met, sets, similarity), NEAREST
+    links = Linking(met, sets, similarity)
     links.take(found)
     discard(found)
-    close, grew, capped, layout = allowed_distance(similarity, 64 * LONGER, SLACK), True, None, None
-    while True:
-        apart = links.apart()
-        if not grew:  # a pair that the last pass left out lies between two nodes that both had more than they gave
-            apart, last = materialize(apart.join(capped, "node", "left_semi")), apart
-            discard(last)
-        if not written_rows(apart):
-            break
+    apart = links.apart()
+    if written_rows(apart):
         longer = with_arrow(join_checked(sets, apart, "node", "inner"), lambda: lambda raw: [[set_fingerprint(np.frombuffer(x, np.uint64), LONGER) for x in raw]], ["s"], [field("_fp", T.BinaryType())])
         some = materialize(longer.select(F.col("node").alias("nid"), "grp", "_fp"))
-        if grew:  # the same blocks while what they left out is asked for
-            layout = plan(written_rows(some), 64 * LONGER, allowed_distance(similarity, 64 * LONGER), miss)
-        more = candidates(some, similarity, close, *layout, seed, chunk, nearest)
-        discard(capped)
-        capped = materialize(more.where("a = b").select(F.col("a").alias("node")))
-        grew, nearest = links.take(more.where("a < b")), 2 * nearest
-        discard(apart, some, more)
+        layout = plan(written_rows(some), 64 * LONGER, allowed_distance(similarity, 64 * LONGER), miss)
+        more = candidates(some, similarity, allowed_distance(similarity, 64 * LONGER, SLACK), *layout, seed, chunk)
+        links.compare(apart, more, chunk)
+        discard(some, more)
         freed(docs.sparkSession)
-    discard(apart, capped)
+    discard(apart)
     groups = materialize(links.rooted(nodes, "nid", "__root__").select("__set__", "__root__"))
     discard(nodes, met, sets, links.label, *links.written)
     return rows, groups
@@ -296,18 +289,16 @@ class Linking:
         self.sets, self.similarity, self.written, self.tried, self.n_tried = sets, similarity, [], none, 0
 
     def take(self, pairs: DataFrame) -> bool:
-        """Verifies of pairs (a, b, d) enough to connect whatever they connect; whether any was linked. A pair whose ends are
-        connected already needs no look. First every node takes its closest candidate, then each pair of components theirs, so that a
-        large group moves few sets; what is left then is verified whole."""
+        """Verifies pairs (a, b, d); whether any was linked. A pair whose ends are connected already needs no look. First every
+        node takes its closest candidate, then each pair of components theirs, so that a large group moves few sets; what is left
+        then is for compare()."""
         grew, left = False, self.crossing(pairs)
-        for turn in range(3):
+        for turn in range(2):
             if not written_rows(left):
                 break
-            close = left
-            if turn < 2:
-                ends = [F.struct(F.col(x).alias("n"), F.col(y).alias("to"), "d", "a", "b", "ra", "rb") for x, y in (("ra", "rb"), ("rb", "ra"))]
-                close = left.select(F.explode(F.array(*ends)).alias("e")).select("e.*") if turn == 0 else left.select(F.least("ra", "rb").alias("n"), F.greatest("ra", "rb").alias("to"), "d", "a", "b", "ra", "rb")
-                close = close.groupBy("n", *(["to"] if turn else [])).agg(F.min(F.struct("d", "a", "b", "ra", "rb")).alias("e")).select("e.*").distinct()
+            ends = [F.struct(F.col(x).alias("n"), F.col(y).alias("to"), "d", "a", "b", "ra", "rb") for x, y in (("ra", "rb"), ("rb", "ra"))]
+            close = left.select(F.explode(F.array(*ends)).alias("e")).select("e.*") if turn == 0 else left.select(F.least("ra", "rb").alias("n"), F.greatest("ra", "rb").alias("to"), "d", "a", "b", "ra", "rb")
+            close = close.groupBy("n", *(["to"] if turn else [])).agg(F.min(F.struct("d", "a", "b", "ra", "rb")).alias("e")).select("e.*").distinct()
             close = materialize(close.select("a", "b", "ra", "rb"))
             good = self.verified(close)
             self.written.append(close)
@@ -320,7 +311,8 @@ class Linking:
             discard(good)
             left, last = self.crossing(left.select("a", "b", "d")), left
             discard(last)
-        discard(left)
+        self.written.append(left)
+        self.tried, self.n_tried = self.tried.unionByName(left.select("a", "b")), self.n_tried + written_rows(left)
         return grew
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -342,15 +334,48 @@ class Linking:
             new = join_checked(new, self.tried, ["a", "b"], "left_anti", rows=self.n_tried)
         return materialize(new.select("a", "b", "d", "ra", "rb"))
 
+    def parted(self) -> DataFrame:
+        """(a, b): the pairs of components that some pair taken did not connect."""
+        pairs = self.rooted(self.rooted(self.tried, "a", "ra"), "b", "rb").where("ra <> rb")
+        return materialize(pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+
     def apart(self) -> DataFrame:
-        """(node, grp) of the components that some tried pair failed to connect."""
-        pairs = self.rooted(self.rooted(self.tried, "a", "ra"), "b", "rb")
-        roots = materialize(pairs.where("ra <> rb").select(F.explode(F.array("ra", "rb")).alias("root")).distinct())
+        """(node, grp) of the components that some pair taken did not connect."""
+        pairs = self.parted()
+        roots = materialize(pairs.select(F.explode(F.array("a", "b")).alias("root")).distinct())
         others = join_checked(self.label, roots, "root", "left_semi").select("node", F.col("root").alias("grp"))
         out = materialize(roots.select(F.col("root").alias("node"), F.col("root").alias("grp")).unionByName(others))
+        self.written.append(pairs)
+        self.between = pairs
         discard(roots)
         return out
 
+    def compare(self, apart: DataFrame, more: DataFrame, chunk: int) -> None:
+        """Links the groups of apart (node, grp; as apart() gave them) by all pairs of sets of different groups in each family: a family
+        is what the pairs that apart() found and the candidates more (a, b) connect. The largest group of a family is compared with the
+        others only. Both sides are cut in chunks, by rows and bytes, and each two chunks are one key; so a set is moved once for
+        each chunk of the other side, and what a task returns are links that connect groups: one less than groups at most."""
+        edges = self.between.unionByName(more.select("a", "b")).unionByName(apart.select(F.col("grp").alias("a"), F.col("node").alias("b")))
+        family = connected_components(edges).withColumnRenamed("root", "fam")
+        sized = join_checked(self.sets.select("node", F.length("s").cast("long").alias("size")), apart, "node", "inner")
+        members = materialize(sized.join(family, "node").select("node", "grp", "fam", "size"))
+        grouped = members.groupBy("fam", "grp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+        whole = grouped.groupBy("fam").agg(F.max(F.struct("n", "bytes", "grp")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+        parts = lambda n, size: F.greatest(F.ceil(n / chunk), F.ceil(size / CHUNK_BYTES), F.lit(1)).cast("int")
+        cut = materialize(whole.select("fam", F.col("top.grp").alias("main"), parts(F.col("top.n"), F.col("top.bytes")).alias("mains"), parts(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("rests")))
+        main, own = F.col("grp") == F.col("main"), lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        placed = join_checked(members, cut, "fam", "inner").withColumn("own", F.when(main, F.col("rests") + own("mains")).otherwise(own("rests")))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(main, F.col("rests")).otherwise(F.col("rests") + F.col("mains")) - 1)))
+        keys = ["fam", "lo", "hi"]
+        asked = materialize(placed.select("fam", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "grp", "own"))
+        by_key = join_checked(self.sets, asked, "node", "inner").select(*keys, "own", "grp", "s").repartition(*keys).sortWithinPartitions(*keys)
+        found = materialize(by_key.mapInArrow(lambda batches, s=self.similarity: _streamed(batches, chunk, lambda part: _connecting(part, s)), T.StructType([field("a", T.LongType()), field("b", T.LongType())])))
+        if written_rows(found):
+            comp, last = connected_components(found), self.label
+            self.label = merged(self.label, comp)
+            discard(comp, last)
+        discard(family, members, cut, asked, found)
+
 
 def merged(label: DataFrame, comp: DataFrame) -> DataFrame:
     """label (node, root; without the roots) after the components comp (node, root) of its roots."""
@@ -380,6 +405,51 @@ def jaccard_reaches(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
 
+def _connecting(part: pa.Table, similarity: float):
+    """Of each group of equal keys (fam, lo, hi; own, grp, s) pairs (a, b) of grp, enough to connect whatever pairs of similar sets connect:
+    of chunk lo and chunk hi, or if these are one, within it."""
+    ks = np.stack([part.column(i).to_numpy() for i in range(3)], 1)
+    own, grp = part.column(3).to_numpy(), part.column(4).to_numpy()
+    edges = np.concatenate([[0], np.flatnonzero((ks[1:] != ks[:-1]).any(axis=1)) + 1, [len(ks)]])
+    out = []
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        x, y = (np.flatnonzero(own[lo:hi] == ks[lo, k]) for k in (1, 2))
+        g = grp[lo:hi].copy()
+        if not len(x) or not len(y) or (g == g[0]).all():
+            continue
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in part.column(5).slice(lo, hi - lo)]
+        n = np.array([len(v) for v in sets], np.int64)
+        both = common(sets, x, y)
+        like = both >= similarity * (n[x][:, None] + n[y][None] - both) - 1e-9
+        like = np.argwhere(like & (g[x][:, None] != g[y][None]))
+        like = np.stack([x[like[:, 0]], y[like[:, 1]]], 1)
+        while len(like):  # each turn joins two groups of this key
+            a, b = sorted(g[like[0]].tolist())
+            out.append((a, b))
+            g[g == b] = a
+            like = like[g[like[:, 0]] != g[like[:, 1]]]
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+
+def common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many values each of the sets x has in common with each of the sets y, exactly. Values of one set alone count nowhere; the
+    others are columns of a 0-1 matrix, of which COLUMNS are held at a time."""
+    row = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    row, col = row[shared[col]], (np.cumsum(shared) - 1)[col[shared[col]]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(x), len(y)))
+    cuts = np.searchsorted(col, np.arange(0, int(shared.sum()) + COLUMNS, COLUMNS))
+    for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+        at = np.zeros((len(sets), COLUMNS), np.float32)
+        at[row[lo:hi], col[lo:hi] - k * COLUMNS] = 1
+        out += at[x] @ at[y].T
+    return out
+
+
 def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 8, miss: float = 0.02, seed: int = 42, chunk: int = 512) -> DataFrame:
     """(doc_id, _fp, component_id) for each row of docs, linked where shingle sets have `similarity` or more (similar_groups)."""
     rows, groups = similar_groups(docs.select("doc_id", "text"), width, similarity, words, miss, seed, chunk)

@@ -363,3 +363,74 @@ def test_nodes_with_more_candidates_than_they_give_say_so():
     rows = lambda k: [(r["a"], r["b"]) for b in simhash._closest(part, 2, k) for r in b.to_pylist()]
     assert {a for a, b in rows(1) if a == b} == set(range(n)) and not [a for a, b in rows(4) if a == b]
     assert {p for p in rows(4)} == {(a, b) for a in range(n) for b in range(a + 1, n)}
+
+
+def lines_family(n, q=13, k=5, shingles=400):
+    """n texts of which no two reach a similarity of 0.8 and all come near: each changes k places of one text, two of them share one at most."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    base = [word() for _ in range(shingles + 4)]
+    data = []
+    for m in range(n):
+        v = list(base)
+        for i in range(k):
+            v[4 + 5 * (q * i + (m // q * i + m) % q)] = word()
+        data.append((m, " ".join(v)))
+    return data
+
+
+def test_pairs_to_verify_grow_with_the_members_of_a_family(spark, monkeypatch):
+    """All are candidates of one another and none is linked: what is rooted and verified by joins grows far slower than its pairs."""
+    made = []
+
+    class Kept(simhash.Linking):
+        def __init__(self, *a):
+            super().__init__(*a)
+            made.append(self)
+
+    monkeypatch.setattr(simhash, "Linking", Kept)
+    for n in (40, 160):
+        data = lines_family(n)
+        assert max(jaccard(data[a][1], data[b][1]) for a in range(n) for b in range(a)) < 0.8
+        got = simhash.similar_components(spark.createDataFrame(data, "doc_id long, text string"), chunk=32).collect()
+        assert all(x["doc_id"] == x["component_id"] for x in got) and len(got) == n
+    few, many = (x.n_tried for x in made)
+    assert 0 < many < 8 * few and many < 160 * 159 // 4  # 4 times the members have 16 times the pairs
+
+
+@pytest.mark.parametrize("chunk", [4, 7, 64])
+def test_families_are_compared_whole(spark, monkeypatch, chunk):
+    """A long chain of like sets beside others of its family: the links are those of brute force, however chunks fall."""
+    import numpy as np
+
+    from ephyra.llm.common import materialize
+
+    monkeypatch.setattr(simhash, "CHUNK_BYTES", 5000)
+    g = np.random.default_rng(chunk)
+    base = g.integers(0, 2**63, 90).astype(np.uint64)
+    sets = [np.unique(np.concatenate([np.delete(base, g.choice(90, 9, replace=False)), g.integers(0, 2**63, int(g.integers(0, 9))).astype(np.uint64)])) for _ in range(50)]
+    near = [(a, b) for a in range(50) for b in range(a) if simhash.jaccard_reaches(sets[a], sets[b], 0.8)]
+    nodes = materialize(spark.createDataFrame([(i,) for i in range(50)], "node long"))
+    held = materialize(spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(sets)], "node long, s binary"))
+    links = simhash.Linking(nodes, held, 0.8)
+    links.take(spark.createDataFrame([(i, i + 1, 1) for i in range(49)], "a long, b long, d long"))
+    apart = links.apart()
+    links.compare(apart, spark.createDataFrame([], "a long, b long"), chunk)
+    got = {r["node"]: r["root"] for r in links.label.collect()}
+    root = list(range(50))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in near:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert 0 < len(near) < 50 * 49 // 2 and len({find(a) for a in range(50)}) > 1
+    assert all(got.get(a, a) == find(a) for a in range(50))
+
+
+def test_common_counts_equal_intersections(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(simhash, "COLUMNS", 16)
+    g = np.random.default_rng(3)
+    sets = [np.unique(g.integers(0, 120, int(n)).astype(np.uint64)) for n in g.integers(0, 90, 30)] + [np.arange(500, 600, dtype=np.uint64)]
+    x, y = np.arange(0, 31, 2), np.arange(31)
+    assert (simhash.common(sets, x, y) == [[len(np.intersect1d(sets[a], sets[b])) for b in y] for a in x]).all()
+    assert not simhash.common(sets[-1:], np.array([0]), np.array([], int)).size
