@@ -28,6 +28,14 @@ def rounded(c, places: int = 6) -> Column:
     return F.round(finite(col(c).cast("double")), places)
 
 
+def steady_mean(c) -> Column:
+    """The mean of a group, to the last bit the same in whatever order its rows are added: whole 2^-20ths and what is left of them have
+    sums without rounding while values have a usual size, and are no worse than avg else."""
+    c = col(c).cast("double")
+    whole = F.when(F.abs(c) < F.lit(2.0**32), F.rint(c * F.lit(2.0**20)) / F.lit(2.0**20)).otherwise(c)
+    return F.avg(whole) + F.avg(F.nanvl(c - whole, F.lit(0.0)))
+
+
 def safe_ratio(a, b, floor: float = 0.0) -> Column:
     """a / b, NULL where |b| <= floor."""
     a, b = col(a).cast("double"), col(b).cast("double")
